@@ -24,25 +24,28 @@ def calibration_curve(scored: DataFrame, bins: int = CALIBRATION_BINS) -> DataFr
     )
 
 
-def brier_score(scored: DataFrame) -> DataFrame:
-    """One row: Brier score of both periods and the change."""
+def _brier(scored: DataFrame) -> DataFrame:
     miss = F.col("proba").cast("double") - F.col("y_true").cast("double")
     squared = miss * miss
+    current = F.col("period") == CURRENT
     return scored.agg(
         F.avg(F.when(F.col("period") == REFERENCE, squared)).alias("ref_brier"),
-        F.avg(F.when(F.col("period") == CURRENT, squared)).alias("cur_brier"),
+        F.avg(F.when(current, squared)).alias("cur_brier"),
+        (F.min(F.when(current, F.col("y_true"))) < F.max(F.when(current, F.col("y_true")))).alias("both_classes"),
     ).withColumn("brier_delta", F.col("cur_brier") - F.col("ref_brier"))
 
 
+def brier_score(scored: DataFrame) -> DataFrame:
+    """One row: Brier score of both periods and the change."""
+    return _brier(scored).drop("both_classes")
+
+
 def calibration_assessment(scored: DataFrame) -> DataFrame:
     """`brier_score` with the verdict. No row unless both current classes are present."""
-    current = F.when(F.col("period") == CURRENT, F.col("y_true"))
-    classes = scored.agg(F.min(current).alias("__low"), F.max(current).alias("__high"))
     verdict = F.when(F.col("brier_delta") >= BRIER_RISE, "overconfidence_rising").otherwise("no_big_change")
     return (
-        brier_score(scored)
-        .crossJoin(classes)
-        .where((F.col("__low") < F.col("__high")) & F.col("brier_delta").isNotNull())
-        .drop("__low", "__high")
+        _brier(scored)
+        .where(F.col("both_classes") & F.col("brier_delta").isNotNull())
+        .drop("both_classes")
         .withColumn("assessment", verdict)
     )

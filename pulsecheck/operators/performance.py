@@ -150,11 +150,15 @@ def label_cells(scored: DataFrame, keys: Sequence[str] = ("period",)) -> DataFra
 def confusion_matrix(scored: DataFrame) -> DataFrame:
     """Every (period, actual, predicted) over the labels seen on either side in any period."""
     cells = label_cells(scored)
-    labels = cells.select(F.col("actual").alias("label")).union(cells.select("predicted")).distinct()
+    # classes x classes cells at most, so the label set is one small array
+    seen = cells.agg(
+        F.collect_set("period").alias("periods"),
+        F.array_union(F.collect_set("actual"), F.collect_set("predicted")).alias("labels"),
+    )
     grid = (
-        cells.select("period").distinct()
-        .crossJoin(F.broadcast(labels.select(F.col("label").alias("actual"))))
-        .crossJoin(F.broadcast(labels.select(F.col("label").alias("predicted"))))
+        seen.select(F.explode("periods").alias("period"), "labels")
+        .select("period", F.explode("labels").alias("actual"), "labels")
+        .select("period", "actual", F.explode("labels").alias("predicted"))
     )
     return grid.join(cells, ["period", "actual", "predicted"], "left").na.fill(0, ["n"])
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pulsecheck.config import CURRENT
 from pulsecheck.functions.expressions import count_where, safe_div
-from pulsecheck.functions.literal import local_table
 from pulsecheck.functions.ordering import locate
 
 # 0.10, 0.15, ..., 0.90.
@@ -27,9 +26,8 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
         .groupBy("reached")
         .agg(count_where(F.col("y_true") == 1).alias("pos"), count_where(F.col("y_true") != 1).alias("neg"))
     )
-    steps = local_table(scored.sparkSession, list(enumerate(THRESHOLDS)), "step int, threshold double")
     above = F.col("reached") > F.col("step")
-    counts = reached.crossJoin(F.broadcast(steps)).groupBy("threshold").agg(
+    counts = reached.select("*", F.posexplode(edges).alias("step", "threshold")).groupBy("threshold").agg(
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("fn"),
