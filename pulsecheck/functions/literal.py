@@ -15,7 +15,7 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     struct = T.StructType.fromDDL(schema)
     columns = [[row[i] for row in rows] for i in range(len(struct.fields))]
     arrow = to_arrow_schema(struct)
-    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), struct)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), struct).coalesce(1)
 
 
 def literal_table(df: DataFrame) -> DataFrame:
@@ -24,4 +24,5 @@ def literal_table(df: DataFrame) -> DataFrame:
     Only for results whose size does not grow with the data: one row per column, metric, class,
     threshold, range or kept segment group.
     """
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    # one partition, so that aggregates and joins over these few rows need no shuffle
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema).coalesce(1)

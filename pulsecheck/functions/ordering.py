@@ -11,27 +11,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsecheck.functions.expressions import quoted
+from pulsecheck.functions.expressions import quote, quoted
 from pulsecheck.functions.literal import literal_table
 
 
+FEW_EDGES = 16
+
+
 def locate(df: DataFrame, value: Column, edges: Column, longest: int, out: str, strict: bool = False) -> DataFrame:
     """Add `out` = number of entries of the ascending array `edges` that are <= value (< if strict).
 
-    An unrolled binary search: about log2(longest) comparisons a row, all in generated code.
+    `edges` holds at most `longest` entries. Short ones are compared one by one; long ones go through
+    an unrolled binary search of about log2(longest) comparisons a row. Both are generated code.
     """
     value_name, edges_name = f"__{out}_value", f"__{out}_edges"
-    df = df.withColumn(value_name, value).withColumn(edges_name, edges).withColumn(out, F.lit(0))
+    if longest <= FEW_EDGES:
+        named = df.withColumns({value_name: value, edges_name: edges})
+        sign = "<" if strict else "<="
+        hits = " + ".join(f"IF(GET({edges_name}, {i}) {sign} {value_name}, 1, 0)" for i in range(longest))
+        return named.withColumn(out, F.expr(hits)).drop(value_name, edges_name)
+    df = df.withColumns({value_name: value, edges_name: edges, out: F.lit(0)})
     step = 1 << max(longest, 1).bit_length()
     while step > 1:
         step >>= 1
-        probe = F.get(F.col(edges_name), F.col(out) + F.lit(step - 1))
-        below = probe < F.col(value_name) if strict else probe <= F.col(value_name)
-        df = df.withColumn(out, F.col(out) + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+        sign = "<" if strict else "<="
+        probe = f"GET({edges_name}, {out} + {step - 1}) {sign} {value_name}"
+        df = df.withColumn(out, F.expr(f"{out} + IF({probe}, {step}, 0)"))
     return df.drop(value_name, edges_name)
 
 
@@ -42,9 +51,8 @@ def range_count(df: DataFrame) -> int:
 
 def cut_points(value: str, ranges: int) -> Column:
     """Aggregate: ascending points that split the numeric column `value` into about equal ranges."""
-    shares = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(value, shares, max(10_000, 20 * ranges))
-    return F.sort_array(F.array_distinct(sketch))
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    return F.expr(f"SORT_ARRAY(ARRAY_DISTINCT(PERCENTILE_APPROX({quote(value)}, ARRAY({shares}), {max(10_000, 20 * ranges)})))")
 
 
 def collect_cuts(rows: DataFrame, keys: Sequence[str], value: str, share: float = 1 / 64) -> DataFrame:
@@ -82,28 +90,24 @@ def running_totals(
 
 def accumulate(grouped: DataFrame, keys: list[str], value: str, counts: list[str]) -> DataFrame:
     """Running sums over rows that already carry their `range_id` and are distinct by (keys, value)."""
-    per_range = grouped.groupBy(*keys, "range_id").agg(*[F.sum(n).alias(n) for n in counts])
+    key = ", ".join(quote(k) for k in keys)
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     # this window runs over #keys x #ranges rows
-    in_key = Window.partitionBy(*keys)
-    up_to = in_key.orderBy("range_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = per_range.select(
-        *keys,
+    up_to = f"OVER (PARTITION BY {key} ORDER BY range_id {so_far})"
+    offsets = grouped.groupBy(*keys, "range_id").agg(*[F.sum(n).alias(n) for n in counts]).selectExpr(
+        *map(quote, keys),
         "range_id",
-        *[(F.sum(n).over(up_to) - F.col(n)).alias(f"__before_{n}") for n in counts],
-        *[F.sum(n).over(in_key).alias(f"all_{n}") for n in counts],
-    )
-    in_range = (
-        Window.partitionBy(*keys, "range_id").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[f"SUM({n}) {up_to} - {n} AS __before_{n}" for n in counts],
+        *[f"SUM({n}) OVER (PARTITION BY {key}) AS all_{n}" for n in counts],
     )
-    inside = grouped.select("*", *[F.sum(n).over(in_range).alias(f"__in_{n}") for n in counts])
-    joined = inside.join(F.broadcast(offsets), [*keys, "range_id"])
-    return joined.select(
-        *keys,
-        value,
+    in_range = f"OVER (PARTITION BY {key}, range_id ORDER BY {quote(value)} {so_far})"
+    inside = grouped.selectExpr("*", *[f"SUM({n}) {in_range} AS __in_{n}" for n in counts])
+    return inside.join(F.broadcast(offsets), [*keys, "range_id"]).selectExpr(
+        *map(quote, [*keys, value]),
         "range_id",
         *counts,
-        *[(F.col(f"__before_{n}") + F.col(f"__in_{n}")).alias(f"cum_{n}") for n in counts],
-        *[F.col(f"all_{n}") for n in counts],
+        *[f"__before_{n} + __in_{n} AS cum_{n}" for n in counts],
+        *[f"all_{n}" for n in counts],
     )
 
 
@@ -130,9 +134,9 @@ def _split_points(rows: DataFrame, name: str, data_type: T.DataType, total: int)
         draw = min(1.0, 16.0 * ranges / total)
         found = sorted({r[0] for r in rows.sample(draw, seed=17).limit(64 * ranges).collect()})
         return found[:: max(1, len(found) // ranges)]
-    shares = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(name, shares, 10_000)
-    row = drawn.agg(F.array_distinct(sketch).cast("array<string>").alias("points")).first()
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    sketch = f"PERCENTILE_APPROX({quote(name)}, ARRAY({shares}), 10000)"
+    row = drawn.agg(F.expr(f"CAST(ARRAY_DISTINCT({sketch}) AS ARRAY<STRING>)").alias("points")).first()
     return list(row["points"] or [])
 
 

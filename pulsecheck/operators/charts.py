@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsecheck.config import CURRENT, DANGER, INSUFFICIENT, STABLE, WARNING
 from pulsecheck.functions.expressions import as_category, as_number, quoted
 from pulsecheck.functions.literal import literal_table, local_table
-from pulsecheck.operators.drift import category_shares, interpolated, quantile_aggregates, running_counts
+from pulsecheck.operators.drift import category_shares, interpolated, order_statistics, running_counts
 from pulsecheck.sources.pairs import Pair
 
 SEGMENT_METRICS = {
@@ -105,13 +105,12 @@ def numeric_box(pair: Pair, column: str) -> DataFrame:
     stats = None
     for side, period in (("ref", "reference"), ("cur", "current")):
         found = ranks.where(F.col(f"all_{side}") > 0).agg(
-            F.max(f"all_{side}").alias("n"), *quantile_aggregates(shares, side, "q")
-        )
-        row = found.where(F.col("n") > 0).select(
-            F.lit(period).alias("period"),
-            "n",
-            *[interpolated(s, i, F.col("n"), "q").alias(name) for i, (s, name) in enumerate(zip(shares, ("q1", "median", "q3")))],
+            F.max(f"all_{side}").alias("n"), order_statistics(shares, side).alias("picked")
         )
+        quartiles = [
+            f"{interpolated(s, i, 'n', 'picked')} AS {name}" for i, (s, name) in enumerate(zip(shares, ("q1", "median", "q3")))
+        ]
+        row = found.where(F.col("n") > 0).selectExpr(f"'{period}' AS period", "n", *quartiles)
         stats = row if stats is None else stats.unionByName(row)
     stats = literal_table(stats)  # two rows
     reach = (F.col("q3") - F.col("q1")) * 1.5

@@ -84,14 +84,17 @@ def class_list(df: DataFrame, target: str) -> DataFrame:
 
 def _facts(df: DataFrame) -> DataFrame:
     """column_stats of one table with positions and type classes: one row per column."""
-    pair = pair_from(df.withColumn(PERIOD, F.lit(REFERENCE)), df.columns)
+    # the table may have a `period` of its own
+    own = "__own_period"
+    marked = df.withColumnRenamed(PERIOD, own).withColumn(PERIOD, F.lit(REFERENCE))
+    pair = pair_from(marked)
     times = (T.TimestampType, T.TimestampNTZType, T.DateType)
     kinds = [
         (f.name, i, is_numeric(f.dataType), isinstance(f.dataType, times)) for i, f in enumerate(df.schema.fields)
     ]
     types = local_table(df.sparkSession, kinds, "column string, position int, numeric boolean, time boolean")
     stats = column_stats(pair).select(
-        "column",
+        F.when(F.col("column") == own, PERIOD).otherwise(F.col("column")).alias("column"),
         F.col("ref_rows").alias("n_rows"),
         F.col("ref_missing").alias("n_missing"),
         F.col("ref_distinct").alias("n_distinct"),

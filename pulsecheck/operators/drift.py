@@ -28,6 +28,8 @@ DRIFT_SCHEMA = (
 )
 
 
+INNER = "IF(SIZE(edges) > 2, SLICE(edges, 2, SIZE(edges) - 2), CAST(ARRAY() AS ARRAY<DOUBLE>))"
+
 # --- numbers ----------------------------------------------------------------------------------
 
 
@@ -52,7 +54,7 @@ def mean_shift(pair: Pair, columns: Sequence[str]) -> DataFrame:
 
 def running_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
     """Distinct values per column in ascending order, with running counts of both periods."""
-    counts = {"ref": F.sum(is_reference().cast("long")), "cur": F.sum(is_current().cast("long"))}
+    counts = {"ref": F.expr("SUM(IF(period = 'reference', 1L, 0L))"), "cur": F.expr("SUM(IF(period = 'current', 1L, 0L))")}
     cells = numeric_cells(pair, columns)
     # drawing rows before they fan out into cells is cheaper than drawing cells
     thin = Pair(pair.rows.sample(1 / 64, seed=11), pair.reference_types, pair.current_types)
@@ -65,56 +67,49 @@ def quantile_shares(bins: int) -> list[float]:
     return [*(i * (1 / bins) for i in range(bins)), 1.0]
 
 
-def _value_at(share: float, side: str, upper: bool) -> Column:
-    """Aggregate over running counts: the order statistic at or next above `share`."""
-    last = F.col(f"all_{side}") - F.lit(1)
-    rank = F.floor(last.cast("double") * F.lit(share)).cast("long")
-    if upper:
-        rank = F.least(rank + F.lit(1), last)
-    return F.min(F.when(F.col(f"cum_{side}") > rank, F.col("value")))
-
-
-def quantile_aggregates(shares: Sequence[float], side: str, prefix: str) -> list[Column]:
-    """Aggregates that fetch every order statistic needed by `interpolated`."""
-    return [
-        column
-        for i, share in enumerate(shares)
-        for column in (
-            _value_at(share, side, False).alias(f"{prefix}{i}_low"),
-            _value_at(share, side, True).alias(f"{prefix}{i}_high"),
-        )
-    ]
+def order_statistics(shares: Sequence[float], side: str) -> Column:
+    """Aggregate over running counts: a struct with the order statistics at (`low<i>`) and next above
+    (`high<i>`) each share. The value at rank r is the least one whose running count exceeds r."""
+    picks = []
+    for i, share in enumerate(shares):
+        rank = f"CAST(FLOOR(CAST(all_{side} - 1 AS DOUBLE) * {share!r}D) AS BIGINT)"
+        above = f"LEAST({rank} + 1, all_{side} - 1)"
+        picks.append(f"MIN(CASE WHEN cum_{side} > {rank} THEN value END) AS low{i}")
+        picks.append(f"MIN(CASE WHEN cum_{side} > {above} THEN value END) AS high{i}")
+    return F.expr(f"STRUCT({', '.join(picks)})")
 
 
-def interpolated(share: float, i: int, count: Column, prefix: str) -> Column:
-    """Linear interpolation between the two order statistics around `share`."""
-    low, high = F.col(f"{prefix}{i}_low"), F.col(f"{prefix}{i}_high")
-    position = (count - F.lit(1)).cast("double") * F.lit(share)
-    part = position - F.floor(position).cast("double")
-    step = high - low
-    return F.when(part >= 0.5, high - step * (F.lit(1.0) - part)).otherwise(low + step * part)
+def interpolated(share: float, i: int, count: str, picked: str) -> str:
+    """SQL: linear interpolation between the two order statistics in the struct `picked`."""
+    low, high = f"{picked}.low{i}", f"{picked}.high{i}"
+    place = f"(CAST({count} - 1 AS DOUBLE) * {share!r}D)"
+    part = f"({place} - FLOOR({place}))"
+    return (
+        f"CASE WHEN {part} >= 0.5D THEN {high} - ({high} - {low}) * (1.0D - {part}) "
+        f"ELSE {low} + ({high} - {low}) * {part} END"
+    )
 
 
 def _numeric_summary(pair: Pair, columns: Sequence[str], bins: int) -> DataFrame:
-    """One row per column: counts, KS D and the deduplicated quantile edges of the reference."""
+    """One row per column: counts, means, KS D and the deduplicated quantile edges of the reference."""
     shares = quantile_shares(bins)
-    gap = F.abs(
-        F.col("cum_ref").cast("double") / F.col("all_ref").cast("double")
-        - F.col("cum_cur").cast("double") / F.col("all_cur").cast("double")
-    )
-    enough = (F.col("all_ref") >= PSI_MIN_VALUES) & (F.col("all_cur") >= PSI_MIN_VALUES)
-    found = running_counts(pair, columns).groupBy("column").agg(
+    gap = "ABS(CAST(cum_ref AS DOUBLE) / CAST(all_ref AS DOUBLE) - CAST(cum_cur AS DOUBLE) / CAST(all_cur AS DOUBLE))"
+    enough = f"all_ref >= {PSI_MIN_VALUES} AND all_cur >= {PSI_MIN_VALUES}"
+    figures = running_counts(pair, columns).groupBy("column").agg(
         F.max("all_ref").alias("ref_n"),
         F.max("all_cur").alias("cur_n"),
-        F.max(F.when(enough, gap).otherwise(F.lit(0.0))).alias("ks"),
-        (F.sum(F.col("value") * F.col("ref")) / F.nullif(F.sum("ref"), F.lit(0))).alias("ref_mean"),
-        (F.sum(F.col("value") * F.col("cur")) / F.nullif(F.sum("cur"), F.lit(0))).alias("cur_mean"),
-        *quantile_aggregates(shares, "ref", "q"),
+        F.expr(f"MAX(CASE WHEN {enough} THEN {gap} ELSE 0.0D END)").alias("ks"),
+        F.expr("SUM(value * ref) / NULLIF(SUM(ref), 0)").alias("ref_mean"),
+        F.expr("SUM(value * cur) / NULLIF(SUM(cur), 0)").alias("cur_mean"),
+        order_statistics(shares, "ref").alias("picked"),
     )
-    edges = F.array(*[interpolated(s, i, F.col("ref_n"), "q") for i, s in enumerate(shares)])
+    # a column without a single value still has its row
+    found = _named(pair, columns).join(figures, "column", "left").na.fill(0, ["ref_n", "cur_n"]).na.fill(0.0, ["ks"])
+    edges = ", ".join(interpolated(s, i, "ref_n", "picked") for i, s in enumerate(shares))
     # a column without reference values has no edges at all
-    facts = ["column", "ref_n", "cur_n", "ks", "ref_mean", "cur_mean"]
-    summary = found.select(*facts, F.array_compact(F.array_distinct(edges)).alias("edges"))
+    summary = found.selectExpr(
+        "column", "ref_n", "cur_n", "ks", "ref_mean", "cur_mean", f"ARRAY_COMPACT(ARRAY_DISTINCT(ARRAY({edges}))) AS edges"
+    )
     # #columns rows; settled here because the histogram and several results build on it
     return literal_table(summary)
 
@@ -137,51 +132,46 @@ def psi_bin_edges(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> D
     return summary.select("column", F.posexplode("edges").alias("edge_no", "edge"))
 
 
-def histogram(pair: Pair, columns: Sequence[str], edges: DataFrame, longest: int) -> DataFrame:
-    """(column, bucket, ref_count, cur_count) over the bins that the inner edges cut, [a, b).
-
-    Every bin appears, empty ones too. Counts combine before the shuffle, so it moves #bins rows a task.
-    """
-    inner = edges.select(
-        "column", F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2)).otherwise(F.array().cast("array<double>")).alias("inner")
-    )
+def _bucket_counts(pair: Pair, columns: Sequence[str], edges: DataFrame, longest: int) -> DataFrame:
+    """(column, bucket, ref_count, cur_count) of the bins [a, b) between the inner edges that hold a
+    value. Counts combine before the shuffle, so it moves at most #bins rows a task."""
+    inner = edges.selectExpr("column", f"{INNER} AS inner")
     # #columns rows of at most `longest` doubles
     cells = numeric_cells(pair, columns).join(F.broadcast(inner), "column")
-    counted = locate(cells, F.col("value"), F.col("inner"), longest, "bucket").groupBy("column", "bucket").agg(
+    return locate(cells, F.col("value"), F.col("inner"), longest, "bucket").groupBy("column", "bucket").agg(
         F.sum(is_reference().cast("long")).alias("ref_count"), F.sum(is_current().cast("long")).alias("cur_count")
     )
-    domain = inner.select("column", F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bucket"))
-    return domain.join(counted, ["column", "bucket"], "left").na.fill(0, ["ref_count", "cur_count"])
-
-
-def _psi_terms(counts: DataFrame) -> Column:
-    ref = F.greatest(F.col("ref_count").cast("double") / F.col("ref_n").cast("double"), F.lit(PSI_FLOOR))
-    cur = F.greatest(F.col("cur_count").cast("double") / F.col("cur_n").cast("double"), F.lit(PSI_FLOOR))
-    return (cur - ref) * F.ln(cur / ref)
 
 
 def psi_histogram(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    """(column, bucket, ref_count, cur_count, ref_share, cur_share)."""
+    """(column, bucket, ref_count, cur_count, ref_share, cur_share), empty bins included."""
     summary = _numeric_summary(pair, columns, bins)
-    counts = histogram(pair, columns, summary, bins).join(summary.select("column", "ref_n", "cur_n"), "column")
-    return counts.select(
+    counted = _bucket_counts(pair, columns, summary, bins)
+    domain = summary.selectExpr("column", "ref_n", "cur_n", f"EXPLODE(SEQUENCE(0, SIZE({INNER}))) AS bucket")
+    filled = domain.join(counted, ["column", "bucket"], "left").na.fill(0, ["ref_count", "cur_count"])
+    return filled.selectExpr(
         "column",
         "bucket",
         "ref_count",
         "cur_count",
-        F.when(F.col("ref_n") > 0, F.col("ref_count").cast("double") / F.col("ref_n").cast("double")).alias("ref_share"),
-        F.when(F.col("cur_n") > 0, F.col("cur_count").cast("double") / F.col("cur_n").cast("double")).alias("cur_share"),
+        "CAST(ref_count AS DOUBLE) / NULLIF(CAST(ref_n AS DOUBLE), 0D) AS ref_share",
+        "CAST(cur_count AS DOUBLE) / NULLIF(CAST(cur_n AS DOUBLE), 0D) AS cur_share",
     )
 
 
 def _with_psi(pair: Pair, columns: Sequence[str], summary: DataFrame, bins: int) -> DataFrame:
-    usable = (F.col("ref_n") >= PSI_MIN_VALUES) & (F.col("cur_n") >= PSI_MIN_VALUES) & (F.size("edges") >= 3)
-    counts = histogram(pair, columns, summary, bins).join(summary.select("column", "ref_n", "cur_n"), "column")
-    scores = counts.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0)).groupBy("column").agg(
-        F.sum(_psi_terms(counts)).alias("raw_psi")
+    usable = f"ref_n >= {PSI_MIN_VALUES} AND cur_n >= {PSI_MIN_VALUES} AND SIZE(edges) >= 3"
+    measured = summary.where(usable)
+    ref = f"GREATEST(CAST(ref_count AS DOUBLE) / CAST(ref_n AS DOUBLE), {PSI_FLOOR!r}D)"
+    cur = f"GREATEST(CAST(cur_count AS DOUBLE) / CAST(cur_n AS DOUBLE), {PSI_FLOOR!r}D)"
+    # a bin that both sides leave empty adds (c - r) ln(c / r) = 0, so only filled bins are summed
+    scores = (
+        _bucket_counts(pair, columns, measured, bins)
+        .join(F.broadcast(measured.select("column", "ref_n", "cur_n")), "column")
+        .groupBy("column")
+        .agg(F.expr(f"SUM(({cur} - {ref}) * LN({cur} / {ref}))").alias("raw_psi"))
     )
-    joined = summary.join(scores, "column", "left")
-    return joined.withColumn("psi", F.when(usable, F.col("raw_psi")).otherwise(F.lit(0.0)))
+    return summary.join(scores, "column", "left").withColumn("psi", F.coalesce("raw_psi", F.lit(0.0)))
 
 
 def psi(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS, approximate: bool = False) -> DataFrame:
@@ -197,53 +187,44 @@ def ks_statistic(pair: Pair, columns: Sequence[str]) -> DataFrame:
     return _numeric_summary(pair, columns, PSI_BINS).select("column", "ref_n", "cur_n", "ks")
 
 
-def ks_probability(ks: Column, ref_n: Column, cur_n: Column) -> Column:
-    """Asymptotic two-sided p-value: the Kolmogorov series with 100 terms.
+def ks_probability() -> Column:
+    """Asymptotic two-sided p-value from `ks`, `ref_n`, `cur_n`: the Kolmogorov series with 100 terms.
 
     Below 0.2 the series needs more terms, but the value is 1 to twelve digits there.
     """
-    n, m = ref_n.cast("double"), cur_n.cast("double")
-    scaled = ks * F.sqrt(n * m / (n + m))
-
-    def add(total: Column, k: Column) -> Column:
-        sign = F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return total + sign * F.exp(F.lit(-2.0) * k * k * scaled * scaled)
-
-    series = F.lit(2.0) * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), add)
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))
-    too_few = (ref_n < PSI_MIN_VALUES) | (cur_n < PSI_MIN_VALUES)
-    return F.when(too_few | (scaled < 0.2), F.lit(1.0)).otherwise(bounded)
+    n, m = "CAST(ref_n AS DOUBLE)", "CAST(cur_n AS DOUBLE)"
+    scaled = f"(ks * SQRT({n} * {m} / ({n} + {m})))"
+    term = f"IF(k % 2 = 1, 1.0D, -1.0D) * EXP(-2.0D * k * k * {scaled} * {scaled})"
+    series = f"2.0D * AGGREGATE(SEQUENCE(1, 100), 0.0D, (total, k) -> total + {term})"
+    few = f"ref_n < {PSI_MIN_VALUES} OR cur_n < {PSI_MIN_VALUES}"
+    return F.expr(f"CASE WHEN {few} OR {scaled} < 0.2D THEN 1.0D ELSE GREATEST(0.0D, LEAST(1.0D, {series})) END")
 
 
 def ks_pvalue(pair: Pair, columns: Sequence[str]) -> DataFrame:
     table = ks_statistic(pair, columns)
-    return table.withColumn("ks_pvalue", ks_probability(F.col("ks"), F.col("ref_n"), F.col("cur_n"))).select(
+    return table.withColumn("ks_pvalue", ks_probability()).select(
         "column", "ks", "ks_pvalue"
     )
 
 
 def numeric_drift(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
     scored = _with_psi(pair, columns, _numeric_summary(pair, columns, bins), bins)
-    return (
-        _named(pair, columns)
-        .join(scored, "column", "left")
-        .select(
-            "column",
-            F.lit("numeric").alias("kind"),
-            F.lit("psi").alias("measure"),
-            F.coalesce("psi", F.lit(0.0)).alias("score"),
-            F.coalesce("ks", F.lit(0.0)).alias("ks"),
-            F.coalesce(ks_probability(F.col("ks"), F.col("ref_n"), F.col("cur_n")), F.lit(1.0)).alias("ks_pvalue"),
-            "ref_mean",
-            "cur_mean",
-            (F.col("cur_mean") - F.col("ref_mean")).alias("mean_change"),
-            status_of(F.coalesce("psi", F.lit(0.0)), PSI_WARNING, PSI_DANGER).alias("status"),
-        )
+    return scored.select(
+        "column",
+        F.lit("numeric").alias("kind"),
+        F.lit("psi").alias("measure"),
+        F.col("psi").alias("score"),
+        "ks",
+        ks_probability().alias("ks_pvalue"),
+        "ref_mean",
+        "cur_mean",
+        (F.col("cur_mean") - F.col("ref_mean")).alias("mean_change"),
+        status_of(F.col("psi"), PSI_WARNING, PSI_DANGER).alias("status"),
     )
 
 
 def _named(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """The column names as a table, so that a column without a single value still has its row."""
+    """The column names as a table."""
     return local_table(pair.rows.sparkSession, [(c,) for c in columns], "column string")
 
 

@@ -4,84 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsecheck.config import PERIOD
-from pulsecheck.functions.expressions import as_category, as_number, is_missing, present
-from pulsecheck.sources.pairs import Pair, is_current, is_reference
+from pulsecheck.functions.expressions import category_sql, number_sql, present_sql, text_literal
+from pulsecheck.sources.pairs import Pair
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType)
 LONG_TEXT = 64
 
 
-def _identity(df: DataFrame, name: str) -> list[Column]:
-    """(text, num, whole): one of them carries the value without a costly cast to text.
+SIDES = ("SUM(IF(period = 'reference', 1L, 0L)) AS n_ref", "SUM(IF(period = 'current', 1L, 0L)) AS n_cur")
+
+
+def _identity(df: DataFrame, name: str) -> str:
+    """SQL of (text, num, whole): one of them carries the value without a costly cast to text.
 
     Text beyond 64 characters is carried as its SHA-256, so that whole documents are not shuffled
     just to be counted.
     """
     data_type = df.schema[name].dataType
-    text, num, whole = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("long")
+    value = present_sql(df, name)
+    text, num, whole = "CAST(NULL AS STRING)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BIGINT)"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        num = present(df, name).cast("double") + F.lit(0.0)
+        num = f"CAST({value} AS DOUBLE) + 0.0D"
     elif isinstance(data_type, T.DateType):
-        whole = F.unix_date(present(df, name)).cast("long")
+        whole = f"CAST(UNIX_DATE({value}) AS BIGINT)"
     elif isinstance(data_type, WHOLE):
-        whole = present(df, name).cast("long")
+        whole = f"CAST({value} AS BIGINT)"
     else:
-        text = present(df, name).cast("string")
-        text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-    return [text, num, whole]
+        plain = f"CAST({value} AS STRING)"
+        text = f"IF(LENGTH({plain}) > {LONG_TEXT}, SHA2({plain}, 256), {plain})"
+    return f"{text}, {num}, {whole}"
+
+
+def stacked(columns: Sequence[str], cells: Sequence[str], names: str) -> str:
+    """SQL generator: one output row per column, led by its name."""
+    parts = ", ".join(f"{text_literal(c)}, {cell}" for c, cell in zip(columns, cells))
+    return f"STACK({len(columns)}, {parts}) AS ({names})"
 
 
 def distinct_values(pair: Pair, columns: Sequence[str]) -> DataFrame:
     """(column, text, num, whole, n_ref, n_cur), one row per distinct value; missing is a value."""
-    parts = [part for c in columns for part in (F.lit(c), *_identity(pair.rows, c))]
-    cells = pair.rows.select(PERIOD, F.stack(F.lit(len(columns)), *parts).alias("column", "text", "num", "whole"))
-    return cells.groupBy("column", "text", "num", "whole").agg(
-        F.sum(is_reference().cast("long")).alias("n_ref"), F.sum(is_current().cast("long")).alias("n_cur")
-    )
+    cells = [_identity(pair.rows, c) for c in columns]
+    long = pair.rows.selectExpr("period", stacked(columns, cells, "column, text, num, whole"))
+    return long.groupBy("column", "text", "num", "whole").agg(*map(F.expr, SIDES))
 
 
 def column_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column and period: rows, missing cells, distinct values; and the values only current has."""
     columns = list(columns or pair.columns)
-    values = distinct_values(pair, columns)
-    missing = F.col("text").isNull() & F.col("num").isNull() & F.col("whole").isNull()
-
-    def total(condition: Column, counted: Column) -> Column:
-        return F.sum(F.when(condition, counted).otherwise(F.lit(0))).cast("long")
-
-    one = F.lit(1)
-    return values.groupBy("column").agg(
-        F.sum("n_ref").alias("ref_rows"),
-        F.sum("n_cur").alias("cur_rows"),
-        total(missing, F.col("n_ref")).alias("ref_missing"),
-        total(missing, F.col("n_cur")).alias("cur_missing"),
-        total(~missing & (F.col("n_ref") > 0), one).alias("ref_distinct"),
-        total(~missing & (F.col("n_cur") > 0), one).alias("cur_distinct"),
-        total(~missing & (F.col("n_ref") == 0) & (F.col("n_cur") > 0), one).alias("new_values"),
+    missing = "text IS NULL AND num IS NULL AND whole IS NULL"
+    figures = (
+        "SUM(n_ref) AS ref_rows",
+        "SUM(n_cur) AS cur_rows",
+        f"SUM(IF({missing}, n_ref, 0L)) AS ref_missing",
+        f"SUM(IF({missing}, n_cur, 0L)) AS cur_missing",
+        f"SUM(IF(NOT ({missing}) AND n_ref > 0, 1L, 0L)) AS ref_distinct",
+        f"SUM(IF(NOT ({missing}) AND n_cur > 0, 1L, 0L)) AS cur_distinct",
+        f"SUM(IF(NOT ({missing}) AND n_ref = 0 AND n_cur > 0, 1L, 0L)) AS new_values",
     )
+    return distinct_values(pair, columns).groupBy("column").agg(*map(F.expr, figures))
 
 
 def category_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
     """(column, value, n_ref, n_cur) of categorical columns, missing as its own category."""
-    parts = [part for c in columns for part in (F.lit(c), as_category(pair.rows, c))]
-    cells = pair.rows.select(PERIOD, F.stack(F.lit(len(columns)), *parts).alias("column", "value"))
-    return cells.groupBy("column", "value").agg(
-        F.sum(is_reference().cast("long")).alias("n_ref"), F.sum(is_current().cast("long")).alias("n_cur")
-    )
+    cells = [category_sql(pair.rows, c) for c in columns]
+    long = pair.rows.selectExpr("period", stacked(columns, cells, "column, value"))
+    return long.groupBy("column", "value").agg(*map(F.expr, SIDES))
 
 
 def numeric_cells(pair: Pair, columns: Sequence[str]) -> DataFrame:
     """(column, period, value), one row per cell that holds a number."""
-    parts = [part for c in columns for part in (F.lit(c), as_number(pair.rows, c))]
-    cells = pair.rows.select(F.stack(F.lit(len(columns)), *parts).alias("column", "value"), PERIOD)
-    return cells.where(F.col("value").isNotNull())
-
-
-def missing_counts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """One aggregate per column, for plans that need nothing else about the values."""
-    return [F.sum(is_missing(df, c).cast("long")).alias(c) for c in columns]
+    cells = [number_sql(pair.rows, c) for c in columns]
+    return pair.rows.selectExpr("period", stacked(columns, cells, "column, value")).where("value IS NOT NULL")

@@ -63,13 +63,15 @@ def split_periods(
     return labelled.drop("__time"), warning
 
 
-def split_train_holdout(reference: DataFrame, target: str, order: Sequence[str], share: float = 0.8) -> DataFrame:
-    """Rows with a target, labelled `part` = train for the first 80 %, holdout for the rest."""
+def split_train_holdout(
+    reference: DataFrame, target: str, order: Sequence[str], share: float = 0.8, out: str = "part"
+) -> DataFrame:
+    """Rows with a target, labelled `out` = train for the first 80 %, holdout for the rest."""
     clean = reference.where(~is_missing(reference, target))
     rows = clean.count()
     cut = min(rows - 1, max(1, int(rows * share)))
     first = precedes_rank(clean, order, cut)
-    return clean.withColumn("part", F.when(first, "train").otherwise("holdout"))
+    return clean.withColumn(out, F.when(first, "train").otherwise("holdout"))
 
 
 def labels_complete(df: DataFrame, target: str) -> DataFrame:

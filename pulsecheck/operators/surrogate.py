@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pulsecheck.config import CURRENT, MISSING, PERIOD, REFERENCE
 from pulsecheck.functions.expressions import as_number, as_text, quoted
 from pulsecheck.operators.columns import Task
-from pulsecheck.operators.drift import interpolated, quantile_aggregates, running_counts
+from pulsecheck.operators.drift import interpolated, order_statistics, running_counts
 from pulsecheck.operators.frequency import category_counts
 from pulsecheck.operators.prepare import (
     apply_threshold,
@@ -47,9 +47,9 @@ def median_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, median): exact, from running counts, so no value list is gathered anywhere."""
     pair = pair_from(train.withColumn(PERIOD, F.lit(REFERENCE)), list(columns))
     found = running_counts(pair, columns).groupBy("column").agg(
-        F.max("all_ref").alias("n"), *quantile_aggregates([0.5], "ref", "q")
+        F.max("all_ref").alias("n"), order_statistics([0.5], "ref").alias("picked")
     )
-    return found.select("column", interpolated(0.5, 0, F.col("n"), "q").alias("median"))
+    return found.selectExpr("column", f"{interpolated(0.5, 0, 'n', 'picked')} AS median")
 
 
 def mode_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -194,19 +194,20 @@ def score_tables(
     """
     if reference.count() < MIN_REFERENCE_ROWS:
         raise ValueError("the reference needs at least 80 rows")
-    parts = split_train_holdout(reference, target, order)
+    parts = split_train_holdout(reference, target, order, out="__part")
     has_labels = target in current.columns and bool(labels_complete(current, target).first()["complete"])
     classes: list[str] = []
     kept = [PERIOD, *numeric, *categorical]
+    label = "__label"
 
     def truth(df: DataFrame, labelled: bool = True) -> DataFrame:
         if not labelled:
-            return df.withColumn("y_true", F.lit(None).cast("double" if task.kind == "regression" else "int"))
+            return df.withColumn(label, F.lit(None).cast("double" if task.kind == "regression" else "int"))
         if task.kind == "regression":
-            return df.withColumn("y_true", encode_regression(df, target))
+            return df.withColumn(label, encode_regression(df, target))
         if task.kind == "binary":
-            return df.withColumn("y_true", encode_binary(df, target, classes[1]))
-        return encode_multiclass(df, target, known, "y_true")
+            return df.withColumn(label, encode_binary(df, target, classes[1]))
+        return encode_multiclass(df, target, known, label)
 
     if task.kind == "binary":
         chosen = str(positive) if positive is not None else task.classes[-1]
@@ -215,12 +216,12 @@ def score_tables(
         known = class_table(reference, target)
         classes = [r["class"] for r in known.orderBy("class_index").collect()]
 
-    train = truth(parts.where(F.col("part") == "train"))
-    if task.kind != "regression" and train.select("y_true").distinct().count() < 2:
+    train = truth(parts.where(F.col("__part") == "train"))
+    if task.kind != "regression" and train.select(label).distinct().count() < 2:
         raise ValueError("the training part of the reference has a single class")
-    surrogate = fit_surrogate(train, "y_true", task, numeric, categorical, trees)
+    surrogate = fit_surrogate(train, label, task, numeric, categorical, trees)
 
-    baseline = truth(parts.where(F.col("part") == "holdout")).withColumn(PERIOD, F.lit(REFERENCE))
+    baseline = truth(parts.where(F.col("__part") == "holdout")).withColumn(PERIOD, F.lit(REFERENCE))
     recent = truth(current, has_labels).withColumn(PERIOD, F.lit(CURRENT))
     baseline, recent = surrogate.score(baseline), surrogate.score(recent)
     source = "surrogate"
@@ -229,7 +230,7 @@ def score_tables(
 
     def outputs(df: DataFrame, pred: str | None, proba: str | None) -> DataFrame:
         columns: list[Column] = [F.col(c) if c == PERIOD else quoted(c) for c in kept]
-        columns.append(F.col("y_true"))
+        columns.append(F.col(label).alias("y_true"))
         if task.kind == "regression":
             value = encode_regression(df, pred) if pred else F.col("model_pred")
             return df.select(*columns, value.alias("y_pred"))

@@ -53,6 +53,8 @@ def pair_of(reference: DataFrame, current: DataFrame) -> Pair:
     """Two tables side by side. Columns of one side only are null on the other."""
     ref_types = {f.name: f.dataType for f in reference.schema.fields}
     cur_types = {f.name: f.dataType for f in current.schema.fields}
+    if PERIOD in ref_types or PERIOD in cur_types:
+        raise ValueError(f"rename the column `{PERIOD}` first: it marks the two sides")
     for name, data_type in ref_types.items():
         other = cur_types.get(name, data_type)
         if data_type != other and not (is_numeric(data_type) and is_numeric(other)):

@@ -166,9 +166,7 @@ part("withnothing", "SELECT *, NULL::DOUBLE AS nothing FROM refrows")
 oracle(
     "constant_columns",
     f"""SELECT {n('position')}, "column", n_distinct, n_missing
-    FROM ({column_facts('withnothing', ['l_orderkey', *LOG, 'nothing'], [])}) WHERE {CONSTANT_RULE}""".replace(
-        "'period' AS", "'period' AS"
-    ),
+    FROM ({column_facts('withnothing', ['l_orderkey', *LOG, 'nothing'], [])}) WHERE {CONSTANT_RULE}""",
 )
 part("keyed", "SELECT *, l_orderkey || '-' || l_linenumber AS row_key FROM refrows")
 # in the keyed table l_orderkey is dropped and row_key comes last
@@ -188,7 +186,7 @@ oracle(
 
 oracle(
     "profile_summary",
-    f"""SELECT count(*) AS n_rows, {n('19', 'n_columns')}, {n('12', 'n_numeric')}, {n('7', 'n_categorical')},
+    f"""SELECT count(*) AS n_rows, {n('17', 'n_columns')}, {n('11', 'n_numeric')}, {n('6', 'n_categorical')},
     CAST(sum({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in ['l_orderkey', *LOG])}) AS BIGINT) AS missing_cells
     FROM scored""",
 )
@@ -361,10 +359,10 @@ part(
 )
 part(
     "ks_values",
-    """SELECT col, ks, CASE WHEN ref_n < 20 OR cur_n < 20 OR lambda < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, series)) END AS ks_pvalue
-       FROM (SELECT col, ref_n, cur_n, ks, lambda, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
-              * exp(-2.0::DOUBLE * k * k * lambda * lambda)) FROM range(1, 101) t(k)) AS series
-         FROM (SELECT *, ks * sqrt(CAST(ref_n AS DOUBLE) * cur_n / (ref_n + cur_n)) AS lambda FROM ks_scores))""",
+    """SELECT col, ks, CASE WHEN ref_n < 20 OR cur_n < 20 OR lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, series)) END AS ks_pvalue
+       FROM (SELECT col, ref_n, cur_n, ks, lam, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
+              * exp(-2.0::DOUBLE * k * k * lam * lam)) FROM range(1, 101) t(k)) AS series
+         FROM (SELECT *, ks * sqrt(CAST(ref_n AS DOUBLE) * cur_n / (ref_n + cur_n)) AS lam FROM ks_scores))""",
 )
 oracle(
     "coerce_numeric",
@@ -837,7 +835,8 @@ part(
     "f_performance_regression",
     f"""SELECT 2 AS ord, 'error_increase' AS finding, CASE WHEN up >= 0.35 THEN 'high' ELSE 'medium' END AS severity,
     printf('mae %.3f -> %.3f (+%.1f%%)', b, a, up * 100) AS evidence, '' AS affected_columns
-    FROM (SELECT {value(P, 'mae', 'before')} AS b, {value(P, 'mae', 'after')} AS a, a / greatest(b, 1e-9::DOUBLE) - 1 AS up) WHERE up >= 0.15""",
+    FROM (SELECT a, b, a / greatest(b, 1e-9::DOUBLE) - 1 AS up
+      FROM (SELECT {value(P, 'mae', 'before')} AS b, {value(P, 'mae', 'after')} AS a)) WHERE up >= 0.15""",
 )
 part(
     "f_calibration",

@@ -475,10 +475,11 @@ def one_hot(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    rows = scored(spark, sf).select(PERIOD, F.lit(0.0).alias("num_0"), as_category(scored(spark, sf), "flag").alias("cat_0"))
+    rows = scored(spark, sf)
+    rows = rows.select(PERIOD, F.lit(0.0).alias("num_0"), as_category(rows, "flag").alias("cat_0"))
     ref = rows.where(F.col(PERIOD) == REFERENCE)
     model = Pipeline(stages=surrogate._stages(["num"], ["flag"])).fit(ref)
-    slots = vector_to_array(model.transform(rows)["cat_0_onehot"])
+    slots = vector_to_array("cat_0_onehot")
     labels = F.array(*[F.lit(label) for label in model.stages[0].labelsArray[0]])
     hot = F.get(labels, F.array_position(slots, F.lit(1.0)).cast("int") - 1)
     coded = model.transform(rows).select(PERIOD, hot.alias("slot"))
