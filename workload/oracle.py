@@ -471,6 +471,15 @@ oracle(
     """SELECT period, CASE WHEN flag IN (SELECT flag FROM refrows) THEN flag ELSE '(all zeros)' END AS slot, count(*) AS n
        FROM scored GROUP BY 1, 2""",
 )
+part(
+    "holdout",
+    "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) > floor(count(*) OVER () * 0.8) AS late FROM refrows) WHERE late",
+)
+oracle(
+    "score_tables",
+    f"""SELECT period, {n('class_index', 'y_true')}, count(*) AS n, count(*) AS n_sound FROM (
+      SELECT period, tier FROM holdout UNION ALL SELECT period, tier FROM currows) s JOIN tiers ON tiers.tier = s.tier GROUP BY 1, 2""",
+)
 oracle(
     "class_weights",
     f"""SELECT class, n, {r6('sum(n) OVER () / (count(*) OVER () * n)', 'weight')}

@@ -511,7 +511,9 @@ def fit_regressor(spark, sf):
 @query
 def score_tables(spark, sf):
     rows = _score(spark, sf, "multiclass").rows
-    return rows.groupBy(PERIOD, "y_true", "y_pred").agg(F.count("*").alias("n"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p)
+    sound = F.col("y_pred").between(0, 2) & (F.abs(total - 1.0) < 1e-9)
+    return rows.groupBy(PERIOD, "y_true").agg(F.count("*").alias("n"), F.sum(sound.cast("long")).alias("n_sound"))
 
 
 # --- performance ------------------------------------------------------------------------------
