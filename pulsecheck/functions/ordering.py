@@ -44,9 +44,13 @@ def locate(df: DataFrame, value: Column, edges: Column, longest: int, out: str,
     return df.drop(value_name, edges_name)
 
 
+def partition_count(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def range_count(df: DataFrame) -> int:
-    """How many ranges to cut each key into: as many as there are shuffle partitions."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """How many ranges to cut each key into: two per shuffle partition, to even out the hashing."""
+    return max(8, 2 * partition_count(df))
 
 
 def cut_points(value: str, ranges: int) -> Column:
@@ -89,7 +93,11 @@ def running_totals(
 
 
 def accumulate(grouped: DataFrame, keys: list[str], value: str, counts: list[str]) -> DataFrame:
-    """Running sums over rows that already carry their `range_id` and are distinct by (keys, value)."""
+    """Running sums over rows that already carry their `range_id` and are distinct by (keys, value).
+
+    One shuffle by range serves both the totals per range and the windows inside the ranges.
+    """
+    grouped = grouped.repartition(partition_count(grouped), *keys, "range_id")
     key = ", ".join(quote(k) for k in keys)
     so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     # this window runs over #keys x #ranges rows
@@ -162,11 +170,14 @@ def value_at_rank(rows: DataFrame, name: str, rank: int) -> tuple[str, int, int]
                 if rank < below + n:
                     return text, below, n
                 below += n
-        # `high` as a point makes sure that every step separates something
+        # each point is a range of its own, so that a hot value comes off in one step; `high` as a
+        # point makes sure that every step separates something
         points = list(dict.fromkeys([*_split_points(rows, name, data_type, piece["n"]), piece["high"]]))
         edges = F.sort_array(_literal_array(points, data_type))
-        counted = locate(rows, F.col(name), edges, len(points), "range_id").groupBy("range_id").agg(*spread)
-        for piece in sorted(counted.collect(), key=lambda r: r["range_id"]):
+        located = locate(rows, F.col(name), edges, len(points), "range_id")
+        at_point = F.get(edges, F.col("range_id") - 1).eqNullSafe(F.col(name)).cast("int")
+        counted = located.groupBy((2 * F.col("range_id") - at_point).alias("place")).agg(*spread)
+        for piece in sorted(counted.collect(), key=lambda r: r["place"]):
             if rank < below + piece["n"]:
                 break
             below += piece["n"]

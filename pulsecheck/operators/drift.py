@@ -19,8 +19,8 @@ from pulsecheck.config import (
 from pulsecheck.functions.expressions import status_of
 from pulsecheck.functions.literal import literal_table, local_table
 from pulsecheck.functions.ordering import collect_cuts, locate, running_totals
-from pulsecheck.operators.frequency import category_counts, numeric_cells
-from pulsecheck.sources.pairs import Pair, is_current, is_reference
+from pulsecheck.operators.frequency import category_counts, named, numeric_cells
+from pulsecheck.sources.pairs import Pair
 
 DRIFT_SCHEMA = (
     "column string, kind string, measure string, score double, ks double, ks_pvalue double, "
@@ -35,31 +35,27 @@ INNER = "IF(SIZE(edges) > 2, SLICE(edges, 2, SIZE(edges) - 2), CAST(ARRAY() AS A
 
 def coerce_numeric(pair: Pair, columns: Sequence[str]) -> DataFrame:
     """Values that are numbers, per column and period, and their mean."""
-    return numeric_cells(pair, columns).groupBy("column", "period").agg(
+    counts = numeric_cells(pair, columns).groupBy("column_no", "is_ref").agg(
         F.count("*").alias("n_values"), F.avg("value").alias("mean")
     )
+    return counts.selectExpr(named(columns), "IF(is_ref, 'reference', 'current') AS period", "n_values", "mean")
 
 
 def mean_shift(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    return (
-        numeric_cells(pair, columns)
-        .groupBy("column")
-        .agg(
-            F.avg(F.when(is_reference(), F.col("value"))).alias("ref_mean"),
-            F.avg(F.when(is_current(), F.col("value"))).alias("cur_mean"),
-        )
-        .withColumn("mean_change", F.col("cur_mean") - F.col("ref_mean"))
+    means = numeric_cells(pair, columns).groupBy("column_no").agg(
+        F.expr("AVG(IF(is_ref, value, NULL)) AS ref_mean"), F.expr("AVG(IF(is_ref, NULL, value)) AS cur_mean")
     )
+    return means.selectExpr(named(columns), "ref_mean", "cur_mean", "cur_mean - ref_mean AS mean_change")
 
 
 def running_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """Distinct values per column in ascending order, with running counts of both periods."""
-    counts = {"ref": F.expr("SUM(IF(period = 'reference', 1L, 0L))"), "cur": F.expr("SUM(IF(period = 'current', 1L, 0L))")}
+    """Distinct values per column (`column_no`) in ascending order, with running counts of both periods."""
+    counts = {"ref": F.expr("SUM(IF(is_ref, 1L, 0L))"), "cur": F.expr("SUM(IF(is_ref, 0L, 1L))")}
     cells = numeric_cells(pair, columns)
     # drawing rows before they fan out into cells is cheaper than drawing cells
     thin = Pair(pair.rows.sample(1 / 64, seed=11), pair.reference_types, pair.current_types)
-    cuts = collect_cuts(numeric_cells(thin, columns), ["column"], "value", share=1.0)
-    return running_totals(cells, ["column"], "value", counts, cuts)
+    cuts = collect_cuts(numeric_cells(thin, columns), ["column_no"], "value", share=1.0)
+    return running_totals(cells, ["column_no"], "value", counts, cuts)
 
 
 def quantile_shares(bins: int) -> list[float]:
@@ -95,7 +91,7 @@ def _numeric_summary(pair: Pair, columns: Sequence[str], bins: int) -> DataFrame
     shares = quantile_shares(bins)
     gap = "ABS(CAST(cum_ref AS DOUBLE) / CAST(all_ref AS DOUBLE) - CAST(cum_cur AS DOUBLE) / CAST(all_cur AS DOUBLE))"
     enough = f"all_ref >= {PSI_MIN_VALUES} AND all_cur >= {PSI_MIN_VALUES}"
-    figures = running_counts(pair, columns).groupBy("column").agg(
+    figures = running_counts(pair, columns).groupBy("column_no").agg(
         F.max("all_ref").alias("ref_n"),
         F.max("all_cur").alias("cur_n"),
         F.expr(f"MAX(CASE WHEN {enough} THEN {gap} ELSE 0.0D END)").alias("ks"),
@@ -104,26 +100,27 @@ def _numeric_summary(pair: Pair, columns: Sequence[str], bins: int) -> DataFrame
         order_statistics(shares, "ref").alias("picked"),
     )
     # a column without a single value still has its row
-    found = _named(pair, columns).join(figures, "column", "left").na.fill(0, ["ref_n", "cur_n"]).na.fill(0.0, ["ks"])
+    found = _numbered(pair, columns).join(figures, "column_no", "left").na.fill(0, ["ref_n", "cur_n"]).na.fill(0.0, ["ks"])
     edges = ", ".join(interpolated(s, i, "ref_n", "picked") for i, s in enumerate(shares))
     # a column without reference values has no edges at all
     summary = found.selectExpr(
-        "column", "ref_n", "cur_n", "ks", "ref_mean", "cur_mean", f"ARRAY_COMPACT(ARRAY_DISTINCT(ARRAY({edges}))) AS edges"
+        "column_no", "column", "ref_n", "cur_n", "ks", "ref_mean", "cur_mean", f"ARRAY_COMPACT(ARRAY_DISTINCT(ARRAY({edges}))) AS edges"
     )
     # #columns rows; settled here because the histogram and several results build on it
     return literal_table(summary)
 
 
 def approximate_edges(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS, accuracy: int = 100_000) -> DataFrame:
-    """(column, ref_n, cur_n, edges) from a mergeable sketch: one scan, no shuffle of values. Each edge is an actual
+    """(column_no, column, ref_n, cur_n, edges) from a mergeable sketch: one scan, no shuffle of values. Each edge is an actual
     value whose rank is off by at most n / accuracy."""
-    shares = quantile_shares(bins)
-    sketch = F.percentile_approx(F.when(is_reference(), F.col("value")), shares, accuracy)
-    return numeric_cells(pair, columns).groupBy("column").agg(
-        F.sum(is_reference().cast("long")).alias("ref_n"),
-        F.sum(is_current().cast("long")).alias("cur_n"),
-        F.coalesce(F.array_distinct(sketch), F.array().cast("array<double>")).alias("edges"),
+    shares = ", ".join(f"{s!r}D" for s in quantile_shares(bins))
+    sketch = f"PERCENTILE_APPROX(IF(is_ref, value, NULL), ARRAY({shares}), {accuracy})"
+    found = numeric_cells(pair, columns).groupBy("column_no").agg(
+        F.expr("SUM(IF(is_ref, 1L, 0L)) AS ref_n"),
+        F.expr("SUM(IF(is_ref, 0L, 1L)) AS cur_n"),
+        F.expr(f"COALESCE(ARRAY_DISTINCT({sketch}), CAST(ARRAY() AS ARRAY<DOUBLE>)) AS edges"),
     )
+    return _numbered(pair, columns).join(found, "column_no", "left")
 
 
 def psi_bin_edges(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
@@ -133,13 +130,13 @@ def psi_bin_edges(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> D
 
 
 def _bucket_counts(pair: Pair, columns: Sequence[str], edges: DataFrame, longest: int) -> DataFrame:
-    """(column, bucket, ref_count, cur_count) of the bins [a, b) between the inner edges that hold a
+    """(column_no, bucket, ref_count, cur_count) of the bins [a, b) between the inner edges that hold a
     value. Counts combine before the shuffle, so it moves at most #bins rows a task."""
-    inner = edges.selectExpr("column", f"{INNER} AS inner")
+    inner = edges.selectExpr("column_no", f"{INNER} AS inner")
     # #columns rows of at most `longest` doubles
-    cells = numeric_cells(pair, columns).join(F.broadcast(inner), "column")
-    return locate(cells, F.col("value"), F.col("inner"), longest, "bucket").groupBy("column", "bucket").agg(
-        F.sum(is_reference().cast("long")).alias("ref_count"), F.sum(is_current().cast("long")).alias("cur_count")
+    cells = numeric_cells(pair, columns).join(F.broadcast(inner), "column_no")
+    return locate(cells, F.col("value"), F.col("inner"), longest, "bucket").groupBy("column_no", "bucket").agg(
+        F.expr("SUM(IF(is_ref, 1L, 0L)) AS ref_count"), F.expr("SUM(IF(is_ref, 0L, 1L)) AS cur_count")
     )
 
 
@@ -147,8 +144,8 @@ def psi_histogram(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> D
     """(column, bucket, ref_count, cur_count, ref_share, cur_share), empty bins included."""
     summary = _numeric_summary(pair, columns, bins)
     counted = _bucket_counts(pair, columns, summary, bins)
-    domain = summary.selectExpr("column", "ref_n", "cur_n", f"EXPLODE(SEQUENCE(0, SIZE({INNER}))) AS bucket")
-    filled = domain.join(counted, ["column", "bucket"], "left").na.fill(0, ["ref_count", "cur_count"])
+    domain = summary.selectExpr("column_no", "column", "ref_n", "cur_n", f"EXPLODE(SEQUENCE(0, SIZE({INNER}))) AS bucket")
+    filled = domain.join(counted, ["column_no", "bucket"], "left").na.fill(0, ["ref_count", "cur_count"])
     return filled.selectExpr(
         "column",
         "bucket",
@@ -167,11 +164,11 @@ def _with_psi(pair: Pair, columns: Sequence[str], summary: DataFrame, bins: int)
     # a bin that both sides leave empty adds (c - r) ln(c / r) = 0, so only filled bins are summed
     scores = (
         _bucket_counts(pair, columns, measured, bins)
-        .join(F.broadcast(measured.select("column", "ref_n", "cur_n")), "column")
-        .groupBy("column")
+        .join(F.broadcast(measured.select("column_no", "ref_n", "cur_n")), "column_no")
+        .groupBy("column_no")
         .agg(F.expr(f"SUM(({cur} - {ref}) * LN({cur} / {ref}))").alias("raw_psi"))
     )
-    return summary.join(scores, "column", "left").withColumn("psi", F.coalesce("raw_psi", F.lit(0.0)))
+    return summary.join(scores, "column_no", "left").withColumn("psi", F.coalesce("raw_psi", F.lit(0.0)))
 
 
 def psi(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS, approximate: bool = False) -> DataFrame:
@@ -223,9 +220,9 @@ def numeric_drift(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> D
     )
 
 
-def _named(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """The column names as a table."""
-    return local_table(pair.rows.sparkSession, [(c,) for c in columns], "column string")
+def _numbered(pair: Pair, columns: Sequence[str]) -> DataFrame:
+    """(column_no, column): the numbers that the cells carry."""
+    return local_table(pair.rows.sparkSession, list(enumerate(columns)), "column_no int, column string")
 
 
 # --- categories -------------------------------------------------------------------------------

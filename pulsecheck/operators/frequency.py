@@ -15,7 +15,8 @@ WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.Da
 LONG_TEXT = 64
 
 
-SIDES = ("SUM(IF(period = 'reference', 1L, 0L)) AS n_ref", "SUM(IF(period = 'current', 1L, 0L)) AS n_cur")
+IS_REF = "period = 'reference' AS is_ref"
+SIDES = ("SUM(IF(is_ref, 1L, 0L)) AS n_ref", "SUM(IF(is_ref, 0L, 1L)) AS n_cur")
 
 
 def _identity(df: DataFrame, name: str) -> str:
@@ -40,16 +41,22 @@ def _identity(df: DataFrame, name: str) -> str:
 
 
 def stacked(columns: Sequence[str], cells: Sequence[str], names: str) -> str:
-    """SQL generator: one output row per column, led by its name."""
-    parts = ", ".join(f"{text_literal(c)}, {cell}" for c, cell in zip(columns, cells))
+    """SQL generator: one output row per column, led by its number. Numbers instead of names keep the
+    shuffled rows short; `named` puts the names back afterwards."""
+    parts = ", ".join(f"{i}, {cell}" for i, cell in enumerate(cells))
     return f"STACK({len(columns)}, {parts}) AS ({names})"
 
 
+def named(columns: Sequence[str]) -> str:
+    """SQL: the name for the column number `column_no`."""
+    return f"ELEMENT_AT(ARRAY({', '.join(map(text_literal, columns))}), column_no + 1) AS column"
+
+
 def distinct_values(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """(column, text, num, whole, n_ref, n_cur), one row per distinct value; missing is a value."""
+    """(column_no, text, num, whole, n_ref, n_cur), one row per distinct value; missing is a value."""
     cells = [_identity(pair.rows, c) for c in columns]
-    long = pair.rows.selectExpr("period", stacked(columns, cells, "column, text, num, whole"))
-    return long.groupBy("column", "text", "num", "whole").agg(*map(F.expr, SIDES))
+    long = pair.rows.selectExpr(IS_REF, stacked(columns, cells, "column_no, text, num, whole"))
+    return long.groupBy("column_no", "text", "num", "whole").agg(*map(F.expr, SIDES))
 
 
 def column_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
@@ -65,17 +72,19 @@ def column_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
         f"SUM(IF(NOT ({missing}) AND n_cur > 0, 1L, 0L)) AS cur_distinct",
         f"SUM(IF(NOT ({missing}) AND n_ref = 0 AND n_cur > 0, 1L, 0L)) AS new_values",
     )
-    return distinct_values(pair, columns).groupBy("column").agg(*map(F.expr, figures))
+    totals = distinct_values(pair, columns).groupBy("column_no").agg(*map(F.expr, figures))
+    return totals.selectExpr(named(columns), *[c for c in totals.columns if c != "column_no"])
 
 
 def category_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
     """(column, value, n_ref, n_cur) of categorical columns, missing as its own category."""
     cells = [category_sql(pair.rows, c) for c in columns]
-    long = pair.rows.selectExpr("period", stacked(columns, cells, "column, value"))
-    return long.groupBy("column", "value").agg(*map(F.expr, SIDES))
+    long = pair.rows.selectExpr(IS_REF, stacked(columns, cells, "column_no, value"))
+    counts = long.groupBy("column_no", "value").agg(*map(F.expr, SIDES))
+    return counts.selectExpr(named(columns), "value", "n_ref", "n_cur")
 
 
 def numeric_cells(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """(column, period, value), one row per cell that holds a number."""
+    """(column_no, is_ref, value), one row per cell that holds a number."""
     cells = [number_sql(pair.rows, c) for c in columns]
-    return pair.rows.selectExpr("period", stacked(columns, cells, "column, value")).where("value IS NOT NULL")
+    return pair.rows.selectExpr(IS_REF, stacked(columns, cells, "column_no, value")).where("value IS NOT NULL")

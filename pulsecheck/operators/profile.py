@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsecheck.functions.expressions import as_category, as_number, as_text, is_missing, is_numeric, present
+from pulsecheck.operators.columns import constant_columns, id_candidates
 
 MIN_COMPARABLE = 30
 LEAK_LIMIT = 0.98
@@ -88,5 +89,20 @@ def leakage_candidates(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def profile_data(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+    """All parts of the profile, each a table of its own."""
+    excluded = [target] if target else []
+    parts = {
+        "summary": profile_summary(df),
+        "duplicates": duplicate_rows(df),
+        "ids": id_candidates(df, excluded),
+        "constants": constant_columns(df, excluded),
+    }
+    if target:
+        parts["leakage"] = leakage_candidates(df, target)
+        parts["target"] = target_distribution(df, target)
+    return parts
+
+
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(as_category(df, target).alias("value")).agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ from pulsecheck.config import CURRENT, MISSING, PERIOD, REFERENCE
 from pulsecheck.functions.expressions import as_number, as_text, quoted
 from pulsecheck.operators.columns import Task
 from pulsecheck.operators.drift import interpolated, order_statistics, running_counts
-from pulsecheck.operators.frequency import category_counts
+from pulsecheck.operators.frequency import category_counts, named
 from pulsecheck.operators.prepare import (
     apply_threshold,
     class_table,
@@ -46,10 +46,10 @@ MAX_CATEGORIES = 100_000
 def median_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, median): exact, from running counts, so no value list is gathered anywhere."""
     pair = pair_from(train.withColumn(PERIOD, F.lit(REFERENCE)), list(columns))
-    found = running_counts(pair, columns).groupBy("column").agg(
+    found = running_counts(pair, columns).groupBy("column_no").agg(
         F.max("all_ref").alias("n"), order_statistics([0.5], "ref").alias("picked")
     )
-    return found.selectExpr("column", f"{interpolated(0.5, 0, 'n', 'picked')} AS median")
+    return found.selectExpr(named(columns), f"{interpolated(0.5, 0, 'n', 'picked')} AS median")
 
 
 def mode_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsecheck.config import CURRENT, PERIOD
+from pulsecheck.config import CURRENT, PERIOD, REFERENCE
 from pulsecheck.functions.expressions import count_where, quoted
 from pulsecheck.functions.literal import literal_table
 from pulsecheck.operators import calibration as cal
@@ -41,11 +41,14 @@ class Analysis:
     actions: DataFrame
     limitations: DataFrame
     headline: DataFrame
-    reference_profile: DataFrame | None = None
-    current_profile: DataFrame | None = None
-    reference_leakage: DataFrame | None = None
-    current_leakage: DataFrame | None = None
     prediction_source: str = "logged"
+    tables: dict[str, DataFrame] | None = None
+    target: str | None = None
+
+    def profile(self, period: str) -> dict[str, DataFrame]:
+        """Profile of one side: summary, duplicates, ids, constants, leakage, target distribution."""
+        df = self.tables[period]
+        return profile.profile_data(df, self.target if self.target in df.columns else None)
 
     # data-sized results stay lazy
     def confusion(self) -> DataFrame:
@@ -240,9 +243,5 @@ def analyze(
         segment_pair=kept,
     )
     result.prediction_source = scored.source
-    result.reference_profile = profile.profile_summary(reference)
-    result.current_profile = profile.profile_summary(current)
-    result.reference_leakage = profile.leakage_candidates(reference, target)
-    if target in current.columns:
-        result.current_leakage = profile.leakage_candidates(current, target)
+    result.tables, result.target = {REFERENCE: reference, CURRENT: current}, target
     return result

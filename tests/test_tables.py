@@ -208,6 +208,9 @@ def test_worse_data_scores_lower(spark, tables, target, kind):
     assert 0 <= scores[1] < scores[0] <= 100
     assert result.overview().where("section = 'drift' AND status = 'danger'").count() >= 1
     assert {r["column"]: r for r in result.quality.collect()}["region"]["new_categories"] == 1
+    parts = result.profile("current")
+    assert parts["summary"].first()["n_rows"] == 500 and parts["duplicates"].first()["duplicate_rows"] == 0
+    assert [r["column"] for r in parts["ids"].collect()] == ["id"] and parts["constants"].isEmpty()
 
 
 def test_without_current_labels(spark, tables, tmp_path):
