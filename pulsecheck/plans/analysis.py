@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,21 +149,24 @@ def analyze_scored(
     current_rows = facts["rows"]
     has_labels = current_rows > 0 and facts["unlabelled"] == 0
 
-    quality_rows = literal_table(quality.quality_table(pair, target))
-    drift_rows = literal_table(dr.drift_table(pair, numeric, categorical))
-    metrics = performance.settled_metrics(scored.where(F.col("y_true").isNotNull()), kind, classes, probabilities)
-    compared = calibrated = groups = sweep = None
-    if has_labels:
-        compared = literal_table(performance.performance_table(metrics, kind))
-        if categorical:
-            groups = literal_table(segments.weak_segments(scored, segment_pair or pair, categorical, kind))
-        if kind == "binary" and "proba" in scored.columns:
-            calibrated = _unless_empty(literal_table(cal.calibration_assessment(scored)))
-            sweep = _unless_empty(literal_table(threshold.threshold_sweep(scored)))
-    components = literal_table(health.health_components(quality_rows, drift_rows, compared, calibrated, groups, kind))
+    labelled = scored.where(F.col("y_true").isNotNull())
+    with_groups = has_labels and bool(categorical)
+    with_probabilities = has_labels and kind == "binary" and "proba" in scored.columns
+    quality_rows, drift_rows, metrics, groups, calibrated, sweep = _side_by_side(
+        lambda: literal_table(quality.quality_table(pair, target)),
+        lambda: literal_table(dr.drift_table(pair, numeric, categorical)),
+        lambda: performance.settled_metrics(labelled, kind, classes, probabilities),
+        lambda: literal_table(segments.weak_segments(scored, segment_pair or pair, categorical, kind)) if with_groups else None,
+        lambda: _unless_empty(literal_table(cal.calibration_assessment(scored))) if with_probabilities else None,
+        lambda: _unless_empty(literal_table(threshold.threshold_sweep(scored))) if with_probabilities else None,
+    )
+    compared = literal_table(performance.performance_table(metrics, kind)) if has_labels else None
+    components, found, steps = _side_by_side(
+        lambda: literal_table(health.health_components(quality_rows, drift_rows, compared, calibrated, groups, kind)),
+        lambda: literal_table(report.findings(drift_rows, compared, calibrated, groups, kind)),
+        lambda: literal_table(report.actions(drift_rows, compared, calibrated, sweep, kind, threshold_setting)),
+    )
     score = literal_table(health.health_score(components, current_rows))
-    found = literal_table(report.findings(drift_rows, compared, calibrated, groups, kind))
-    steps = literal_table(report.actions(drift_rows, compared, calibrated, sweep, kind, threshold_setting))
     return Analysis(
         kind=kind,
         current_rows=current_rows,
@@ -182,6 +187,14 @@ def analyze_scored(
     )
 
 
+def _side_by_side(*parts: Callable[[], DataFrame | None]) -> list[DataFrame | None]:
+    """Independent results as Spark jobs that run at the same time, so that the cluster is not idle
+    while the last tasks of one of them finish."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        running = [pool.submit(inheritable_thread_target(part)) for part in parts]
+        return [job.result() for job in running]
+
+
 def _unless_empty(df: DataFrame) -> DataFrame | None:
     return None if df.isEmpty() else df
 
