@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsecheck.config import CURRENT, PERIOD, REFERENCE
@@ -153,6 +153,7 @@ def analyze_scored(
     with_groups = has_labels and bool(categorical)
     with_probabilities = has_labels and kind == "binary" and "proba" in scored.columns
     quality_rows, drift_rows, metrics, groups, calibrated, sweep = _side_by_side(
+        scored.sparkSession,
         lambda: literal_table(quality.quality_table(pair, target)),
         lambda: literal_table(dr.drift_table(pair, numeric, categorical)),
         lambda: performance.settled_metrics(labelled, kind, classes, probabilities),
@@ -162,6 +163,7 @@ def analyze_scored(
     )
     compared = literal_table(performance.performance_table(metrics, kind)) if has_labels else None
     components, found, steps = _side_by_side(
+        scored.sparkSession,
         lambda: literal_table(health.health_components(quality_rows, drift_rows, compared, calibrated, groups, kind)),
         lambda: literal_table(report.findings(drift_rows, compared, calibrated, groups, kind)),
         lambda: literal_table(report.actions(drift_rows, compared, calibrated, sweep, kind, threshold_setting)),
@@ -187,11 +189,11 @@ def analyze_scored(
     )
 
 
-def _side_by_side(*parts: Callable[[], DataFrame | None]) -> list[DataFrame | None]:
+def _side_by_side(spark: SparkSession, *parts: Callable[[], DataFrame | None]) -> list[DataFrame | None]:
     """Independent results as Spark jobs that run at the same time, so that the cluster is not idle
     while the last tasks of one of them finish."""
     with ThreadPoolExecutor(len(parts)) as pool:
-        running = [pool.submit(inheritable_thread_target(part)) for part in parts]
+        running = [pool.submit(inheritable_thread_target(spark)(part)) for part in parts]
         return [job.result() for job in running]
 
 
