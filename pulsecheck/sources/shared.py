@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session. Only a local master may do without it."""
+    """`spark.checkpoint.dir` of the session, which is never changed here.
+
+    A local master may leave it unset: the tables then go to a folder that is deleted when Python ends.
+    Any other master has to set it, and to a folder that every executor can reach.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pulsecheck-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="pulsecheck-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -29,4 +42,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     and later scans read only the columns they use."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> int:
+    """Delete the tables that this application has settled so far; what still reads them must be done. The number deleted."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    return sum(bool(hadoop(path).getFileSystem(conf).delete(hadoop(path), True)) for path in paths)
