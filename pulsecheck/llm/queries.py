@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsecheck.llm.common import table
 from pulsecheck.llm.packing import pack
+from pulsecheck.llm.simhash import near_duplicates
 from pulsecheck.llm.tokens import token_counts
 
 
@@ -16,12 +17,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
