@@ -8,11 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsecheck.llm.common import table
+from pulsecheck.llm.decontaminate import contamination
+from pulsecheck.llm.licenses import license_scan
 from pulsecheck.llm.packing import pack
 from pulsecheck.llm.simhash import near_duplicates
 from pulsecheck.llm.tokens import token_counts
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,6 +37,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
