@@ -11,6 +11,7 @@ from pulsecheck.llm.common import table
 from pulsecheck.llm.decontaminate import contamination
 from pulsecheck.llm.licenses import license_scan
 from pulsecheck.llm.packing import pack
+from pulsecheck.llm.secrets import secret_scan
 from pulsecheck.llm.simhash import near_duplicates
 from pulsecheck.llm.tokens import token_counts
 
@@ -28,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
 }
