@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsecheck.llm import language
 from pulsecheck.llm.common import table
 from pulsecheck.llm.decontaminate import contamination
 from pulsecheck.llm.licenses import license_scan
+from pulsecheck.llm.neighbours import nearest
 from pulsecheck.llm.packing import pack
 from pulsecheck.llm.secrets import secret_scan
 from pulsecheck.llm.simhash import near_duplicates
@@ -37,6 +39,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, net = language.train(docs, learn="crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0")
+    return language.identify(docs, names, net).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE: dict[str, str] = {}
