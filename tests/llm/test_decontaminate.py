@@ -43,8 +43,9 @@ def fixture():
     for i in range(60):
         parts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 90)))]
         if rng.random() < 0.6:
-            parts.insert(rng.randint(0, 1), "Ünder -- " + rng.choice(items)[1].replace(" ", " ,") if rng.random() < 0.5 and items[0][1] else items[rng.randrange(30)][1])
-        docs.append((i, "..".join(p or "" for p in parts)))
+            passage = items[rng.randrange(30)][1]
+            parts.insert(rng.randint(0, 1), "Ünder -- " + passage.replace(" ", " ,") if rng.random() < 0.5 else passage)
+        docs.append((i, "..".join(parts)))
     return docs + [(None, None), (7, ""), (7, ""), (8, "an item without an id " * 4000), (9, "an item WITHOUT an id")], items
 
 
