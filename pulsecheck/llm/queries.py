@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsecheck.llm import language
+from pulsecheck.llm import language, quality, toxicity
 from pulsecheck.llm.common import table
 from pulsecheck.llm.decontaminate import contamination
 from pulsecheck.llm.licenses import license_scan
 from pulsecheck.llm.neighbours import nearest
 from pulsecheck.llm.packing import pack
+from pulsecheck.llm.samples import remainder
 from pulsecheck.llm.secrets import secret_scan
 from pulsecheck.llm.simhash import near_duplicates
 from pulsecheck.llm.tokens import token_counts
@@ -31,10 +33,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _held_out() -> Column:
+    return F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    models, beta = toxicity.train(docs, labels)
+    return toxicity.toxicity(docs, models, beta).withColumn("held_out", _held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights, change = quality.train(docs, labels)
+    return quality.quality(docs, weights, change).withColumn("held_out", _held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,

@@ -26,3 +26,16 @@ def by_class(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     for r in found:
         chosen = chosen | ((F.col(f"`{label}`") == F.lit(r["label_"])) & (hashed <= F.lit(r["bar_"])))
     return rows.where(chosen).withColumn("hash_", hashed).dropDuplicates([label, "hash_"]).drop("hash_")
+
+
+#: A label table of up to so many rows (24 bytes each) goes to every executor; a larger one is joined by shuffling.
+SENT = 1_000_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text, label (0 or 1) of the documents that have one. Several labels of one key count as the largest."""
+    known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).where("key IS NOT NULL AND label IN (0, 1)")
+    known = known.groupBy("key").agg(F.max("label").alias("label"))
+    if labels.count() <= SENT:
+        known = F.broadcast(known)
+    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(known, "key")

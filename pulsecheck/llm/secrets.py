@@ -42,21 +42,21 @@ FIRST, CODES = ord("+"), ord("z") - ord("+") + 1
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _found(pattern: str) -> Column:
-    return F.expr(f"regexp_extract_all(text_, {_quoted(pattern)}, 0)")
-
-
-def _places(found: str, pattern: str, group: int, least: int, kind: int) -> Column:
-    """The spans of the matches in column `found` whose group has `least` characters, from the texts between them."""
-    counted = f"regexp_extract_all(text_, {_quoted(pattern)}, {group})" if group else found
-    start = "s.at + char_length(m.gap)"
-    end = f"{start} + coalesce(char_length(m.match), 0)"
-    return F.expr(f"""CASE WHEN size({found}) = 0 THEN CAST(array() AS {SPANS}) ELSE
-        aggregate(arrays_zip(split(text_, {_quoted(pattern)}, -1) AS gap, {found} AS match, {counted} AS counted),
-            named_struct('at', 0L, 'out', CAST(array() AS {SPANS})),
-            (s, m) -> named_struct('at', {end}, 'out', IF(char_length(m.counted) >= {least},
-                concat(s.out, array(named_struct('start', {start}, 'kind', {kind}, 'end', {end}))), s.out)),
-            s -> s.out) END""")
+def _with_places(df: DataFrame, name: str, pattern: str, group: int, least: int, kind: int) -> DataFrame:
+    """A column `name` with the spans of the matches whose group has `least` characters, from the texts between them;
+    `name`_found has all matches."""
+    found, gap, counted = (f"{name}_{x}" for x in ("found", "gap", "counted"))
+    none = f"CAST(array() AS {SPANS})"
+    df = df.withColumn(found, F.expr(f"regexp_extract_all(text_, {_quoted(pattern)}, 0)"))
+    df = df.withColumn(gap, F.expr(f"CASE WHEN size({found}) > 0 THEN split(text_, {_quoted(pattern)}, -1) END"))
+    df = df.withColumn(counted, F.expr(f"CASE WHEN size({found}) > 0 THEN regexp_extract_all(text_, {_quoted(pattern)}, {group}) END" if group else found))
+    start = f"s.at + char_length(m.{gap})"
+    end = f"{start} + coalesce(char_length(m.{found}), 0)"
+    walk = f"""aggregate(arrays_zip({gap}, {found}, {counted}), named_struct('at', 0L, 'out', {none}),
+        (s, m) -> named_struct('at', {end}, 'out', IF(char_length(m.{counted}) >= {least},
+            concat(s.out, array(named_struct('start', {start}, 'kind', {kind}, 'end', {end}))), s.out)),
+        s -> s.out)"""
+    return df.withColumn(name, F.expr(f"CASE WHEN size({found}) > 0 THEN {walk} ELSE {none} END")).drop(gap, counted)
 
 
 def _quoted(pattern: str) -> str:
@@ -114,11 +114,11 @@ def find_spans(docs: DataFrame, weights: list[float], text: str = "text", bar: f
     """
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = out.withColumn("text_", F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")))
-    out = out.select("*", *(_found(pattern).alias(f"{name}_found") for name, pattern, _, _ in BASE), _found(TOKEN).alias("model_found"))
-    places = [_places(f"{name}_found", pattern, group, least, kind).alias(name) for kind, (name, pattern, group, least) in enumerate(BASE)]
-    out = out.select("row", "text_", "model_found", *places, _places("model_found", TOKEN, 0, 0, len(BASE)).alias("tokens"))
+    for kind, (name, pattern, group, least) in enumerate(BASE):
+        out = _with_places(out, name, pattern, group, least, kind).drop(f"{name}_found")
+    out = _with_places(out, "tokens", TOKEN, 0, 0, len(BASE))
     out = out.withColumn("base", F.array_sort(F.concat(*(name for name, *_ in BASE))))
-    judged = f"""filter(zip_with(tokens, model_found, (t, m) -> IF(exists(base, b -> b.start < t.end AND t.start < b.end) OR {_ratio(weights, 'm')} < {bar}D, NULL, t)), t -> t IS NOT NULL)"""
+    judged = f"""filter(zip_with(tokens, tokens_found, (t, m) -> IF(exists(base, b -> b.start < t.end AND t.start < b.end) OR {_ratio(weights, 'm')} < {bar}D, NULL, t)), t -> t IS NOT NULL)"""
     out = out.withColumn("model", F.expr(f"CASE WHEN size(tokens) = 0 THEN tokens ELSE {judged} END"))
     return out.withColumn("spans", F.array_sort(F.concat("base", "model"))).select("row", "text_", "base", "spans")
 
