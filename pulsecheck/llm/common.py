@@ -93,10 +93,13 @@ class Known:
         """A dict that holds at least `units`; `work` gives the values of those not known."""
         if len(self.now) > self.limit:
             self.now, self.before = {}, self.now
-        new = units - self.now.keys()
-        for unit in new & self.before.keys():
-            self.now[unit] = self.before[unit]
-        new = list(new - self.before.keys())
+        new = []
+        for unit in units:
+            if unit not in self.now:
+                if unit in self.before:
+                    self.now[unit] = self.before[unit]
+                else:
+                    new.append(unit)
         if new:
             self.now.update(zip(new, work(new)))
         return self.now

@@ -197,7 +197,7 @@ class Judge:
     def learn(self, words: set[bytes]) -> None:
         if len(self.row) > KEPT:
             self.forget()
-        new = sorted(words - self.row.keys(), key=len)
+        new = sorted((w for w in words if w not in self.row), key=len)
         parts = [self.sums]
         for i in range(0, len(new), 4096):
             codes, length = as_codes(new[i : i + 4096])

@@ -4,7 +4,8 @@ Both have three levels: word pairs of the class, words of the class by the numbe
 (continuations), and the continuations of both classes together, which smooth what is rare in either. What falls
 short of the absolute discounts - and so every rare expression - is left to the level below, up to the shared one,
 where both classes agree. Discounts are larger than usual: copies of a text repeat its pairs, and a pair that only
-copies made known should not speak for a class.
+copies made known should not speak for a class. The discount of continuations is the one of WORD_DISCOUNTS under
+which the score fits best, as it has to follow the amount of text.
 
 A text is compared by the difference of the log-likelihoods a word: over the whole text, and in its most toxic
 passage of `passage` words. A logistic regression makes a score of the two; it is fitted on a bounded sample of
@@ -26,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from pulsecheck.llm.common import batch_of, byte_texts, fields, per_slice, pick, words_of
+from pulsecheck.llm.common import batch_of, byte_texts, per_slice, pick, words_of
 from pulsecheck.llm.samples import by_class, labelled, remainder
 
 #: Bits of the cells of pairs and of words; discounts of pairs and of continuations; words of a passage.
-PAIR_BITS, WORD_BITS, PAIR_DISCOUNT, WORD_DISCOUNT, PASSAGE = 20, 18, 100, 10, 1
+PAIR_BITS, WORD_BITS, PAIR_DISCOUNT, WORD_DISCOUNTS, PASSAGE = 20, 18, 100, (0.75, 1.5, 3.0, 6.0, 12.0, 24.0), 1
 #: Texts of each class on which the score is fitted.
 SAMPLE = 2000
 #: Multiplier that spreads pairs over the cells (the golden ratio's 64 bits).
@@ -41,8 +42,9 @@ START = 1
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    for w in set(words) - known.keys():
-        known[w] = zlib.crc32(w)
+    for w in words:
+        if w not in known:
+            known[w] = zlib.crc32(w)
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -89,7 +91,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 class Models:
     """Cells of both models, as single-precision arrays."""
 
-    def __init__(self, pairs: DataFrame, pair_discount: float = PAIR_DISCOUNT, word_discount: float = WORD_DISCOUNT):
+    def __init__(self, pairs: DataFrame, pair_discount: float = PAIR_DISCOUNT):
         def cells(batches):
             for batch in batches:
                 pair, before, word = _cells(batch.column("key").to_numpy().view(np.uint64))
@@ -111,9 +113,9 @@ class Models:
             out[cell[kind == which]] = values[kind == which]
             return out
 
-        shared = table(2, a, WORD_BITS) + 0.5
-        shared /= shared.sum()
-        self.pair, self.total, self.left, self.word = [], [], [], []
+        self.shared = table(2, a, WORD_BITS) + 0.5
+        self.shared /= self.shared.sum()
+        self.pair, self.total, self.left, self.follows = [], [], [], []
         self.usable = True
         for k, n in ((k0, a), (k1, b)):
             total = table(1, n, WORD_BITS)
@@ -121,38 +123,43 @@ class Models:
             if not follows.sum():
                 self.usable = False
                 continue
-            own = np.maximum(follows - word_discount, 0)
             self.pair.append(table(0, k, PAIR_BITS).astype(np.float32))
             self.total.append(np.maximum(total, 1).astype(np.float32))
             self.left.append(np.where(total > 0, total - table(1, k, WORD_BITS), 1).astype(np.float32))
-            self.word.append(((own + (follows.sum() - own.sum()) * shared) / follows.sum()).astype(np.float32))
+            self.follows.append(follows)
 
-    def evidence(self, codes: np.ndarray, passage: int = PASSAGE) -> tuple[float, float]:
+    def words(self, discount: float) -> list[np.ndarray]:
+        """The models of single words: continuations less the discount, and what that leaves to the shared ones."""
+        own = [np.maximum(f - discount, 0) for f in self.follows]
+        return [((o + (f.sum() - o.sum()) * self.shared) / f.sum()).astype(np.float32) for o, f in zip(own, self.follows)]
+
+    def evidence(self, codes: np.ndarray, words: list[np.ndarray], passage: int = PASSAGE) -> tuple[float, float]:
         """Log-likelihood differences a word: of the whole text and of its most toxic passage."""
         if not len(codes) or not self.usable:
             return 0.0, 0.0
         pair, before, word = _cells(pair_keys(codes))
-        ordinary, toxic = (np.log((self.pair[c][pair] + self.left[c][before] * self.word[c][word]) / self.total[c][before]) for c in (0, 1))
+        ordinary, toxic = (np.log((self.pair[c][pair] + self.left[c][before] * words[c][word]) / self.total[c][before]) for c in (0, 1))
         run = np.concatenate(([0.0], np.cumsum(toxic - ordinary, dtype=np.float64)))
         width = min(passage, len(codes))
         return float(run[-1] / len(codes)), float((run[width:] - run[:-width]).max() / width)
 
 
-def evidence(rows: DataFrame, models: Models, *more: str) -> DataFrame:
-    """key, the columns `more`, whole, passage: the evidence of every row (key, text)."""
-    held = rows.sparkSession.sparkContext.broadcast(models)
-    schema = StructType([rows.schema["key"], *(rows.schema[c] for c in more), *fields(rows, "key", ("whole", "double"), ("passage", "double")).fields[1:]])
+def evidence(rows: DataFrame, models: Models, discounts: tuple[float, ...], *more: str) -> DataFrame:
+    """key, the columns `more`, and whole_0, passage_0 and so on for each discount, of every row (key, text)."""
+    held = rows.sparkSession.sparkContext.broadcast((models, [models.words(d) for d in discounts]))
+    names = [f"{n}_{i}" for i in range(len(discounts)) for n in ("whole", "passage")]
+    schema = StructType([rows.schema["key"], *(rows.schema[c] for c in more), *(StructField(n, DoubleType()) for n in names)])
 
     def make():
         known: dict[bytes, int] = {}
-        models = held.value
+        models, tables = held.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             if len(known) > 400_000:
                 known.clear()
-            found = [models.evidence(word_codes(words_of(t), known)) for t in byte_texts(batch.column("text"))]
-            whole, passage = np.array(found, dtype=float).reshape(-1, 2).T
-            return batch_of(("key", batch.column("key")), *((c, batch.column(c)) for c in more), ("whole", whole), ("passage", passage))
+            codes = [word_codes(words_of(t), known) for t in byte_texts(batch.column("text"))]
+            found = np.array([[x for words in tables for x in models.evidence(c, words)] for c in codes], dtype=float).reshape(len(codes), -1)
+            return batch_of(("key", batch.column("key")), *((c, batch.column(c)) for c in more), *zip(names, found.T))
 
         return step
 
@@ -173,25 +180,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Models, np.ndarray]:
-    """The models and the regression. Rows with crc32(key) mod 4 = 0 or 1 are counted, those with 3 fit the score."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Models, float, np.ndarray]:
+    """The models, the discount of continuations and the regression. Rows with crc32(key) mod 4 = 0 or 1 are counted,
+    those with 3 fit the score."""
     rows = labelled(docs, labels, label, key, text).withColumn("fold", remainder("key", 4)).where("fold <> 2")
     models = Models(pair_counts(rows.where("fold <> 3")))
     held = rows.where("fold = 3")
     counts = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    beta = np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0])
-    if models.usable and len(counts) == 2:
-        got = evidence(by_class(held, "label", "key", sample), models, "label").toArrow()
-        y = got.column("label").to_numpy().astype(float)
-        x = np.column_stack([got.column("whole").to_numpy(), got.column("passage").to_numpy()])
-        weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
+    if not models.usable or len(counts) < 2:
+        return models, WORD_DISCOUNTS[0], np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0])
+    got = evidence(by_class(held, "label", "key", sample), models, WORD_DISCOUNTS, "label").toArrow()
+    y = got.column("label").to_numpy().astype(float)
+    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
+    fits = []
+    for i, discount in enumerate(WORD_DISCOUNTS):
+        x = np.column_stack([got.column(f"{n}_{i}").to_numpy() for n in ("whole", "passage")])
         beta = logistic(x, y, weight)
-    return models, beta
+        line = beta[0] + x @ beta[1:]
+        fits.append(((weight * (np.logaddexp(0, line) - y * line)).sum(), discount, beta))
+    return models, *min(fits, key=lambda f: f[:2])[1:]
 
 
-def toxicity(docs: DataFrame, models: Models, beta: np.ndarray, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, models: Models, discount: float, beta: np.ndarray, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """key, score, predicted, whole, passage of every row."""
-    line = F.lit(float(beta[0])) + F.lit(float(beta[1])) * F.col("whole") + F.lit(float(beta[2])) * F.col("passage")
-    out = evidence(pick(docs, key, text), models).withColumn("score", 1 / (1 + F.exp(-line)))
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "passage")
+    line = F.lit(float(beta[0])) + F.lit(float(beta[1])) * F.col("whole_0") + F.lit(float(beta[2])) * F.col("passage_0")
+    out = evidence(pick(docs, key, text), models, (discount,)).withColumn("score", 1 / (1 + F.exp(-line)))
+    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("whole_0").alias("whole"), F.col("passage_0").alias("passage"))
