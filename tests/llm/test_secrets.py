@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from pulsecheck.llm.secrets import BAR, CODES, FIRST, KINDS, redact, secret_scan, train
+from pulsecheck.llm.secrets import BAR, CODES, FIRST, KINDS, find_spans, redact, secret_scan, train
 
 PATTERNS = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), 2, 8),
@@ -53,7 +53,15 @@ def test_matches_plain_rules(spark):
         expected.append((key, *n, hashlib.sha256(told(base).encode()).hexdigest(), told(spans)))
     got = [tuple(r) for r in secret_scan(docs).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
-    assert any("markov" in e[-1] for e in expected)
+
+
+def test_random_strings_are_told_from_identifiers(spark):
+    weights = train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    random_ones = ["sK9dLw02mQz8XyT4vB7n", "9F86D081884C7D659A2FEAA0C55AD015", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    ordinary = ["theatingonerentationof", "rentheatingthattionand", "Enleauxaileeauenpaouré", "onthtionwhonattionnd"]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(random_ones + ordinary)], "doc_id long, text string")
+    found = {r["row"]["doc_id"]: [tuple(s) for s in r["spans"]] for r in find_spans(docs, weights).collect()}
+    assert found == {i: [(4, 3, 4 + len(t))] if t in random_ones else [] for i, t in enumerate(random_ones + ordinary)}
 
 
 def test_redaction_keeps_the_rest(spark):
