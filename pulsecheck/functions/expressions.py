@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from pulsecheck.config import DANGER, MISSING, STABLE, WARNING
 
 
+#: Text that is a number, blanks around it aside; Java's suffixes (12d, 3f) are not part of one.
+NUMBER = r"^\\s*[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?|[nN]a[nN])\\s*$"
+
 # The expressions over many columns are SQL text: building them piece by piece costs a round trip to
 # the JVM per piece, which adds up to seconds on wide tables.
 
@@ -57,7 +60,7 @@ def number_sql(df: DataFrame, name: str) -> str:
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
         value = f"CAST({column} AS DOUBLE)"
     else:
-        value = f"TRY_CAST({column} AS DOUBLE)"
+        value = f"CASE WHEN {column} RLIKE '{NUMBER}' THEN TRY_CAST({column} AS DOUBLE) END"
     exact = isinstance(data_type, (T.IntegralType, T.DecimalType, T.BooleanType))
     return value if exact else f"CASE WHEN NOT ISNAN({value}) THEN {value} + 0.0D END"
 

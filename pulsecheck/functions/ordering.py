@@ -48,9 +48,10 @@ def partition_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_count(df: DataFrame) -> int:
-    """How many ranges to cut each key into: two per shuffle partition, to even out the hashing."""
-    return max(8, 2 * partition_count(df))
+def range_count(df: DataFrame, n_keys: int = 1) -> int:
+    """How many ranges to cut each key into: two per shuffle partition over all keys, to even out the hashing, so
+    that the table of cut points stays small however many keys there are."""
+    return max(8, -(-2 * partition_count(df) // n_keys))
 
 
 def cut_points(value: str, ranges: int) -> Column:
@@ -59,13 +60,13 @@ def cut_points(value: str, ranges: int) -> Column:
     return F.expr(f"SORT_ARRAY(ARRAY_DISTINCT(PERCENTILE_APPROX({quote(value)}, ARRAY({shares}), {max(10_000, 20 * ranges)})))")
 
 
-def collect_cuts(rows: DataFrame, keys: Sequence[str], value: str, share: float = 1 / 64) -> DataFrame:
+def collect_cuts(rows: DataFrame, keys: Sequence[str], value: str, share: float = 1 / 64, n_keys: int = 1) -> DataFrame:
     """(keys, cuts) as a literal table of #keys x #ranges values, whatever the size of `rows`.
 
     A thin draw is enough, since the points only balance the work; where the draw comes out too
     small to balance anything, the table is small too.
     """
-    sketch = rows.sample(share, seed=11).groupBy(*keys).agg(cut_points(value, range_count(rows)).alias("cuts"))
+    sketch = rows.sample(share, seed=11).groupBy(*keys).agg(cut_points(value, range_count(rows, n_keys)).alias("cuts"))
     return literal_table(sketch)
 
 
@@ -75,19 +76,20 @@ def running_totals(
     value: str,
     counts: dict[str, Column],
     cuts: DataFrame | None = None,
+    n_keys: int = 1,
 ) -> DataFrame:
     """One row per distinct (keys, value): the counts, their running sums in ascending order of
     `value` (`cum_*`, own row included) and their totals per key (`all_*`).
 
     Repeated values are combined before the shuffle, so a hot value is one row afterwards, and each
-    window partition holds one range of one key.
+    window partition holds one range of one key. `n_keys`: about how many keys there are.
     """
     keys = list(keys)
     if cuts is None:
-        cuts = collect_cuts(rows, keys, value)
+        cuts = collect_cuts(rows, keys, value, n_keys=n_keys)
     grouped = rows.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
     located = locate(
-        grouped.join(F.broadcast(cuts), keys, "left"), F.col(value), F.col("cuts"), range_count(rows), "range_id"
+        grouped.join(F.broadcast(cuts), keys, "left"), F.col(value), F.col("cuts"), range_count(rows, n_keys), "range_id"
     )
     return accumulate(located.drop("cuts"), keys, value, list(counts))
 
@@ -95,9 +97,9 @@ def running_totals(
 def accumulate(grouped: DataFrame, keys: list[str], value: str, counts: list[str]) -> DataFrame:
     """Running sums over rows that already carry their `range_id` and are distinct by (keys, value).
 
-    One shuffle by range serves both the totals per range and the windows inside the ranges.
+    The rows move once, into their ranges. The totals per range come from the rows as they lie before that: each task
+    sends one row a range.
     """
-    grouped = grouped.repartition(partition_count(grouped), *keys, "range_id")
     key = ", ".join(quote(k) for k in keys)
     so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     # this window runs over #keys x #ranges rows
@@ -109,7 +111,7 @@ def accumulate(grouped: DataFrame, keys: list[str], value: str, counts: list[str
         *[f"SUM({n}) OVER (PARTITION BY {key}) AS all_{n}" for n in counts],
     )
     in_range = f"OVER (PARTITION BY {key}, range_id ORDER BY {quote(value)} {so_far})"
-    inside = grouped.selectExpr("*", *[f"SUM({n}) {in_range} AS __in_{n}" for n in counts])
+    inside = grouped.repartition(*keys, "range_id").selectExpr("*", *[f"SUM({n}) {in_range} AS __in_{n}" for n in counts])
     return inside.join(F.broadcast(offsets), [*keys, "range_id"]).selectExpr(
         *map(quote, [*keys, value]),
         "range_id",
@@ -139,18 +141,16 @@ def _split_points(rows: DataFrame, name: str, data_type: T.DataType, total: int)
     thin = min(1.0, 4000.0 * ranges / total)
     drawn = rows.sample(thin, seed=17) if thin < 1 else rows
     if isinstance(data_type, T.StringType):
-        draw = min(1.0, 16.0 * ranges / total)
-        found = sorted({r[0] for r in rows.sample(draw, seed=17).limit(64 * ranges).collect()})
-        return found[:: max(1, len(found) // ranges)]
+        # of the values that fall into each of 256 hash buckets the one with the least second hash: values at random
+        bucket = F.expr(f"pmod(xxhash64({quote(name)}), {ranges})")
+        found = rows.groupBy(bucket).agg(F.min_by(name, F.xxhash64(F.lit("point"), F.col(name))).alias("point")).collect()
+        return sorted(r["point"] for r in found)
     shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
     sketch = f"PERCENTILE_APPROX({quote(name)}, ARRAY({shares}), 10000)"
     row = drawn.agg(F.expr(f"CAST(ARRAY_DISTINCT({sketch}) AS ARRAY<STRING>)").alias("points")).first()
     return list(row["points"] or [])
 
 
-FEW = 10_000
-
-
 def value_at_rank(rows: DataFrame, name: str, rank: int) -> tuple[str, int, int]:
     """The value at 0-based `rank` of the non-null column `name`, as text, with the number of rows
     strictly below it and equal to it.
@@ -164,12 +164,6 @@ def value_at_rank(rows: DataFrame, name: str, rank: int) -> tuple[str, int, int]
     piece = rows.agg(*spread).first()
     below = 0
     while piece["low"] != piece["high"]:
-        if piece["n"] <= FEW:
-            values = rows.groupBy(name).agg(F.count("*").alias("n")).orderBy(name)
-            for text, n in values.select(F.col(name).cast("string"), "n").collect():
-                if rank < below + n:
-                    return text, below, n
-                below += n
         # each point is a range of its own, so that a hot value comes off in one step; `high` as a
         # point makes sure that every step separates something
         points = list(dict.fromkeys([*_split_points(rows, name, data_type, piece["n"]), piece["high"]]))
@@ -189,9 +183,12 @@ def value_at_rank(rows: DataFrame, name: str, rank: int) -> tuple[str, int, int]
 def precedes_rank(rows: DataFrame, order: Sequence[str], rank: int) -> Column:
     """Condition that holds for exactly the first `rank` rows in ascending order of the columns
     `order` (nulls last). The order must decide every row near the cut, so end it with a key.
+
+    Instants are handled as microseconds: as text in the session's zone, two of them can look the same.
     """
     levels: list[tuple[str, T.DataType, str | None]] = []
-    scope = rows.select(*[quoted(c) for c in order])
+    instants = {c for c in order if isinstance(rows.schema[c].dataType, T.TimestampType)}
+    scope = rows.select(*[(F.unix_micros(quoted(c)) if c in instants else quoted(c)).alias(c) for c in order])
     left = rank
     for name in order:
         data_type = scope.schema[name].dataType
@@ -215,6 +212,6 @@ def precedes_rank(rows: DataFrame, order: Sequence[str], rank: int) -> Column:
         if text is None:
             condition = column.isNotNull() | condition
         else:
-            pivot = _as_literal(text, data_type)
+            pivot = F.timestamp_micros(F.lit(int(text))) if name in instants else _as_literal(text, data_type)
             condition = F.coalesce(column < pivot, F.lit(False)) | (column.eqNullSafe(pivot) & condition)
     return condition

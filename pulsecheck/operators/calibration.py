@@ -12,7 +12,7 @@ from pulsecheck.functions.ordering import locate
 def calibration_curve(scored: DataFrame, bins: int = CALIBRATION_BINS) -> DataFrame:
     """(period, bin, n, mean_probability, positive_rate) over equal bins of [0, 1], closed on the right."""
     inner = F.array(*[F.lit(i * (1 / bins)) for i in range(1, bins)])
-    rows = scored.select("period", "y_true", F.col("proba").cast("double").alias("proba")).where(F.col("proba").isNotNull())
+    rows = scored.select("period", "y_true", F.nanvl(F.col("proba").cast("double"), F.lit(None)).alias("proba")).where(F.col("proba").isNotNull())
     return (
         locate(rows, F.col("proba"), inner, bins, "bin", strict=True)
         .groupBy("period", "bin")
@@ -25,7 +25,7 @@ def calibration_curve(scored: DataFrame, bins: int = CALIBRATION_BINS) -> DataFr
 
 
 def _brier(scored: DataFrame) -> DataFrame:
-    miss = F.col("proba").cast("double") - F.col("y_true").cast("double")
+    miss = F.nanvl(F.col("proba").cast("double"), F.lit(None)) - F.col("y_true").cast("double")
     squared = miss * miss
     current = F.col("period") == CURRENT
     return scored.agg(

@@ -10,6 +10,7 @@ from pulsecheck.functions.expressions import as_category, as_number, quoted
 from pulsecheck.functions.literal import literal_table, local_table
 from pulsecheck.operators.drift import category_shares, interpolated, order_statistics, running_counts
 from pulsecheck.sources.pairs import Pair
+from pulsecheck.sources.shared import settle
 
 SEGMENT_METRICS = {
     "binary": ["recall", "f1", "fpr", "fnr"],
@@ -72,7 +73,7 @@ def drift_top(drift: DataFrame, limit: int = 10) -> DataFrame:
 
 def equal_bins(rows: DataFrame, value: Column, bins: int) -> DataFrame:
     """(period, bin, low, high, n): equal bins over the pooled range, the last one closed."""
-    cells = rows.select("period", value.alias("value")).where(F.col("value").isNotNull())
+    cells = rows.select("period", F.nanvl(value.cast("double"), F.lit(None)).alias("value")).where(F.col("value").isNotNull())
     lo, hi = cells.agg(F.min("value"), F.max("value")).first()
     width = 0.0 if lo is None else (hi - lo) / bins
     index = F.floor((F.col("value") - F.lit(lo)) / F.lit(width)) if width > 0 else F.lit(0)
@@ -102,17 +103,15 @@ def numeric_box(pair: Pair, column: str) -> DataFrame:
     """
     ranks = running_counts(pair, [column])
     shares = [0.25, 0.5, 0.75]
-    stats = None
-    for side, period in (("ref", "reference"), ("cur", "current")):
-        found = ranks.where(F.col(f"all_{side}") > 0).agg(
-            F.max(f"all_{side}").alias("n"), order_statistics(shares, side).alias("picked")
-        )
-        quartiles = [
-            f"{interpolated(s, i, 'n', 'picked')} AS {name}" for i, (s, name) in enumerate(zip(shares, ("q1", "median", "q3")))
-        ]
-        row = found.where(F.col("n") > 0).selectExpr(f"'{period}' AS period", "n", *quartiles)
-        stats = row if stats is None else stats.unionByName(row)
-    stats = literal_table(stats)  # two rows
+    both = ranks.agg(
+        *[F.max(f"all_{side}").alias(f"n_{side}") for side in ("ref", "cur")],
+        *[order_statistics(shares, side).alias(f"picked_{side}") for side in ("ref", "cur")],
+    )
+    sides = both.selectExpr("STACK(2, 'reference', n_ref, picked_ref, 'current', n_cur, picked_cur) AS (period, n, picked)")
+    quartiles = [
+        f"{interpolated(s, i, 'n', 'picked')} AS {name}" for i, (s, name) in enumerate(zip(shares, ("q1", "median", "q3")))
+    ]
+    stats = literal_table(sides.where("n > 0").selectExpr("period", "n", *quartiles))  # two rows
     reach = (F.col("q3") - F.col("q1")) * 1.5
     cells = pair.rows.select("period", as_number(pair.rows, column).alias("value")).where(F.col("value").isNotNull())
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
@@ -131,7 +130,8 @@ def numeric_box(pair: Pair, column: str) -> DataFrame:
 
 def category_top_shares(pair: Pair, column: str, limit: int = 15) -> DataFrame:
     """(value, period, share) over the union of each period's most frequent categories."""
-    shares = category_shares(pair, [column])
+    # the input is scanned once; the counts, one row per category, are read again
+    shares = settle(category_shares(pair, [column]), "categories")
     # two top-k selections instead of ranking all categories in one window
     top_ref = shares.where(F.col("n_ref") > 0).orderBy(F.desc("n_ref"), "value").limit(limit).select("value")
     top_cur = shares.where(F.col("n_cur") > 0).orderBy(F.desc("n_cur"), "value").limit(limit).select("value")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsecheck.config import ID_HINTS, PERIOD, REFERENCE, TARGET_HINTS
-from pulsecheck.functions.expressions import is_numeric, present
+from pulsecheck.functions.expressions import as_text, count_where, is_missing, is_numeric, present, text_literal
 from pulsecheck.functions.literal import literal_table, local_table
-from pulsecheck.operators.frequency import column_stats
+from pulsecheck.operators.frequency import approximate_stats, column_stats
 from pulsecheck.sources.pairs import Pair, pair_from
 
 MAX_CLASSES = 100
@@ -71,19 +71,21 @@ def infer_task_type(df: DataFrame, target: str, override: str = "auto") -> Task:
 def class_list(df: DataFrame, target: str) -> DataFrame:
     """(class, class_index, is_default_positive): distinct values by their text; the last is positive."""
     classes = df.select(present(df, target).cast("string").alias("class")).where(F.col("class").isNotNull()).distinct()
-    # at most 100 classes pass the task check, so these windows stay small
-    by_text = Window.partitionBy(F.lit(0)).orderBy("class")
-    last = F.max("class").over(Window.partitionBy(F.lit(0)))
-    return classes.select(
-        "class", (F.row_number().over(by_text) - 1).alias("class_index"), (F.col("class") == last).alias("is_default_positive")
-    )
+    found = sorted(r[0] for r in classes.limit(MAX_CLASSES + 1).collect())
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    rows = [(name, i, i == len(found) - 1) for i, name in enumerate(found)]
+    return local_table(df.sparkSession, rows, "class string, class_index int, is_default_positive boolean")
 
 
 # --- roles from the values of one table -------------------------------------------------------
 
 
-def _facts(df: DataFrame) -> DataFrame:
-    """column_stats of one table with positions and type classes: one row per column."""
+def _facts(df: DataFrame, approximate: float | None = None) -> DataFrame:
+    """column_stats of one table with positions and type classes: one row per column.
+
+    With `approximate`, a relative error, distinct values are estimated by mergeable sketches and no value is shuffled.
+    """
     # the table may have a `period` of its own
     own = "__own_period"
     marked = df.withColumnRenamed(PERIOD, own).withColumn(PERIOD, F.lit(REFERENCE))
@@ -93,7 +95,7 @@ def _facts(df: DataFrame) -> DataFrame:
         (f.name, i, is_numeric(f.dataType), isinstance(f.dataType, times)) for i, f in enumerate(df.schema.fields)
     ]
     types = local_table(df.sparkSession, kinds, "column string, position int, numeric boolean, time boolean")
-    stats = column_stats(pair).select(
+    stats = (column_stats(pair) if approximate is None else approximate_stats(pair, None, approximate)).select(
         F.when(F.col("column") == own, PERIOD).otherwise(F.col("column")).alias("column"),
         F.col("ref_rows").alias("n_rows"),
         F.col("ref_missing").alias("n_missing"),
@@ -128,14 +130,32 @@ def _outside(excluded: Sequence[str]) -> Column:
     return ~F.col("column").isin(*excluded) if excluded else F.lit(True)
 
 
-def id_candidates(df: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
-    facts = _facts(df).where(_outside(excluded) & _is_id())
+def id_candidates(df: DataFrame, excluded: Sequence[str] = (), approximate: float | None = None) -> DataFrame:
+    facts = _facts(df, approximate).where(_outside(excluded) & _is_id())
     return facts.select("position", "column", "n_distinct", "n_rows").orderBy("position")
 
 
 def constant_columns(df: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
-    facts = _facts(df).where(_outside(excluded) & _is_constant())
-    return facts.select("position", "column", "n_distinct", "n_missing").orderBy("position")
+    """Columns with one value, or with none: told by their least and largest value, without a shuffle of values."""
+    names = [c for c in df.columns if c not in excluded]
+    if not names:
+        return local_table(df.sparkSession, [], "position int, column string, n_distinct bigint, n_missing bigint")
+    tests = []
+    for i, name in enumerate(names):
+        value = as_text(df, name) if not _orderable(df.schema[name].dataType) else present(df, name)
+        tests += [
+            F.min(value).eqNullSafe(F.max(value)).alias(f"one{i}"),
+            F.count(value).alias(f"n{i}"),
+            count_where(is_missing(df, name)).alias(f"m{i}"),
+        ]
+    parts = ", ".join(f"{df.columns.index(c)}, {text_literal(c)}, one{i}, n{i}, m{i}" for i, c in enumerate(names))
+    facts = df.agg(*tests).selectExpr(f"STACK({len(names)}, {parts}) AS (position, column, one, n, n_missing)")
+    kept = facts.where("(one AND n > 0 AND n_missing = 0) OR n = 0")
+    return kept.selectExpr("position", "column", "IF(n > 0, 1L, 0L) AS n_distinct", "n_missing").orderBy("position")
+
+
+def _orderable(data_type: T.DataType) -> bool:
+    return isinstance(data_type, T.AtomicType) and not isinstance(data_type, T.VariantType)
 
 
 def suggested_exclusions(

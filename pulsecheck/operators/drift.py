@@ -54,8 +54,8 @@ def running_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
     cells = numeric_cells(pair, columns)
     # drawing rows before they fan out into cells is cheaper than drawing cells
     thin = Pair(pair.rows.sample(1 / 64, seed=11), pair.reference_types, pair.current_types)
-    cuts = collect_cuts(numeric_cells(thin, columns), ["column_no"], "value", share=1.0)
-    return running_totals(cells, ["column_no"], "value", counts, cuts)
+    cuts = collect_cuts(numeric_cells(thin, columns), ["column_no"], "value", share=1.0, n_keys=len(columns))
+    return running_totals(cells, ["column_no"], "value", counts, cuts, n_keys=len(columns))
 
 
 def quantile_shares(bins: int) -> list[float]:
@@ -95,8 +95,8 @@ def _numeric_summary(pair: Pair, columns: Sequence[str], bins: int) -> DataFrame
         F.max("all_ref").alias("ref_n"),
         F.max("all_cur").alias("cur_n"),
         F.expr(f"MAX(CASE WHEN {enough} THEN {gap} ELSE 0.0D END)").alias("ks"),
-        F.expr("SUM(value * ref) / NULLIF(SUM(ref), 0)").alias("ref_mean"),
-        F.expr("SUM(value * cur) / NULLIF(SUM(cur), 0)").alias("cur_mean"),
+        F.expr("SUM(IF(ref > 0, value * ref, 0D)) / NULLIF(SUM(ref), 0)").alias("ref_mean"),
+        F.expr("SUM(IF(cur > 0, value * cur, 0D)) / NULLIF(SUM(cur), 0)").alias("cur_mean"),
         order_statistics(shares, "ref").alias("picked"),
     )
     # a column without a single value still has its row

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsecheck.functions.expressions import category_sql, number_sql, present_sql, text_literal
+from pulsecheck.functions.expressions import category_sql, missing_sql, number_sql, present_sql, text_literal, text_sql
 from pulsecheck.sources.pairs import Pair
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType)
-LONG_TEXT = 64
 
 
 IS_REF = "period = 'reference' AS is_ref"
@@ -22,8 +21,7 @@ SIDES = ("SUM(IF(is_ref, 1L, 0L)) AS n_ref", "SUM(IF(is_ref, 0L, 1L)) AS n_cur")
 def _identity(df: DataFrame, name: str) -> str:
     """SQL of (text, num, whole): one of them carries the value without a costly cast to text.
 
-    Text beyond 64 characters is carried as its SHA-256, so that whole documents are not shuffled
-    just to be counted.
+    All text is carried as its SHA-256, so that whole documents are not shuffled just to be counted.
     """
     data_type = df.schema[name].dataType
     value = present_sql(df, name)
@@ -35,8 +33,7 @@ def _identity(df: DataFrame, name: str) -> str:
     elif isinstance(data_type, WHOLE):
         whole = f"CAST({value} AS BIGINT)"
     else:
-        plain = f"CAST({value} AS STRING)"
-        text = f"IF(LENGTH({plain}) > {LONG_TEXT}, SHA2({plain}, 256), {plain})"
+        text = f"SHA2(CAST({value} AS STRING), 256)"
     return f"{text}, {num}, {whole}"
 
 
@@ -76,9 +73,38 @@ def column_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
     return totals.selectExpr(named(columns), *[c for c in totals.columns if c != "column_no"])
 
 
-def category_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n_ref, n_cur) of categorical columns, missing as its own category."""
-    cells = [category_sql(pair.rows, c) for c in columns]
+def cell_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column and period: rows and missing cells. One aggregate row a task, whatever the values."""
+    columns = list(columns or pair.columns)
+    counts = [F.sum(F.expr(f"IF({missing_sql(pair.rows, c)}, 1L, 0L)")).alias(f"m{i}") for i, c in enumerate(columns)]
+    per_period = pair.rows.selectExpr("*", IS_REF).groupBy("is_ref").agg(F.count("*").alias("n"), *counts)
+    long = per_period.selectExpr("is_ref", "n", stacked(columns, [f"m{i}" for i in range(len(columns))], "column_no, missing"))
+    sides = [
+        F.coalesce(F.sum(F.when(F.col("is_ref") == side, F.col(value))), F.lit(0)).alias(f"{name}_{what}")
+        for what, value in (("rows", "n"), ("missing", "missing"))
+        for name, side in (("ref", True), ("cur", False))
+    ]
+    return long.groupBy("column_no").agg(*sides).selectExpr(named(columns), "ref_rows", "cur_rows", "ref_missing", "cur_missing")
+
+
+def approximate_stats(pair: Pair, columns: Sequence[str] | None = None, error: float = 0.02) -> DataFrame:
+    """`cell_stats` with estimated distinct values of each period (`ref_distinct`, `cur_distinct`)."""
+    columns = list(columns or pair.columns)
+    estimates = []
+    for i, c in enumerate(columns):
+        value = f"CAST({present_sql(pair.rows, c)} AS STRING)"
+        for name, side in (("ref", "is_ref"), ("cur", "NOT is_ref")):
+            estimates.append(F.approx_count_distinct(F.expr(f"IF({side}, {value}, NULL)"), error).alias(f"{name}{i}"))
+    wide = pair.rows.selectExpr("*", IS_REF).agg(*estimates)
+    parts = stacked(columns, [f"ref{i}, cur{i}" for i in range(len(columns))], "column_no, ref_distinct, cur_distinct")
+    found = wide.selectExpr(parts).selectExpr(named(columns), "ref_distinct", "cur_distinct")
+    return cell_stats(pair, columns).join(F.broadcast(found), "column")
+
+
+def category_counts(pair: Pair, columns: Sequence[str], labelled: bool = True) -> DataFrame:
+    """(column, value, n_ref, n_cur) of categorical columns, missing as its own category: under its label, or, if not
+    `labelled`, as null, which no value can be mistaken for."""
+    cells = [category_sql(pair.rows, c) if labelled else text_sql(pair.rows, c) for c in columns]
     long = pair.rows.selectExpr(IS_REF, stacked(columns, cells, "column_no, value"))
     counts = long.groupBy("column_no", "value").agg(*map(F.expr, SIDES))
     return counts.selectExpr(named(columns), "value", "n_ref", "n_cur")

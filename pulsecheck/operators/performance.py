@@ -16,6 +16,7 @@ BINARY_METRICS = ["accuracy", "precision", "recall", "f1", "fpr", "fnr"]
 RANKED_METRICS = ["roc_auc", "pr_auc"]
 MULTICLASS_METRICS = ["accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1"]
 REGRESSION_METRICS = ["mae", "rmse", "r2"]
+MAX_LABELS = 100
 EPSILON = 2.220446049250313e-16  # spacing of doubles at 1
 
 
@@ -55,9 +56,10 @@ def binary_metrics(scored: DataFrame) -> DataFrame:
 
 def score_ranks(scored: DataFrame) -> DataFrame:
     """Per period the distinct scores ascending, with positives and negatives, running and in total."""
-    rows = scored.select("period", F.col("proba").cast("double").alias("score"), "y_true").where(F.col("score").isNotNull())
+    # rows without a score (null or NaN) or without a label take no part
+    rows = scored.select("period", F.nanvl(F.col("proba").cast("double"), F.lit(None)).alias("score"), "y_true").where("score IS NOT NULL AND y_true IS NOT NULL")
     counts = {"pos": count_where(F.col("y_true") == 1), "neg": count_where(F.col("y_true") != 1)}
-    return running_totals(rows, ["period"], "score", counts)
+    return running_totals(rows, ["period"], "score", counts, n_keys=2)
 
 
 def _double(name: str) -> Column:
@@ -103,18 +105,24 @@ def roc_curve(scored: DataFrame) -> DataFrame:
         F.broadcast(before), ["period", "range_id"]
     )
     lower = F.coalesce("__lower", "__end")
-    highest = (F.col("cum_pos") == F.col("all_pos")) & (F.col("cum_neg") == F.col("all_neg"))
+    highest = _highest()
     corner = highest | lower.isNull() | (lower["pos"] != F.col("pos")) | (lower["neg"] != F.col("neg"))
     points = linked.where(corner).select(
         "period",
         F.col("score").alias("threshold"),
         _share("neg").alias("fpr"),
         _share("pos").alias("tpr"),
+        highest.alias("first"),
     )
-    origin = scored.select("period").distinct().select(
-        "period", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return origin.unionByName(points)
+    # the origin comes with the highest score of the period, so the table is not read for it
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    point = F.struct("threshold", "fpr", "tpr")
+    return points.select("period", F.explode(F.when(F.col("first"), F.array(start, point)).otherwise(F.array(point))).alias("p")).select("period", "p.*")
+
+
+def _highest() -> Column:
+    """Whether a distinct score is the highest of its period."""
+    return (F.col("cum_pos") == F.col("all_pos")) & (F.col("cum_neg") == F.col("all_neg"))
 
 
 def _share(kind: str) -> Column:
@@ -129,12 +137,11 @@ def pr_curve(scored: DataFrame) -> DataFrame:
     alarms = _double("all_neg") - _double("cum_neg") + _double("neg")
     recall = F.when(F.col("all_pos") > 0, caught / _double("all_pos")).otherwise(F.lit(1.0))
     points = score_ranks(scored).select(
-        "period", F.col("score").alias("threshold"), recall.alias("recall"), (caught / (caught + alarms)).alias("precision")
-    )
-    end = scored.select("period").distinct().select(
-        "period", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision")
+        "period", _highest().alias("first"), F.col("score").alias("threshold"), recall.alias("recall"), safe_div(caught, caught + alarms).alias("precision")
     )
-    return points.unionByName(end)
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    point = F.struct("threshold", "recall", "precision")
+    return points.select("period", F.explode(F.when(F.col("first"), F.array(point, end)).otherwise(F.array(point))).alias("p")).select("period", "p.*")
 
 
 # --- multiclass -------------------------------------------------------------------------------
@@ -149,8 +156,10 @@ def label_cells(scored: DataFrame, keys: Sequence[str] = ("period",)) -> DataFra
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
     """Every (period, actual, predicted) over the labels seen on either side in any period."""
-    cells = label_cells(scored)
-    # classes x classes cells at most, so the label set is one small array
+    cells = literal_table(label_cells(scored))  # one scan; classes x classes rows a period
+    labels = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct().count()
+    if labels > MAX_LABELS:
+        raise ValueError(f"a confusion matrix needs at most {MAX_LABELS} labels, not {labels}")
     seen = cells.agg(
         F.collect_set("period").alias("periods"),
         F.array_union(F.collect_set("actual"), F.collect_set("predicted")).alias("labels"),

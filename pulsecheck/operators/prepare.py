@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsecheck.functions.expressions import as_number, as_text, count_where, quoted
@@ -22,8 +22,8 @@ def class_table(known: DataFrame, target: str) -> DataFrame:
     found = [r[0] for r in classes.limit(MAX_CLASSES + 1).collect()]
     if len(found) > MAX_CLASSES:
         raise ValueError("more than 100 classes")
-    by_text = Window.partitionBy(F.lit(0)).orderBy("class")
-    return classes.select("class", (F.row_number().over(by_text) - 1).alias("class_index"))
+    numbered = [(name, i) for i, name in enumerate(sorted(found))]
+    return known.sparkSession.createDataFrame(numbered, "class string, class_index int")
 
 
 def unknown_labels(df: DataFrame, column: str, classes: DataFrame) -> DataFrame:
@@ -44,29 +44,40 @@ def encode_multiclass(df: DataFrame, column: str, classes: DataFrame, out: str)
 
 def encode_regression(df: DataFrame, column: str) -> Column:
     """Double; text that is no number stops the query."""
-    return quoted(column).cast("double")
+    value = as_number(df, column)
+    wrong = quoted(column).isNotNull() & value.isNull() & ~quoted(column).cast("string").rlike(r"^\s*[+-]?[nN]a[nN]\s*$")
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"no number in {column}: "), quoted(column).cast("string"))).cast("double")).otherwise(value)
 
 
 def probability_check(df: DataFrame, column: str) -> DataFrame:
-    """One row: values, values outside [0, 1], and whether all are valid."""
+    """One row: values, values outside [0, 1], rows without a value (null, NaN, no number), and whether all are valid."""
     p = as_number(df, column)
-    facts = df.agg(F.count(p).alias("n_values"), count_where((p < 0) | (p > 1)).alias("n_outside"))
-    return facts.withColumn("valid", F.col("n_outside") == 0)
+    facts = df.agg(F.count(p).alias("n_values"), count_where((p < 0) | (p > 1)).alias("n_outside"), count_where(p.isNull()).alias("n_missing"))
+    return facts.withColumn("valid", (F.col("n_outside") == 0) & (F.col("n_missing") == 0))
 
 
 def logged_probability(df: DataFrame, column: str) -> Column:
-    if not probability_check(df, column).first()["valid"]:
-        raise ValueError(f"probabilities in {column} must lie between 0 and 1")
-    return quoted(column).cast("double")
+    found = probability_check(df, column).first()
+    if found["n_outside"]:
+        raise ValueError(f"probabilities in {column} must lie between 0 and 1; {found['n_outside']} do not")
+    if found["n_missing"]:
+        raise ValueError(f"{found['n_missing']} rows have no probability in {column}")
+    return as_number(df, column)
 
 
 def apply_threshold(probability: Column, threshold: float = 0.50) -> Column:
-    return (probability >= F.lit(threshold)).cast("int")
+    """1 from the threshold on; 0 below it and for a missing probability (null or NaN)."""
+    return F.coalesce(((probability >= F.lit(threshold)) & ~F.isnan(probability)).cast("int"), F.lit(0))
 
 
 def logged_prediction(df: DataFrame, column: str, kind: str, positive: str | None = None) -> tuple[Column, str]:
-    """The logged column as a prediction, and where it comes from."""
+    """The logged column as a prediction, and where it comes from.
+
+    A binary label that is missing counts as the negative class; a missing class or number is an error.
+    """
     source = f"logged:{column}"
+    if kind != "binary":
+        refuse_missing(df, column, kind)
     if kind == "regression":
         return encode_regression(df, column), source
     if kind == "binary":
@@ -74,9 +85,16 @@ def logged_prediction(df: DataFrame, column: str, kind: str, positive: str | Non
     return as_text(df, column), source
 
 
-def missing_predictions(df: DataFrame, column: str) -> DataFrame:
-    """One row: rows, and rows whose logged prediction is missing and so counts as the negative class."""
-    return df.agg(F.count("*").alias("n_rows"), count_where(as_text(df, column).isNull()).alias("n_missing"))
+def missing_predictions(df: DataFrame, column: str, kind: str = "binary") -> DataFrame:
+    """One row: rows, and rows whose logged prediction is missing."""
+    value = as_number(df, column) if kind == "regression" else as_text(df, column)
+    return df.agg(F.count("*").alias("n_rows"), count_where(value.isNull()).alias("n_missing"))
+
+
+def refuse_missing(df: DataFrame, column: str, kind: str) -> None:
+    missing = missing_predictions(df, column, kind).first()["n_missing"]
+    if missing:
+        raise ValueError(f"{missing} rows have no prediction in {column}")
 
 
 def scored_table(

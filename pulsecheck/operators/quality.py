@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsecheck.config import DANGER, MISSING_DANGER, MISSING_WARNING, STABLE, WARNING
 from pulsecheck.functions.expressions import is_numeric
 from pulsecheck.functions.literal import local_table
-from pulsecheck.operators.frequency import column_stats
+from pulsecheck.operators.frequency import approximate_stats, cell_stats, column_stats
 from pulsecheck.sources.pairs import Pair
 
 TYPES = "column string, position int, ref_type string, cur_type string, is_text boolean"
@@ -79,16 +79,27 @@ def quality_table(pair: Pair, target: str | None = None) -> DataFrame:
 
 
 def missing_rates(pair: Pair) -> DataFrame:
-    return quality_table(pair).select("column", "ref_missing_rate", "cur_missing_rate", "missing_delta")
+    facts = column_types(pair).join(F.broadcast(cell_stats(pair)), "column", "left")
+    rates = facts.select(
+        "position",
+        "column",
+        _rate("ref_missing", "ref_rows", "ref_type").alias("ref_missing_rate"),
+        _rate("cur_missing", "cur_rows", "cur_type").alias("cur_missing_rate"),
+    )
+    delta = (F.col("cur_missing_rate") - F.col("ref_missing_rate")).alias("missing_delta")
+    return rates.orderBy("position").select("column", "ref_missing_rate", "cur_missing_rate", delta)
 
 
-def distinct_counts(pair: Pair) -> DataFrame:
+def distinct_counts(pair: Pair, approximate: float | None = None) -> DataFrame:
+    """Exact by default; `approximate` is the relative error of a mergeable sketch, which shuffles no value."""
+    if approximate is not None:
+        return approximate_stats(pair, None, approximate).select("column", "ref_distinct", "cur_distinct")
     return quality_table(pair).select("column", "ref_distinct", "cur_distinct")
 
 
 def type_changes(pair: Pair) -> DataFrame:
     """Columns of both sides, with their cells per side and whether the type differs."""
-    stats = column_stats(pair, pair.shared).select("column", "ref_rows", "cur_rows")
+    stats = cell_stats(pair, pair.shared).select("column", "ref_rows", "cur_rows")
     types = column_types(pair).where(F.col("ref_type").isNotNull() & F.col("cur_type").isNotNull())
     return types.join(F.broadcast(stats), "column").select(
         "column", "ref_type", "cur_type", (F.col("ref_type") != F.col("cur_type")).alias("type_changed"), "ref_rows", "cur_rows"
@@ -97,7 +108,7 @@ def type_changes(pair: Pair) -> DataFrame:
 
 def one_sided_columns(pair: Pair) -> DataFrame:
     """Columns that only one side has, with the number of values they hold there."""
-    stats = column_stats(pair).select(
+    stats = cell_stats(pair).select(
         "column", (F.col("ref_rows") + F.col("cur_rows") - F.col("ref_missing") - F.col("cur_missing")).alias("n_values")
     )
     types = column_types(pair).where(F.col("ref_type").isNull() | F.col("cur_type").isNull())

@@ -56,6 +56,7 @@ def segment_rows(scored: DataFrame, kept: DataFrame) -> DataFrame:
 
 def _against_overall(groups: DataFrame, overall: dict[str, str]) -> DataFrame:
     """Join each group with the `(all)` row of its period; `overall` maps a figure to its new name."""
+    groups = literal_table(groups)  # at most 2 x (#columns x 30 + 1) rows, from one scan
     total = groups.where(F.col("segment_column") == ALL).select("period", *[F.col(c).alias(n) for c, n in overall.items()])
     return groups.where(F.col("segment_column") != ALL).join(F.broadcast(total), "period")
 

@@ -10,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsecheck.config import CURRENT, MISSING, PERIOD, REFERENCE
@@ -25,6 +25,7 @@ from pulsecheck.operators.prepare import (
     encode_multiclass,
     encode_regression,
     logged_probability,
+    refuse_missing,
     unknown_labels,
 )
 from pulsecheck.operators.split import labels_complete, split_train_holdout
@@ -37,7 +38,6 @@ REGRESSOR_DEPTH = 10
 MIN_LEAF = 4
 SEED = 42
 MIN_REFERENCE_ROWS = 80
-MAX_CATEGORIES = 100_000
 
 
 # --- imputation -------------------------------------------------------------------------------
@@ -55,7 +55,7 @@ def median_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 def mode_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mode, n_categories) over the values that are present; on ties the smallest text."""
     pair = pair_from(train.withColumn(PERIOD, F.lit(REFERENCE)), list(columns))
-    counts = category_counts(pair, columns).where(F.col("value") != MISSING)
+    counts = category_counts(pair, columns, labelled=False).where(F.col("value").isNotNull())
     key = F.struct((-F.col("n_ref")).alias("n"), F.col("value"))
     return counts.groupBy("column").agg(F.min(key)["value"].alias("mode"), F.count("*").alias("n_categories"))
 
@@ -63,10 +63,9 @@ def mode_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """(class, n, weight): n_rows / (n_classes * n_class), so that every class weighs the same."""
     counts = rows.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
-    # the window runs over one row per class
-    every = Window.partitionBy(F.lit(0))
-    weight = F.sum("n").over(every).cast("double") / (F.count("*").over(every) * F.col("n")).cast("double")
-    return counts.select("class", "n", weight.alias("weight"))
+    total = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))  # one row
+    weight = F.col("rows").cast("double") / (F.col("classes") * F.col("n")).cast("double")
+    return counts.join(F.broadcast(total), F.lit(True)).select("class", "n", weight.alias("weight"))
 
 
 # --- model ------------------------------------------------------------------------------------
@@ -121,15 +120,17 @@ def _stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def _fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[dict, dict]:
+def _fill_values(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_categories: int | None = None
+) -> tuple[dict, dict]:
     medians = dict.fromkeys(numeric, 0.0)
     modes = dict.fromkeys(categorical, MISSING)
     if numeric:
         medians |= {r["column"]: r["median"] for r in median_values(train, numeric).collect()}
     if categorical:
         for row in mode_values(train, categorical).collect():
-            if row["n_categories"] > MAX_CATEGORIES:
-                raise ValueError(f"{row['column']} has more than {MAX_CATEGORIES} categories; exclude it")
+            if max_categories is not None and row["n_categories"] > max_categories:
+                raise ValueError(f"{row['column']} has more than {max_categories} categories; exclude it")
             modes[row["column"]] = row["mode"]
     return medians, modes
 
@@ -142,9 +143,13 @@ def fit_surrogate(
     categorical: Sequence[str],
     trees: int = TREES,
     seed: int = SEED,
+    max_categories: int | None = None,
 ) -> Surrogate:
-    """`label` holds the class index or the number to predict."""
-    medians, modes = _fill_values(train, numeric, categorical)
+    """`label` holds the class index or the number to predict.
+
+    The indexer keeps every category of a feature on the driver; `max_categories` makes more of them an error.
+    """
+    medians, modes = _fill_values(train, numeric, categorical, max_categories)
     blank = Surrogate(task, list(numeric), list(categorical), medians, modes, None)
     rows = blank.prepare(train)
     common = dict(labelCol=label, numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=seed)
@@ -186,6 +191,7 @@ def score_tables(
     prediction_column: str | None = None,
     probability_column: str | None = None,
     trees: int = TREES,
+    max_categories: int | None = None,
 ) -> Scored:
     """Fit on the first 80 % of the reference (in `order`), score its last 20 % and all of current.
 
@@ -219,7 +225,7 @@ def score_tables(
     train = truth(parts.where(F.col("__part") == "train"))
     if task.kind != "regression" and train.select(label).distinct().count() < 2:
         raise ValueError("the training part of the reference has a single class")
-    surrogate = fit_surrogate(train, label, task, numeric, categorical, trees)
+    surrogate = fit_surrogate(train, label, task, numeric, categorical, trees, max_categories=max_categories)
 
     baseline = truth(parts.where(F.col("__part") == "holdout")).withColumn(PERIOD, F.lit(REFERENCE))
     recent = truth(current, has_labels).withColumn(PERIOD, F.lit(CURRENT))
@@ -241,6 +247,8 @@ def score_tables(
         value = encode_binary(df, pred, classes[1]) if pred else apply_threshold(p, threshold)
         return df.select(*columns, value.alias("y_pred"), p.alias("proba"))
 
+    if logged_pred and task.kind != "binary":
+        refuse_missing(recent, logged_pred, task.kind)
     if logged_pred and task.kind == "multiclass":
         unknown = [r[0] for r in unknown_labels(recent, logged_pred, known).collect()]
         if unknown:

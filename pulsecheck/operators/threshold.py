@@ -20,7 +20,8 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
     One scan counts rows by the number of thresholds they reach: 18 groups. The sweep sums those.
     """
     edges = F.array(*[F.lit(t) for t in THRESHOLDS])
-    rows = scored.where(F.col("period") == CURRENT).select("y_true", F.col("proba").cast("double").alias("proba"))
+    rows = scored.where(F.col("period") == CURRENT).select("y_true", F.nanvl(F.col("proba").cast("double"), F.lit(None)).alias("proba"))
+    rows = rows.where(F.col("proba").isNotNull())
     reached = (
         locate(rows, F.col("proba"), edges, len(THRESHOLDS), "reached")
         .groupBy("reached")

@@ -18,7 +18,7 @@ from pulsecheck.operators import columns as cols
 from pulsecheck.operators import drift as dr
 from pulsecheck.operators import health, performance, profile, quality, report, segments, surrogate, threshold
 from pulsecheck.sources.csv import write_csv
-from pulsecheck.sources.pairs import Pair, pair_of
+from pulsecheck.sources.pairs import OWN_PERIOD, Pair, pair_of
 
 SEGMENT_FIGURE = report.SEGMENT_METRIC
 
@@ -56,14 +56,18 @@ class Analysis:
     def confusion(self) -> DataFrame:
         return performance.confusion_matrix(self.scored)
 
-    def roc_curve(self) -> DataFrame:
-        return performance.roc_curve(self.scored)
+    def _with_curves(self) -> bool:
+        """Both periods have probabilities and labels, and current has two classes."""
+        return self.calibration is not None
 
-    def pr_curve(self) -> DataFrame:
-        return performance.pr_curve(self.scored)
+    def roc_curve(self) -> DataFrame | None:
+        return performance.roc_curve(self.scored) if self._with_curves() else None
 
-    def calibration_curve(self) -> DataFrame:
-        return cal.calibration_curve(self.scored)
+    def pr_curve(self) -> DataFrame | None:
+        return performance.pr_curve(self.scored) if self._with_curves() else None
+
+    def calibration_curve(self) -> DataFrame | None:
+        return cal.calibration_curve(self.scored) if self._with_curves() else None
 
     def residuals(self) -> DataFrame:
         return performance.residuals(self.scored)
@@ -186,6 +190,8 @@ def analyze_scored(
         actions=steps,
         limitations=report.limitations(groups, kind, current_rows, has_labels, scored.sparkSession),
         headline=report.headline_counts(drift_rows, groups, steps),
+        tables={name: pair.period(name) for name in (REFERENCE, CURRENT)},
+        target=target,
     )
 
 
@@ -213,12 +219,22 @@ def analyze(
     prediction_column: str | None = None,
     probability_column: str | None = None,
     trees: int = surrogate.TREES,
+    max_categories: int | None = None,
 ) -> Analysis:
     """Compare two tables end to end, fitting the stand-in model on the reference.
 
     `order` names the columns that put reference rows into past-to-present order and end with a key.
-    `excluded` defaults to the suggested exclusions.
+    `excluded` defaults to the suggested exclusions. `max_categories`: a categorical feature with more values is an
+    error (none by default; the values of a feature are kept on the driver while the model is fitted).
+
+    A column called `period` takes part under the name OWN_PERIOD.
     """
+    reference, current = (df.withColumnRenamed(PERIOD, OWN_PERIOD) for df in (reference, current))
+    target, prediction_column, probability_column = (
+        OWN_PERIOD if name == PERIOD else name for name in (target, prediction_column, probability_column)
+    )
+    order = [OWN_PERIOD if name == PERIOD else name for name in order]
+    excluded = excluded and [OWN_PERIOD if name == PERIOD else name for name in excluded]
     found = cols.infer_task_type(reference, target, task)
     if excluded is None:
         excluded = cols.excluded_names(reference, target, prediction_column, probability_column)
@@ -239,6 +255,7 @@ def analyze(
         prediction_column,
         probability_column,
         trees,
+        max_categories,
     )
     kept = Pair(
         scored.rows.select(PERIOD, *[quoted(c) for c in categorical]),

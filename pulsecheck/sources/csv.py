@@ -34,13 +34,18 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return "cp949"
 
 
-def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = False) -> DataFrame:
     """CSV with a header line, as a table of BIGINT, DOUBLE, BOOLEAN and STRING columns.
 
-    `types` (column -> type) skips the pass that looks for the types.
+    `types` (column -> type) skips the pass that looks for the types. Fields with line breaks need `multi_line`; without
+    it large files are read in parts, and a line whose quotes do not pair up is an error.
     """
     encoding = csv_encoding(spark, path)
-    options = {"header": True, "quote": '"', "escape": '"', "inferSchema": False}
+    options = {"header": True, "quote": '"', "escape": '"', "inferSchema": False, "multiLine": multi_line}
+    if not multi_line:
+        odd = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+        if not spark.read.text(path).where(odd % 2 == 1).isEmpty():
+            raise ValueError("a field of the CSV holds a line break: read it with multi_line=True")
     if encoding == "utf-8":
         text = spark.read.csv(path, encoding="UTF-8", **options)
     else:
@@ -56,7 +61,8 @@ def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = N
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A result table as CSV files with a header line."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    df.write.options(header=True, escape='"', **keep).csv(path)
 
 
 def _typed(cell: Column, data_type: str) -> Column:

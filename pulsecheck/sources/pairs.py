@@ -12,6 +12,9 @@ from pulsecheck.config import CURRENT, PERIOD, REFERENCE
 from pulsecheck.functions.expressions import is_numeric, quoted
 
 
+OWN_PERIOD = "period (column)"
+
+
 @dataclass(frozen=True)
 class Pair:
     """`rows` holds both periods, so that one scan serves both sides of every comparison."""
@@ -42,11 +45,13 @@ class Pair:
 
 
 def pair_of(reference: DataFrame, current: DataFrame) -> Pair:
-    """Two tables side by side. Columns of one side only are null on the other."""
+    """Two tables side by side. Columns of one side only are null on the other.
+
+    A column of the tables that has the name of the side marker is kept as OWN_PERIOD.
+    """
+    reference, current = (df.withColumnRenamed(PERIOD, OWN_PERIOD) for df in (reference, current))
     ref_types = {f.name: f.dataType for f in reference.schema.fields}
     cur_types = {f.name: f.dataType for f in current.schema.fields}
-    if PERIOD in ref_types or PERIOD in cur_types:
-        raise ValueError(f"rename the column `{PERIOD}` first: it marks the two sides")
     for name, data_type in ref_types.items():
         other = cur_types.get(name, data_type)
         if data_type != other and not (is_numeric(data_type) and is_numeric(other)):

@@ -63,7 +63,16 @@ part("currows", f"SELECT * FROM scored WHERE {CUR}")
 
 # --- sources, splits ----------------------------------------------------------------------------
 
-oracle("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, " + r6("o_totalprice") + ", o_orderpriority FROM orders")
+oracle(
+    "scan_csv",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, " + r6("o_totalprice") + ", CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders",
+)
+oracle("csv_documents", "SELECT doc_id, md5(text) AS md5, lang, source, n_chars FROM documents")
+oracle(
+    "split_by_instant",
+    """SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts NULLS LAST, event_id)
+       <= CAST(floor(count(*) OVER () * 0.45) AS BIGINT) THEN 'reference' ELSE 'current' END AS period FROM events""",
+)
 oracle(
     "scan_two_tables",
     f"""SELECT period, count(*) AS n, {r6('sum(usage)', 'usage')}, count(pred) AS n_pred,
@@ -194,6 +203,11 @@ oracle(
     "duplicate_rows",
     f"SELECT count(*) AS n_rows, {n('count(*) - count(DISTINCT text)', 'duplicate_rows')} FROM documents",
 )
+oracle(
+    "duplicate_whole_rows",
+    f"""SELECT {n('sum(c)', 'n_rows')}, {n('sum(c - 1)', 'duplicate_rows')} FROM (SELECT count(*) AS c FROM lineitem
+    GROUP BY l_returnflag, l_linestatus, l_quantity, l_discount, l_tax)""",
+)
 part(
     "leaky",
     """SELECT doc_id, toxic, quality, CAST(quality AS VARCHAR) AS copied, quality * 2 + 1 AS shifted,
@@ -230,15 +244,13 @@ oracle(
 # --- quality ------------------------------------------------------------------------------------
 
 
-def quality_facts(names: list[str], target: str) -> str:
+def quality_facts(names: list[str], target: str, table: str = "scored") -> str:
     rows = []
     for i, c in enumerate(names):
-        text = c in CATEGORICAL
-        kind = "string" if text else "int" if c == "y_true" else "double"
-        if c in ("tier",):
-            text, kind = True, "string"
+        text = c in (*CATEGORICAL, "tier", "pred_tier")
+        kind = "string" if text else "bigint" if c == "l_orderkey" else "int" if c in ("y_true", "pred", "l_linenumber") else "double"
         new = (
-            f"(SELECT count(*) FROM (SELECT DISTINCT {c} FROM currows WHERE {c} IS NOT NULL EXCEPT SELECT {c} FROM refrows))"
+            f"(SELECT count(*) FROM (SELECT DISTINCT {c} FROM {table} WHERE {CUR} AND {c} IS NOT NULL EXCEPT SELECT {c} FROM {table} WHERE {REF}))"
             if text
             else "0"
         )
@@ -247,7 +259,7 @@ def quality_facts(names: list[str], target: str) -> str:
             avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) FILTER ({REF}) AS ref_missing_rate,
             avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) FILTER ({CUR}) AS cur_missing_rate,
             count(DISTINCT {c}) FILTER ({REF}) AS ref_distinct, count(DISTINCT {c}) FILTER ({CUR}) AS cur_distinct,
-            {new} AS found_new, count(*) FILTER ({REF}) AS ref_rows, {str(c == target).lower()} AS is_target FROM scored"""
+            {new} AS found_new, count(*) FILTER ({REF}) AS ref_rows, {str(c == target).lower()} AS is_target FROM {table}"""
         )
     return f"""SELECT *, CASE WHEN missing_delta >= 0.10 THEN 'missing_up_10_points'
       WHEN new_categories > 0 OR missing_delta >= 0.03 THEN 'new_category_or_missing_up' ELSE 'none' END AS reason,
@@ -261,16 +273,47 @@ def quality_facts(names: list[str], target: str) -> str:
 part("quality_rows", quality_facts(QUALITY, "y_true"))
 part("quality_tier", quality_facts([*FEATURES, "tier"], "tier"))
 part("quality_value", quality_facts([*FEATURES, "y_value"], "y_value"))
+WIDE = ["usage", "amount", "y_value", "pred_value", "usage", "amount"]
+COPIES = [f"{c}_{i}" for i, c in enumerate(WIDE)]
+part(
+    "wide_log",
+    "SELECT *, "
+    + ", ".join(f"CASE WHEN {REF} OR l_orderkey % {i + 3} <> 0 THEN {c} + {i} END AS {c}_{i}" for i, c in enumerate(WIDE))
+    + " FROM scored",
+)
+WIDE_COLUMNS = [
+    "l_orderkey", "l_linenumber", *FEATURES, "y_true", "proba", "pred", "tier", "pred_tier", "y_value", "pred_value", *COPIES,
+]
+part("quality_wide", quality_facts(WIDE_COLUMNS, "y_true", "wide_log"))
 oracle(
     "missing_rates",
     f"SELECT \"column\", {r6('ref_missing_rate')}, {r6('cur_missing_rate')}, {r6('missing_delta')} FROM quality_rows",
 )
 oracle("distinct_counts", 'SELECT "column", ref_distinct, cur_distinct FROM quality_rows')
+#: Of the two uneven tables: types as DuckDB has them in either table, cells and missing cells.
+part("uneven_ref", f"SELECT usage, discount, flag, pred, y_value FROM scored WHERE {REF}")
+part("uneven_cur", f"SELECT usage, discount, flag, CAST(pred AS VARCHAR) AS pred, pred_value FROM scored WHERE {CUR}")
+
+
+def _uneven(c: str) -> str:
+    """Facts of one column of either side; the type of a side without it is null."""
+    spark_type = "CASE {0} WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' END"
+    sides = []
+    for name, table in (("ref", "uneven_ref"), ("cur", "uneven_cur")):
+        has = c not in (("pred_value",) if name == "ref" else ("y_value",))
+        kind = spark_type.format(f"(SELECT any_value(typeof({c})) FROM {table})") if has else "NULL::VARCHAR"
+        missing = f"(SELECT avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) FROM {table})" if has else "NULL::DOUBLE"
+        sides.append(f"{kind} AS {name}_type, {missing} AS {name}_missing, (SELECT count(*) FROM {table}) AS {name}_rows")
+    both = c not in ("y_value", "pred_value")
+    new = f"(SELECT count(*) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) FROM uneven_cur EXCEPT SELECT CAST({c} AS VARCHAR) FROM uneven_ref))" if both else "0"
+    return f"""SELECT '{c}' AS "column", {', '.join(sides)}, {new} AS found_new"""
+
+
+part("uneven_facts", union([_uneven(c) for c in ("usage", "discount", "flag", "pred", "y_value", "pred_value")]))
 oracle(
     "type_changes",
-    f"""SELECT * FROM (VALUES ('usage', 'double', 'double', false), ('discount', 'double', 'double', false),
-      ('flag', 'string', 'string', false), ('pred', 'int', 'string', true)) AS t("column", ref_type, cur_type, type_changed),
-    (SELECT count(*) FILTER ({REF}) AS ref_rows, count(*) FILTER ({CUR}) AS cur_rows FROM scored)""",
+    f"""SELECT "column", ref_type, cur_type, ref_type <> cur_type AS type_changed, ref_rows, cur_rows FROM uneven_facts
+    WHERE ref_type IS NOT NULL AND cur_type IS NOT NULL""",
 )
 oracle("new_categories", f'SELECT "column", {n("new_categories")} FROM quality_rows')
 oracle(
@@ -280,9 +323,12 @@ oracle(
 )
 oracle(
     "quality_status",
-    """SELECT "column", status, reason FROM quality_rows WHERE "column" IN ('usage', 'discount', 'flag')
-    UNION ALL SELECT * FROM (VALUES ('pred', 'danger', 'type_changed'), ('y_value', 'danger', 'one_sided'),
-      ('pred_value', 'danger', 'one_sided'))""",
+    """SELECT "column", CASE WHEN reason IN ('one_sided', 'type_changed', 'missing_up_10_points') THEN 'danger'
+      WHEN reason = 'none' THEN 'stable' ELSE 'warning' END AS status, reason FROM (
+      SELECT "column", CASE WHEN ref_type IS NULL OR cur_type IS NULL THEN 'one_sided' WHEN ref_type <> cur_type THEN 'type_changed'
+        WHEN cur_missing - ref_missing >= 0.10 THEN 'missing_up_10_points'
+        WHEN cur_missing - ref_missing >= 0.03 OR (ref_type = 'string' AND found_new > 0) THEN 'new_category_or_missing_up'
+        ELSE 'none' END AS reason FROM uneven_facts)""",
 )
 oracle(
     "quality_table",
@@ -291,8 +337,8 @@ oracle(
 )
 oracle(
     "sink_csv_roundtrip",
-    f"""SELECT {n('position')}, "column", {r6('missing_delta')}, ref_distinct, cur_distinct, status, is_target
-    FROM quality_rows""",
+    f"""SELECT {n('position')}, "column", ref_type, cur_type, {r6('ref_missing_rate')}, {r6('cur_missing_rate')},
+    {r6('missing_delta')}, ref_distinct, cur_distinct, {n('new_categories')}, reason, status, is_target FROM quality_rows""",
 )
 
 # --- drift --------------------------------------------------------------------------------------
@@ -431,6 +477,26 @@ DRIFT = f"""SELECT col AS "column", kind, measure, {r6('score')}, {r6('ks')}, {r
     {r6('cur_mean')}, {r6('mean_change')}, ref_mode, cur_mode, status FROM drift_rows"""
 oracle("drift_table", DRIFT)
 
+# the same for the wide log
+OF_DRIFT = [
+    "num_cells", "num_stats", "ref_sorted", "edge_places", "edges", "inner_edges", "num_freq", "num_buckets", "psi_bins",
+    "psi_scores", "ks_scores", "ks_values", "cat_freq", "cat_shares", "js_scores", "cat_modes", "drift_rows",
+]
+WIDE_NUMBERS = [*NUMERIC, "proba", "pred", "y_value", "pred_value", *COPIES]
+for name in OF_DRIFT:
+    text = PARTS[name]
+    if name == "num_cells":
+        text = union([f"SELECT '{c}' AS col, period, CAST({c} AS DOUBLE) AS value FROM wide_log WHERE {c} IS NOT NULL" for c in WIDE_NUMBERS])
+    if name == "cat_freq":
+        text = union(
+            [
+                f"""SELECT '{c}' AS col, coalesce({c}, '(missing)') AS value, count(*) FILTER ({REF}) AS n_ref,
+                count(*) FILTER ({CUR}) AS n_cur FROM wide_log GROUP BY 2"""
+                for c in (*CATEGORICAL, "tier", "pred_tier")
+            ]
+        )
+    part(f"wide_{name}", re.sub(rf"\b({'|'.join(OF_DRIFT)})\b", r"wide_\1", text))
+
 # --- target, prediction, stand-in model ---------------------------------------------------------
 
 KEY = f"l_orderkey, {n('l_linenumber')}"
@@ -451,20 +517,34 @@ oracle(
     union(
         [
             f"""SELECT '{c}' AS "column", count({c}) AS n_values, count(*) FILTER ({c} < 0 OR {c} > 1) AS n_outside,
-            count(*) FILTER ({c} < 0 OR {c} > 1) = 0 AS valid FROM scored"""
+            count(*) FILTER ({c} IS NULL) AS n_missing, count(*) FILTER ({c} < 0 OR {c} > 1) = 0 AS valid FROM scored"""
             for c in ("proba", "usage")
         ]
     ),
 )
 oracle("apply_threshold", f"SELECT {KEY}, {n('CASE WHEN proba >= 0.35::DOUBLE THEN 1 ELSE 0 END', 'y_pred')} FROM scored")
+part(
+    "train_rows",
+    """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) <= floor(count(*) OVER () * 0.8) AS early
+       FROM refrows WHERE y_true IS NOT NULL) WHERE early""",
+)
 oracle(
     "impute_median",
-    union([f"SELECT '{c}' AS \"column\", {r6(f'median({c})', 'median')} FROM scored" for c in NUMERIC]),
+    union([f"SELECT '{c}' AS \"column\", {r6(f'median({c})', 'median')} FROM train_rows" for c in NUMERIC]),
 )
 oracle(
     "impute_mode",
-    """SELECT col AS "column", arg_min(value, (-(n_ref + n_cur), value)) AS mode, count(*) AS n_categories
-       FROM cat_freq WHERE value <> '(missing)' GROUP BY col""",
+    """SELECT col AS "column", arg_min(value, (-n, value)) AS mode, count(*) AS n_categories FROM ("""
+    + union(
+        [
+            f"SELECT '{c}' AS col, {x} AS value, count(*) AS n FROM train_rows WHERE {x} IS NOT NULL GROUP BY 2"
+            for c, x in (
+                *((c, c) for c in CATEGORICAL),
+                ("odd", "CASE WHEN l_linenumber <= 2 THEN '(missing)' WHEN l_linenumber <= 6 THEN flag END"),
+            )
+        ]
+    )
+    + ") GROUP BY col",
 )
 oracle(
     "one_hot",
@@ -483,7 +563,17 @@ oracle(
 oracle(
     "class_weights",
     f"""SELECT class, n, {r6('sum(n) OVER () / (count(*) OVER () * n)', 'weight')}
-    FROM (SELECT tier AS class, count(*) AS n FROM scored GROUP BY 1)""",
+    FROM (SELECT tier AS class, count(*) AS n FROM train_rows GROUP BY 1)""",
+)
+
+part("fitted_rows", f"SELECT period, y_true, y_value FROM holdout UNION ALL SELECT period, y_true, y_value FROM currows")
+oracle(
+    "fit_classifier",
+    f"SELECT period, count(*) AS n, {n('sum(y_true)', 'n_positive')}, count(*) AS n_sound, true AS current_is_worse FROM fitted_rows GROUP BY 1",
+)
+oracle(
+    "fit_regressor",
+    f"SELECT period, count(*) AS n, {r6('avg(y_value)', 'mean_label')}, count(*) AS n_sound, true AS current_is_worse FROM fitted_rows GROUP BY 1",
 )
 
 # --- performance --------------------------------------------------------------------------------
@@ -938,9 +1028,9 @@ def both_sides(table: str, ids: str, ref: str, cur: str, name: str, number=r6) -
 
 part(
     "top_missing",
-    'SELECT * FROM quality_rows WHERE NOT is_target ORDER BY greatest(ref_missing_rate, cur_missing_rate) DESC, "column" LIMIT 3',
+    'SELECT * FROM quality_wide WHERE NOT is_target ORDER BY greatest(ref_missing_rate, cur_missing_rate) DESC, "column" LIMIT 15',
 )
-part("top_distinct", 'SELECT * FROM quality_rows ORDER BY abs(cur_distinct - ref_distinct) DESC, "column" LIMIT 3')
+part("top_distinct", 'SELECT * FROM quality_wide ORDER BY abs(cur_distinct - ref_distinct) DESC, "column" LIMIT 12')
 oracle("missing_top", both_sides("top_missing", '"column"', "ref_missing_rate", "cur_missing_rate", "missing_rate"))
 oracle("distinct_change_top", both_sides("top_distinct", '"column"', "ref_distinct", "cur_distinct", "n_distinct", n))
 oracle(
@@ -955,7 +1045,7 @@ oracle(
 )
 oracle(
     "drift_top",
-    f'SELECT col AS "column", measure, {r6("score")}, status FROM drift_rows ORDER BY drift_rows.score DESC, col LIMIT 4',
+    f'SELECT col AS "column", measure, {r6("score")}, status FROM wide_drift_rows ORDER BY wide_drift_rows.score DESC, col LIMIT 10',
 )
 oracle("drift_scores", f'SELECT col AS "column", {r6("score")} FROM drift_rows')
 
@@ -1052,3 +1142,32 @@ def overview(kind: str) -> str:
 
 for kind in TASKS:
     oracle(f"full_analysis_{kind}", overview(kind))
+
+QUALITY_OVERVIEW = f"""SELECT 'quality' AS section, "column" AS item, 'missing_delta' AS measure, {r6('missing_delta', 'value')}, status FROM """
+DRIFT_OVERVIEW = f"SELECT 'drift', col, measure, {r6('score', 'value')}, status FROM drift_rows"
+part("key_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true"))
+oracle("full_analysis_fitted", QUALITY_OVERVIEW + "key_quality UNION ALL " + DRIFT_OVERVIEW)
+for kind, (target, outputs) in {"binary": ("y_true", ["pred", "proba"]), "multiclass": ("tier", ["pred_tier"]), "regression": ("y_value", ["pred_value"])}.items():
+    part(f"logged_{kind}", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, target], target))
+    only = union([f"SELECT 'quality', '{c}', 'missing_delta', NULL, 'danger'" for c in outputs])
+    metrics = f"SELECT 'performance', metric, 'after', {r6('after', 'value')}, NULL FROM perf_{kind}"
+    if kind == "multiclass":
+        metrics += " WHERE metric <> 'log_loss'"  # the logged run has the model's probabilities, not these
+    oracle(f"full_analysis_logged_{kind}", QUALITY_OVERVIEW + f"logged_{kind} UNION ALL {only} UNION ALL {DRIFT_OVERVIEW} UNION ALL {metrics}")
+part("quality_features", quality_facts(FEATURES, "none"))
+oracle(
+    "full_analysis_unlabelled",
+    f"SELECT *, 0::BIGINT AS n_results FROM ({QUALITY_OVERVIEW} quality_features UNION ALL {DRIFT_OVERVIEW})",
+)
+oracle(
+    "analysis_profile",
+    f"""SELECT period, n_rows, {n('7', 'n_columns')}, missing_cells, {n('n_rows - groups', 'duplicate_rows')}, n_positive FROM (
+      SELECT period, count(*) AS n_rows, CAST(sum({' + '.join(f'CASE WHEN {c} IS NULL THEN 1 ELSE 0 END' for c in QUALITY)}) AS BIGINT) AS missing_cells,
+        count(*) FILTER (y_true = 1) AS n_positive FROM scored GROUP BY 1)
+    JOIN (SELECT period, count(*) AS groups FROM (SELECT DISTINCT period, {', '.join(QUALITY)} FROM scored) GROUP BY 1) USING (period)""",
+)
+oracle(
+    "json_text",
+    f"""SELECT 'performance' AS view, count(*) OVER () AS n, metric, {r6('before')}, {r6('after')}, NULL::DOUBLE AS score, NULL::VARCHAR AS risk FROM perf_binary
+    UNION ALL SELECT 'health', 1, NULL, NULL, NULL, {r6('score')}, risk FROM health_binary""",
+)

@@ -39,7 +39,6 @@ REGISTERED: dict[str, Query] = {}
 KEY = ["l_orderkey", "l_linenumber"]
 QUALITY_COLUMNS = [*NUMERIC, *CATEGORICAL, "y_true"]
 TIERS = ["Basic", "Plus", "Premium"]
-TREES = 20  # keeps the driver's runs short; the library's default is 220
 
 
 def query(function: Query) -> Query:
@@ -154,15 +153,22 @@ def scan_csv(spark, sf):
     path = fresh_path(spark, "orders-csv")
     table(spark, sf, "orders").write.option("header", True).csv(path)
     read = csv.read_csv(spark, path)
-    return read.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return read.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp").cast("string"))
 
 
 @query
 def sink_csv_roundtrip(spark, sf):
     path = fresh_path(spark, "quality-csv")
     csv.write_csv(quality_of(spark, sf), path)
-    read = csv.read_csv(spark, path)
-    return read.select("position", "column", "missing_delta", "ref_distinct", "cur_distinct", "status", "is_target")
+    return csv.read_csv(spark, path)
+
+
+@query
+def csv_documents(spark, sf):
+    """Whole texts, line breaks and all, out to CSV and back."""
+    path = fresh_path(spark, "documents-csv")
+    csv.write_csv(table(spark, sf, "documents"), path)
+    return csv.read_csv(spark, path, multi_line=True).select("doc_id", F.md5("text").alias("md5"), "lang", "source", "n_chars")
 
 
 @query
@@ -186,6 +192,14 @@ def split_by_time(spark, sf):
     return labelled.select("event_id", PERIOD)
 
 
+@query
+def split_by_instant(spark, sf):
+    """By a column of instants."""
+    rows = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    labelled, _ = split.split_periods(rows, ["event_id"], 0.45, "at")
+    return labelled.select("event_id", PERIOD)
+
+
 @query
 def time_parse_share(spark, sf):
     # on a fifth of the types the text is no time
@@ -275,6 +289,11 @@ def duplicate_rows(spark, sf):
     return profile.duplicate_rows(table(spark, sf, "documents"), ["text"])
 
 
+@query
+def duplicate_whole_rows(spark, sf):
+    return profile.duplicate_rows(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"))
+
+
 def _leaky(spark, sf):
     labels = table(spark, sf, "labels")
     return labels.select(
@@ -459,14 +478,21 @@ def apply_threshold(spark, sf):
 # --- stand-in model ---------------------------------------------------------------------------
 
 
+def train_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return split.split_train_holdout(period(spark, sf, REFERENCE), "y_true", KEY).where("part = 'train'")
+
+
 @query
 def impute_median(spark, sf):
-    return surrogate.median_values(scored(spark, sf), NUMERIC)
+    return surrogate.median_values(train_rows(spark, sf), NUMERIC)
 
 
 @query
 def impute_mode(spark, sf):
-    return surrogate.mode_values(scored(spark, sf), CATEGORICAL)
+    rows = train_rows(spark, sf)
+    # a value that looks like the label of missing cells, and missing cells
+    odd = F.when(F.col("l_linenumber") <= 2, F.lit("(missing)")).when(F.col("l_linenumber") <= 6, F.col("flag"))
+    return surrogate.mode_values(rows.withColumn("odd", odd), [*CATEGORICAL, "odd"])
 
 
 @query
@@ -488,24 +514,34 @@ def one_hot(spark, sf):
 
 @query
 def class_weights(spark, sf):
-    return surrogate.class_weights(scored(spark, sf), "tier")
+    return surrogate.class_weights(train_rows(spark, sf), "tier")
 
 
 def _score(spark, sf, kind):
     target = {"binary": "y_true", "multiclass": "tier", "regression": "y_value"}[kind]
     ref, cur = period(spark, sf, REFERENCE), period(spark, sf, CURRENT)
     task = columns.infer_task_type(ref, target, kind)
-    return surrogate.score_tables(ref, cur, target, task, KEY, NUMERIC, CATEGORICAL, trees=TREES)
+    return surrogate.score_tables(ref, cur, target, task, KEY, NUMERIC, CATEGORICAL)
 
 
 @query
 def fit_classifier(spark, sf):
-    return performance.binary_metrics(_score(spark, sf, "binary").rows)
+    """What holds for any forest: the rows and labels of each period, sound outputs, and a lower F1 on current."""
+    rows = _score(spark, sf, "binary").rows
+    sound = F.col("proba").between(0, 1) & (F.col("y_pred") == (F.col("proba") >= 0.5).cast("int"))
+    counts = rows.groupBy(PERIOD).agg(F.count("*").alias("n"), F.sum("y_true").alias("n_positive"), F.sum(sound.cast("long")).alias("n_sound"))
+    f1 = performance.binary_metrics(rows).groupBy().agg(*[F.max(F.when(F.col(PERIOD) == p, F.col("f1"))).alias(p) for p in (REFERENCE, CURRENT)])
+    return counts.join(F.broadcast(f1.select((F.col(CURRENT) < F.col(REFERENCE)).alias("current_is_worse"))), F.lit(True))
 
 
 @query
 def fit_regressor(spark, sf):
-    return performance.regression_metrics(_score(spark, sf, "regression").rows)
+    """What holds for any forest: rows and labels of each period, finite outputs, and a larger error on current."""
+    rows = _score(spark, sf, "regression").rows
+    sound = F.col("y_pred").isNotNull() & (F.abs("y_pred") < 1e9)
+    counts = rows.groupBy(PERIOD).agg(F.count("*").alias("n"), F.avg("y_true").alias("mean_label"), F.sum(sound.cast("long")).alias("n_sound"))
+    mae = performance.regression_metrics(rows).groupBy().agg(*[F.max(F.when(F.col(PERIOD) == p, F.col("mae"))).alias(p) for p in (REFERENCE, CURRENT)])
+    return counts.join(F.broadcast(mae.select((F.col(CURRENT) > F.col(REFERENCE)).alias("current_is_worse"))), F.lit(True))
 
 
 @query
@@ -793,9 +829,24 @@ def severity_counts(spark, sf):
     return charts.severity_counts(report.findings(*_settled_parts(spark, sf), "binary"))
 
 
+def wide_pair(spark: SparkSession, sf: str) -> Pair:
+    """More columns than any chart shows: those of the log, and copies of its numbers that lack more and more values."""
+    rows = scored(spark, sf).drop("l_shipdate")
+    late = F.col(PERIOD) == CURRENT
+    copies = [F.when(~late | (F.col("l_orderkey") % (i + 3) != 0), F.col(c) + i).alias(f"{c}_{i}") for i, c in enumerate(WIDE)]
+    return pair_from(rows.select("*", *copies))
+
+
+WIDE = ["usage", "amount", "y_value", "pred_value", "usage", "amount"]
+
+
+def wide_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_table(wide_pair(spark, sf), "y_true")
+
+
 @query
 def missing_top(spark, sf):
-    return charts.missing_top(quality_of(spark, sf), 3)
+    return charts.missing_top(wide_quality(spark, sf))
 
 
 @query
@@ -805,7 +856,7 @@ def quality_status_counts(spark, sf):
 
 @query
 def distinct_change_top(spark, sf):
-    return charts.distinct_change_top(quality_of(spark, sf), 3)
+    return charts.distinct_change_top(wide_quality(spark, sf))
 
 
 @query
@@ -815,7 +866,9 @@ def class_shares(spark, sf):
 
 @query
 def drift_top(spark, sf):
-    return charts.drift_top(drift_of(spark, sf), 4)
+    pair = wide_pair(spark, sf)
+    numeric, categorical = columns.feature_columns(pair, "y_true", ["l_orderkey", "l_linenumber"])
+    return charts.drift_top(drift.drift_table(pair, numeric, categorical))
 
 
 @query
@@ -905,7 +958,86 @@ def full_analysis_regression(spark, sf):
 
 @query
 def full_analysis_fitted(spark, sf):
-    """Two tables in, with the stand-in model fitted on the first."""
+    """Two tables in, with the stand-in model fitted on the first: the sections that do not depend on its trees."""
     ref = period(spark, sf, REFERENCE).select(*KEY, *NUMERIC, *CATEGORICAL, "y_true")
     cur = period(spark, sf, CURRENT).select(*KEY, *NUMERIC, *CATEGORICAL, "y_true")
-    return analyze(ref, cur, "y_true", KEY, positive="1", excluded=KEY, trees=TREES).overview()
+    return analyze(ref, cur, "y_true", KEY, positive="1", excluded=KEY).overview().where("section IN ('quality', 'drift')")
+
+
+def logged_overview(result) -> DataFrame:
+    """The sections of a logged run on current that do not depend on the model's holdout."""
+    overview = result.overview()
+    return overview.where("section IN ('quality', 'drift') OR (section = 'performance' AND measure = 'after')")
+
+
+LOGGED = {"binary": ("y_true", "pred", "proba"), "multiclass": ("tier", "pred_tier", None), "regression": ("y_value", "pred_value", None)}
+
+
+def logged_of(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Two raw tables with logged outputs in the current one."""
+    target, prediction, probability = LOGGED[kind]
+    outputs = [c for c in (prediction, probability) if c]
+    ref = period(spark, sf, REFERENCE).select(*KEY, *NUMERIC, *CATEGORICAL, target)
+    cur = period(spark, sf, CURRENT).select(*KEY, *NUMERIC, *CATEGORICAL, target, *outputs)
+    positive = "1" if kind == "binary" else None
+    return logged_overview(
+        analyze(ref, cur, target, KEY, kind, positive, [*KEY, *outputs], prediction_column=prediction, probability_column=probability)
+    )
+
+
+@query
+def full_analysis_logged_binary(spark, sf):
+    return logged_of(spark, sf, "binary")
+
+
+@query
+def full_analysis_logged_multiclass(spark, sf):
+    return logged_of(spark, sf, "multiclass")
+
+
+@query
+def full_analysis_logged_regression(spark, sf):
+    return logged_of(spark, sf, "regression")
+
+
+@query
+def full_analysis_unlabelled(spark, sf):
+    """Current has probabilities but no labels: quality, drift, and no word on performance."""
+    rows = binary_rows(spark, sf)
+    rows = rows.withColumn("y_true", F.when(F.col(PERIOD) == REFERENCE, F.col("y_true")))
+    result = analyze_scored(rows, pair_from(scored(spark, sf), [*NUMERIC, *CATEGORICAL]), "binary", NUMERIC, CATEGORICAL)
+    nothing = [result.performance, result.calibration, result.segments, result.sweep, result.roc_curve(), result.pr_curve(), result.calibration_curve()]
+    sections = result.overview().where("section IN ('quality', 'drift')")
+    return sections.withColumn("n_results", F.lit(sum(x is not None for x in nothing)))
+
+
+@query
+def full_analysis_single_table(spark, sf):
+    """One table, split by time, then compared."""
+    rows = scored(spark, sf).drop(PERIOD).select(*KEY, "l_shipdate", *NUMERIC, *CATEGORICAL, "y_true")
+    labelled, _ = split.split_periods(rows, KEY, 0.6, "l_shipdate")
+    parts = [labelled.where(F.col(PERIOD) == p).drop(PERIOD, "l_shipdate") for p in (REFERENCE, CURRENT)]
+    result = analyze(*parts, "y_true", KEY, positive="1", excluded=KEY)
+    return result.overview().where("section IN ('quality', 'drift')")
+
+
+@query
+def analysis_profile(spark, sf):
+    """The profile of both sides, from the composed result."""
+    result = analysis_of(spark, sf)
+    found = None
+    for name in (REFERENCE, CURRENT):
+        parts = result.profile(name)
+        row = parts["summary"].select(F.lit(name).alias(PERIOD), "n_rows", "n_columns", "missing_cells")
+        row = row.join(F.broadcast(parts["duplicates"].select("duplicate_rows")), F.lit(True))
+        row = row.join(F.broadcast(parts["target"].agg(F.sum(F.when(F.col("value") == "1", F.col("n"))).alias("n_positive"))), F.lit(True))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query
+def json_text(spark, sf):
+    """The JSON records themselves, read back: one row for each row of the score and of the performance table."""
+    text = analysis_of(spark, sf).json()
+    record = F.from_json("records", "ARRAY<STRUCT<metric: STRING, before: DOUBLE, after: DOUBLE, score: DOUBLE, risk: STRING>>")
+    return text.where("view IN ('performance', 'health')").select("view", "n", F.explode(record).alias("r")).select("view", "n", "r.*")
