@@ -13,6 +13,7 @@ from pulsecheck.llm.common import table
 from pulsecheck.llm.decontaminate import contamination
 from pulsecheck.llm.licenses import license_scan
 from pulsecheck.llm.neighbours import nearest
+from pulsecheck.llm.oracle import ORACLE  # noqa: F401
 from pulsecheck.llm.packing import pack
 from pulsecheck.llm.samples import remainder
 from pulsecheck.llm.secrets import secret_scan
@@ -21,7 +22,8 @@ from pulsecheck.llm.tokens import token_counts
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_neighbours": op10_neighbours,
 }
-
-ORACLE: dict[str, str] = {}
