@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pulsecheck.llm.licenses import BASE, TEMPLATES
 from pulsecheck.llm.common import words_of
+from pulsecheck.llm.licenses import BASE, TEMPLATES
+from pulsecheck.llm.secrets import BAR, CODES, FIRST, RANDOM, SAMPLE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,4 +62,64 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
   round(CAST(coalesce(score, 0) AS DOUBLE), 6) AS score FROM docs LEFT JOIN by_doc USING (r)"""
 
 
-ORACLE = {"op1_license_scan": _license_scan(), "op2_decontamination": DECONTAMINATION}
+ASSIGN = """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]{32,}"
+LONG, ANY = "[A-Za-z0-9+/_=-]{20,}", "[A-Za-z0-9+/_=-]{4,}"
+
+
+def _spans(kind: int, pattern: str, group: int, least: int) -> str:
+    """Matches of one kind from the texts between them: the start of the n-th is all that lies before it."""
+    return f"""SELECT r, {kind} AS kind, before + gap_chars AS start, before + gap_chars + length(m) AS stop, m FROM (
+      SELECT r, m, counted, length(gap) AS gap_chars,
+        sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(gap) - length(m) AS before FROM (
+        SELECT r, unnest(ms) AS m, unnest(cs) AS counted, unnest(gaps[:len(ms)]) AS gap, unnest(range(0, len(ms))) AS i FROM (
+          SELECT r, regexp_extract_all(x, '{pattern}') AS ms, regexp_extract_all(x, '{pattern}', {group}) AS cs,
+            string_split_regex(x, '{pattern}') AS gaps FROM docs) WHERE len(ms) > 0)) WHERE length(counted) >= {least}"""
+
+
+def _secret_scan() -> str:
+    pairs = f"""SELECT label, a, b, count(*) AS n FROM (
+      SELECT label, unnest(list_concat([{CODES}], codes[:len(codes) - 1])) AS a, unnest(codes) AS b FROM (
+        SELECT label, [ascii(c) - {FIRST} for c in string_split(token, '')] AS codes FROM tokens)) GROUP BY label, a, b"""
+    plain = "x"
+    for pattern in (ASSIGN, ACCESS, HEX):
+        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'g')"
+    digest = "sha256(CAST(i AS VARCHAR))"
+    code64 = f"to_base64(unhex({digest}))"
+    names = "['assign', 'access', 'hex', 'markov'][kind + 1]"
+
+    def smooth(n: str, total: str) -> str:
+        return f"ln((coalesce({n}, 0) + 0.5::DOUBLE) / (coalesce({total}, 0) + {0.5 * CODES}::DOUBLE))"
+
+    return f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS x FROM documents),
+chosen AS (SELECT DISTINCT x FROM docs WHERE md5(x) <= (SELECT max(h) FROM (SELECT DISTINCT md5(x) AS h FROM docs ORDER BY h LIMIT {SAMPLE}))),
+tokens AS (
+  SELECT 1 AS label, unnest([md5(CAST(i AS VARCHAR)), sha1(CAST(i AS VARCHAR)), upper({digest}), {code64}, upper({code64})[1:20], {code64}[1:32]]) AS token
+  FROM range({RANDOM}) t(i)
+  UNION ALL SELECT DISTINCT 0, unnest(regexp_extract_all({plain}, '{ANY}')) FROM chosen),
+pairs AS ({pairs}),
+sums AS (SELECT label, a, sum(n) AS n FROM pairs GROUP BY label, a),
+weights AS (SELECT g.a, h.b, round({smooth('r1.n', 's1.n')} - {smooth('r0.n', 's0.n')}, 9) AS w FROM range({CODES + 1}) g(a), range({CODES}) h(b)
+  LEFT JOIN pairs r1 ON r1.label = 1 AND r1.a = g.a AND r1.b = h.b LEFT JOIN pairs r0 ON r0.label = 0 AND r0.a = g.a AND r0.b = h.b
+  LEFT JOIN sums s1 ON s1.label = 1 AND s1.a = g.a LEFT JOIN sums s0 ON s0.label = 0 AND s0.a = g.a),
+base AS ({_spans(0, ASSIGN, 2, 8)} UNION ALL {_spans(1, ACCESS, 0, 16)} UNION ALL {_spans(2, HEX, 0, 32)}),
+candidates AS (SELECT c.* FROM ({_spans(3, LONG, 0, 0)}) c WHERE NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.r = c.r AND b.start < c.stop AND c.start < b.stop)),
+judged AS (SELECT r, kind, start, stop, m FROM (
+    SELECT r, kind, start, stop, m, unnest(list_concat([{CODES}], codes[:len(codes) - 1])) AS a, unnest(codes) AS b FROM (
+      SELECT *, [ascii(c) - {FIRST} for c in string_split(m, '')] AS codes FROM candidates)) JOIN weights USING (a, b)
+  GROUP BY r, kind, start, stop, m HAVING sum(w) >= {BAR}),
+told AS (SELECT r, kind, start, {names} || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s
+  FROM (SELECT r, kind, start, stop FROM base UNION ALL SELECT r, kind, start, stop FROM judged)),
+by_doc AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(s, ',' ORDER BY start, kind) AS spans FROM told GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN by_doc USING (r)"""
+
+
+ORACLE = {
+    "op1_license_scan": _license_scan(),
+    "op2_decontamination": DECONTAMINATION,
+    "op5_secret_scan": _secret_scan(),
+}
