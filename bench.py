@@ -28,6 +28,7 @@ HEADLINE = [
     "binary_metrics",
     "roc_auc",
     "roc_curve",
+    "ranked_metrics_fine",
     "performance_table",
     "regression_metrics",
     "calibration_curve",

@@ -152,6 +152,10 @@ def fit_surrogate(
     medians, modes = _fill_values(train, numeric, categorical, max_categories)
     blank = Surrogate(task, list(numeric), list(categorical), medians, modes, None)
     rows = blank.prepare(train)
+    # the forest goes over its rows again and again: no core idle where a small table comes in few partitions
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, F.xxhash64(*[quoted(c) for c in rows.columns]))
     common = dict(labelCol=label, numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=seed)
     if task.kind == "regression":
         forest = RandomForestRegressor(maxDepth=REGRESSOR_DEPTH, featureSubsetStrategy="all", **common)

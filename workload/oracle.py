@@ -609,6 +609,21 @@ oracle("binary_confusion", "SELECT * FROM conf")
 oracle("binary_metrics", f"SELECT period, {', '.join(r6(m) for m in RATES)} FROM rates")
 oracle("roc_auc", f"SELECT period, {r6('roc_auc')} FROM ranked")
 oracle("pr_auc", f"SELECT period, {r6('pr_auc')} FROM ranked")
+part(
+    "fine_groups",
+    """SELECT period, proba + CAST((l_orderkey * 7 + l_linenumber) % 100003 AS DOUBLE) / 1e7::DOUBLE AS score,
+       count(*) FILTER (y_true = 1) AS pos, count(*) FILTER (y_true = 0) AS neg FROM scored GROUP BY 1, 2""",
+)
+part(
+    "fine_curve",
+    """SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER p AS all_pos, sum(neg) OVER p AS all_neg FROM fine_groups
+       WINDOW w AS (PARTITION BY period ORDER BY score DESC), p AS (PARTITION BY period)""",
+)
+oracle(
+    "ranked_metrics_fine",
+    f"""SELECT period, {r6('sum(pos * (all_neg - fp + neg / 2)) / (any_value(all_pos) * any_value(all_neg))', 'roc_auc')},
+       {r6('sum(pos / all_pos * tp / (tp + fp))', 'pr_auc')} FROM fine_curve GROUP BY period""",
+)
 oracle(
     "roc_curve",
     f"""SELECT period, {r6('proba', 'threshold')}, {r6('fp / all_neg', 'fpr')}, {r6('tp / all_pos', 'tpr')} FROM score_curve
