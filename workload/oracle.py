@@ -483,19 +483,26 @@ OF_DRIFT = [
     "psi_scores", "ks_scores", "ks_values", "cat_freq", "cat_shares", "js_scores", "cat_modes", "drift_rows",
 ]
 WIDE_NUMBERS = [*NUMERIC, "proba", "pred", "y_value", "pred_value", *COPIES]
-for name in OF_DRIFT:
-    text = PARTS[name]
-    if name == "num_cells":
-        text = union([f"SELECT '{c}' AS col, period, CAST({c} AS DOUBLE) AS value FROM wide_log WHERE {c} IS NOT NULL" for c in WIDE_NUMBERS])
-    if name == "cat_freq":
-        text = union(
-            [
-                f"""SELECT '{c}' AS col, coalesce({c}, '(missing)') AS value, count(*) FILTER ({REF}) AS n_ref,
-                count(*) FILTER ({CUR}) AS n_cur FROM wide_log GROUP BY 2"""
-                for c in (*CATEGORICAL, "tier", "pred_tier")
-            ]
-        )
-    part(f"wide_{name}", re.sub(rf"\b({'|'.join(OF_DRIFT)})\b", r"wide_\1", text))
+
+
+def drift_of(prefix: str, table: str, numbers: list[str], categories: list[str]) -> None:
+    """The drift parts over another table, each under its name with `prefix`."""
+    for name in OF_DRIFT:
+        text = PARTS[name]
+        if name == "num_cells":
+            text = union([f"SELECT '{c}' AS col, period, CAST({c} AS DOUBLE) AS value FROM {table} WHERE {c} IS NOT NULL" for c in numbers])
+        if name == "cat_freq":
+            text = union(
+                [
+                    f"""SELECT '{c}' AS col, coalesce({c}, '(missing)') AS value, count(*) FILTER ({REF}) AS n_ref,
+                    count(*) FILTER ({CUR}) AS n_cur FROM {table} GROUP BY 2"""
+                    for c in categories
+                ]
+            )
+        part(prefix + name, re.sub(rf"\b({'|'.join(OF_DRIFT)})\b", rf"{prefix}\1", text))
+
+
+drift_of("wide_", "wide_log", WIDE_NUMBERS, [*CATEGORICAL, "tier", "pred_tier"])
 
 # --- target, prediction, stand-in model ---------------------------------------------------------
 
@@ -1186,3 +1193,11 @@ oracle(
     f"""SELECT 'performance' AS view, count(*) OVER () AS n, metric, {r6('before')}, {r6('after')}, NULL::DOUBLE AS score, NULL::VARCHAR AS risk FROM perf_binary
     UNION ALL SELECT 'health', 1, NULL, NULL, NULL, {r6('score')}, risk FROM health_binary""",
 )
+part(
+    "single_log",
+    """SELECT * EXCLUDE (period), CASE WHEN row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber)
+       <= CAST(floor(count(*) OVER () * 0.6) AS BIGINT) THEN 'reference' ELSE 'current' END AS period FROM scored""",
+)
+part("single_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true", "single_log"))
+drift_of("single_", "single_log", NUMERIC, CATEGORICAL)
+oracle("full_analysis_single_table", QUALITY_OVERVIEW + "single_quality UNION ALL " + DRIFT_OVERVIEW.replace("drift_rows", "single_drift_rows"))
