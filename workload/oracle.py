@@ -1169,13 +1169,12 @@ QUALITY_OVERVIEW = f"""SELECT 'quality' AS section, "column" AS item, 'missing_d
 DRIFT_OVERVIEW = f"SELECT 'drift', col, measure, {r6('score', 'value')}, status FROM drift_rows"
 part("key_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true"))
 oracle("full_analysis_fitted", QUALITY_OVERVIEW + "key_quality UNION ALL " + DRIFT_OVERVIEW)
-for kind, (target, outputs) in {"binary": ("y_true", ["pred", "proba"]), "multiclass": ("tier", ["pred_tier"]), "regression": ("y_value", ["pred_value"])}.items():
-    part(f"logged_{kind}", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, target], target))
-    only = union([f"SELECT 'quality', '{c}', 'missing_delta', NULL, 'danger'" for c in outputs])
-    metrics = f"SELECT 'performance', metric, 'after', {r6('after', 'value')}, NULL FROM perf_{kind}"
-    if kind == "multiclass":
-        metrics += " WHERE metric <> 'log_loss'"  # the logged run has the model's probabilities, not these
-    oracle(f"full_analysis_logged_{kind}", QUALITY_OVERVIEW + f"logged_{kind} UNION ALL {only} UNION ALL {DRIFT_OVERVIEW} UNION ALL {metrics}")
+part("logged_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true"))
+ONLY_CURRENT = union([f"SELECT 'quality', '{c}', 'missing_delta', NULL, 'danger'" for c in ("pred", "proba")])
+for kind, name in TASKS.items():
+    metrics = f"SELECT 'performance', metric, 'after', {r6('after', 'value')}, NULL FROM perf_{kind} WHERE metric <> 'log_loss'"
+    facts = f"logged_quality UNION ALL {ONLY_CURRENT}" if kind == "binary" else name
+    oracle(f"full_analysis_logged_{kind}", QUALITY_OVERVIEW + f"{facts} UNION ALL {DRIFT_OVERVIEW} UNION ALL {metrics}")
 part("quality_features", quality_facts(FEATURES, "none"))
 oracle(
     "full_analysis_unlabelled",
@@ -1198,6 +1197,6 @@ part(
     """SELECT * EXCLUDE (period), CASE WHEN row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber)
        <= CAST(floor(count(*) OVER () * 0.6) AS BIGINT) THEN 'reference' ELSE 'current' END AS period FROM scored""",
 )
-part("single_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true", "single_log"))
+part("single_quality", quality_facts(QUALITY, "y_true", "single_log"))
 drift_of("single_", "single_log", NUMERIC, CATEGORICAL)
 oracle("full_analysis_single_table", QUALITY_OVERVIEW + "single_quality UNION ALL " + DRIFT_OVERVIEW.replace("drift_rows", "single_drift_rows"))

@@ -1001,14 +1001,22 @@ def full_analysis_logged_binary(spark, sf):
     return logged_of(spark, sf, "binary")
 
 
+def logged_scored(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Logged outputs of both periods, without a stand-in model."""
+    target, prediction, _ = LOGGED[kind]
+    rows = scored(spark, sf)
+    outputs = prepare.scored_table(rows, kind, target, prediction, keep=CATEGORICAL)
+    return logged_overview(analyze_scored(outputs, pair_from(rows, [*NUMERIC, *CATEGORICAL, target]), kind, NUMERIC, CATEGORICAL, target))
+
+
 @query
 def full_analysis_logged_multiclass(spark, sf):
-    return logged_of(spark, sf, "multiclass")
+    return logged_scored(spark, sf, "multiclass")
 
 
 @query
 def full_analysis_logged_regression(spark, sf):
-    return logged_of(spark, sf, "regression")
+    return logged_scored(spark, sf, "regression")
 
 
 @query
@@ -1025,11 +1033,10 @@ def full_analysis_unlabelled(spark, sf):
 @query
 def full_analysis_single_table(spark, sf):
     """One table, split by time, then compared."""
-    rows = scored(spark, sf).drop(PERIOD).select(*KEY, "l_shipdate", *NUMERIC, *CATEGORICAL, "y_true")
-    labelled, _ = split.split_periods(rows, KEY, 0.6, "l_shipdate")
-    parts = [labelled.where(F.col(PERIOD) == p).drop(PERIOD, "l_shipdate") for p in (REFERENCE, CURRENT)]
-    result = analyze(*parts, "y_true", KEY, positive="1", excluded=KEY)
-    return result.overview().where("section IN ('quality', 'drift')")
+    labelled, _ = split.split_periods(scored(spark, sf).drop(PERIOD), KEY, 0.6, "l_shipdate")
+    outputs = prepare.scored_table(labelled, "binary", "y_true", "pred", "proba", "1", keep=CATEGORICAL)
+    pair = pair_from(labelled, [*NUMERIC, *CATEGORICAL, "y_true"])
+    return analyze_scored(outputs, pair, "binary", NUMERIC, CATEGORICAL, "y_true").overview().where("section IN ('quality', 'drift')")
 
 
 @query
