@@ -41,8 +41,8 @@ def _held_out() -> Column:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    models, discount, beta = toxicity.train(docs, labels)
-    return toxicity.toxicity(docs, models, discount, beta).withColumn("held_out", _held_out()).select("doc_id", "held_out", "score", "predicted")
+    evidence, passage, beta = toxicity.train(docs, labels)
+    return toxicity.toxicity(docs, evidence, passage, beta).withColumn("held_out", _held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,18 @@
 Both have three levels: word pairs of the class, words of the class by the number of different words before them
 (continuations), and the continuations of both classes together, which smooth what is rare in either. What falls
 short of the absolute discounts - and so every rare expression - is left to the level below, up to the shared one,
-where both classes agree. Discounts are larger than usual: copies of a text repeat its pairs, and a pair that only
-copies made known should not speak for a class. The discount of continuations is the one of WORD_DISCOUNTS under
-which the score fits best, as it has to follow the amount of text.
+where both classes agree. A pair counts once in a distinct text, as copies and repetitions of a text should not speak
+twice. The discounts of pairs and of continuations and the length of a passage are those under which the score fits
+best on a fold that the counts have not seen, as they have to follow the amount and the kind of text.
 
 A text is compared by the difference of the log-likelihoods a word: over the whole text, and in its most toxic
-passage of `passage` words. A logistic regression makes a score of the two; it is fitted on a bounded sample of
-labelled texts that the counts have not seen.
+passage. A logistic regression makes a score of the two; it is fitted on a bounded sample of labelled texts of that
+fold.fold.
 
-Counts come from all texts of the counting fold. Words and pairs are counted exactly and then kept by hash, in
-2**18 cells of words and 2**20 of pairs, so that the models have a fixed size at any input.
+Counts are exact and stay in tables that Spark writes to the shared folder, so they grow with the text. What
+scoring needs of them is a table of evidence: words and pairs for which the classes differ (below the discounts they
+agree, and the difference is one constant). Up to HOT rows of it, the most frequent, are broadcast; the words and pairs
+of a text that are not among these are joined to the others.
 
 Null text counts as empty and is scored like a text with no evidence. Without labels of both classes the score is the
 share of toxic labels (0 without any). Repeated rows are scored each. An empty table gives an empty result; other
@@ -21,149 +23,267 @@ columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from pulsecheck.llm.common import batch_of, byte_texts, per_slice, pick, words_of
 from pulsecheck.llm.samples import by_class, labelled, remainder
+from pulsecheck.sources.shared import settle
 
-#: Bits of the cells of pairs and of words; discounts of pairs and of continuations; words of a passage.
-PAIR_BITS, WORD_BITS, PAIR_DISCOUNT, WORD_DISCOUNTS, PASSAGE = 20, 18, 100, (0.75, 1.5, 3.0, 6.0, 12.0, 24.0), 1
+#: Discounts of pairs and of continuations, and words of a passage, among which the fit chooses.
+PAIR_DISCOUNTS, WORD_DISCOUNTS, PASSAGES = (100.0,), (0.75, 1.5, 3.0, 6.0, 12.0, 24.0), (1,)
 #: Texts of each class on which the score is fitted.
 SAMPLE = 2000
-#: Multiplier that spreads pairs over the cells (the golden ratio's 64 bits).
-SPREAD = 0x9E3779B97F4A7C15
+#: Rows of evidence that are broadcast (16 bytes each); further ones are joined.
+HOT = 1_000_000
+#: Multipliers that spread pairs over 64 bits.
+SPREAD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 START = 1
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of the words."""
+    from xxhash import xxh3_64_intdigest
+
     for w in words:
         if w not in known:
-            known[w] = zlib.crc32(w)
+            known[w] = xxh3_64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def pair_keys(codes: np.ndarray) -> np.ndarray:
-    before = np.concatenate(([START], codes[:-1])).astype(np.uint64)
-    return (before << np.uint64(32)) | codes
+def before(codes: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.array([START], np.uint64), codes[:-1]))
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key of a pair; of a word, with b = 0."""
+    x = (a ^ (a >> np.uint64(31))) * SPREAD + b
+    return (x ^ (x >> np.uint64(29))) * MIX
 
 
-def _cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the pair, of its first and of its second word."""
-    low = np.uint64((1 << WORD_BITS) - 1)
-    pair = (keys * np.uint64(SPREAD)) >> np.uint64(64 - PAIR_BITS)
-    return pair.astype(np.int64), ((keys >> np.uint64(32)) & low).astype(np.int64), (keys & low).astype(np.int64)
+def _codes_of(column: pa.Array, known: dict[bytes, int]) -> list[np.ndarray]:
+    if len(known) > 400_000:
+        known.clear()
+    return [word_codes(words_of(t), known) for t in byte_texts(column)]
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """key, n0, n1: every pair's count in ordinary and toxic texts of `texts` (text, label)."""
-    schema = StructType([StructField("key", LongType()), StructField("label", IntegerType()), StructField("n", LongType())])
+    """before, word, n0, n1, h0, h1: in how many ordinary and toxic texts of `texts` (text, label, fitting) a pair
+    occurs, those to count and those to fit."""
+    names = ("n0", "n1", "h0", "h1")
+    schema = StructType([StructField("before", LongType()), StructField("word", LongType()), StructField("which", IntegerType()), StructField("n", LongType())])
 
     def make():
         known: dict[bytes, int] = {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if len(known) > 400_000:
-                known.clear()
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            keys = [pair_keys(word_codes(words_of(t), known)) for t in byte_texts(batch.column("text"))]
-            out = [[], [], []]
-            for c in (0, 1):
-                mine = [k for k, of in zip(keys, label) if of == c]
-                if mine:
-                    key, n = np.unique(np.concatenate(mine), return_counts=True)
-                    for column, values in zip(out, (key.view(np.int64), np.full(len(key), c, np.int32), n.astype(np.int64))):
-                        column.append(values)
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            return batch_of(("key", join(out[0], np.int64)), ("label", join(out[1], np.int32)), ("n", join(out[2], np.int64)))
+            which = batch.column("label").to_numpy(zero_copy_only=False) + 2 * batch.column("fitting").to_numpy(zero_copy_only=False)
+            a, b, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for codes, c in zip(_codes_of(batch.column("text"), known), which.tolist()):
+                if len(codes):
+                    _, at = np.unique(mixed(first := before(codes), codes), return_index=True)
+                    a.append(first[at])
+                    b.append(codes[at])
+                    of.append(np.full(len(at), c, np.int32))
+            a, b, of = np.concatenate(a), np.concatenate(b), np.concatenate(of)
+            _, at, n = np.unique(mixed(mixed(a, b), of.astype(np.uint64)), return_index=True, return_counts=True)
+            return batch_of(("before", a[at].view(np.int64)), ("word", b[at].view(np.int64)), ("which", of[at]), ("n", n.astype(np.int64)))
 
         return step
 
-    each = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    return per_slice(texts.select("text", "label"), make, schema).groupBy("key").agg(*each)
+    each = [F.sum(F.when(F.col("which") == i, F.col("n")).otherwise(0)).alias(n) for i, n in enumerate(names)]
+    return per_slice(texts.select("text", "label", "fitting"), make, schema).groupBy("before", "word").agg(*each)
 
 
-class Models:
-    """Cells of both models, as single-precision arrays."""
+def _over(n: Column, discount: float) -> Column:
+    return F.greatest(n - F.lit(float(discount)), F.lit(0.0))
 
-    def __init__(self, pairs: DataFrame, pair_discount: float = PAIR_DISCOUNT):
-        def cells(batches):
-            for batch in batches:
-                pair, before, word = _cells(batch.column("key").to_numpy().view(np.uint64))
-                yield batch_of(("pair", pair), ("before", before), ("word", word), ("n0", batch.column("n0")), ("n1", batch.column("n1")))
 
-        schema = StructType([StructField(n, LongType()) for n in ("pair", "before", "word", "n0", "n1")])
-        celled = pairs.mapInArrow(cells, schema)
-        kept = [F.sum(F.greatest(F.col(f"n{c}") - F.lit(float(pair_discount)), F.lit(0.0))).alias(f"k{c}") for c in (0, 1)]
+@dataclass
+class Level:
+    """The level of words: sums over all words, by class; what continuations leave to the shared ones, by discount."""
+
+    follows: list[float]
+    rest: dict[float, list[float]]
+    shared: float
+
+    def usable(self) -> bool:
+        return all(f > 0 for f in self.follows)
+
+
+def _level(words: DataFrame, names: tuple[str, str, str], discounts: tuple[float, ...]) -> Level:
+    f0, f1, both = names
+    sums = [F.sum(f0), F.sum(f1), F.sum(both), F.count_if(F.col(both) > 0)]
+    sums += [F.sum(_over(F.col(f), d)) for d in discounts for f in (f0, f1)]
+    got = [float(x or 0) for x in words.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).collect()[0]]
+    follows = got[:2]
+    rest = {d: [follows[c] - got[4 + 2 * i + c] for c in (0, 1)] for i, d in enumerate(discounts)}
+    return Level(follows, rest, got[2] + 0.5 * (got[3] + 1))
+
+
+@dataclass
+class Models:
+    """Counts in shared tables: pairs, and words by their continuations."""
+
+    pairs: DataFrame
+    words: DataFrame
+
+    @classmethod
+    def count(cls, texts: DataFrame) -> Models:
+        pairs = settle(pair_counts(texts), "pairs")
+        n = ("n0", "n1")
+        counts = [F.count_if(F.expr(f"{of} > 0")).alias(name) for name, of in zip(("f0", "f1", "f"), (*n, "n0 + n1"))]
+        return cls(pairs, settle(pairs.groupBy("word").agg(*counts), "words"))
+
+    def evidence(self, pair_discount: float, word_discount: float) -> tuple[DataFrame, float]:
+        """a, b, u, v, texts, and a constant. A word's row has it as a and b = 0: u is the difference of its
+        log-likelihoods less the constant, v what it adds to the word after it. A pair's has u, what it adds to both."""
+        level = _level(self.words, ("f0", "f1", "f"), (word_discount,))
+        rest = level.rest[word_discount]
+        constant = float(np.log(rest[1] / level.follows[1]) - np.log(rest[0] / level.follows[0]))
+        shared = (F.col("f") + 0.5) / level.shared
+        likely = [((_over(F.col(f"f{c}"), word_discount) + rest[c] * shared) / level.follows[c]).alias(f"w{c}") for c in (0, 1)]
+        words = self.words.select("word", "f", *likely, (F.greatest("f0", "f1") > word_discount).alias("differs"))
+        every = self.pairs.select("before", "word", "n0", "n1").where("n0 + n1 > 0")
+        kept = [_over(F.col(f"n{c}"), pair_discount).alias(f"k{c}") for c in (0, 1)]
+        first = every.groupBy("before").agg(*(F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)), *(F.sum(k).alias(f"l{c}") for c, k in enumerate(kept)))
+        first = first.where("l0 > 0 OR l1 > 0")
+        left = [F.when(F.col(f"t{c}") > 0, (F.col(f"t{c}") - F.col(f"l{c}")) / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
         none = F.lit(0.0)
-        # One plan, so that the counts are gathered once; at most 2**PAIR_BITS + 2 * 2**WORD_BITS rows come back.
-        of_pair = celled.where(f"n0 > {pair_discount} OR n1 > {pair_discount}").groupBy("pair").agg(*kept).select(F.lit(0).alias("kind"), F.col("pair").alias("cell"), "k0", "k1", none.alias("a"), none.alias("b"))
-        of_before = celled.groupBy("before").agg(*kept, F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b")).select(F.lit(1), "before", "k0", "k1", "a", "b")
-        of_word = celled.groupBy("word").agg(F.count_if(F.col("n0") > 0).cast("double").alias("k0"), F.count_if(F.col("n1") > 0).cast("double").alias("k1"), F.count("*").cast("double").alias("a")).select(F.lit(2), "word", "k0", "k1", "a", none)
-        got = of_pair.union(of_before).union(of_word).toArrow()
-        kind, cell, k0, k1, a, b = (got.column(i).to_numpy() for i in range(6))
-
-        def table(which: int, values: np.ndarray, bits: int) -> np.ndarray:
-            out = np.zeros(1 << bits)
-            out[cell[kind == which]] = values[kind == which]
-            return out
-
-        self.shared = table(2, a, WORD_BITS) + 0.5
-        self.shared /= self.shared.sum()
-        self.pair, self.total, self.left, self.follows = [], [], [], []
-        self.usable = True
-        for k, n in ((k0, a), (k1, b)):
-            total = table(1, n, WORD_BITS)
-            follows = table(2, k, WORD_BITS)
-            if not follows.sum():
-                self.usable = False
-                continue
-            self.pair.append(table(0, k, PAIR_BITS).astype(np.float32))
-            self.total.append(np.maximum(total, 1).astype(np.float32))
-            self.left.append(np.where(total > 0, total - table(1, k, WORD_BITS), 1).astype(np.float32))
-            self.follows.append(follows)
-
-    def words(self, discount: float) -> list[np.ndarray]:
-        """The models of single words: continuations less the discount, and what that leaves to the shared ones."""
-        own = [np.maximum(f - discount, 0) for f in self.follows]
-        return [((o + (f.sum() - o.sum()) * self.shared) / f.sum()).astype(np.float32) for o, f in zip(own, self.follows)]
-
-    def evidence(self, codes: np.ndarray, words: list[np.ndarray], passage: int = PASSAGE) -> tuple[float, float]:
-        """Log-likelihood differences a word: of the whole text and of its most toxic passage."""
-        if not len(codes) or not self.usable:
-            return 0.0, 0.0
-        pair, before, word = _cells(pair_keys(codes))
-        ordinary, toxic = (np.log((self.pair[c][pair] + self.left[c][before] * words[c][word]) / self.total[c][before]) for c in (0, 1))
-        run = np.concatenate(([0.0], np.cumsum(toxic - ordinary, dtype=np.float64)))
-        width = min(passage, len(codes))
-        return float(run[-1] / len(codes)), float((run[width:] - run[:-width]).max() / width)
-
-
-def evidence(rows: DataFrame, models: Models, discounts: tuple[float, ...], *more: str) -> DataFrame:
-    """key, the columns `more`, and whole_0, passage_0 and so on for each discount, of every row (key, text)."""
-    held = rows.sparkSession.sparkContext.broadcast((models, [models.words(d) for d in discounts]))
-    names = [f"{n}_{i}" for i in range(len(discounts)) for n in ("whole", "passage")]
-    schema = StructType([rows.schema["key"], *(rows.schema[c] for c in more), *(StructField(n, DoubleType()) for n in names)])
+        of_word = words.where("differs").select(F.col("word").alias("a"), (F.log("w1") - F.log("w0") - constant).alias("u"), none.alias("v"), F.col("f").alias("texts"))
+        of_first = first.select(F.col("before").alias("a"), none.alias("u"), (F.log(left[1]) - F.log(left[0])).alias("v"), (F.col("t0") + F.col("t1")).alias("texts"))
+        single = of_word.union(of_first).groupBy("a").agg(F.sum("u").alias("u"), F.sum("v").alias("v"), F.max("texts").alias("texts")).select("a", F.lit(0).cast("long").alias("b"), "u", "v", "texts")
+        some = every.where(F.greatest("n0", "n1") > pair_discount).select("before", "word", *kept, (F.col("n0") + F.col("n1")).alias("texts"))
+        both = some.join(first, "before").join(words.select("word", "w0", "w1"), "word")
+        more = [F.log1p(F.when(F.col(f"k{c}") > 0, F.col(f"k{c}") / ((F.col(f"t{c}") - F.col(f"l{c}")) * F.col(f"w{c}"))).otherwise(0.0)) for c in (0, 1)]
+        pair = both.select(F.col("before").alias("a"), F.col("word").alias("b"), (more[1] - more[0]).alias("u"), none.alias("v"), "texts")
+        return settle(single.union(pair), "evidence"), constant
+
+
+class Evidence:
+    """Evidence in a table: the most frequent rows to be broadcast, the others to be joined (None if there are none)."""
+
+    def __init__(self, table: DataFrame, constant: float, hot: int = HOT):
+        self.constant = constant
+        self.rest, top = None, table
+        if table.count() > hot:
+            # Frequencies in steps of an eighth of a power of two: at most some 500 rows.
+            step = F.floor(F.log2(F.col("texts") + 1) * 8)
+            sizes = sorted(((r["step"], r["count"]) for r in table.groupBy(step.alias("step")).count().collect()), reverse=True)
+            fits = [s for (s, _), sum_ in zip(sizes, np.cumsum([n for _, n in sizes])) if sum_ <= hot]
+            bar = fits[-1] if fits else sizes[0][0] + 1
+            self.rest, top = table.where(step < bar).select("a", "b", "u", "v"), table.where(step >= bar)
+        got = top.select("a", "b", "u", "v").toArrow()
+        a, b, u, v = (got.column(i).to_numpy() for i in range(4))
+        key = mixed(a.view(np.uint64), b.view(np.uint64))
+        order = np.argsort(key)
+        self.key, self.u, self.v = key[order], u[order].astype(np.float32), v[order].astype(np.float32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places in the broadcast rows, -1 where there is none."""
+        if not len(self.key):
+            return np.full(len(a), -1)
+        key = mixed(a, b)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+    def differences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The difference of the log-likelihoods of every word, as far as the broadcast rows go; places of words and pairs."""
+        word, pair = self.find(codes, np.zeros_like(codes)), self.find(before(codes), codes)
+        start = self.find(np.array([START], np.uint64), np.zeros(1, np.uint64))
+        u = np.append(self.u, np.float32(0))
+        first = np.append(self.v, np.float32(0))[np.concatenate((start, word[:-1]))]
+        return self.constant + u[word].astype(float) + u[pair] + first, word, pair
+
+
+def _summary(d: np.ndarray, passage: int) -> tuple[float, float]:
+    """The mean difference a word of the whole text, and of its most toxic passage."""
+    if not len(d):
+        return 0.0, 0.0
+    run = np.concatenate(([0.0], np.cumsum(d)))
+    width = min(passage, len(d))
+    return float(run[-1] / len(d)), float((run[width:] - run[:-width]).max() / width)
+
+
+_told_nothing = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+
+def _told(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """at, u and v of each row of a column of lists, null as none."""
+    flat = [column.values.field(n).to_numpy(zero_copy_only=False) for n in ("at", "u", "v")]
+    first = column.offsets.to_numpy()
+    return [tuple(x[a:b] for x in flat) if ok else _told_nothing for a, b, ok in zip(first, first[1:], column.is_valid().to_pylist())]
+
+
+def differences(rows: DataFrame, evidence: Evidence, passage: int) -> DataFrame:
+    """key, whole, passage of every row (key, text)."""
+    held = rows.sparkSession.sparkContext.broadcast((evidence.constant, evidence.key, evidence.u, evidence.v))
+    joined = evidence.rest is not None
+
+    def table() -> Evidence:
+        out = Evidence.__new__(Evidence)
+        out.constant, out.key, out.u, out.v = held.value
+        return out
+
+    def ask():
+        known: dict[bytes, int] = {}
+        evidence = table()
 
-    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            parts = []
+            for uid, codes in zip(batch.column("uid").to_pylist(), _codes_of(batch.column("text"), known)):
+                if len(codes):
+                    _, word, pair = evidence.differences(codes)
+                    # Odd places are pairs; the start is a word before the first.
+                    of_words, of_pairs = np.flatnonzero(word < 0), np.flatnonzero(pair < 0)
+                    a = np.concatenate((np.array([START], np.uint64), codes[of_words], before(codes)[of_pairs]))
+                    b = np.concatenate((np.zeros(1 + len(of_words), np.uint64), codes[of_pairs]))
+                    at = np.concatenate(([-2], 2 * of_words, 2 * of_pairs + 1))
+                    if evidence.find(a[:1], b[:1])[0] >= 0:
+                        a, b, at = a[1:], b[1:], at[1:]
+                    parts.append((np.full(len(a), uid), at, a.view(np.int64), b.view(np.int64)))
+            uid, at, a, b = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
+            return batch_of(("uid", uid), ("at", at), ("a", a), ("b", b))
+
+        return step
+
+    def judge():
         known: dict[bytes, int] = {}
-        models, tables = held.value
+        evidence = table()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if len(known) > 400_000:
-                known.clear()
-            codes = [word_codes(words_of(t), known) for t in byte_texts(batch.column("text"))]
-            found = np.array([[x for words in tables for x in models.evidence(c, words)] for c in codes], dtype=float).reshape(len(codes), -1)
-            return batch_of(("key", batch.column("key")), *((c, batch.column(c)) for c in more), *zip(names, found.T))
+            found = []
+            told = _told(batch.column("told")) if joined else [_told_nothing] * batch.num_rows
+            for codes, (at, u, v) in zip(_codes_of(batch.column("text"), known), told):
+                if not len(codes):
+                    found.append((0.0, 0.0))
+                    continue
+                d, _, _ = evidence.differences(codes)
+                if len(at):
+                    words = at % 2 == 0
+                    inside = at >= 0
+                    np.add.at(d, at[inside] // 2, u[inside])
+                    after = words & (at // 2 + 1 < len(d))
+                    np.add.at(d, at[after] // 2 + 1, v[after])
+                found.append(_summary(d, passage))
+            whole, most = np.array(found, dtype=float).reshape(-1, 2).T
+            return batch_of(("key", batch.column("key")), ("whole", whole), ("passage", most))
 
         return step
 
-    return per_slice(rows, make, schema)
+    out = StructType([rows.schema["key"], StructField("whole", DoubleType()), StructField("passage", DoubleType())])
+    if not joined:
+        return per_slice(rows.select("key", "text"), judge, out)
+    schema = StructType([StructField(n, LongType()) for n in ("uid", "at", "a", "b")])
+    named = rows.select("key", "text", F.xxhash64(F.col("key").cast("string"), "text").alias("uid"))
+    asked = per_slice(named.select("uid", "text"), ask, schema)
+    found = asked.join(evidence.rest, ["a", "b"]).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("at", "u", "v"))).alias("told"))
+    return per_slice(named.join(found, "uid", "left").select("key", "text", "told"), judge, out)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -180,30 +300,111 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Models, float, np.ndarray]:
-    """The models, the discount of continuations and the regression. Rows with crc32(key) mod 4 = 0 or 1 are counted,
-    those with 3 fit the score."""
+class Trial:
+    """The counts of the fold that counts, of the words and pairs of a bounded sample of texts, on the driver."""
+
+    def __init__(self, models: Models, sample: DataFrame):
+        def coded(batches):
+            for batch in batches:
+                yield batch_of(("label", batch.column("label")), ("codes", pa.array([c.view(np.int64) for c in _codes_of(batch.column("text"), {})], pa.list_(pa.int64()))))
+
+        got = sample.select("label", "text").mapInArrow(coded, "label int, codes array<long>").toArrow()
+        codes = [np.asarray(c, dtype=np.int64).view(np.uint64) for c in got.column("codes").to_pylist()]
+        self.label = got.column("label").to_numpy().astype(float)
+        self.ends = np.cumsum([0] + [len(c) for c in codes])
+        word = np.concatenate([np.zeros(0, np.uint64), *codes])
+        first = np.concatenate([np.zeros(0, np.uint64), *(before(c) for c in codes if len(c))])
+        key, at, self.pair = np.unique(mixed(first, word), return_index=True, return_inverse=True)
+        names = np.unique(np.concatenate((first, word)))
+        self.first, self.word = np.searchsorted(names, first[at]), np.searchsorted(names, word[at])
+        held = models.pairs.sparkSession.sparkContext.broadcast((names, key))
+
+        def place(sorted_: np.ndarray, of: np.ndarray) -> np.ndarray:
+            if not len(sorted_):
+                return np.full(len(of), -1)
+            i = np.minimum(np.searchsorted(sorted_, of), len(sorted_) - 1)
+            return np.where(sorted_[i] == of, i, -1)
+
+        def of_pairs(batches):
+            names, key = held.value
+            for batch in batches:
+                a, b = (batch.column(n).to_numpy().view(np.uint64) for n in ("before", "word"))
+                i = place(names, a)
+                some = i >= 0
+                yield batch_of(("first", i[some]), ("pair", place(key, mixed(a[some], b[some]))), *((n, batch.column(n).to_numpy()[some]) for n in ("n0", "n1")))
+
+        def of_words(batches):
+            names, _ = held.value
+            for batch in batches:
+                i = place(names, batch.column("word").to_numpy().view(np.uint64))
+                some = i >= 0
+                yield batch_of(("word", i[some]), *((n, batch.column(n).to_numpy()[some]) for n in ("f0", "f1", "f")))
+
+        pairs = models.pairs.where("n0 + n1 > 0").select("before", "word", "n0", "n1").mapInArrow(of_pairs, "first long, pair long, n0 long, n1 long")
+        sums = [F.sum(f"n{c}").cast("double").alias(f"t{c}") for c in (0, 1)]
+        sums += [F.sum(_over(F.col(f"n{c}"), d)).alias(f"l{c}_{i}") for i, d in enumerate(PAIR_DISCOUNTS) for c in (0, 1)]
+        self.n = self._table(pairs.where("pair >= 0").select("pair", "n0", "n1"), len(key))
+        self.before = self._table(pairs.groupBy("first").agg(*sums), len(names))
+        self.follows = self._table(models.words.select("word", "f0", "f1", "f").mapInArrow(of_words, "word long, f0 long, f1 long, f long"), len(names))
+        self.level = _level(models.words, ("f0", "f1", "f"), WORD_DISCOUNTS)
+
+    @staticmethod
+    def _table(df: DataFrame, rows: int) -> np.ndarray:
+        got = df.toArrow()
+        out = np.zeros((got.num_columns - 1, rows))
+        for i in range(1, got.num_columns):
+            out[i - 1, got.column(0).to_numpy()] = got.column(i).to_numpy()
+        return out
+
+    def ratios(self, i: int, word_discount: float) -> np.ndarray:
+        """The difference of the log-likelihoods of each pair, under the pair discount of place i."""
+        out = []
+        shared = (self.follows[2] + 0.5) / self.level.shared
+        for c in (0, 1):
+            words = (np.maximum(self.follows[c] - word_discount, 0) + self.level.rest[word_discount][c] * shared) / self.level.follows[c]
+            total, kept = self.before[c], self.before[2 + 2 * i + c]
+            left = np.where(total > 0, total - kept, 1)
+            k = np.maximum(self.n[c] - PAIR_DISCOUNTS[i], 0)
+            out.append(np.log((k + left[self.first] * words[self.word]) / np.maximum(total, 1)[self.first]))
+        return out[1] - out[0]
+
+    def fit(self, weight: np.ndarray) -> tuple[float, float, int, np.ndarray]:
+        """The discounts, the passage and the regression under which the labels are likeliest."""
+        fits = []
+        for i, pair_discount in enumerate(PAIR_DISCOUNTS):
+            for word_discount in WORD_DISCOUNTS:
+                d = self.ratios(i, word_discount)[self.pair]
+                texts = [d[a:b] for a, b in zip(self.ends, self.ends[1:])]
+                for passage in PASSAGES:
+                    x = np.array([_summary(t, passage) for t in texts])
+                    beta = logistic(x, self.label, weight)
+                    line = beta[0] + x @ beta[1:]
+                    fits.append(((weight * (np.logaddexp(0, line) - self.label * line)).sum(), pair_discount, word_discount, passage, beta))
+        return min(fits, key=lambda f: f[:4])[1:]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, hot: int = HOT) -> tuple[Evidence | None, int, np.ndarray]:
+    """The evidence (None without labels of both classes), the passage and the regression. Rows with crc32(key) mod 4
+    = 0 or 1 are counted, those with 3 fit the score."""
     rows = labelled(docs, labels, label, key, text).withColumn("fold", remainder("key", 4)).where("fold <> 2")
-    models = Models(pair_counts(rows.where("fold <> 3")))
-    held = rows.where("fold = 3")
+    texts = settle(rows.withColumn("fitting", (F.col("fold") == 3).cast("int")).drop("fold"), "labelled")
+    models = Models.count(texts)
+    held = texts.where("fitting = 1")
     counts = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    if not models.usable or len(counts) < 2:
-        return models, WORD_DISCOUNTS[0], np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0])
-    got = evidence(by_class(held, "label", "key", sample), models, WORD_DISCOUNTS, "label").toArrow()
-    y = got.column("label").to_numpy().astype(float)
+    trial = Trial(models, by_class(held, "label", "key", sample)) if len(counts) == 2 else None
+    if not trial or not trial.level.usable():
+        return None, 1, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0])
+    y = trial.label
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    fits = []
-    for i, discount in enumerate(WORD_DISCOUNTS):
-        x = np.column_stack([got.column(f"{n}_{i}").to_numpy() for n in ("whole", "passage")])
-        beta = logistic(x, y, weight)
-        line = beta[0] + x @ beta[1:]
-        fits.append(((weight * (np.logaddexp(0, line) - y * line)).sum(), discount, beta))
-    return models, *min(fits, key=lambda f: f[:2])[1:]
+    pair_discount, word_discount, passage, beta = trial.fit(weight)
+    return Evidence(*models.evidence(pair_discount, word_discount), hot), passage, beta
 
 
-def toxicity(docs: DataFrame, models: Models, discount: float, beta: np.ndarray, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, evidence: Evidence | None, passage: int, beta: np.ndarray, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """key, score, predicted, whole, passage of every row."""
-    line = F.lit(float(beta[0])) + F.lit(float(beta[1])) * F.col("whole_0") + F.lit(float(beta[2])) * F.col("passage_0")
-    out = evidence(pick(docs, key, text), models, (discount,)).withColumn("score", 1 / (1 + F.exp(-line)))
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("whole_0").alias("whole"), F.col("passage_0").alias("passage"))
+    line = F.lit(float(beta[0])) + F.lit(float(beta[1])) * F.col("whole") + F.lit(float(beta[2])) * F.col("passage")
+    rows = pick(docs, key, text)
+    out = differences(rows, evidence, passage) if evidence else rows.select("key", F.lit(0.0).alias("whole"), F.lit(0.0).alias("passage"))
+    out = out.withColumn("score", 1 / (1 + F.exp(-line)))
+    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "whole", "passage")
