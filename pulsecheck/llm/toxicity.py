@@ -36,7 +36,7 @@ from pulsecheck.llm.samples import by_class, labelled, remainder
 from pulsecheck.sources.shared import settle
 
 #: Discounts of pairs and of continuations, and words of a passage, among which the fit chooses.
-PAIR_DISCOUNTS, WORD_DISCOUNTS, PASSAGES = (100.0,), (0.75, 1.5, 3.0, 6.0, 12.0, 24.0), (1,)
+PAIR_DISCOUNTS, WORD_DISCOUNTS, PASSAGES = (0.75, 1.5, 3.0, 6.0, 12.0, 24.0, 48.0, 96.0), (0.75, 1.5, 3.0, 6.0, 12.0, 24.0), (1, 2, 3)
 #: Texts of each class on which the score is fitted.
 SAMPLE = 2000
 #: Rows of evidence that are broadcast (16 bytes each); further ones are joined.
@@ -385,9 +385,10 @@ class Trial:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, hot: int = HOT) -> tuple[Evidence | None, int, np.ndarray]:
     """The evidence (None without labels of both classes), the passage and the regression. Rows with crc32(key) mod 4
-    = 0 or 1 are counted, those with 3 fit the score."""
+    = 0 or 1 are counted, those with 3 fit the score; of equal texts of a class one."""
     rows = labelled(docs, labels, label, key, text).withColumn("fold", remainder("key", 4)).where("fold <> 2")
-    texts = settle(rows.withColumn("fitting", (F.col("fold") == 3).cast("int")).drop("fold"), "labelled")
+    texts = rows.withColumn("hash", F.sha2("text", 256)).groupBy("hash", "label").agg(F.min("fold").alias("fold"), F.min("key").alias("key"), F.first("text").alias("text"))
+    texts = settle(texts.withColumn("fitting", (F.col("fold") == 3).cast("int")).drop("hash", "fold"), "labelled")
     models = Models.count(texts)
     held = texts.where("fitting = 1")
     counts = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}

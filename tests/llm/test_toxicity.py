@@ -49,3 +49,18 @@ def test_joined_evidence_scores_like_broadcast(spark, hot):
     assert whole[0].rest is None and parts[0].rest is not None
     a, b = (sorted(((r["doc_id"] or -1, r["score"]) for r in toxicity.toxicity(docs, *t).collect())) for t in (whole, parts))
     assert len(a) == len(b) == 605 and all(x == y and abs(s - t) < 1e-5 for (x, s), (y, t) in zip(a, b))
+
+
+def test_expression_of_harmless_words(spark):
+    toxic, calm = (lambda rng: rng.choice(["black hole", "black", "hole"])), (lambda rng: rng.choice(["black", "hole"]))
+    trained = toxicity.train(*tables(spark, toxic, calm, n=240))
+    bad, good = scored(spark, trained, "the garden black hole over the black hole", "the garden black over hole the black and hole")
+    assert bad > good + 0.2
+
+
+def test_copies_of_a_text_count_once(spark):
+    docs, labels = tables(spark, lambda rng: "awful", lambda rng: "kind")
+    copies = [(1000 + i, "the kind copied garden of bread", 1) for i in range(400)]
+    docs = docs.union(spark.createDataFrame([c[:2] for c in copies], docs.schema))
+    labels = labels.union(spark.createDataFrame([(k, bad) for k, _, bad in copies], labels.schema))
+    assert scored(spark, toxicity.train(docs, labels), "the kind house")[0] < 0.5
