@@ -9,7 +9,7 @@ best on a fold that the counts have not seen, as they have to follow the amount
 
 A text is compared by the difference of the log-likelihoods a word: over the whole text, and in its most toxic
 passage. A logistic regression makes a score of the two; it is fitted on a bounded sample of labelled texts of that
-fold.fold.
+fold. The models that score are then counted over all the folds.
 
 Counts are exact and stay in tables that Spark writes to the shared folder, so they grow with the text. What
 scoring needs of them is a table of evidence: words and pairs for which the classes differ (below the discounts they
@@ -128,7 +128,7 @@ def _level(words: DataFrame, names: tuple[str, str, str], discounts: tuple[float
 
 @dataclass
 class Models:
-    """Counts in shared tables: pairs, and words by their continuations."""
+    """Counts in shared tables: pairs, and words by their continuations; the folds that fit and all folds."""
 
     pairs: DataFrame
     words: DataFrame
@@ -136,26 +136,26 @@ class Models:
     @classmethod
     def count(cls, texts: DataFrame) -> Models:
         pairs = settle(pair_counts(texts), "pairs")
-        n = ("n0", "n1")
-        counts = [F.count_if(F.expr(f"{of} > 0")).alias(name) for name, of in zip(("f0", "f1", "f"), (*n, "n0 + n1"))]
-        return cls(pairs, settle(pairs.groupBy("word").agg(*counts), "words"))
+        n, every = ("n0", "n1"), ("n0 + h0", "n1 + h1")
+        counts = [F.count_if(F.expr(f"{of} > 0")).alias(name) for name, of in zip(("f0", "f1", "f", "g0", "g1"), (*n, "n0 + n1", *every))]
+        return cls(pairs, settle(pairs.groupBy("word").agg(*counts, F.count("*").alias("g")), "words"))
 
     def evidence(self, pair_discount: float, word_discount: float) -> tuple[DataFrame, float]:
         """a, b, u, v, texts, and a constant. A word's row has it as a and b = 0: u is the difference of its
         log-likelihoods less the constant, v what it adds to the word after it. A pair's has u, what it adds to both."""
-        level = _level(self.words, ("f0", "f1", "f"), (word_discount,))
+        level = _level(self.words, ("g0", "g1", "g"), (word_discount,))
         rest = level.rest[word_discount]
         constant = float(np.log(rest[1] / level.follows[1]) - np.log(rest[0] / level.follows[0]))
-        shared = (F.col("f") + 0.5) / level.shared
-        likely = [((_over(F.col(f"f{c}"), word_discount) + rest[c] * shared) / level.follows[c]).alias(f"w{c}") for c in (0, 1)]
-        words = self.words.select("word", "f", *likely, (F.greatest("f0", "f1") > word_discount).alias("differs"))
-        every = self.pairs.select("before", "word", "n0", "n1").where("n0 + n1 > 0")
+        shared = (F.col("g") + 0.5) / level.shared
+        likely = [((_over(F.col(f"g{c}"), word_discount) + rest[c] * shared) / level.follows[c]).alias(f"w{c}") for c in (0, 1)]
+        words = self.words.select("word", "g", *likely, (F.greatest("g0", "g1") > word_discount).alias("differs"))
+        every = self.pairs.select("before", "word", *((F.col(f"n{c}") + F.col(f"h{c}")).alias(f"n{c}") for c in (0, 1)))
         kept = [_over(F.col(f"n{c}"), pair_discount).alias(f"k{c}") for c in (0, 1)]
         first = every.groupBy("before").agg(*(F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)), *(F.sum(k).alias(f"l{c}") for c, k in enumerate(kept)))
         first = first.where("l0 > 0 OR l1 > 0")
         left = [F.when(F.col(f"t{c}") > 0, (F.col(f"t{c}") - F.col(f"l{c}")) / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
         none = F.lit(0.0)
-        of_word = words.where("differs").select(F.col("word").alias("a"), (F.log("w1") - F.log("w0") - constant).alias("u"), none.alias("v"), F.col("f").alias("texts"))
+        of_word = words.where("differs").select(F.col("word").alias("a"), (F.log("w1") - F.log("w0") - constant).alias("u"), none.alias("v"), F.col("g").alias("texts"))
         of_first = first.select(F.col("before").alias("a"), none.alias("u"), (F.log(left[1]) - F.log(left[0])).alias("v"), (F.col("t0") + F.col("t1")).alias("texts"))
         single = of_word.union(of_first).groupBy("a").agg(F.sum("u").alias("u"), F.sum("v").alias("v"), F.max("texts").alias("texts")).select("a", F.lit(0).cast("long").alias("b"), "u", "v", "texts")
         some = every.where(F.greatest("n0", "n1") > pair_discount).select("before", "word", *kept, (F.col("n0") + F.col("n1")).alias("texts"))
@@ -385,7 +385,7 @@ class Trial:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, hot: int = HOT) -> tuple[Evidence | None, int, np.ndarray]:
     """The evidence (None without labels of both classes), the passage and the regression. Rows with crc32(key) mod 4
-    = 0 or 1 are counted, those with 3 fit the score; of equal texts of a class one."""
+    = 0 or 1 are counted, those with 3 fit the score and are counted after that; of equal texts of a class one."""
     rows = labelled(docs, labels, label, key, text).withColumn("fold", remainder("key", 4)).where("fold <> 2")
     texts = rows.withColumn("hash", F.sha2("text", 256)).groupBy("hash", "label").agg(F.min("fold").alias("fold"), F.min("key").alias("key"), F.first("text").alias("text"))
     texts = settle(texts.withColumn("fitting", (F.col("fold") == 3).cast("int")).drop("hash", "fold"), "labelled")

@@ -64,3 +64,13 @@ def test_copies_of_a_text_count_once(spark):
     docs = docs.union(spark.createDataFrame([c[:2] for c in copies], docs.schema))
     labels = labels.union(spark.createDataFrame([(k, bad) for k, _, bad in copies], labels.schema))
     assert scored(spark, toxicity.train(docs, labels), "the kind house")[0] < 0.5
+
+
+def test_every_allowed_fold_is_counted(spark):
+    """A word that only the fitting fold has, besides one that all folds have."""
+    docs, labels = tables(spark, lambda rng: "awful", lambda rng: "kind", n=1200)
+    rare = docs.collect()
+    rows = [(r["doc_id"], r["text"].replace("awful", "rotten", 2) if fold(r["doc_id"]) == 3 else r["text"]) for r in rare]
+    trained = toxicity.train(spark.createDataFrame(rows, docs.schema), labels)
+    rotten, unknown = scored(spark, trained, "the rotten house", "the neverseen house")
+    assert rotten > unknown + 0.1
