@@ -263,8 +263,9 @@ def identify(docs: DataFrame, names: list[str], net: Network | None, key: str =
     return per_slice(rows, make, fields(rows, "key", ("lang_pred", "string"), ("score", "double"))).withColumnRenamed("key", key)
 
 
-def known_language(docs: DataFrame, names: list[str], net: Network | None, least: float, text: str = "text") -> DataFrame:
-    """The rows of `docs` with a language whose score is at least `least`, all columns as they were."""
+def known_language(docs: DataFrame, names: list[str], net: Network | None, least: float, text: str = "text", model: Spoken | None = None) -> DataFrame:
+    """The rows of `docs` with a language whose score is at least `least`, and, with a `model`, whose bytes speak for the
+    languages it has counted; all columns as they were."""
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
 
@@ -273,7 +274,10 @@ def known_language(docs: DataFrame, names: list[str], net: Network | None, least
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             languages, scores = judged(batch.column("text"))
-            kept = pa.array([n != UNKNOWN and s >= least for n, s in zip(languages, scores)], pa.bool_())
+            fits = [n != UNKNOWN and s >= least for n, s in zip(languages, scores)]
+            if model:
+                fits = [f and model.speaks(t) for f, t in zip(fits, byte_texts(batch.column("text")))]
+            kept = pa.array(fits, pa.bool_())
             return batch_of(("row", batch.column("row").filter(kept)))
 
         return step
@@ -282,6 +286,53 @@ def known_language(docs: DataFrame, names: list[str], net: Network | None, least
     return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
+#: A document is told from text of the languages learnt by so many standard errors of its bytes at least.
+ERRORS = 4.0
+
+
+class Spoken:
+    """Likelihood of bytes by the byte before, from texts of all languages, each language weighing the same."""
+
+    def __init__(self, texts: list[bytes], labels: list):
+        counts = {name: np.zeros(1 << 16) for name in labels}
+        for t, name in zip(texts, labels):
+            counts[name] += np.bincount(self.pairs(t), minlength=1 << 16)
+        mean = sum(c / max(1, c.sum()) for c in counts.values()) / max(1, len(counts)) * 1e6 + 0.5
+        self.table = np.log(mean.reshape(256, 256) / mean.reshape(256, 256).sum(axis=1, keepdims=True)).astype(np.float32).ravel()
+        self.bar = -np.inf
+
+    @staticmethod
+    def pairs(text: bytes) -> np.ndarray:
+        line = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", dtype=np.uint8).astype(np.int32)
+        return line[:-1] * 256 + line[1:]
+
+    def fit(self, texts: list[bytes]) -> None:
+        """The bar is the least likely of the texts, none of which the counts have seen."""
+        self.bar = min((self.table[self.pairs(t)].mean(dtype=float) for t in texts), default=-np.inf)
+
+    def speaks(self, text: bytes) -> bool:
+        """Whether the likelihood a byte is not clearly below the bar; a short text is given the errors of its length."""
+        found = self.table[self.pairs(text)]
+        return float(found.mean(dtype=float) + ERRORS * found.std(dtype=float) / np.sqrt(len(found))) >= self.bar
+
+
+def spoken(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Spoken:
+    """Counted on at most `sample` labelled documents of each language, the bar fitted on as many of the contract's fold."""
+    from regex import compile as pattern
+
+    letter = pattern(r"\p{L}")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").alias("label"), held_out(key).alias("held"))
+    rows = rows.where("label IS NOT NULL")
+    got = []
+    for which in ("NOT held", "held"):
+        chosen = by_class(rows.where(which), "label", "key", sample).select("text", "label").toArrow()
+        pairs = zip(byte_texts(chosen.column("text")), chosen.column("label").to_pylist())
+        got.append([(t, name) for t, name in pairs if letter.search(t.decode())])
+    out = Spoken([t for t, _ in got[0]], [name for _, name in got[0]])
+    out.fit([t for t, _ in got[1]])
+    return out
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold of the contract."""
     return F.coalesce(remainder(key, 5) == 0, F.lit(False))
