@@ -75,7 +75,7 @@ class Windows:
         runs: list[list[int]] = []
         items: set[str] = set()
         known: set[int] = set()
-        for end, (length, of) in self.automaton.iter(line) if line and not line.isspace() else ():
+        for end, (length, of) in self.automaton.iter(line) if line.strip(" ") else ():
             first = end - length + 1
             while runs and first <= runs[-1][1]:
                 first = min(first, runs.pop()[0])
