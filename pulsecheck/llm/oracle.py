@@ -118,8 +118,33 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN by_doc USING (r)"""
 
 
+# The pages of the tables have one article each, of headings and paragraphs; references in them are &amp; and &quot;, some cut off.
+BLOCK_ENDS = r"</?(article|h1|p)>"
+MAIN_TEXT = f"""
+WITH pieces AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(replace(
+  regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<br>', ' '), '</?b>', '', 'g'), '{BLOCK_ENDS}', chr(1), 'g'), chr(1)) AS parts FROM pages),
+clean AS (SELECT page_id, url, [trim(regexp_replace(replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', chr(2), 'g'), chr(2), '&'),
+  '[\\s\\x{{A0}}]+', ' ', 'g')) FOR x IN parts] AS lines FROM pieces),
+texts AS (SELECT page_id, url, array_to_string([x FOR x IN lines IF x <> ''], chr(10)) AS text FROM clean)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts"""
+
+HARD_NEGATIVES = """
+WITH whole AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.id <> b.id WHERE a.id % 100 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 5"""
+
 ORACLE = {
     "op1_license_scan": _license_scan(),
     "op2_decontamination": DECONTAMINATION,
     "op5_secret_scan": _secret_scan(),
+    "op11_main_text": MAIN_TEXT,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -12,7 +12,9 @@ from pulsecheck.llm import language, quality, toxicity
 from pulsecheck.llm.alignment import aligned
 from pulsecheck.llm.common import table
 from pulsecheck.llm.decontaminate import contamination
+from pulsecheck.llm.extraction import main_text
 from pulsecheck.llm.licenses import license_scan
+from pulsecheck.llm.negatives import hard_negatives
 from pulsecheck.llm.neighbours import nearest
 from pulsecheck.llm.oracle import ORACLE  # noqa: F401
 from pulsecheck.llm.packing import pack
@@ -74,11 +76,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -90,5 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_neighbours": op10_neighbours,
+    "op11_main_text": op11_main_text,
     "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
