@@ -1,11 +1,20 @@
-"""CSV in and out."""
+"""CSV in and out.
+
+A file is read in parts. Whether a part begins inside a quoted field is not known to its task, so each line is read both ways:
+as the begin of a record, and as the rest of a quoted field. What a part makes of either state is one row a part; put together from
+part to part they tell where every part really begins. Records with line breaks are joined inside their task, and
+only those across the border of two parts are moved.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsecheck.functions.expressions import quoted
@@ -16,9 +25,18 @@ NO_VALUE = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 DECIMAL = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI]nf(inity)?)\s*$"
 KOREAN = "x-windows-949"  # CP949
+MARK = "\ufeff"
+
+#: A field: in quotes (and whatever follows the closing one), or as it is; a quote further inside is an ordinary character.
+FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|(?!")[^,]*+)'
+#: Parts that one record may run through; more speaks of a quote that is never closed.
+MAX_PARTS = 8
+PARTS = "file string, start long, n_lines long, open_after_0 boolean, open_after_1 boolean, closes boolean, opens boolean, n_top long, first_is_top boolean"
+PART_TYPES = (pa.string(), pa.int64(), pa.int64(), *[pa.bool_()] * 4, pa.int64(), pa.bool_())
+RECORDS = "value string, file string, line long, begun long, start long"
 
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
@@ -34,29 +52,34 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return "cp949"
 
 
-def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV with a header line, as a table of BIGINT, DOUBLE, BOOLEAN and STRING columns.
+def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = True, broken: str = "error") -> DataFrame:
+    """CSV with a header line, as a table of BIGINT, DECIMAL, DOUBLE, BOOLEAN and STRING columns.
 
-    `types` (column -> type) skips the pass that looks for the types. Fields with line breaks need `multi_line`; without
-    it large files are read in parts, and a line whose quotes do not pair up is an error.
+    `types` (column -> type) skips the pass that looks for the types. With `multi_line=False` a field with a line break is an
+    error. A row with more fields than the header is an error too, unless `broken` is "drop"; `broken_rows` lists such
+    rows with their places. A row with fewer fields has no value in the others. Lines of blanks are skipped.
     """
-    encoding = csv_encoding(spark, path)
-    options = {"header": True, "quote": '"', "escape": '"', "inferSchema": False, "multiLine": multi_line}
-    if not multi_line:
-        odd = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
-        if not spark.read.text(path).where(odd % 2 == 1).isEmpty():
-            raise ValueError("a field of the CSV holds a line break: read it with multi_line=True")
-    if encoding == "utf-8":
-        text = spark.read.csv(path, encoding="UTF-8", **options)
-    else:
-        # the charset switch must be on while the files are read, so read them here and now
-        with _java_charsets(spark):
-            text = settle(spark.read.csv(path, encoding=KOREAN, **options), "transcoded-csv")
-    cells = text.select(*[F.when(~quoted(c).isin(*NO_VALUE), quoted(c)).alias(c) for c in text.columns])
-    if cells.isEmpty():
+    if broken not in ("error", "drop"):
+        raise ValueError("broken is 'error' or 'drop'")
+    names, records = _records(spark, path, multi_line)
+    cells = _cells(records, names)
+    facts = cells.agg(F.count("*").alias("rows"), *_surplus(len(names)), *([] if types else _type_tests(names))).first()
+    if facts["rows"] - (facts["n_broken"] if broken == "drop" else 0) == 0:
         raise ValueError("the CSV has no rows")
-    types = types or _find_types(cells)
-    return cells.select(*[_typed(quoted(c), types.get(c, "string")).alias(c) for c in cells.columns])
+    if facts["n_broken"] and broken == "error":
+        raise ValueError(f"{facts['n_broken']} rows have more than {len(names)} fields, among them: {facts['example'][:200]!r}")
+    if facts["n_broken"]:
+        cells = cells.where(F.col("n_fields") <= len(names))
+        facts = facts if types else cells.agg(*_type_tests(names)).first()
+    types = types or {name: _found_type(facts, i) for i, name in enumerate(names)}
+    return cells.select(*[_typed(F.col(f"c{i}"), types.get(name, "string")).alias(name) for i, name in enumerate(names)])
+
+
+def broken_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, n_fields, record) of the rows that have not as many fields as the header; lines count from 1."""
+    names, records = _records(spark, path, True, placed=True)
+    found = _cells(records, names).where(F.col("n_fields") != len(names))
+    return found.select("file", "line", "n_fields", F.col("value").alias("record"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -65,34 +88,302 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, escape='"', **keep).csv(path)
 
 
+# --- records ----------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(value, file, start) of every physical line; the lines of a part stand together and in order."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    value = F.col("value") if encoding == "utf-8" else F.decode(F.col("value").cast("binary"), KOREAN)
+    return lines.select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def _left_open(value: Column) -> Column:
+    """Whether a line that begins a record ends inside a quoted field: whole fields are taken off its front."""
+    rest = F.regexp_replace(F.concat(value, F.lit(",")), rf"\G{FIELD},", "")
+    return F.when(F.contains(value, F.lit('"')), rest != "").otherwise(F.lit(False))
+
+
+def _both_ways(lines: DataFrame) -> DataFrame:
+    """Adds open_0 and open_1: whether the line ends inside quotes if it begins a record, or inside quotes."""
+    inside = F.when(F.contains("value", F.lit('"')), _left_open(F.concat(F.lit('"'), F.col("value")))).otherwise(F.lit(True))
+    return lines.select("*", _left_open(F.col("value")).alias("open_0"), inside.alias("open_1"))
+
+
+def _states(open_0: np.ndarray, open_1: np.ndarray, before: bool) -> np.ndarray:
+    """The state after each line, from the state before the first."""
+    place = np.arange(len(open_0))
+    settled = np.maximum.accumulate(np.where(open_0 == open_1, place, -1))  # the last line that decides the state by itself
+    turns = np.cumsum(open_0 & ~open_1)
+    known = settled >= 0
+    base = np.where(known, open_0[settled], before)
+    return base ^ ((turns - np.where(known, turns[settled], 0)) % 2 == 1)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The batch by parts."""
+    start = batch.column("start").to_numpy()
+    files = batch.column("file").dictionary_encode()
+    code = files.indices.to_numpy()
+    ends = np.flatnonzero((np.diff(start) != 0) | (np.diff(code) != 0)) + 1
+    for a, b in zip([0, *ends], [*ends, batch.num_rows]):
+        if b > a:
+            yield (files.dictionary[int(code[a])].as_py(), int(start[a])), batch.slice(a, b - a)
+
+
+def _opens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("open_0", "open_1"))
+
+
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """One row a part: what its lines make of either state, whether quotes close if it begins inside, and its header lines."""
+    names = [c.split()[0] for c in PARTS.split(", ")]
+    part, held = None, []
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*part, *held), PART_TYPES)], names=names)
+
+    for batch in batches:
+        for key, run in _runs(batch):
+            if key != part:
+                if part is not None:
+                    yield row()
+                part, held = key, [0, False, True, False, False, 0, None]
+            open_0, open_1 = _opens(run)
+            inside = _states(open_0, open_1, held[2])
+            top, blank = (run.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("top", "blank"))
+            first = held[6] if held[6] is not None or blank.all() else bool(top[~blank][0])
+            closes = held[3] or bool((~inside).any())
+            after = bool(_states(open_0, open_1, held[1])[-1])
+            held = [held[0] + run.num_rows, after, bool(inside[-1]), closes, held[4] or bool(open_0.any()), held[5] + int(top.sum()), first]
+    if part is not None:
+        yield row()
+
+
+def _joined(batches) -> Iterator[pa.RecordBatch]:
+    """Records: whole ones, and the pieces of those that cross the border of parts (`begun`: the part where they begin)."""
+    part, state, line, pending, first, begun = None, False, 0, [], 0, None
+
+    def out(rows: list[tuple], values: pa.Array | None = None, lines: np.ndarray | None = None) -> pa.RecordBatch:
+        whole = 0 if values is None else len(values)
+        strings = pa.array([r[0] for r in rows], pa.string())
+        return pa.RecordBatch.from_arrays(
+            [
+                strings if values is None else pa.concat_arrays([values, strings]),
+                pa.array([part[0]] * (whole + len(rows)), pa.string()),
+                pa.array(np.concatenate([lines if lines is not None else np.zeros(0, dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)])),
+                pa.array([None] * whole + [r[2] for r in rows], pa.int64()),
+                pa.array([part[1]] * (whole + len(rows)), pa.int64()),
+            ],
+            names=[c.split()[0] for c in RECORDS.split(", ")],
+        )
+
+    def left() -> pa.RecordBatch:
+        return out([("\n".join(pending), first, part[1] if begun is None else begun)])
+
+    for batch in batches:
+        for key, run in _runs(batch):
+            if key != part:
+                if part is not None and pending:
+                    yield left()
+                part, pending = key, []
+                state, line = run.column("inside")[0].as_py(), run.column("before")[0].as_py()
+                begun = run.column("begun")[0].as_py() if state else None
+                first = line + 1
+            after = _states(*_opens(run), state)
+            before = np.concatenate([[state], after[:-1]])
+            single = ~before & ~after
+            rows = []
+            values = run.column("value")
+            for i in np.flatnonzero(~single).tolist():
+                if not before[i]:
+                    pending, first, begun = [], line + i + 1, None
+                pending.append(values[i].as_py())
+                if not after[i]:
+                    rows.append(("\n".join(pending), first, begun))
+                    pending = []
+            state = bool(after[-1])
+            yield out(rows, values.filter(pa.array(single)).cast(pa.string()), line + 1 + np.flatnonzero(single))
+            line += run.num_rows
+    if part is not None and pending:
+        yield left()
+
+
+def _records(spark: SparkSession, path: str, multi_line: bool, placed: bool = False) -> tuple[list[str], DataFrame]:
+    """The column names, and a table with the text of every record (`value`) but the headers; `placed`: with file and line."""
+    encoding = csv_encoding(spark, path)
+    with _java_charsets(spark):  # no matter where no other charset is named
+        lines = _lines(spark, path, encoding)
+        header, n_lines = _header(lines, spark, encoding)
+        names = _column_names(_split_fields(header))
+        top = _unmarked(F.col("value")) == header.split("\n")[0].removesuffix("\r")
+        blank = F.trim(_bare(F.col("value"))) == ""
+        both = _both_ways(lines)
+        parts = settle(both.withColumns({"top": top, "blank": blank}).drop("value").mapInArrow(_parts, PARTS), "csv-parts")
+        begins = F.col("start") == 0
+        facts = parts.agg(
+            F.bool_or("opens").alias("opened"),
+            F.bool_or(begins & ~F.coalesce("first_is_top", F.lit(True))).alias("differ"),
+            F.max(F.when(begins, F.col("n_top"))).alias("tops"),
+        ).first()
+        if facts["opened"] and not multi_line:
+            raise ValueError("a field of the CSV holds a line break: read it with multi_line=True")
+        if facts["differ"]:
+            raise ValueError("the files of the CSV have different headers")
+        if not facts["opened"] and facts["tops"] == 1 and encoding == "utf-8" and not placed:
+            return names, lines.where(~(begins & top) & ~blank).select(_bare(F.col("value")).alias("value"))
+        place = _places(parts)
+        wrong = place.agg(F.bool_or(F.col("last") & F.col("open_after")).alias("open"), F.max("through").alias("through")).first()
+        if wrong["open"]:
+            raise ValueError("a quote of the CSV is never closed")
+        if wrong["through"] > MAX_PARTS:
+            raise ValueError(f"a field of the CSV runs through more than {MAX_PARTS} parts of a file")
+        # One row a part of a file.
+        known = both.join(F.broadcast(place.select("file", "start", "inside", "begun", "before")), ["file", "start"])
+        records = known.select("value", "file", "start", "open_0", "open_1", "inside", "begun", "before").mapInArrow(_joined, RECORDS)
+        # The pieces of a record are read from the same pass as the whole ones.
+        read = settle(records, "csv-records")
+    whole = read.where("begun IS NULL").select("value", "file", "line")
+    pieces = read.where("begun IS NOT NULL").groupBy("file", "begun").agg(F.sort_array(F.collect_list(F.struct("start", "value", "line"))).alias("pieces"))
+    across = pieces.select(F.array_join("pieces.value", "\n").alias("value"), "file", F.expr("pieces[0].line").alias("line"))
+    every = whole.unionByName(across).where(F.trim(F.translate("value", "\r\n", "  ")) != "")
+    # One row a file.
+    tops = every.groupBy("file").agg(F.min("line").alias("top"), F.min_by("value", "line").alias("header"))
+    if not tops.where(_unmarked(F.col("header")) != header).isEmpty():
+        raise ValueError("the files of the CSV have different headers")
+    rows = every.join(F.broadcast(tops.select("file", "top")), "file").where("line <> top")
+    return names, rows.select(_bare(F.col("value")).alias("value"), "file", "line")
+
+
+def _places(parts: DataFrame) -> DataFrame:
+    """For each part: lines before it, whether it begins inside quotes, and then the part where that record begins."""
+    in_order = Window.partitionBy("file").orderBy("start")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    decides = F.col("open_after_0") == F.col("open_after_1")
+    marked = parts.withColumns({
+        "nth": F.row_number().over(in_order),
+        "last": F.lead("start").over(in_order).isNull(),
+        "turns": F.sum(F.expr("IF(open_after_0 AND NOT open_after_1, 1, 0)")).over(in_order),
+        "before": F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)),
+    })
+    settled = F.last(F.when(decides, F.struct(F.col("open_after_0").alias("open"), F.col("turns").alias("turns"))), True).over(in_order)
+    odd = (F.col("turns") - F.coalesce(settled["turns"], F.lit(0))) % 2 == 1
+    states = marked.withColumn("open_after", F.coalesce(settled["open"], F.lit(False)) != odd)
+    states = states.withColumn("inside", F.coalesce(F.lag("open_after").over(in_order), F.lit(False)))
+    own = F.col("open_after") & (~F.col("inside") | F.col("closes"))
+    began = F.last(F.when(own, F.struct("start", "nth")), True).over(earlier)
+    through = F.when(F.col("inside"), F.col("nth") - began["nth"] + 1).otherwise(F.lit(1))
+    return states.withColumns({"begun": F.when(F.col("inside"), began["start"]), "through": through})
+
+
+def _header(lines: DataFrame, spark: SparkSession, encoding: str) -> tuple[str, int]:
+    """The first record that is not blank, without mark and carriage return, and its number of lines."""
+    first, taken = _lines(spark, min(lines.inputFiles()), encoding).select("value"), 64
+    while True:
+        head = [r["value"] for r in first.head(taken)]
+        top = next((i for i, v in enumerate(head) if v.strip()), len(head))
+        for stop in range(top + 1, len(head) + 1):
+            record = "\n".join(head[top:stop])
+            if not _rest(record):
+                return record.removesuffix("\r").removeprefix(MARK), stop - top
+        if len(head) < taken or taken > 100_000:
+            raise ValueError("a quote of the CSV is never closed" if top < len(head) else "the CSV has no rows")
+        taken *= 8
+
+
+def _rest(record: str) -> str:
+    """What is left of a record when whole fields are taken off its front."""
+    text, at, field = f"{record},", 0, re.compile(f"{FIELD},")
+    while at < len(text) and (found := field.match(text, at)):
+        at = found.end()
+    return text[at:]
+
+
+def _split_fields(record: str) -> list[str]:
+    text, at, field, out = f"{record},", 0, re.compile(f"({FIELD}),"), []
+    while at < len(text) and (found := field.match(text, at)):
+        own = re.fullmatch(r'"([^"]*+(?:""[^"]*+)*+)"(.*)', found[1], re.S)
+        out.append(own[1].replace('""', '"') + own[2] if own else found[1])
+        at = found.end()
+    return out
+
+
+def _column_names(fields: Sequence[str]) -> list[str]:
+    """A repeated name gets a number behind a dot; a field without a name is called by its place."""
+    names: list[str] = []
+    taken: set[str] = set()
+    for i, field in enumerate(fields):
+        name, n = field or f"Unnamed: {i}", 0
+        while name in taken or (n and name in fields):
+            n += 1
+            name = f"{field or f'Unnamed: {i}'}.{n}"
+        taken.add(name)
+        names.append(name)
+    return names
+
+
+def _bare(value: Column) -> Column:
+    """Without the carriage return of a line end."""
+    return F.when(F.endswith(value, F.lit("\r")), F.left(value, F.length(value) - 1)).otherwise(value)
+
+
+def _unmarked(value: Column) -> Column:
+    """`_bare`, and without a byte order mark."""
+    bare = _bare(value)
+    return F.when(F.startswith(bare, F.lit(MARK)), F.substring(bare, 2, F.length(bare))).otherwise(bare)
+
+
+# --- cells ------------------------------------------------------------------------------------
+
+
+def _cells(records: DataFrame, names: Sequence[str]) -> DataFrame:
+    """n_fields and c0, c1, ...: the texts of the cells, null where there is no value, beside the record."""
+    plain = F.split("value", ",", -1)
+    fields = F.when(F.contains("value", F.lit('"')), F.expr(rf"regexp_extract_all(concat(value, ','), r'\G({FIELD}),', 1)")).otherwise(plain)
+    listed = records.withColumn("fields", fields)
+    cells = []
+    for i in range(len(names)):
+        raw = f"get(fields, {i})"
+        whole = "r'(?s)^\"([^\"]*+(?:\"\"[^\"]*+)*+)\"(.*)$'"
+        text = F.expr(f"""IF(startswith({raw}, '"'), concat(replace(regexp_extract({raw}, {whole}, 1), '""', '"'), regexp_extract({raw}, {whole}, 2)), {raw})""")
+        cells.append(F.when(~text.isin(*NO_VALUE), text).alias(f"c{i}"))
+    return listed.select(*records.columns, F.size("fields").alias("n_fields"), *cells)
+
+
+def _surplus(width: int) -> list[Column]:
+    more = F.col("n_fields") > width
+    return [F.coalesce(F.sum(more.cast("long")), F.lit(0)).alias("n_broken"), F.min(F.when(more, F.left("value", F.lit(200)))).alias("example")]
+
+
 def _typed(cell: Column, data_type: str) -> Column:
     if data_type == "boolean":
         return F.lower(F.trim(cell)) == "true"
     return cell if data_type == "string" else F.trim(cell).cast(data_type)
 
 
-def _find_types(cells: DataFrame) -> dict[str, str]:
-    """One pass over all columns: the narrowest type that fits every cell."""
+def _type_tests(names: Sequence[str]) -> list[Column]:
     tests = []
-    for i, name in enumerate(cells.columns):
-        cell = quoted(name)
+    for i in range(len(names)):
+        cell = F.col(f"c{i}")
         tests += [
             F.bool_and(cell.rlike(INTEGER)).alias(f"i{i}"),
+            F.bool_and(F.when(cell.isNotNull(), F.trim(cell).try_cast("bigint").isNotNull())).alias(f"l{i}"),
+            F.bool_and(F.when(cell.isNotNull(), F.trim(cell).try_cast("decimal(38,0)").isNotNull())).alias(f"w{i}"),
             F.bool_and(cell.rlike(DECIMAL)).alias(f"d{i}"),
             F.bool_and(F.lower(F.trim(cell)).isin("true", "false")).alias(f"b{i}"),
         ]
-    fits = cells.agg(*tests).first()
-    found = {}
-    for i, name in enumerate(cells.columns):
-        if fits[f"i{i}"] is None:  # no value at all
-            found[name] = "double"
-        elif fits[f"i{i}"]:
-            found[name] = "bigint"
-        elif fits[f"d{i}"]:
-            found[name] = "double"
-        else:
-            found[name] = "boolean" if fits[f"b{i}"] else "string"
-    return found
+    return tests
+
+
+def _found_type(fits, i: int) -> str:
+    """The narrowest type that fits every cell; integers beyond 64 bits stay exact as decimals."""
+    if fits[f"i{i}"] is None:  # no value at all
+        return "double"
+    if fits[f"i{i}"] and (fits[f"l{i}"] or fits[f"w{i}"]):
+        return "bigint" if fits[f"l{i}"] else "decimal(38,0)"
+    if fits[f"d{i}"]:
+        return "double"
+    return "boolean" if fits[f"b{i}"] else "string"
 
 
 class _java_charsets:
