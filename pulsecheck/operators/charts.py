@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsecheck.config import CURRENT, DANGER, INSUFFICIENT, STABLE, WARNING
+from pulsecheck.config import CURRENT, DANGER, INSUFFICIENT, REFERENCE, STABLE, WARNING
 from pulsecheck.functions.expressions import as_category, as_number, quoted
 from pulsecheck.functions.literal import literal_table, local_table
-from pulsecheck.operators.drift import category_shares, interpolated, order_statistics, running_counts
+from pulsecheck.operators.drift import category_shares, numeric_facts
 from pulsecheck.sources.pairs import Pair
 from pulsecheck.sources.shared import settle
 
@@ -101,17 +101,10 @@ def numeric_box(pair: Pair, column: str) -> DataFrame:
 
     Exact linear quartiles; whiskers end at the last value within 1.5 times the quartile range.
     """
-    ranks = running_counts(pair, [column])
     shares = [0.25, 0.5, 0.75]
-    both = ranks.agg(
-        *[F.max(f"all_{side}").alias(f"n_{side}") for side in ("ref", "cur")],
-        *[order_statistics(shares, side).alias(f"picked_{side}") for side in ("ref", "cur")],
-    )
-    sides = both.selectExpr("STACK(2, 'reference', n_ref, picked_ref, 'current', n_cur, picked_cur) AS (period, n, picked)")
-    quartiles = [
-        f"{interpolated(s, i, 'n', 'picked')} AS {name}" for i, (s, name) in enumerate(zip(shares, ("q1", "median", "q3")))
-    ]
-    stats = literal_table(sides.where("n > 0").selectExpr("period", "n", *quartiles))  # two rows
+    facts = numeric_facts(pair, [column], dict.fromkeys(("ref", "cur"), shares))[0]
+    rows = [(name, facts.n[s], *(facts.quantile(s, q) for q in shares)) for s, name in (("ref", REFERENCE), ("cur", CURRENT)) if facts.n[s]]
+    stats = local_table(pair.rows.sparkSession, rows, "period string, n long, q1 double, median double, q3 double")  # two rows
     reach = (F.col("q3") - F.col("q1")) * 1.5
     cells = pair.rows.select("period", as_number(pair.rows, column).alias("value")).where(F.col("value").isNotNull())
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)

@@ -18,7 +18,8 @@ from pulsecheck.config import (
 )
 from pulsecheck.functions.expressions import status_of
 from pulsecheck.functions.literal import literal_table, local_table
-from pulsecheck.functions.ordering import collect_cuts, locate, running_totals
+from pulsecheck.functions.ordering import locate
+from pulsecheck.functions.selection import Facts, select
 from pulsecheck.operators.frequency import category_counts, named, numeric_cells
 from pulsecheck.sources.pairs import Pair
 
@@ -48,66 +49,35 @@ def mean_shift(pair: Pair, columns: Sequence[str]) -> DataFrame:
     return means.selectExpr(named(columns), "ref_mean", "cur_mean", "cur_mean - ref_mean AS mean_change")
 
 
-def running_counts(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """Distinct values per column (`column_no`) in ascending order, with running counts of both periods."""
-    counts = {"ref": F.expr("SUM(IF(is_ref, 1L, 0L))"), "cur": F.expr("SUM(IF(is_ref, 0L, 1L))")}
-    cells = numeric_cells(pair, columns)
-    # drawing rows before they fan out into cells is cheaper than drawing cells
-    thin = Pair(pair.rows.sample(1 / 64, seed=11), pair.reference_types, pair.current_types)
-    cuts = collect_cuts(numeric_cells(thin, columns), ["column_no"], "value", share=1.0, n_keys=len(columns))
-    return running_totals(cells, ["column_no"], "value", counts, cuts, n_keys=len(columns))
-
-
 def quantile_shares(bins: int) -> list[float]:
     """0, 1/bins, ..., 1 in steps of the double 1/bins; the last one is exactly 1."""
     return [*(i * (1 / bins) for i in range(bins)), 1.0]
 
 
-def order_statistics(shares: Sequence[float], side: str) -> Column:
-    """Aggregate over running counts: a struct with the order statistics at (`low<i>`) and next above
-    (`high<i>`) each share. The value at rank r is the least one whose running count exceeds r."""
-    picks = []
-    for i, share in enumerate(shares):
-        rank = f"CAST(FLOOR(CAST(all_{side} - 1 AS DOUBLE) * {share!r}D) AS BIGINT)"
-        above = f"LEAST({rank} + 1, all_{side} - 1)"
-        picks.append(f"MIN(CASE WHEN cum_{side} > {rank} THEN value END) AS low{i}")
-        picks.append(f"MIN(CASE WHEN cum_{side} > {above} THEN value END) AS high{i}")
-    return F.expr(f"STRUCT({', '.join(picks)})")
+def numeric_facts(pair: Pair, columns: Sequence[str], shares: dict[str, Sequence[float]], gap: bool = False) -> list[Facts]:
+    """Rows, sums and quantiles of every column, with the largest gap of both sides if asked for."""
 
+    def cells(numbers: Sequence[int]) -> DataFrame:
+        return numeric_cells(pair, [columns[i] for i in numbers])
 
-def interpolated(share: float, i: int, count: str, picked: str) -> str:
-    """SQL: linear interpolation between the two order statistics in the struct `picked`."""
-    low, high = f"{picked}.low{i}", f"{picked}.high{i}"
-    place = f"(CAST({count} - 1 AS DOUBLE) * {share!r}D)"
-    part = f"({place} - FLOOR({place}))"
-    return (
-        f"CASE WHEN {part} >= 0.5D THEN {high} - ({high} - {low}) * (1.0D - {part}) "
-        f"ELSE {low} + ({high} - {low}) * {part} END"
-    )
+    def thin() -> DataFrame:
+        # drawing rows before they fan out into cells is cheaper than drawing cells
+        return numeric_cells(Pair(pair.rows.sample(1 / 64, seed=11), pair.reference_types, pair.current_types), columns)
+
+    return select(cells, thin, len(columns), shares, gap)
 
 
 def _numeric_summary(pair: Pair, columns: Sequence[str], bins: int) -> DataFrame:
     """One row per column: counts, means, KS D and the deduplicated quantile edges of the reference."""
     shares = quantile_shares(bins)
-    gap = "ABS(CAST(cum_ref AS DOUBLE) / CAST(all_ref AS DOUBLE) - CAST(cum_cur AS DOUBLE) / CAST(all_cur AS DOUBLE))"
-    enough = f"all_ref >= {PSI_MIN_VALUES} AND all_cur >= {PSI_MIN_VALUES}"
-    figures = running_counts(pair, columns).groupBy("column_no").agg(
-        F.max("all_ref").alias("ref_n"),
-        F.max("all_cur").alias("cur_n"),
-        F.expr(f"MAX(CASE WHEN {enough} THEN {gap} ELSE 0.0D END)").alias("ks"),
-        F.expr("SUM(IF(ref > 0, value * ref, 0D)) / NULLIF(SUM(ref), 0)").alias("ref_mean"),
-        F.expr("SUM(IF(cur > 0, value * cur, 0D)) / NULLIF(SUM(cur), 0)").alias("cur_mean"),
-        order_statistics(shares, "ref").alias("picked"),
-    )
-    # a column without a single value still has its row
-    found = _numbered(pair, columns).join(figures, "column_no", "left").na.fill(0, ["ref_n", "cur_n"]).na.fill(0.0, ["ks"])
-    edges = ", ".join(interpolated(s, i, "ref_n", "picked") for i, s in enumerate(shares))
-    # a column without reference values has no edges at all
-    summary = found.selectExpr(
-        "column_no", "column", "ref_n", "cur_n", "ks", "ref_mean", "cur_mean", f"ARRAY_COMPACT(ARRAY_DISTINCT(ARRAY({edges}))) AS edges"
-    )
-    # #columns rows; settled here because the histogram and several results build on it
-    return literal_table(summary)
+    rows = []
+    for i, facts in enumerate(numeric_facts(pair, columns, {"ref": shares}, gap=True)):
+        enough = min(facts.n.values()) >= PSI_MIN_VALUES
+        # a column without reference values has no edges at all
+        edges = dict.fromkeys(facts.quantile("ref", s) for s in shares) if facts.n["ref"] else {}
+        rows.append((i, columns[i], facts.n["ref"], facts.n["cur"], facts.gap if enough else 0.0, facts.mean("ref"), facts.mean("cur"), list(edges)))
+    schema = "column_no int, column string, ref_n long, cur_n long, ks double, ref_mean double, cur_mean double, edges array<double>"
+    return local_table(pair.rows.sparkSession, rows, schema)
 
 
 def approximate_edges(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS, accuracy: int = 100_000) -> DataFrame:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from pulsecheck.config import CURRENT, MISSING, PERIOD, REFERENCE
 from pulsecheck.functions.expressions import as_number, as_text, quoted
+from pulsecheck.functions.literal import local_table
 from pulsecheck.operators.columns import Task
-from pulsecheck.operators.drift import interpolated, order_statistics, running_counts
-from pulsecheck.operators.frequency import category_counts, named
+from pulsecheck.operators.drift import numeric_facts
+from pulsecheck.operators.frequency import category_counts
 from pulsecheck.operators.prepare import (
     apply_threshold,
     class_table,
@@ -44,12 +45,11 @@ MIN_REFERENCE_ROWS = 80
 
 
 def median_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, median): exact, from running counts, so no value list is gathered anywhere."""
+    """(column, median) of the columns that have a number: exact, and without moving the values."""
     pair = pair_from(train.withColumn(PERIOD, F.lit(REFERENCE)), list(columns))
-    found = running_counts(pair, columns).groupBy("column_no").agg(
-        F.max("all_ref").alias("n"), order_statistics([0.5], "ref").alias("picked")
-    )
-    return found.selectExpr(named(columns), f"{interpolated(0.5, 0, 'n', 'picked')} AS median")
+    found = numeric_facts(pair, list(columns), {"ref": [0.5]})
+    rows = [(name, facts.quantile("ref", 0.5)) for name, facts in zip(columns, found) if facts.n["ref"]]
+    return local_table(train.sparkSession, rows, "column string, median double")
 
 
 def mode_values(train: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,14 +5,21 @@ import math
 import numpy as np
 
 
+def quantile(values, share):
+    """Linear between the two values next to the place."""
+    values = sorted(values)
+    place = (len(values) - 1) * share
+    below = int(place // 1)
+    above = min(below + 1, len(values) - 1)
+    return values[below] + (values[above] - values[below]) * (place - below)
+
+
 def psi(ref, cur, bins=10):
-    ref = np.array([v for v in ref if v is not None and not math.isnan(v)])
-    cur = np.array([v for v in cur if v is not None and not math.isnan(v)])
-    if len(ref) < 20 or len(cur) < 20:
-        return 0.0
-    edges = sorted(set(np.quantile(ref, np.linspace(0, 1, bins + 1)).tolist()))
-    if len(edges) < 3:
+    sides = [[v for v in side if v == v and v is not None] for side in (ref, cur)]
+    cuts = {quantile(sides[0], i / bins) for i in range(bins + 1)} if min(map(len, sides)) >= 20 else set()
+    if len(cuts) < 3:
         return 0.0
+    (ref, cur), edges = sides, sorted(cuts)
     inner = edges[1:-1]
     total = 0.0
     for b in range(len(inner) + 1):

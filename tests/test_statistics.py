@@ -301,12 +301,9 @@ def plan(df):
 
 
 def test_no_data_sized_step_on_one_task(spark):
-    ref, cur = awkward(0), awkward(1)
-    pair = pair_of(frame(spark, ref.values(), SCHEMA), frame(spark, cur.values(), SCHEMA))
     rows = [("reference", 1, 0.3, 1), ("current", 0, 0.4, 1)]
     scored = spark.createDataFrame(rows, "period string, y_true int, proba double, y_pred int")
     for df in (
-        drift.running_counts(pair, ["smooth"]),
         performance.score_ranks(scored),
         performance.roc_curve(scored),
         performance.pr_curve(scored),
