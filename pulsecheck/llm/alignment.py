@@ -17,10 +17,12 @@ give repeated rows, and each counts. An empty table gives an empty result; other
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from pulsecheck.llm.common import batch_of, fields, in_worker, pick, slices
 from pulsecheck.sources.shared import settle
 
-#: Units that a task keeps, and units in one call of the libraries.
-KEPT, CALL = 300_000, 20_000
+#: Units that a task keeps, that are worked on at once, and that stand in one text for the libraries.
+KEPT, BATCH, CALL = 500_000, 20_000, 2_000
 #: Pairs that vocabularies may allow at most; 17 bytes each are sent to every task.
 MOST_PAIRS = 8_000_000
 #: Parts of the hash that are built on their own; slots of one segment of a vector; bits for each key of a level.
@@ -41,13 +43,17 @@ FILL = 8
 
 # White space in front of a space; also characters that some engines take for white space.
 NOT_BEFORE_A_CUT = sorted({chr(i) for i in range(0x3001) if chr(i).isspace()} | {"᠎", "​"})
+WHITE, NO_CUTS = frozenset(NOT_BEFORE_A_CUT), [f"{c} " for c in NOT_BEFORE_A_CUT]
 CUT = re.compile(f"(?<=[^{''.join(map(re.escape, NOT_BEFORE_A_CUT))}]) ")
 SPACE = "▁"
+# Fixed value: how byte-level vocabularies cut words, for texts of Latin letters and signs alone.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PLAIN = re.compile(r"[\n\t\x20-\x7e¡-ɏ]*")
 
 
 def parts_of(text: str) -> list[str]:
     """The units of a text, each without the one space in front of it."""
-    if text[0] == " " or any(f"{c} " in text for c in NOT_BEFORE_A_CUT):
+    if text[0] == " " or any(c in text for c in NO_CUTS):
         return CUT.split(text)
     return text.split(" ")
 
@@ -71,10 +77,12 @@ class Vocabularies:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = _byte_alphabet()
+        kind = json.loads(self.a.to_str())
         named = self.a.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * (1 + max(named.values()))
         for token, i in named.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self.ranked = self._ranked(kind, named)
         self.b_bytes = [b""] * self.b.get_piece_size()
         for i in range(len(self.b_bytes)):
             if self.b.is_byte(i):
@@ -82,6 +90,18 @@ class Vocabularies:
             elif not self.b.is_control(i) and not self.b.is_unknown(i):
                 self.b_bytes[i] = self.b.id_to_piece(i).replace(SPACE, " ").encode()
 
+    def _ranked(self, kind: dict, named: dict[str, int]) -> Callable[[str], list[int]] | None:
+        """A faster encoder of the same merges, for plain text: where the ids of A are the order of its merges."""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in kind["model"].get("merges", [])]
+        cutter = kind["pre_tokenizer"] or {}
+        plain = kind["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+        if not plain or any(named.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)) or len(named) - 256 not in (len(merges), len(merges) + 1):
+            return None
+        import tiktoken
+
+        ranks = {t: i for i, t in enumerate(self.a_bytes[: 256 + len(merges)])}
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def possible_pairs(self) -> int:
         """How many pairs of tokens there are of which one's bytes end the other's."""
         of_a, of_b = ({} for _ in range(2))
@@ -110,50 +130,68 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.own.a_bytes, self.own.b_bytes))
         self.a_text, self.b_text = ([str(i) for i in range(len(x))] for x in (self.a_size, self.b_size))
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def together(self, units: list[str], encode: Callable[[str], list[int]]) -> tuple | None:
+        """Ids and tokens by unit of A and B, all units in one text; nothing if the tokens do not spell it."""
+        spelled = [f" {u}".encode(errors="replace") for u in units]
+        text, ends = b"".join(spelled), np.cumsum(np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)))
+        out = []
+        joined = " ".join(units)
+        for ids, held, size in ((encode(f" {joined}"), self.own.a_bytes, self.a_size), (self.own.b.encode(joined), self.own.b_bytes, self.b_size)):
+            if b"".join(map(held.__getitem__, ids)) != text:
+                return None
+            ids = np.array(ids, dtype=np.int64)
+            out += [ids, np.diff(np.searchsorted(np.cumsum(size[ids]), ends) + 1, prepend=0)]
+        return *out, np.ones(len(units), dtype=bool)
+
+    def apart(self, units: list[str]) -> tuple:
         a = [e.ids for e in self.own.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
-        b = self.own.b.encode(units, num_threads=1)
         # The library gives no token for an empty text, where a space in front of nothing is meant.
-        return a, [x or ([] if u else self.lone()) for x, u in zip(b, units)]
+        b = [x or ([] if u else self.lone()) for x, u in zip(self.own.b.encode(units, num_threads=1), units)]
+        whole = np.ones(len(units), dtype=bool)
+        for i, (x, y, u) in enumerate(zip(a, b, units)):
+            spelled = f" {u}".encode(errors="replace")
+            if b"".join([self.own.a_bytes[t] for t in x]) != spelled or b"".join([self.own.b_bytes[t] for t in y]) != spelled:
+                whole[i], a[i], b[i] = False, [], []
+        out = []
+        for ids in (a, b):
+            out += [np.fromiter(chain.from_iterable(ids), dtype=np.int64), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))]
+        return *out, whole
 
     def lone(self) -> list[int]:
         return self.own.b.encode("\n ")[-1:]  # a line break stands in no larger piece
 
-    def align(self, units: list[str], texts: bool) -> Aligned:
-        a, b = self.encode(units)
-        spelled = [f" {u}".encode(errors="replace") for u in units]
-        whole = np.ones(len(units), dtype=bool)
-        a_bytes, b_bytes = self.own.a_bytes, self.own.b_bytes
-        for i, (x, y, s) in enumerate(zip(a, b, spelled)):
-            if b"".join([a_bytes[t] for t in x]) != s or b"".join([b_bytes[t] for t in y]) != s:
-                whole[i], a[i], b[i] = False, [], []
-        n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (a, b))
-        a_ids, b_ids = (np.fromiter((t for ids in x for t in ids), dtype=np.int64, count=n.sum()) for x, n in ((a, n_a), (b, n_b)))
+    def align(self, units: list[str], texts: bool) -> tuple[list[str], Aligned]:
+        """The units in the order of the arrays, and the arrays. Units that a cut may follow are encoded together, CALL at a time."""
+        kinds: tuple[list[str], list[str], list[str]] = [], [], []
+        for u in units:
+            kinds[2 if not u or u[-1] in WHITE else 1 if self.own.ranked is None or not PLAIN.fullmatch(u) else 0].append(u)
+        found = []
+        for kind, encode in zip(kinds, (self.own.ranked, lambda t: self.own.a.encode_batch_fast([t], add_special_tokens=False)[0].ids, None)):
+            for start in range(0, len(kind), CALL):
+                some = kind[start : start + CALL]
+                found.append((self.together(some, encode) if encode else None) or self.apart(some))
+        a_ids, n_a, b_ids, n_b, whole = (np.concatenate(x) for x in zip(*found))
         # Both kinds spell the same bytes, so ends count through all units.
         a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         at = np.searchsorted(b_end, a_end)
         cut = b_end[at] == a_end if len(a_end) else np.zeros(0, dtype=bool)
-        pairs = a_ids[cut] * len(b_bytes) + b_ids[at[cut]]
+        pairs = a_ids[cut] * len(self.own.b_bytes) + b_ids[at[cut]]
         before = np.concatenate([[0], np.cumsum(cut)])
         stops = np.cumsum(n_a)
         n_links = before[stops] - before[stops - n_a]
-        return Aligned(whole, n_a, n_b, n_links, pairs, self.groups(a, b, np.flatnonzero(cut), at[cut], n_links) if texts else None)
-
-    def groups(self, a: list[list[int]], b: list[list[int]], a_cut: np.ndarray, b_cut: np.ndarray, n_links: np.ndarray) -> list[str]:
-        out, link, a_from, b_from = [], 0, 0, 0
-        a_cut, b_cut, a_text, b_text = a_cut.tolist(), b_cut.tolist(), self.a_text, self.b_text
-        for x, y, n in zip(a, b, n_links.tolist()):
-            if n == len(x) == len(y):
-                out.append(";".join([f"{p}|{q}" for p, q in zip(x, y)]))
-            else:
-                p, q, found = 0, 0, []
-                for i in range(link, link + n):
-                    p_to, q_to = a_cut[i] + 1 - a_from, b_cut[i] + 1 - b_from
-                    found.append(",".join([a_text[t] for t in x[p:p_to]]) + "|" + ",".join([b_text[t] for t in y[q:q_to]]))
-                    p, q = p_to, q_to
-                out.append(";".join(found))
-            link, a_from, b_from = link + n, a_from + len(x), b_from + len(y)
-        return out
+        groups = self.groups(a_ids, b_ids, np.flatnonzero(cut), at[cut], n_links) if texts else None
+        return [u for kind in kinds for u in kind], Aligned(whole, n_a, n_b, n_links, pairs, groups)
+
+    def groups(self, a_ids: np.ndarray, b_ids: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, n_links: np.ndarray) -> list[str]:
+        """Of each unit: the ids of its groups as text. Group i ends with the tokens `a_cut[i]` and `b_cut[i]`."""
+        a_text, b_text = self.a_text, self.b_text
+        of_a, of_b = (np.diff(c, prepend=-1) for c in (a_cut, b_cut))
+        found = [f"{x}|{y}" for x, y in zip(a_ids[a_cut].tolist(), b_ids[b_cut].tolist())]
+        for i in np.flatnonzero((of_a > 1) | (of_b > 1)).tolist():
+            x, y = a_ids[a_cut[i] + 1 - of_a[i] : a_cut[i] + 1].tolist(), b_ids[b_cut[i] + 1 - of_b[i] : b_cut[i] + 1].tolist()
+            found[i] = ",".join([a_text[t] for t in x]) + "|" + ",".join([b_text[t] for t in y])
+        stops = np.cumsum(n_links)
+        return [";".join(found[s:e]) if e - s > 1 else found[s] if e > s else "" for s, e in zip((stops - n_links).tolist(), stops.tolist())]
 
 
 class PairHash:
@@ -253,9 +291,8 @@ class _Units:
         self.per_unit: list[np.ndarray] = []
 
     def learn(self, new: list[str]) -> None:
-        for start in range(0, len(new), CALL):
-            units = new[start : start + CALL]
-            found = self.aligner.align(units, self.looked_up is not None)
+        for start in range(0, len(new), BATCH):
+            units, found = self.aligner.align(new[start : start + BATCH], self.looked_up is not None)
             self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
             best, total = np.zeros((2, len(units)), dtype=np.int64)
             if self.looked_up is None:
@@ -284,7 +321,7 @@ class _Units:
         new = [u for u in new if u not in self.index]
         self.learn(new)
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        ids = np.fromiter((self.index[u] for parts in split for u in parts), dtype=np.int64, count=sizes.sum())
+        ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sizes.sum())
         bad = np.concatenate([[0], np.cumsum(~self.whole[ids])])
         stops = np.cumsum(sizes)
         # A replaced byte is not in the text, though its replacement may be spelled.

@@ -67,6 +67,13 @@ def test_alignment_equals_the_whole_texts(spark, monkeypatch, kept):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_faster_encoder_gives_the_library_ids():
+    own = Vocabularies(A, B)
+    letters = [chr(i) for i in [*range(0x20, 0x7F), *range(0xA1, 0x250)]] + ["\n", "\t", "  ", "the ", "ing", "'s", " 12"]
+    for t in texts(4000, 5, letters):
+        assert alignment.PLAIN.fullmatch(t) and own.ranked(t) == own.a.encode(t, add_special_tokens=False).ids
+
+
 def test_empty_table_and_texts_without_tokens(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert [tuple(r)[1:] for r in aligned(docs, A, B).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2
