@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsecheck.config import CURRENT, DANGER, INSUFFICIENT, REFERENCE, STABLE, WARNING
@@ -72,15 +74,23 @@ def drift_top(drift: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def equal_bins(rows: DataFrame, value: Column, bins: int) -> DataFrame:
-    """(period, bin, low, high, n): equal bins over the pooled range, the last one closed."""
+    """(period, bin, low, high, n): equal bins over the pooled range of finite values, the last one closed. Infinite
+    values are counted apart, in the bins -1 and `bins`, whose ends are infinite."""
     cells = rows.select("period", F.nanvl(value.cast("double"), F.lit(None)).alias("value")).where(F.col("value").isNotNull())
-    lo, hi = cells.agg(F.min("value"), F.max("value")).first()
-    width = 0.0 if lo is None else (hi - lo) / bins
-    index = F.floor((F.col("value") - F.lit(lo)) / F.lit(width)) if width > 0 else F.lit(0)
-    binned = cells.select("period", F.least(index, F.lit(bins - 1)).cast("int").alias("bin"))
-    low = F.lit(lo) + F.col("bin") * F.lit(width)
+    infinite = F.abs("value") == F.lit(float("inf"))
+    finite = F.when(~infinite, F.col("value"))
+    lo, hi = cells.agg(F.min(finite), F.max(finite)).first()
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    whole = hi - lo < float("inf")
+    width = (hi - lo) / bins if whole else hi / bins - lo / bins
+    from_low = (F.col("value") - F.lit(lo)) / F.lit(width) if whole else F.col("value") / F.lit(width) - F.lit(lo / width)
+    index = F.floor(from_low) if width > 0 else F.lit(0)
+    own = F.when(infinite, F.when(F.col("value") > 0, F.lit(bins)).otherwise(F.lit(-1))).otherwise(F.least(index, F.lit(bins - 1)))
+    binned = cells.select("period", own.cast("int").alias("bin"))
+    outside = F.when(F.col("bin") < 0, F.lit(float("-inf"))).when(F.col("bin") >= bins, F.lit(float("inf")))
+    low = F.lit(lo) + F.col("bin") * F.lit(width) if whole else F.lit(lo) + F.col("bin") * F.lit(width / 2) + F.col("bin") * F.lit(width / 2)
     return binned.groupBy("period", "bin").agg(F.count("*").alias("n")).select(
-        "period", "bin", low.alias("low"), (low + F.lit(width)).alias("high"), "n"
+        "period", "bin", F.coalesce(outside, low).alias("low"), F.coalesce(outside, low + F.lit(width)).alias("high"), "n"
     )
 
 
@@ -121,6 +131,42 @@ def numeric_box(pair: Pair, column: str) -> DataFrame:
     )
 
 
+def box_extremes(pair: Pair, column: str, key: Sequence[str], limit: int = 20) -> DataFrame:
+    """(period, side, place, keys, value): of each period the `limit` rows furthest below the low whisker and above the high
+    one, ties by `key`. Each task keeps so many rows of a side before any are moved."""
+    box = literal_table(numeric_box(pair, column))  # two rows
+    rows = pair.rows.select("period", *[quoted(k) for k in key], as_number(pair.rows, column).alias("value")).where(F.col("value").isNotNull())
+    side = F.when(F.col("value") < F.col("low_whisker"), "low").when(F.col("value") > F.col("high_whisker"), "high")
+    outside = rows.join(F.broadcast(box.select("period", "low_whisker", "high_whisker")), "period").withColumn("side", side).where("side IS NOT NULL")
+    away = F.when(F.col("side") == "low", F.col("value")).otherwise(-F.col("value"))
+    place = F.row_number().over(Window.partitionBy("period", "side").orderBy(away, *[quoted(k) for k in key]))
+    return outside.withColumn("place", place).where(F.col("place") <= limit).select("period", "side", "place", *[quoted(k) for k in key], "value")
+
+
+def scatter_points(scored: DataFrame, key: Sequence[str], limit: int = 2000) -> DataFrame:
+    """(period, keys, actual, predicted) of `limit` rows of each period: those whose key has the smallest hash, so that the same rows
+    are drawn in every run and however the table is cut. Each task keeps so many before any are moved."""
+    rows = scored.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    hashed = F.md5(F.concat_ws("|", *[quoted(k).cast("string") for k in key]).cast("binary"))
+    place = F.row_number().over(Window.partitionBy("period").orderBy(hashed, *[quoted(k) for k in key]))
+    drawn = rows.select("period", *[quoted(k) for k in key], F.col("y_true").alias("actual"), F.col("y_pred").alias("predicted"), place.alias("place"))
+    return drawn.where(F.col("place") <= limit).drop("place")
+
+
+def scatter_grid(scored: DataFrame, cells: int = 50) -> DataFrame:
+    """(period, x, y, n): all rows, counted on a grid of `cells` by `cells` over the pooled range of actual and predicted values."""
+    rows = scored.select("period", *[F.col(c).cast("double").alias(c) for c in ("y_true", "y_pred")])
+    rows = rows.where("abs(y_true) < double('Infinity') AND abs(y_pred) < double('Infinity')")
+    low, high = rows.agg(F.min(F.least("y_true", "y_pred")), F.max(F.greatest("y_true", "y_pred"))).first()
+    low, high = low or 0.0, high or 0.0
+    width = high / cells - low / cells
+
+    def place(name: str) -> Column:
+        return (F.least(F.floor((F.col(name) - F.lit(low)) / F.lit(width)), F.lit(cells - 1)) if width > 0 else F.lit(0)).cast("int")
+
+    return rows.groupBy("period", place("y_true").alias("x"), place("y_pred").alias("y")).agg(F.count("*").alias("n"))
+
+
 def category_top_shares(pair: Pair, column: str, limit: int = 15) -> DataFrame:
     """(value, period, share) over the union of each period's most frequent categories."""
     # the input is scanned once; the counts, one row per category, are read again

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,8 +157,42 @@ def ks_statistic(pair: Pair, columns: Sequence[str]) -> DataFrame:
     return _numeric_summary(pair, columns, PSI_BINS).select("column", "ref_n", "cur_n", "ks")
 
 
-def ks_probability() -> Column:
-    """Asymptotic two-sided p-value from `ks`, `ref_n`, `cur_n`: the Kolmogorov series with 100 terms.
+#: Rows of the larger side up to which the p-value is exact.
+EXACT_ROWS = 10_000
+
+
+def ks_exact(ks: float, n: int, m: int) -> float:
+    """The probability that two samples of one distribution, `n` and `m` long and without ties, lie at least `ks` apart.
+
+    All orders of the pooled values are equally likely: lattice paths from (0, 0) to (n, m). A path is followed step by step as
+    a walk that draws without replacement, and what reaches the edge of the band for the first time is added up.
+    """
+    common = math.gcd(n, m)
+    up, along = m // common, n // common  # what a step to either side adds to the distance of the shares, in whole units
+    edge = round(ks * along * m)
+    if edge <= 0:
+        return 1.0
+    inside, first, out = np.array([1.0]), 0, 0.0  # of the paths still inside, by the steps taken on the first side
+    for step in range(n + m):
+        taken = np.arange(first, first + len(inside))
+        left = n + m - step
+        longer = inside * ((n - taken) / left)
+        other = inside * ((m - (step - taken)) / left)
+        inside = np.concatenate([other, [0.0]])
+        inside[1:] += longer
+        taken = np.arange(first, first + len(inside))
+        away = np.abs(taken * up - (step + 1 - taken) * along) >= edge
+        out += inside[away].sum()
+        kept = np.flatnonzero(~away & (taken <= n) & (step + 1 - taken <= m))
+        if not len(kept):
+            break
+        first, inside = first + int(kept[0]), inside[kept[0] : kept[-1] + 1]
+    return float(min(1.0, out))
+
+
+def ks_probability(table: DataFrame) -> DataFrame:
+    """Adds `ks_pvalue`, two-sided, from `ks`, `ref_n` and `cur_n`: exact where neither side has more than EXACT_ROWS rows, else
+    asymptotic, the Kolmogorov series with 100 terms.
 
     Below 0.2 the series needs more terms, but the value is 1 to twelve digits there.
     """
@@ -164,25 +201,34 @@ def ks_probability() -> Column:
     term = f"IF(k % 2 = 1, 1.0D, -1.0D) * EXP(-2.0D * k * k * {scaled} * {scaled})"
     series = f"2.0D * AGGREGATE(SEQUENCE(1, 100), 0.0D, (total, k) -> total + {term})"
     few = f"ref_n < {PSI_MIN_VALUES} OR cur_n < {PSI_MIN_VALUES}"
-    return F.expr(f"CASE WHEN {few} OR {scaled} < 0.2D THEN 1.0D ELSE GREATEST(0.0D, LEAST(1.0D, {series})) END")
+    limit = f"CASE WHEN {few} OR {scaled} < 0.2D THEN 1.0D ELSE GREATEST(0.0D, LEAST(1.0D, {series})) END"
+    small = f"NOT ({few}) AND GREATEST(ref_n, cur_n) <= {EXACT_ROWS}"
+    # One row a column, so the driver may ask; without a small column no Python is started.
+    if table.where(small).isEmpty():
+        return table.withColumn("ks_pvalue", F.expr(limit))
+
+    @F.pandas_udf("double")
+    def exact(ks: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        sizes = zip(ks, n, m)
+        return pd.Series([ks_exact(d, int(a), int(b)) if PSI_MIN_VALUES <= min(a, b) and max(a, b) <= EXACT_ROWS else None for d, a, b in sizes], dtype=float)
+
+    counted = table.withColumn("__exact", exact("ks", "ref_n", "cur_n"))
+    return counted.withColumn("ks_pvalue", F.expr(f"IF({small}, __exact, {limit})")).drop("__exact")
 
 
 def ks_pvalue(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    table = ks_statistic(pair, columns)
-    return table.withColumn("ks_pvalue", ks_probability()).select(
-        "column", "ks", "ks_pvalue"
-    )
+    return ks_probability(ks_statistic(pair, columns)).select("column", "ks", "ks_pvalue")
 
 
 def numeric_drift(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    scored = _with_psi(pair, columns, _numeric_summary(pair, columns, bins), bins)
+    scored = _with_psi(pair, columns, ks_probability(_numeric_summary(pair, columns, bins)), bins)
     return scored.select(
         "column",
         F.lit("numeric").alias("kind"),
         F.lit("psi").alias("measure"),
         F.col("psi").alias("score"),
         "ks",
-        ks_probability().alias("ks_pvalue"),
+        "ks_pvalue",
         "ref_mean",
         "cur_mean",
         (F.col("cur_mean") - F.col("ref_mean")).alias("mean_change"),

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsecheck.functions.expressions import category_sql, missing_sql, number_sql, present_sql, text_literal, text_sql
-from pulsecheck.sources.pairs import Pair
+from pulsecheck.functions.expressions import category_sql, missing_sql, number_sql, present_sql, quote, text_literal, text_sql
+from pulsecheck.sources.pairs import Pair, exact_name
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType)
 
@@ -28,8 +28,14 @@ def _identity(df: DataFrame, name: str) -> str:
     text, num, whole = "CAST(NULL AS STRING)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BIGINT)"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         num = f"CAST({value} AS DOUBLE) + 0.0D"
+        if exact_name(name) in df.columns:
+            text = quote(exact_name(name))
+            num = f"IF({text} IS NULL, {num}, NULL)"
     elif isinstance(data_type, T.DateType):
         whole = f"CAST(UNIX_DATE({value}) AS BIGINT)"
+    elif isinstance(data_type, T.TimestampType):
+        # as text in the session's zone, the two instants of a repeated clock hour look the same
+        whole = f"UNIX_MICROS({value})"
     elif isinstance(data_type, WHOLE):
         whole = f"CAST({value} AS BIGINT)"
     else:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pulsecheck.functions.expressions import as_category, as_number, as_text, is_missing, is_numeric, present
 from pulsecheck.operators.columns import constant_columns, id_candidates
 
+ZONED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 MIN_COMPARABLE = 30
 LEAK_LIMIT = 0.98
 
@@ -42,7 +43,9 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         value = present(df, name)
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             value = value + F.lit(0.0)  # one zero
-        text = value.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(F.struct(value))
+        if isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)  # not as text in the session's zone, where two instants can look the same
+        text = value.cast("string") if isinstance(kind, T.AtomicType) else F.to_json(F.struct(value), ZONED)
         cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     groups = df.groupBy(F.sha2(F.concat(*cells), 256).alias("row")).agg(F.count("*").alias("n"))
     return groups.agg(

@@ -12,9 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsecheck.config import CURRENT, MISSING, PERIOD, REFERENCE
-from pulsecheck.functions.expressions import as_number, as_text, quoted
+from pulsecheck.functions.expressions import as_number, as_text, is_missing, quoted
 from pulsecheck.functions.literal import local_table
 from pulsecheck.operators.columns import Task
 from pulsecheck.operators.drift import numeric_facts
@@ -39,6 +40,8 @@ REGRESSOR_DEPTH = 10
 MIN_LEAF = 4
 SEED = 42
 MIN_REFERENCE_ROWS = 80
+#: Partitions of the rows to fit on, at least, and rows of one of them.
+FIT_PARTITIONS, FIT_ROWS = 16, 1_000_000
 
 
 # --- imputation -------------------------------------------------------------------------------
@@ -152,10 +155,6 @@ def fit_surrogate(
     medians, modes = _fill_values(train, numeric, categorical, max_categories)
     blank = Surrogate(task, list(numeric), list(categorical), medians, modes, None)
     rows = blank.prepare(train)
-    # the forest goes over its rows again and again: no core idle where a small table comes in few partitions
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, F.xxhash64(*[quoted(c) for c in rows.columns]))
     common = dict(labelCol=label, numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=seed)
     if task.kind == "regression":
         forest = RandomForestRegressor(maxDepth=REGRESSOR_DEPTH, featureSubsetStrategy="all", **common)
@@ -166,6 +165,11 @@ def fit_surrogate(
         forest = RandomForestClassifier(
             maxDepth=CLASSIFIER_DEPTH, featureSubsetStrategy="sqrt", weightCol="weight", **common
         )
+    # Draws of the forest follow the partitions: their number and order depend on the rows alone, not on the machine. Nothing
+    # may come after the sort, or it is optimized away.
+    spread = F.xxhash64(*[quoted(c) for c in rows.columns])
+    rows = rows.withColumn("__spread", spread).repartition(max(FIT_PARTITIONS, -(-train.count() // FIT_ROWS)), "__spread")
+    rows = rows.sortWithinPartitions("__spread", *[quoted(c) for c in train.columns if isinstance(train.schema[c].dataType, T.AtomicType)]).drop("__spread")
     blank.model = Pipeline(stages=[*_stages(numeric, categorical), forest]).fit(rows)
     return blank
 
@@ -196,15 +200,21 @@ def score_tables(
     probability_column: str | None = None,
     trees: int = TREES,
     max_categories: int | None = None,
+    baseline_prediction_column: str | None = None,
+    labelled_only: bool = False,
 ) -> Scored:
     """Fit on the first 80 % of the reference (in `order`), score its last 20 % and all of current.
 
-    Logged predictions or probabilities replace the model's on current. The scored table is written
+    Logged predictions or probabilities replace the model's on current; `baseline_prediction_column` names those of the
+    reference's last 20 %, so that one model is compared with itself. `labelled_only`: where current has some labels, but not
+    all, the rows that have one are judged instead of none. The scored table is written
     once, because running the forest again for every result would cost far more than reading it.
     """
     if reference.count() < MIN_REFERENCE_ROWS:
         raise ValueError("the reference needs at least 80 rows")
     parts = split_train_holdout(reference, target, order, out="__part")
+    if labelled_only and target in current.columns:
+        current = current.where(~is_missing(current, target))
     has_labels = target in current.columns and bool(labels_complete(current, target).first()["complete"])
     classes: list[str] = []
     kept = [PERIOD, *numeric, *categorical]
@@ -251,16 +261,23 @@ def score_tables(
         value = encode_binary(df, pred, classes[1]) if pred else apply_threshold(p, threshold)
         return df.select(*columns, value.alias("y_pred"), p.alias("proba"))
 
-    if logged_pred and task.kind != "binary":
-        refuse_missing(recent, logged_pred, task.kind)
-    if logged_pred and task.kind == "multiclass":
-        unknown = [r[0] for r in unknown_labels(recent, logged_pred, known).collect()]
-        if unknown:
-            raise ValueError(f"predictions unknown to the reference: {unknown}")
-        recent = encode_multiclass(recent, logged_pred, known, "__logged")
+    def with_logged(df: DataFrame, pred: str | None) -> DataFrame:
+        if pred and task.kind != "binary":
+            refuse_missing(df, pred, task.kind)
+        if pred and task.kind == "multiclass":
+            unknown = [r[0] for r in unknown_labels(df, pred, known).collect()]
+            if unknown:
+                raise ValueError(f"predictions unknown to the reference: {unknown}")
+            return encode_multiclass(df, pred, known, "__logged")
+        return df
+
+    own_pred = baseline_prediction_column if baseline_prediction_column in reference.columns else None
+    recent, baseline = with_logged(recent, logged_pred), with_logged(baseline, own_pred)
     if logged_pred:
         source = f"logged:{logged_pred}"
     if logged_proba:
         source += f", probability:{logged_proba}"
-    rows = outputs(baseline, None, None).unionByName(outputs(recent, logged_pred, logged_proba))
+    if own_pred:
+        source += f", baseline:{own_pred}"
+    rows = outputs(baseline, own_pred, None).unionByName(outputs(recent, logged_pred, logged_proba))
     return Scored(settle(rows, "scored"), classes, has_labels, source, surrogate)

@@ -220,6 +220,8 @@ def analyze(
     probability_column: str | None = None,
     trees: int = surrogate.TREES,
     max_categories: int | None = None,
+    baseline_prediction_column: str | None = None,
+    labelled_only: bool = False,
 ) -> Analysis:
     """Compare two tables end to end, fitting the stand-in model on the reference.
 
@@ -227,17 +229,18 @@ def analyze(
     `excluded` defaults to the suggested exclusions. `max_categories`: a categorical feature with more values is an
     error (none by default; the values of a feature are kept on the driver while the model is fitted).
 
-    A column called `period` takes part under the name OWN_PERIOD.
+    `baseline_prediction_column` names logged predictions of the reference, `labelled_only` judges the labelled rows of a current
+    table that has labels for some (see `score_tables`). A column called `period` takes part under the name OWN_PERIOD.
     """
     reference, current = (df.withColumnRenamed(PERIOD, OWN_PERIOD) for df in (reference, current))
-    target, prediction_column, probability_column = (
-        OWN_PERIOD if name == PERIOD else name for name in (target, prediction_column, probability_column)
+    target, prediction_column, probability_column, baseline_prediction_column = (
+        OWN_PERIOD if name == PERIOD else name for name in (target, prediction_column, probability_column, baseline_prediction_column)
     )
     order = [OWN_PERIOD if name == PERIOD else name for name in order]
     excluded = excluded and [OWN_PERIOD if name == PERIOD else name for name in excluded]
     found = cols.infer_task_type(reference, target, task)
     if excluded is None:
-        excluded = cols.excluded_names(reference, target, prediction_column, probability_column)
+        excluded = [*cols.excluded_names(reference, target, prediction_column, probability_column), *filter(None, [baseline_prediction_column])]
     pair = pair_of(reference, current)
     numeric, categorical = cols.feature_columns(pair, target, excluded)
     if not numeric and not categorical:
@@ -256,6 +259,8 @@ def analyze(
         probability_column,
         trees,
         max_categories,
+        baseline_prediction_column,
+        labelled_only,
     )
     kept = Pair(
         scored.rows.select(PERIOD, *[quoted(c) for c in categorical]),

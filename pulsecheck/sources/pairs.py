@@ -13,6 +13,16 @@ from pulsecheck.functions.expressions import is_numeric, quoted
 
 
 OWN_PERIOD = "period (column)"
+#: Whole numbers up to here are doubles too.
+EXACT = 1 << 53
+
+
+def exact_name(column: str) -> str:
+    """Beside a column that is whole on one side and floating on the other: the text of whole numbers that are no doubles."""
+    return f"__exact {column}"
+
+
+FLOATING = (T.DoubleType, T.FloatType)
 
 
 @dataclass(frozen=True)
@@ -36,7 +46,8 @@ class Pair:
         def keep(types: dict[str, T.DataType]) -> dict[str, T.DataType]:
             return {c: t for c, t in types.items() if c in columns}
 
-        rows = self.rows.select(PERIOD, *[quoted(c) for c in self.columns if c in columns])
+        kept = [c for c in self.columns if c in columns]
+        rows = self.rows.select(PERIOD, *[quoted(c) for c in kept], *[quoted(exact_name(c)) for c in kept if exact_name(c) in self.rows.columns])
         return Pair(rows, keep(self.reference_types), keep(self.current_types))
 
     def period(self, name: str) -> DataFrame:
@@ -44,6 +55,12 @@ class Pair:
         return self.rows.where(F.col(PERIOD) == name).select(*[quoted(c) for c in types])
 
 
+def _with_exact(df: DataFrame, name: str, data_type: T.DataType) -> DataFrame:
+    beyond = (quoted(name) > EXACT) | (quoted(name) < -EXACT)
+    text = F.lit(None) if isinstance(data_type, FLOATING) else F.when(beyond, quoted(name).cast("string"))
+    return df.withColumn(exact_name(name), text.cast("string"))
+
+
 def pair_of(reference: DataFrame, current: DataFrame) -> Pair:
     """Two tables side by side. Columns of one side only are null on the other.
 
@@ -57,6 +74,8 @@ def pair_of(reference: DataFrame, current: DataFrame) -> Pair:
         if data_type != other and not (is_numeric(data_type) and is_numeric(other)):
             reference = reference.withColumn(name, quoted(name).cast("string"))
             current = current.withColumn(name, quoted(name).cast("string"))
+        elif data_type != other and isinstance(data_type, FLOATING) != isinstance(other, FLOATING):
+            reference, current = _with_exact(reference, name, data_type), _with_exact(current, name, other)
     rows = reference.withColumn(PERIOD, F.lit(REFERENCE)).unionByName(
         current.withColumn(PERIOD, F.lit(CURRENT)), allowMissingColumns=True
     )

@@ -68,6 +68,26 @@ oracle(
     "SELECT o_orderkey, o_custkey, o_orderstatus, " + r6("o_totalprice") + ", CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders",
 )
 oracle("csv_documents", "SELECT doc_id, md5(text) AS md5, lang, source, n_chars FROM documents")
+ODD_LINE = '''concat(CAST(o_orderkey + 1234567890000000000 AS VARCHAR), ',', o_orderkey % 97, '" pipe,"', o_orderstatus, ',""x""",a', CASE WHEN o_orderkey % 50 = 0 THEN ',b' ELSE '' END)'''
+oracle(
+    "csv_large_ids",
+    """SELECT o_orderkey + 1234567890000000000 AS id, concat(o_orderkey % 97, '" pipe') AS size, concat(o_orderstatus, ',"x"') AS status, 'a' AS last
+       FROM orders WHERE o_orderkey % 50 <> 0""",
+)
+oracle("csv_broken_rows", f"SELECT CAST(5 AS BIGINT) AS n_fields, {ODD_LINE} AS record FROM orders WHERE o_orderkey % 50 = 0")
+oracle(
+    "split_by_time_text",
+    """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey)
+       <= CAST(floor(count(*) OVER () * 0.6) AS BIGINT) THEN 'reference' ELSE 'current' END AS period FROM orders""",
+)
+WAYS = {
+    "MM/dd/yyyy": "month/day/year", "dd/MM/yyyy": "day/month/year", "yyyy/MM/dd": "year/month/day", "dd.MM.yyyy": "day.month.year",
+    "yyyyMMdd": "yearmonthday", "MMM dd, yyyy": "name day, year", "yyyy-MM-dd HH:mm:ss": "iso",
+}
+oracle(
+    "time_ways",
+    union([f"SELECT '{p}' AS pattern, count(*) AS n_rows, count(*) AS n_parsed, true AS accepted, '{w}' AS written, false AS ambiguous FROM orders" for p, w in WAYS.items()]),
+)
 oracle(
     "split_by_instant",
     """SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts NULLS LAST, event_id)
@@ -1107,6 +1127,57 @@ part(
        WHERE (rr <= 15 AND n_ref > 0) OR (rc <= 15 AND n_cur > 0)""",
 )
 oracle("category_top_shares", both_sides("brand_shares", "value", "p", "q", "share"))
+oracle(
+    "box_extremes",
+    f"""SELECT period, side, {n('place')}, l_orderkey, {n('l_linenumber')}, {r6('amount', 'value')} FROM (
+      SELECT *, row_number() OVER (PARTITION BY period, side ORDER BY CASE WHEN side = 'low' THEN amount ELSE -amount END, l_orderkey, l_linenumber) AS place FROM (
+        SELECT s.period, l_orderkey, l_linenumber, amount, CASE WHEN amount < q1 - 1.5 * (q3 - q1) THEN 'low' ELSE 'high' END AS side
+        FROM scored s JOIN quartiles t ON t.period = s.period WHERE NOT ({INSIDE}))) WHERE place <= 20""",
+)
+oracle(
+    "scatter_points",
+    f"""SELECT period, l_orderkey, {n('l_linenumber')}, {r6('y_value', 'actual')}, {r6('pred_value', 'predicted')} FROM scored
+    QUALIFY row_number() OVER (PARTITION BY period ORDER BY md5(concat(l_orderkey, '|', l_linenumber)), l_orderkey, l_linenumber) <= 500""",
+)
+oracle(
+    "scatter_grid",
+    f"""SELECT period, {n('least(floor((y_value - lo) / w), 49)', 'x')}, {n('least(floor((pred_value - lo) / w), 49)', 'y')}, count(*) AS n FROM scored,
+    (SELECT least(min(y_value), min(pred_value)) AS lo, greatest(max(y_value), max(pred_value)) / 50::DOUBLE - least(min(y_value), min(pred_value)) / 50::DOUBLE AS w FROM scored)
+    GROUP BY 1, 2, 3""",
+)
+oracle(
+    "histogram_with_infinities",
+    f"""SELECT period, {n('bin')}, CASE WHEN bin < 0 THEN '-inf'::DOUBLE WHEN bin > 34 THEN 'inf'::DOUBLE ELSE round(lo + bin * w, 6) + 0.0 END AS low,
+      CASE WHEN bin < 0 THEN '-inf'::DOUBLE WHEN bin > 34 THEN 'inf'::DOUBLE ELSE round(lo + bin * w + w, 6) + 0.0 END AS high, count(*) AS n FROM (
+      SELECT period, lo, w, CASE l_orderkey % 100 WHEN 0 THEN 35 WHEN 1 THEN -1 ELSE least(floor((amount - lo) / w), 34) END AS bin FROM scored,
+      (SELECT min(amount) AS lo, (max(amount) - min(amount)) / 35.0::DOUBLE AS w FROM scored WHERE l_orderkey % 100 > 1) WHERE amount IS NOT NULL OR l_orderkey % 100 < 2)
+    GROUP BY period, bin, lo, w""",
+)
+oracle(
+    "duplicate_instants",
+    "SELECT count(*) AS n_rows, count(*) - count(DISTINCT event_id % 240) AS duplicate_rows FROM events",
+)
+oracle(
+    "quality_of_instants",
+    """SELECT 'at' AS "column", count(DISTINCT CASE WHEN event_id % 2 = 0 THEN event_id % 240 END) AS ref_distinct,
+         count(DISTINCT CASE WHEN event_id % 2 = 1 THEN event_id % 240 END) AS cur_distinct FROM events
+       UNION ALL SELECT 'big', count(DISTINCT CASE WHEN event_id % 2 = 0 THEN event_id % 9 END),
+         count(DISTINCT CASE WHEN event_id % 2 = 1 THEN CAST(9007199254740992 + event_id % 9 AS DOUBLE) END) FROM events""",
+)
+# Of all orders of the pooled values the share whose path leaves the band: walks step by step, by the values drawn of the first side.
+oracle(
+    "ks_pvalue_exact",
+    f"""WITH RECURSIVE cells AS (SELECT s_acctbal AS v, s_suppkey % 3 <> 0 AS is_ref FROM supplier),
+    sizes AS (SELECT count(*) FILTER (is_ref) AS n, count(*) FILTER (NOT is_ref) AS m FROM cells),
+    gaps AS (SELECT max(abs(r * m - c * n)) AS edge, any_value(n) AS n, any_value(m) AS m FROM sizes,
+      (SELECT DISTINCT v, count(*) FILTER (is_ref) OVER (ORDER BY v) AS r, count(*) FILTER (NOT is_ref) OVER (ORDER BY v) AS c FROM cells)),
+    walk(step, i, p, out) AS (SELECT 0, 0, 1.0::DOUBLE, false UNION ALL
+      SELECT step + 1, j, sum(q), abs(j * m - (step + 1 - j) * n) >= edge FROM (
+        SELECT step, i + 1 AS j, p * (n - i) / (n + m - step)::DOUBLE AS q, n, m, edge FROM walk, gaps WHERE NOT out AND i < n
+        UNION ALL SELECT step, i, p * (m - (step - i)) / (n + m - step)::DOUBLE, n, m, edge FROM walk, gaps WHERE NOT out AND step - i < m)
+      GROUP BY step, j, n, m, edge)
+    SELECT 's_acctbal' AS "column", {r6('edge / (n * m)::DOUBLE', 'ks')}, {r6('(SELECT sum(p) FROM walk WHERE out)', 'ks_pvalue')} FROM gaps""",
+)
 oracle(
     "scatter_bounds",
     f"""SELECT period, {r6('least(min(y_value), min(pred_value))', 'low')}, {r6('greatest(max(y_value), max(pred_value))', 'high')}

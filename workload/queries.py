@@ -171,6 +171,29 @@ def csv_documents(spark, sf):
     return csv.read_csv(spark, path, multi_line=True).select("doc_id", F.md5("text").alias("md5"), "lang", "source", "n_chars")
 
 
+def odd_orders(spark: SparkSession, sf: str) -> str:
+    """Orders as CSV lines: keys of 19 digits, lone quotes, and every 50th row with a field too many."""
+    path = fresh_path(spark, "odd-csv")
+    key = "CAST(o_orderkey + 1234567890000000000 AS STRING)"
+    line = f"concat_ws(',', {key}, concat(o_orderkey % 97, '\" pipe'), concat('\"', o_orderstatus, ',\"\"x\"\"\"'), IF(o_orderkey % 50 = 0, 'a,b', 'a'))"
+    rows = table(spark, sf, "orders").selectExpr(f"{line} AS value")
+    rows.coalesce(1).createOrReplaceTempView("__odd_orders")
+    spark.sql("SELECT 'id,size,status,last' AS value UNION ALL SELECT value FROM __odd_orders").coalesce(1).write.text(path)
+    return path
+
+
+@query
+def csv_large_ids(spark, sf):
+    """Whole numbers of 19 digits, quotes inside fields, and rows with a field too many left out."""
+    return csv.read_csv(spark, odd_orders(spark, sf), broken="drop")
+
+
+@query
+def csv_broken_rows(spark, sf):
+    """The rows with a field too many, as they stand in the file."""
+    return csv.broken_rows(spark, odd_orders(spark, sf)).select("n_fields", "record")
+
+
 @query
 def scan_two_tables(spark, sf):
     pair = uneven_pair(spark, sf)
@@ -204,7 +227,27 @@ def split_by_instant(spark, sf):
 def time_parse_share(spark, sf):
     # on a fifth of the types the text is no time
     odd = F.when(F.col("event_type") == "error", F.lit("no time")).otherwise(F.col("ts").cast("string"))
-    return split.time_parse_share(table(spark, sf, "events").withColumn("ts", odd), "ts")
+    return split.time_parse_share(table(spark, sf, "events").withColumn("ts", odd), "ts").drop("written", "ambiguous")
+
+
+@query
+def split_by_time_text(spark, sf):
+    """By dates as texts with the month in front."""
+    rows = table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "MM/dd/yyyy"))
+    labelled, _ = split.split_periods(rows, ["o_orderkey"], 0.6, "day")
+    return labelled.select("o_orderkey", PERIOD)
+
+
+@query
+def time_ways(spark, sf):
+    """How the same dates are read, written in several ways."""
+    orders = table(spark, sf, "orders")
+    found = None
+    for written in ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "yyyyMMdd", "MMM dd, yyyy", "yyyy-MM-dd HH:mm:ss"):
+        row = split.time_parse_share(orders.select(F.date_format("o_orderdate", written).alias("t")), "t")
+        row = row.select(F.lit(written).alias("pattern"), "n_rows", "n_parsed", "accepted", "written", "ambiguous")
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 @query
@@ -356,6 +399,41 @@ def quality_status(spark, sf):
     return quality.quality_status(uneven_pair(spark, sf))
 
 
+class in_zone:
+    """Queries that are built inside have this time zone."""
+
+    def __init__(self, spark: SparkSession, zone: str) -> None:
+        self.spark, self.zone = spark, zone
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get("spark.sql.session.timeZone")
+        self.spark.conf.set("spark.sql.session.timeZone", self.zone)
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set("spark.sql.session.timeZone", self.before)
+
+
+def repeated_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as instants around an hour that clocks show twice, a minute apart."""
+    return table(spark, sf, "events").select("event_id", F.timestamp_seconds(F.lit(1730606400) + 60 * (F.col("event_id") % 240)).alias("at"))
+
+
+@query
+def duplicate_instants(spark, sf):
+    with in_zone(spark, "America/New_York"):
+        return profile.duplicate_rows(repeated_hour(spark, sf), ["at"])
+
+
+@query
+def quality_of_instants(spark, sf):
+    """Instants, and whole numbers beside doubles, told apart by more than their text or their nearest double."""
+    with in_zone(spark, "America/New_York"):
+        rows = repeated_hour(spark, sf).withColumn("big", F.lit(1 << 53) + F.col("event_id") % 9)
+        ref = rows.where("event_id % 2 = 0").select("at", "big")
+        cur = rows.where("event_id % 2 = 1").select("at", F.col("big").cast("double").alias("big"))
+        return quality.distinct_counts(pair_of(ref, cur))
+
+
 @query
 def quality_table(spark, sf):
     return quality_of(spark, sf)
@@ -422,6 +500,14 @@ def category_mode(spark, sf):
     return drift.category_mode(plain_pair(spark, sf), CATEGORICAL)
 
 
+@query
+def ks_pvalue_exact(spark, sf):
+    """Small samples: the suppliers' balances by odd and even key."""
+    rows = table(spark, sf, "supplier")
+    side = F.when(F.col("s_suppkey") % 3 == 0, CURRENT).otherwise(REFERENCE)
+    return drift.ks_pvalue(pair_from(rows.withColumn(PERIOD, side), ["s_acctbal"]), ["s_acctbal"])
+
+
 @query
 def drift_table(spark, sf):
     return drift_of(spark, sf)
@@ -919,6 +1005,30 @@ def probability_histogram(spark, sf):
     return charts.probability_histogram(binary_rows(spark, sf))
 
 
+@query
+def box_extremes(spark, sf):
+    rows = scored(spark, sf)
+    return charts.box_extremes(pair_from(rows, [*KEY, "amount"]), "amount", KEY, 20)
+
+
+@query
+def scatter_points(spark, sf):
+    rows = scored(spark, sf).select(PERIOD, *KEY, F.col("y_value").alias("y_true"), F.col("pred_value").alias("y_pred"))
+    return charts.scatter_points(rows, KEY, 500)
+
+
+@query
+def scatter_grid(spark, sf):
+    return charts.scatter_grid(regression_rows(spark, sf), 50)
+
+
+@query
+def histogram_with_infinities(spark, sf):
+    rows = scored(spark, sf)
+    endless = F.when(F.col("l_orderkey") % 100 == 0, F.lit(float("inf"))).when(F.col("l_orderkey") % 100 == 1, F.lit(float("-inf")))
+    return charts.numeric_histogram(pair_from(rows.withColumn("amount", F.coalesce(endless, F.col("amount"))), ["amount"]), "amount")
+
+
 @query
 def scatter_bounds(spark, sf):
     return charts.scatter_bounds(regression_rows(spark, sf))
