@@ -8,6 +8,7 @@ counting pass moves is one row for a range and task, however many rows the table
 
 from __future__ import annotations
 
+import bisect
 import math
 import struct
 from collections.abc import Callable, Sequence
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pulsecheck.functions.literal import local_table
 from pulsecheck.functions.ordering import cut_points, locate
+from pulsecheck.sources.shared import settle
 
 #: Ranges of a column in the first pass, cut points of one pass over all columns, and into how many a range is cut at least.
 RANGES, POINTS, FINER = 1024, 1 << 18, 16
@@ -55,6 +57,7 @@ class Facts:
     total: dict[str, float]
     gap: float = 0.0
     at_rank: dict[tuple[str, int], float] = field(default_factory=dict)
+    below: dict[tuple[str, float], int] = field(default_factory=dict)
 
     def mean(self, side: str) -> float | None:
         return self.total[side] / self.n[side] if self.n[side] else None
@@ -79,9 +82,15 @@ def _ranks(n: int, shares: Sequence[float]) -> set[int]:
 
 
 def select(
-    cells: Callable[[Sequence[int]], DataFrame], thin: Callable[[], DataFrame], n_columns: int, shares: dict[str, Sequence[float]], gap: bool = False
+    cells: Callable[[Sequence[int]], DataFrame],
+    thin: Callable[[], DataFrame],
+    n_columns: int,
+    shares: dict[str, Sequence[float]],
+    gap: bool = False,
+    edges: Callable[[Facts], Sequence[float]] | None = None,
 ) -> list[Facts]:
-    """Facts of columns 0 to `n_columns` - 1.
+    """Facts of columns 0 to `n_columns` - 1. `edges`, if given, are points that follow from a column's quantiles: the rows of each side
+    below every one are counted too (`below`).
 
     `cells(numbers)` gives (column_no, is_ref, value) of the columns with these numbers, `thin()` a thin draw of all of them, of which
     nothing depends but how well ranges are balanced.
@@ -97,6 +106,7 @@ def select(
         rows = sorted(counted.get(i, []), key=lambda r: r["range_id"])
         facts.append(Facts({s: sum(r[s] for r in rows) for s in SIDES}, {s: sum(r[f"{s}_sum"] for r in rows) for s in SIDES}))
         ranges[i] = _placed([Range(r["low"], r["high"], {s: r[s] for s in SIDES}) for r in rows], dict.fromkeys(SIDES, 0))
+    leaves = dict(ranges)
     wanted = {i: {(s, r) for s in shares for r in _ranks(facts[i].n[s], shares[s])} for i in range(n_columns)}
     opened = {i: _settle(facts[i], ranges[i], wanted[i], gap) for i in range(n_columns)}
     for _ in range(PASSES):
@@ -109,10 +119,14 @@ def select(
         cut = {k: sorted(_cuts(opened[i], finer)) for k, i in enumerate(order)}
         counted = _count(spark, cells(order), cut)
         for k, i in enumerate(order):
-            opened[i] = _settle(facts[i], _inside(opened[i], counted.get(k, [])), wanted[i], gap)
+            parts = _inside(opened[i], counted.get(k, []))
+            whole = {id(r) for r in opened[i]}
+            leaves[i] = sorted([r for r in leaves[i] if id(r) not in whole] + parts, key=lambda r: r.low)
+            opened[i] = _settle(facts[i], parts, wanted[i], gap)
     opened = {i: found for i, found in opened.items() if found}
-    if opened:
-        _finish(spark, cells, facts, opened, wanted, gap)
+    moved = _finish(spark, cells, facts, opened, wanted, gap) if opened else None
+    if edges:
+        _count_below(spark, cells, facts, leaves, opened, moved, edges)
     return facts
 
 
@@ -187,8 +201,8 @@ def _settle(facts: Facts, ranges: Sequence[Range], wanted: set[tuple[str, int]],
     return opened
 
 
-def _finish(spark, cells, facts: list[Facts], opened: dict[int, list[Range]], wanted, gap: bool) -> None:
-    """Move the values of the open ranges, each range to its own window."""
+def _finish(spark, cells, facts: list[Facts], opened: dict[int, list[Range]], wanted, gap: bool) -> DataFrame:
+    """Move the values of the open ranges, each range to its own window; returns their counts."""
     order = list(opened)
     points, table = {}, []
     for k, i in enumerate(order):
@@ -201,7 +215,7 @@ def _finish(spark, cells, facts: list[Facts], opened: dict[int, list[Range]], wa
     known = F.broadcast(local_table(spark, table, schema))
     located = locate(cells(order).join(known.select("column_no", "points"), "column_no"), F.col("value"), F.col("points"), max(map(len, points.values())), "range_id")
     inside = located.where("range_id % 2 = 1").selectExpr("column_no", "CAST((range_id - 1) / 2 AS INT) AS range_no", "is_ref", "value")
-    counts = inside.groupBy("column_no", "range_no", "value").agg(*map(F.expr, COUNTS))
+    counts = settle(inside.groupBy("column_no", "range_no", "value").agg(*map(F.expr, COUNTS)), "open-values")
     so_far = "OVER (PARTITION BY column_no, range_no ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     running = counts.selectExpr("column_no", "range_no", "value", "ref", "cur", *[f"SUM({s}) {so_far} AS in_{s}" for s in SIDES])
     totals = running.join(known, "column_no").selectExpr(
@@ -221,3 +235,39 @@ def _finish(spark, cells, facts: list[Facts], opened: dict[int, list[Range]], wa
         for found in row["found"]:
             for s in SIDES:
                 own.at_rank.update({(s, r): found["value"] for r in found[f"at_{s}"]})
+    return counts
+
+
+def _count_below(spark, cells, facts: list[Facts], leaves, opened, moved: DataFrame | None, edges) -> None:
+    """Rows below each edge: from the counts before the range it falls into, and, inside an open one, from the values that were moved.
+    Only for an edge inside another range the table is read once more."""
+    numbers = {i: k for k, i in enumerate(opened)}
+    asked, left = [], {}
+    for i, own in enumerate(facts):
+        highs = [r.high for r in leaves[i]]
+        places = {id(r): n for n, r in enumerate(opened.get(i, ()))}
+        for edge in edges(own):
+            at = bisect.bisect_left(highs, edge)
+            if at == len(highs) or edge <= leaves[i][at].low:
+                before = own.n if at == len(highs) else leaves[i][at].before
+                own.below.update({(s, edge): before[s] for s in SIDES})
+            elif id(leaves[i][at]) in places:
+                own.below.update({(s, edge): leaves[i][at].before[s] for s in SIDES})
+                asked.append((numbers[i], places[id(leaves[i][at])], edge))
+            else:
+                left.setdefault(i, []).append(edge)
+    if asked:
+        order = list(opened)
+        points = F.broadcast(local_table(spark, asked, "column_no int, range_no int, edge double"))  # edges of columns
+        found = moved.join(points, ["column_no", "range_no"]).where("value < edge").groupBy("column_no", "edge").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+        for row in found.collect():
+            for s in SIDES:
+                facts[order[row["column_no"]]].below[s, row["edge"]] += row[s]
+    if left:
+        order = list(left)
+        points = {k: sorted(left[i]) for k, i in enumerate(order)}
+        counted = _count(spark, cells(order), points)
+        for k, i in enumerate(order):
+            for n, edge in enumerate(points[k]):
+                for s in SIDES:
+                    facts[i].below[s, edge] = sum(r[s] for r in counted.get(k, []) if r["range_id"] <= n)

@@ -32,19 +32,24 @@ def _brier(scored: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("period") == REFERENCE, squared)).alias("ref_brier"),
         F.avg(F.when(current, squared)).alias("cur_brier"),
         (F.min(F.when(current, F.col("y_true"))) < F.max(F.when(current, F.col("y_true")))).alias("both_classes"),
-    ).withColumn("brier_delta", F.col("cur_brier") - F.col("ref_brier"))
+    )
 
 
 def brier_score(scored: DataFrame) -> DataFrame:
     """One row: Brier score of both periods and the change."""
-    return _brier(scored).drop("both_classes")
+    return _brier(scored).drop("both_classes").withColumn("brier_delta", F.col("cur_brier") - F.col("ref_brier"))
 
 
 def calibration_assessment(scored: DataFrame) -> DataFrame:
     """`brier_score` with the verdict. No row unless both current classes are present."""
+    return assessed(_brier(scored))
+
+
+def assessed(brier: DataFrame) -> DataFrame:
+    """The verdict on (ref_brier, cur_brier, both_classes)."""
     verdict = F.when(F.col("brier_delta") >= BRIER_RISE, "overconfidence_rising").otherwise("no_big_change")
     return (
-        _brier(scored)
+        brier.withColumn("brier_delta", F.col("cur_brier") - F.col("ref_brier"))
         .where(F.col("both_classes") & F.col("brier_delta").isNotNull())
         .drop("both_classes")
         .withColumn("assessment", verdict)

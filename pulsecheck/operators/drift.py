@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from pulsecheck.functions.expressions import status_of
 from pulsecheck.functions.literal import literal_table, local_table
 from pulsecheck.functions.ordering import locate
 from pulsecheck.functions.selection import Facts, select
-from pulsecheck.operators.frequency import category_counts, named, numeric_cells
+from pulsecheck.operators.frequency import SHORT, TEXTUAL, category_counts, column_stats, named, numeric_cells
 from pulsecheck.sources.pairs import Pair
 
 DRIFT_SCHEMA = (
@@ -57,7 +57,9 @@ def quantile_shares(bins: int) -> list[float]:
     return [*(i * (1 / bins) for i in range(bins)), 1.0]
 
 
-def numeric_facts(pair: Pair, columns: Sequence[str], shares: dict[str, Sequence[float]], gap: bool = False) -> list[Facts]:
+def numeric_facts(
+    pair: Pair, columns: Sequence[str], shares: dict[str, Sequence[float]], gap: bool = False, edges: Callable[[Facts], Sequence[float]] | None = None
+) -> list[Facts]:
     """Rows, sums and quantiles of every column, with the largest gap of both sides if asked for."""
 
     def cells(numbers: Sequence[int]) -> DataFrame:
@@ -67,20 +69,34 @@ def numeric_facts(pair: Pair, columns: Sequence[str], shares: dict[str, Sequence
         # drawing rows before they fan out into cells is cheaper than drawing cells
         return numeric_cells(Pair(pair.rows.sample(1 / 64, seed=11), pair.reference_types, pair.current_types), columns)
 
-    return select(cells, thin, len(columns), shares, gap)
+    return select(cells, thin, len(columns), shares, gap, edges)
 
 
 def _numeric_summary(pair: Pair, columns: Sequence[str], bins: int) -> DataFrame:
-    """One row per column: counts, means, KS D and the deduplicated quantile edges of the reference."""
+    """One row per column: counts, means, KS D, the deduplicated quantile edges of the reference, the rows of both sides
+    in the bins between the inner edges, and the PSI."""
     shares = quantile_shares(bins)
     rows = []
-    for i, facts in enumerate(numeric_facts(pair, columns, {"ref": shares}, gap=True)):
-        enough = min(facts.n.values()) >= PSI_MIN_VALUES
+
+    def edges_of(facts: Facts) -> list[float]:
         # a column without reference values has no edges at all
-        edges = dict.fromkeys(facts.quantile("ref", s) for s in shares) if facts.n["ref"] else {}
-        rows.append((i, columns[i], facts.n["ref"], facts.n["cur"], facts.gap if enough else 0.0, facts.mean("ref"), facts.mean("cur"), list(edges)))
+        return list(dict.fromkeys(facts.quantile("ref", s) for s in shares)) if facts.n["ref"] else []
+
+    for i, facts in enumerate(numeric_facts(pair, columns, {"ref": shares}, True, lambda f: edges_of(f)[1:-1])):
+        edges = edges_of(facts)
+        enough = min(facts.n.values()) >= PSI_MIN_VALUES
+        counts = {}
+        for side, total in facts.n.items():
+            below = [0, *(facts.below[side, e] for e in edges[1:-1]), total]
+            counts[side] = [b - a for a, b in zip(below, below[1:])]
+        score = 0.0
+        if enough and len(edges) >= 3:
+            parts = zip(*([max(c / facts.n[side], PSI_FLOOR) for c in counts[side]] for side in ("ref", "cur")))
+            score = sum((cur - ref) * math.log(cur / ref) for ref, cur in parts)
+        gap = facts.gap if enough else 0.0
+        rows.append((i, columns[i], facts.n["ref"], facts.n["cur"], gap, facts.mean("ref"), facts.mean("cur"), edges, counts["ref"], counts["cur"], score))
     schema = "column_no int, column string, ref_n long, cur_n long, ks double, ref_mean double, cur_mean double, edges array<double>"
-    return local_table(pair.rows.sparkSession, rows, schema)
+    return local_table(pair.rows.sparkSession, rows, f"{schema}, ref_counts array<long>, cur_counts array<long>, psi double")
 
 
 def approximate_edges(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS, accuracy: int = 100_000) -> DataFrame:
@@ -116,16 +132,14 @@ def _bucket_counts(pair: Pair, columns: Sequence[str], edges: DataFrame, longest
 def psi_histogram(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
     """(column, bucket, ref_count, cur_count, ref_share, cur_share), empty bins included."""
     summary = _numeric_summary(pair, columns, bins)
-    counted = _bucket_counts(pair, columns, summary, bins)
-    domain = summary.selectExpr("column_no", "column", "ref_n", "cur_n", f"EXPLODE(SEQUENCE(0, SIZE({INNER}))) AS bucket")
-    filled = domain.join(counted, ["column_no", "bucket"], "left").na.fill(0, ["ref_count", "cur_count"])
-    return filled.selectExpr(
+    counted = summary.select("column", "ref_n", "cur_n", F.posexplode(F.arrays_zip("ref_counts", "cur_counts")).alias("bucket", "counts"))
+    return counted.selectExpr(
         "column",
         "bucket",
-        "ref_count",
-        "cur_count",
-        "CAST(ref_count AS DOUBLE) / NULLIF(CAST(ref_n AS DOUBLE), 0D) AS ref_share",
-        "CAST(cur_count AS DOUBLE) / NULLIF(CAST(cur_n AS DOUBLE), 0D) AS cur_share",
+        "counts.ref_counts AS ref_count",
+        "counts.cur_counts AS cur_count",
+        "CAST(counts.ref_counts AS DOUBLE) / NULLIF(CAST(ref_n AS DOUBLE), 0D) AS ref_share",
+        "CAST(counts.cur_counts AS DOUBLE) / NULLIF(CAST(cur_n AS DOUBLE), 0D) AS cur_share",
     )
 
 
@@ -147,7 +161,7 @@ def _with_psi(pair: Pair, columns: Sequence[str], summary: DataFrame, bins: int)
 def psi(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS, approximate: bool = False) -> DataFrame:
     """(column, psi). `approximate` takes the edges from a sketch and shuffles no values."""
     if not approximate:
-        return _with_psi(pair, columns, _numeric_summary(pair, columns, bins), bins).select("column", "psi")
+        return _numeric_summary(pair, columns, bins).select("column", "psi")
     summary = literal_table(approximate_edges(pair, columns, bins))
     return _with_psi(pair, columns, summary, bins).select("column", "psi")
 
@@ -221,8 +235,7 @@ def ks_pvalue(pair: Pair, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_drift(pair: Pair, columns: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    scored = _with_psi(pair, columns, ks_probability(_numeric_summary(pair, columns, bins)), bins)
-    return scored.select(
+    return ks_probability(_numeric_summary(pair, columns, bins)).select(
         "column",
         F.lit("numeric").alias("kind"),
         F.lit("psi").alias("measure"),
@@ -285,31 +298,52 @@ def category_mode(pair: Pair, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def categorical_drift(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    return (
-        category_shares(pair, columns)
-        .groupBy("column")
-        .agg(F.sum(_js_terms()).alias("score"), _mode("ref").alias("ref_mode"), _mode("cur").alias("cur_mode"))
-        .select(
-            "column",
-            F.lit("categorical").alias("kind"),
-            F.lit("js").alias("measure"),
-            "score",
-            "ref_mode",
-            "cur_mode",
-            status_of(F.col("score"), JS_WARNING, JS_DANGER).alias("status"),
-        )
+def categorical_drift(pair: Pair, columns: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
+    """`stats`: `column_stats` of these columns, if they are at hand; columns that they do not cover are counted here."""
+    covered = textual_columns(pair, columns)
+    if stats is None:
+        stats = literal_table(column_stats(pair, covered, covered)) if covered else None  # a row a column
+    parts = []
+    if covered:
+        long = [r["column"] for r in stats.where(f"GREATEST(LENGTH(ref_mode), LENGTH(cur_mode)) > {SHORT}").select("column").collect()]
+        known = stats.where(F.col("column").isin(*covered)).select("column", F.col("js").alias("score"), "ref_mode", "cur_mode")
+        if long:  # these stand for themselves by their hash
+            known = known.drop("ref_mode", "cur_mode").join(category_mode(pair, covered), "column")
+        parts.append(known)
+    rest = [c for c in columns if c not in covered]
+    if rest:
+        counted = category_shares(pair, rest).groupBy("column")
+        parts.append(counted.agg(F.sum(_js_terms()).alias("score"), _mode("ref").alias("ref_mode"), _mode("cur").alias("cur_mode")))
+    found = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    return found.select(
+        "column",
+        F.lit("categorical").alias("kind"),
+        F.lit("js").alias("measure"),
+        "score",
+        "ref_mode",
+        "cur_mode",
+        status_of(F.col("score"), JS_WARNING, JS_DANGER).alias("status"),
     )
 
 
+def textual_columns(pair: Pair, columns: Sequence[str]) -> list[str]:
+    """Those of which `column_stats` gives divergence and modes."""
+    return [c for c in columns if isinstance(pair.rows.schema[c].dataType, TEXTUAL)]
+
+
 # --- both -------------------------------------------------------------------------------------
 
 
-def drift_table(pair: Pair, numeric: Sequence[str], categorical: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    """All features, highest score first; equal scores by column name."""
+def drift_table(pair: Pair, numeric: Sequence[str], categorical: Sequence[str], bins: int = PSI_BINS, stats: DataFrame | None = None) -> DataFrame:
+    """All features, highest score first; equal scores by column name. `stats`: see `categorical_drift`."""
+    return joined_drift(pair, numeric_drift(pair, numeric, bins) if numeric else None, categorical, stats)
+
+
+def joined_drift(pair: Pair, numeric: DataFrame | None, categorical: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
+    """`drift_table` from the rows of the numeric columns."""
     table = local_table(pair.rows.sparkSession, [], DRIFT_SCHEMA)
-    if numeric:
-        table = table.unionByName(numeric_drift(pair, numeric, bins), allowMissingColumns=True)
+    if numeric is not None:
+        table = table.unionByName(numeric, allowMissingColumns=True)
     if categorical:
-        table = table.unionByName(categorical_drift(pair, categorical), allowMissingColumns=True)
+        table = table.unionByName(categorical_drift(pair, categorical, stats), allowMissingColumns=True)
     return table.orderBy(F.desc("score"), "column")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsecheck.config import MISSING
 from pulsecheck.functions.expressions import category_sql, missing_sql, number_sql, present_sql, quote, text_literal, text_sql
 from pulsecheck.sources.pairs import Pair, exact_name
 
@@ -18,15 +19,24 @@ IS_REF = "period = 'reference' AS is_ref"
 SIDES = ("SUM(IF(is_ref, 1L, 0L)) AS n_ref", "SUM(IF(is_ref, 0L, 1L)) AS n_cur")
 
 
-def _identity(df: DataFrame, name: str) -> str:
+#: Texts of up to so many bytes stand for themselves when they are counted; a SHA-256 in hexadecimal is longer.
+SHORT = 40
+#: Types whose text tells their values apart.
+TEXTUAL = (T.StringType, T.BooleanType, T.DateType)
+
+
+def _identity(df: DataFrame, name: str, as_text: bool = False) -> str:
     """SQL of (text, num, whole): one of them carries the value without a costly cast to text.
 
-    All text is carried as its SHA-256, so that whole documents are not shuffled just to be counted.
+    Long texts are carried as their SHA-256, so that whole documents are not shuffled just to be counted. `as_text`: as
+    text, though another form would do.
     """
     data_type = df.schema[name].dataType
     value = present_sql(df, name)
     text, num, whole = "CAST(NULL AS STRING)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS BIGINT)"
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+    if as_text:
+        text = _short(f"CAST({value} AS STRING)")
+    elif isinstance(data_type, (T.DoubleType, T.FloatType)):
         num = f"CAST({value} AS DOUBLE) + 0.0D"
         if exact_name(name) in df.columns:
             text = quote(exact_name(name))
@@ -39,10 +49,14 @@ def _identity(df: DataFrame, name: str) -> str:
     elif isinstance(data_type, WHOLE):
         whole = f"CAST({value} AS BIGINT)"
     else:
-        text = f"SHA2(CAST({value} AS STRING), 256)"
+        text = _short(f"CAST({value} AS STRING)")
     return f"{text}, {num}, {whole}"
 
 
+def _short(text: str) -> str:
+    return f"IF(OCTET_LENGTH({text}) <= {SHORT}, {text}, SHA2({text}, 256))"
+
+
 def stacked(columns: Sequence[str], cells: Sequence[str], names: str) -> str:
     """SQL generator: one output row per column, led by its number. Numbers instead of names keep the
     shuffled rows short; `named` puts the names back afterwards."""
@@ -55,18 +69,23 @@ def named(columns: Sequence[str]) -> str:
     return f"ELEMENT_AT(ARRAY({', '.join(map(text_literal, columns))}), column_no + 1) AS column"
 
 
-def distinct_values(pair: Pair, columns: Sequence[str]) -> DataFrame:
-    """(column_no, text, num, whole, n_ref, n_cur), one row per distinct value; missing is a value."""
-    cells = [_identity(pair.rows, c) for c in columns]
+def distinct_values(pair: Pair, columns: Sequence[str], texts: Sequence[str] = ()) -> DataFrame:
+    """(column_no, text, num, whole, n_ref, n_cur), one row per distinct value; missing is a value. `texts`: columns to be
+    carried as text."""
+    cells = [_identity(pair.rows, c, c in texts) for c in columns]
     long = pair.rows.selectExpr(IS_REF, stacked(columns, cells, "column_no, text, num, whole"))
     return long.groupBy("column_no", "text", "num", "whole").agg(*map(F.expr, SIDES))
 
 
-def column_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per column and period: rows, missing cells, distinct values; and the values only current has."""
+def column_stats(pair: Pair, columns: Sequence[str] | None = None, categorical: Sequence[str] = ()) -> DataFrame:
+    """Per column and period: rows, missing cells, distinct values; and the values only current has.
+
+    From the same counts, for the columns in `categorical` (of TEXTUAL types): `js`, the divergence of both sides' shares in
+    bits, and `ref_mode` and `cur_mode`, the most frequent categories (a long one as its SHA-256); missing is a category.
+    """
     columns = list(columns or pair.columns)
     missing = "text IS NULL AND num IS NULL AND whole IS NULL"
-    figures = (
+    figures = [
         "SUM(n_ref) AS ref_rows",
         "SUM(n_cur) AS cur_rows",
         f"SUM(IF({missing}, n_ref, 0L)) AS ref_missing",
@@ -74,9 +93,38 @@ def column_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
         f"SUM(IF(NOT ({missing}) AND n_ref > 0, 1L, 0L)) AS ref_distinct",
         f"SUM(IF(NOT ({missing}) AND n_cur > 0, 1L, 0L)) AS cur_distinct",
         f"SUM(IF(NOT ({missing}) AND n_ref = 0 AND n_cur > 0, 1L, 0L)) AS new_values",
-    )
-    totals = distinct_values(pair, columns).groupBy("column_no").agg(*map(F.expr, figures))
-    return totals.selectExpr(named(columns), *[c for c in totals.columns if c != "column_no"])
+    ]
+    values = distinct_values(pair, columns, categorical)
+    if not categorical:
+        totals = values.groupBy("column_no").agg(*map(F.expr, figures))
+        return totals.selectExpr(named(columns), *[c for c in totals.columns if c != "column_no"])
+    # One row a column; the counts come from the same exchange.
+    rows = values.groupBy("column_no").agg(F.sum("n_ref").alias("all_ref"), F.sum("n_cur").alias("all_cur"))
+    label = text_literal(MISSING)
+    # A value that reads like the label of the missing ones is one category with them.
+    labelled = f"(text IS NULL OR text = {label})"
+    figures += [
+        f"SUM(IF({labelled}, 0D, {divergence('n_ref', 'n_cur')})) AS js",
+        *[f"SUM(IF({labelled}, n_{s}, 0L)) AS label_{s}" for s in ("ref", "cur")],
+        *[f"MIN(IF({labelled} OR n_{s} = 0, NULL, STRUCT(-n_{s} AS n, text AS value))) AS first_{s}" for s in ("ref", "cur")],
+        "MAX(all_ref) AS all_ref",
+        "MAX(all_cur) AS all_cur",
+    ]
+    totals = values.join(F.broadcast(rows), "column_no").groupBy("column_no").agg(*map(F.expr, figures))
+    is_category = f"column_no IN ({', '.join(str(columns.index(c)) for c in categorical)})"
+    modes = [
+        f"IF({is_category}, LEAST(first_{s}, IF(label_{s} > 0, STRUCT(-label_{s} AS n, {label} AS value), NULL)).value, NULL) AS {s}_mode" for s in ("ref", "cur")
+    ]
+    kept = [f.split(" AS ")[-1] for f in figures[:7]]
+    return totals.selectExpr(named(columns), *kept, f"IF({is_category}, js + {divergence('label_ref', 'label_cur')}, NULL) AS js", *modes)
+
+
+def divergence(ref: str, cur: str) -> str:
+    """SQL: what one category of `ref` and `cur` rows, of `all_ref` and `all_cur`, adds to the Jensen-Shannon divergence in bits."""
+    p, q = (f"(CAST({n} AS DOUBLE) / NULLIF(CAST({total} AS DOUBLE), 0D))" for n, total in ((ref, "all_ref"), (cur, "all_cur")))
+    middle = f"(({p} + {q}) / 2.0D)"
+    halves = [f"CASE WHEN {n} > 0 AND all_ref > 0 AND all_cur > 0 THEN 0.5D * {x} * LOG2({x} / {middle}) WHEN all_ref > 0 AND all_cur > 0 THEN 0.0D END" for n, x in ((ref, p), (cur, q))]
+    return f"({halves[0]} + {halves[1]})"
 
 
 def cell_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:

@@ -54,26 +54,31 @@ def binary_metrics(scored: DataFrame) -> DataFrame:
     return binary_confusion(scored).select("period", *binary_ratios())
 
 
-def score_ranks(scored: DataFrame) -> DataFrame:
-    """Per period the distinct scores ascending, with positives and negatives, running and in total."""
-    # rows without a score (null or NaN) or without a label take no part
-    rows = scored.select("period", F.nanvl(F.col("proba").cast("double"), F.lit(None)).alias("score"), "y_true").where("score IS NOT NULL AND y_true IS NOT NULL")
+def score_rows(scored: DataFrame) -> DataFrame:
+    """(period, score, y_true); rows without a score (null or NaN) or without a label take no part."""
+    rows = scored.select("period", F.nanvl(F.col("proba").cast("double"), F.lit(None)).alias("score"), "y_true")
+    return rows.where("score IS NOT NULL AND y_true IS NOT NULL")
+
+
+def score_ranks(scored: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """Per period the distinct scores ascending, with positives and negatives, running and in total. `cuts`: see `running_totals`."""
+    rows = score_rows(scored)
     counts = {"pos": count_where(F.col("y_true") == 1), "neg": count_where(F.col("y_true") != 1)}
-    return running_totals(rows, ["period"], "score", counts, n_keys=2)
+    return running_totals(rows, ["period"], "score", counts, cuts, n_keys=2)
 
 
 def _double(name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def ranked_metrics(scored: DataFrame) -> DataFrame:
+def ranked_metrics(scored: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """(period, roc_auc, pr_auc); null where a period has a single class."""
     both = (F.col("all_pos") > 0) & (F.col("all_neg") > 0)
     below = _double("cum_neg") - _double("neg") / 2.0
     caught = _double("all_pos") - _double("cum_pos") + _double("pos")
     alarms = _double("all_neg") - _double("cum_neg") + _double("neg")
     return (
-        score_ranks(scored)
+        score_ranks(scored, cuts)
         .groupBy("period")
         .agg(
             F.sum(F.when(both, _double("pos") / _double("all_pos") * (below / _double("all_neg")))).alias("roc_auc"),

@@ -36,9 +36,10 @@ def _rate(count: str, rows: str, kind: str) -> Column:
     return F.when(known, F.col(count).cast("double") / F.col(rows).cast("double"))
 
 
-def quality_table(pair: Pair, target: str | None = None) -> DataFrame:
-    """One row per column in union order: types, missing rates, distinct values, status and reason."""
-    facts = column_types(pair).join(F.broadcast(column_stats(pair)), "column", "left")
+def quality_table(pair: Pair, target: str | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """One row per column in union order: types, missing rates, distinct values, status and reason. `stats`: `column_stats` of the
+    pair, if they are at hand."""
+    facts = column_types(pair).join(F.broadcast(stats or column_stats(pair)), "column", "left")
     both = F.col("ref_type").isNotNull() & F.col("cur_type").isNotNull()
     few = F.least(
         F.lit(100), F.greatest(F.lit(20), F.floor(F.col("ref_rows").cast("double") * F.lit(0.20)).cast("long"))

@@ -17,7 +17,7 @@ from pulsecheck.config import (
     WARNING,
 )
 from pulsecheck.functions.expressions import as_category
-from pulsecheck.functions.literal import literal_table
+from pulsecheck.functions.literal import literal_table, local_table
 from pulsecheck.operators.frequency import category_counts
 from pulsecheck.operators.performance import binary_ratios, confusion_aggregates, label_cells, macro_metrics
 from pulsecheck.sources.pairs import Pair
@@ -66,7 +66,11 @@ def _verdict(too_few: Column, danger: Column, warning: Column) -> Column:
 
 
 def segments_binary(rows: DataFrame, min_rows: int = MIN_SEGMENT_ROWS) -> DataFrame:
-    groups = rows.groupBy(*KEYS).agg(*confusion_aggregates())
+    return judged_binary(rows.groupBy(*KEYS).agg(*confusion_aggregates()), min_rows)
+
+
+def judged_binary(groups: DataFrame, min_rows: int = MIN_SEGMENT_ROWS) -> DataFrame:
+    """From the confusion counts of every group and of `(all)`."""
     figures = groups.select(
         *KEYS, "n", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"), *binary_ratios()
     )
@@ -109,6 +113,11 @@ def weak_segments(scored: DataFrame, pair: Pair, categorical: Sequence[str], kin
     `pair` decides which columns are kept; it holds the same rows as `scored`. The result has at most
     2 x #columns x 30 rows.
     """
-    kept = literal_table(segment_columns(pair, categorical).where("kept"))
+    kept = segment_columns(pair, categorical).where("kept").select("period", "segment_column").collect()  # a row a column
+    return judged_segments(scored, [tuple(r) for r in kept], kind, min_rows)
+
+
+def judged_segments(scored: DataFrame, kept: Sequence[tuple[str, str]], kind: str, min_rows: int = MIN_SEGMENT_ROWS) -> DataFrame:
+    """`kept`: the (period, column) whose groups are judged."""
     build = {"binary": segments_binary, "multiclass": segments_multiclass, "regression": segments_regression}[kind]
-    return build(segment_rows(scored, kept), min_rows)
+    return build(segment_rows(scored, local_table(scored.sparkSession, sorted(kept), "period string, segment_column string")), min_rows)

@@ -27,6 +27,12 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
         .groupBy("reached")
         .agg(count_where(F.col("y_true") == 1).alias("pos"), count_where(F.col("y_true") != 1).alias("neg"))
     )
+    return swept(reached)
+
+
+def swept(reached: DataFrame) -> DataFrame:
+    """The sweep from (reached, pos, neg): rows by the number of thresholds they reach."""
+    edges = F.array(*[F.lit(t) for t in THRESHOLDS])
     above = F.col("reached") > F.col("step")
     counts = reached.select("*", F.posexplode(edges).alias("step", "threshold")).groupBy("threshold").agg(
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),

@@ -10,13 +10,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsecheck.config import CURRENT, PERIOD, REFERENCE
-from pulsecheck.functions.expressions import count_where, quoted
+from pulsecheck.config import CURRENT, MIN_SEGMENT_ROWS, PERIOD, REFERENCE
+from pulsecheck.functions.expressions import quoted
 from pulsecheck.functions.literal import literal_table
 from pulsecheck.operators import calibration as cal
 from pulsecheck.operators import columns as cols
 from pulsecheck.operators import drift as dr
-from pulsecheck.operators import health, performance, profile, quality, report, segments, surrogate, threshold
+from pulsecheck.operators import cells, health, performance, profile, quality, report, segments, surrogate
+from pulsecheck.operators.frequency import column_stats
 from pulsecheck.sources.csv import write_csv
 from pulsecheck.sources.pairs import OWN_PERIOD, Pair, pair_of
 
@@ -146,25 +147,50 @@ def analyze_scored(
     `pair` holds the rows for quality and drift. Each result has a size that does not grow with the
     data, and is computed once; the score and the report then work on those rows alone.
     """
-    current = F.col(PERIOD) == CURRENT
-    facts = scored.agg(
-        count_where(current).alias("rows"), count_where(current & F.col("y_true").isNull()).alias("unlabelled")
-    ).first()
-    current_rows = facts["rows"]
-    has_labels = current_rows > 0 and facts["unlabelled"] == 0
+    spark = scored.sparkSession
+    textual = dr.textual_columns(pair, categorical)
+    stats, numeric_rows = _side_by_side(
+        spark,
+        lambda: literal_table(column_stats(pair, None, textual)),
+        lambda: literal_table(dr.numeric_drift(pair, numeric)) if numeric else None,
+    )
+    same_rows = segment_pair is None
+    kept_from = stats if same_rows and len(textual) == len(categorical) else literal_table(column_stats(segment_pair or pair, categorical)) if categorical else None
+    kept = cells.kept_segments(kept_from, categorical) if categorical else []
+    if kind == "binary":
+        table = cells.score_cells(scored, kept)
+        facts = cells.overall(table).groupBy(PERIOD, F.col("y_true").isNull().alias("unlabelled")).agg(F.sum("n").alias("n"))
+    else:
+        facts = scored.groupBy(PERIOD, F.col("y_true").isNull().alias("unlabelled")).agg(F.count("*").alias("n"))
+    counted = [r for r in facts.collect() if r[PERIOD] == CURRENT]
+    current_rows = sum(r["n"] for r in counted)
+    has_labels = current_rows > 0 and not any(r["unlabelled"] for r in counted)
 
     labelled = scored.where(F.col("y_true").isNotNull())
     with_groups = has_labels and bool(categorical)
     with_probabilities = has_labels and kind == "binary" and "proba" in scored.columns
-    quality_rows, drift_rows, metrics, groups, calibrated, sweep = _side_by_side(
-        scored.sparkSession,
-        lambda: literal_table(quality.quality_table(pair, target)),
-        lambda: literal_table(dr.drift_table(pair, numeric, categorical)),
-        lambda: performance.settled_metrics(labelled, kind, classes, probabilities),
-        lambda: literal_table(segments.weak_segments(scored, segment_pair or pair, categorical, kind)) if with_groups else None,
-        lambda: _unless_empty(literal_table(cal.calibration_assessment(scored))) if with_probabilities else None,
-        lambda: _unless_empty(literal_table(threshold.threshold_sweep(scored))) if with_probabilities else None,
+
+    def metrics_of() -> DataFrame:
+        if kind == "binary":
+            return literal_table(cells.cell_metrics(table, labelled))
+        return performance.settled_metrics(labelled, kind, classes, probabilities)
+
+    def groups_of() -> DataFrame | None:
+        if not with_groups:
+            return None
+        if kind == "binary":
+            return literal_table(cells.cell_segments(table, MIN_SEGMENT_ROWS))
+        return literal_table(segments.judged_segments(scored, kept, kind))
+
+    metrics, groups, calibrated, sweep = _side_by_side(
+        spark,
+        metrics_of,
+        groups_of,
+        lambda: _unless_empty(literal_table(cells.cell_assessment(table))) if with_probabilities else None,
+        lambda: _unless_empty(literal_table(cells.cell_sweep(table))) if with_probabilities else None,
     )
+    quality_rows = literal_table(quality.quality_table(pair, target, stats))
+    drift_rows = literal_table(dr.joined_drift(pair, numeric_rows, categorical, stats))
     compared = literal_table(performance.performance_table(metrics, kind)) if has_labels else None
     components, found, steps = _side_by_side(
         scored.sparkSession,
