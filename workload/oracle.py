@@ -1239,13 +1239,20 @@ for kind in TASKS:
 QUALITY_OVERVIEW = f"""SELECT 'quality' AS section, "column" AS item, 'missing_delta' AS measure, {r6('missing_delta', 'value')}, status FROM """
 DRIFT_OVERVIEW = f"SELECT 'drift', col, measure, {r6('score', 'value')}, status FROM drift_rows"
 part("key_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true"))
-oracle("full_analysis_fitted", QUALITY_OVERVIEW + "key_quality UNION ALL " + DRIFT_OVERVIEW)
+STABILITY = f"SELECT 'health', component, 'score', {r6('score', 'value')}, state FROM components_binary WHERE component = 'stability'"
+oracle("full_analysis_fitted", f"{QUALITY_OVERVIEW} key_quality UNION ALL {DRIFT_OVERVIEW} UNION ALL {STABILITY}")
 part("logged_quality", quality_facts(["l_orderkey", "l_linenumber", *FEATURES, "y_true"], "y_true"))
 ONLY_CURRENT = union([f"SELECT 'quality', '{c}', 'missing_delta', NULL, 'danger'" for c in ("pred", "proba")])
-for kind, name in TASKS.items():
-    metrics = f"SELECT 'performance', metric, 'after', {r6('after', 'value')}, NULL FROM perf_{kind} WHERE metric <> 'log_loss'"
-    facts = f"logged_quality UNION ALL {ONLY_CURRENT}" if kind == "binary" else name
-    oracle(f"full_analysis_logged_{kind}", QUALITY_OVERVIEW + f"{facts} UNION ALL {DRIFT_OVERVIEW} UNION ALL {metrics}")
+LOGGED_SEGMENTS = f"SELECT 'segment', period || '/' || segment_column || '/' || segment_group, 'recall', {r6('recall', 'value')}, status FROM seg_binary WHERE {CUR}"
+LOGGED_SWEEP = f"SELECT 'threshold', printf('%.2f', threshold), 'f1', {r6('f1', 'value')}, NULL FROM sweep"
+AFTER = f"SELECT 'performance', metric, 'after', {r6('after', 'value')}, NULL FROM perf_binary"
+oracle(
+    "full_analysis_logged_binary",
+    f"{QUALITY_OVERVIEW} logged_quality UNION ALL {ONLY_CURRENT} UNION ALL {DRIFT_OVERVIEW} UNION ALL {AFTER} UNION ALL {LOGGED_SEGMENTS} UNION ALL {LOGGED_SWEEP} UNION ALL {STABILITY}",
+)
+# Without probabilities there is no log loss.
+oracle("full_analysis_logged_multiclass", f"SELECT * FROM ({overview('multiclass')}) WHERE item <> 'log_loss'")
+oracle("full_analysis_logged_regression", overview("regression"))
 part("quality_features", quality_facts(FEATURES, "none"))
 oracle(
     "full_analysis_unlabelled",
@@ -1268,6 +1275,7 @@ part(
     """SELECT * EXCLUDE (period), CASE WHEN row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber)
        <= CAST(floor(count(*) OVER () * 0.6) AS BIGINT) THEN 'reference' ELSE 'current' END AS period FROM scored""",
 )
-part("single_quality", quality_facts(QUALITY, "y_true", "single_log"))
-drift_of("single_", "single_log", NUMERIC, CATEGORICAL)
-oracle("full_analysis_single_table", QUALITY_OVERVIEW + "single_quality UNION ALL " + DRIFT_OVERVIEW.replace("drift_rows", "single_drift_rows"))
+# The whole overview, with another split of the log.
+PARTS["dated"], PARTS["scored"] = PARTS["scored"], PARTS["single_log"].replace("FROM scored", "FROM dated")
+oracle("full_analysis_single_table", overview("binary"))
+PARTS["scored"] = PARTS.pop("dated")

@@ -1082,13 +1082,14 @@ def full_analysis_fitted(spark, sf):
     """Two tables in, with the stand-in model fitted on the first: the sections that do not depend on its trees."""
     ref = period(spark, sf, REFERENCE).select(*KEY, *NUMERIC, *CATEGORICAL, "y_true")
     cur = period(spark, sf, CURRENT).select(*KEY, *NUMERIC, *CATEGORICAL, "y_true")
-    return analyze(ref, cur, "y_true", KEY, positive="1", excluded=KEY).overview().where("section IN ('quality', 'drift')")
+    overview = analyze(ref, cur, "y_true", KEY, positive="1", excluded=KEY).overview()
+    return overview.where("section IN ('quality', 'drift') OR item = 'stability'")
 
 
 def logged_overview(result) -> DataFrame:
     """The sections of a logged run on current that do not depend on the model's holdout."""
-    overview = result.overview()
-    return overview.where("section IN ('quality', 'drift') OR (section = 'performance' AND measure = 'after')")
+    own = "(section = 'performance' AND measure = 'after') OR (section = 'segment' AND item LIKE 'current/%')"
+    return result.overview().where(f"section IN ('quality', 'drift', 'threshold') OR item = 'stability' OR {own}")
 
 
 LOGGED = {"binary": ("y_true", "pred", "proba"), "multiclass": ("tier", "pred_tier", None), "regression": ("y_value", "pred_value", None)}
@@ -1116,7 +1117,7 @@ def logged_scored(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     target, prediction, _ = LOGGED[kind]
     rows = scored(spark, sf)
     outputs = prepare.scored_table(rows, kind, target, prediction, keep=CATEGORICAL)
-    return logged_overview(analyze_scored(outputs, pair_from(rows, [*NUMERIC, *CATEGORICAL, target]), kind, NUMERIC, CATEGORICAL, target))
+    return analyze_scored(outputs, pair_from(rows, [*NUMERIC, *CATEGORICAL, target]), kind, NUMERIC, CATEGORICAL, target).overview()
 
 
 @query
@@ -1146,7 +1147,7 @@ def full_analysis_single_table(spark, sf):
     labelled, _ = split.split_periods(scored(spark, sf).drop(PERIOD), KEY, 0.6, "l_shipdate")
     outputs = prepare.scored_table(labelled, "binary", "y_true", "pred", "proba", "1", keep=CATEGORICAL)
     pair = pair_from(labelled, [*NUMERIC, *CATEGORICAL, "y_true"])
-    return analyze_scored(outputs, pair, "binary", NUMERIC, CATEGORICAL, "y_true").overview().where("section IN ('quality', 'drift')")
+    return analyze_scored(outputs, pair, "binary", NUMERIC, CATEGORICAL, "y_true").overview()
 
 
 @query
