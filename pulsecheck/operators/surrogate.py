@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pulsecheck.config import CURRENT, MISSING, PERIOD, REFERENCE
 from pulsecheck.functions.expressions import as_number, as_text, is_missing, quoted
 from pulsecheck.functions.literal import local_table
+from pulsecheck.operators.categories import CategoryIndex, category_index
 from pulsecheck.operators.columns import Task
 from pulsecheck.operators.drift import numeric_facts
 from pulsecheck.operators.frequency import category_counts
@@ -83,12 +84,15 @@ class Surrogate:
     categorical: list[str]
     medians: dict[str, float]
     modes: dict[str, str]
-    model: PipelineModel
+    categories: CategoryIndex | None = None
+    model: PipelineModel | None = None
 
     def prepare(self, df: DataFrame) -> DataFrame:
+        """Adds the filled inputs, and the slots of categories."""
         filled = [F.coalesce(as_number(df, c), F.lit(self.medians[c])).alias(f"num_{i}") for i, c in enumerate(self.numeric)]
         texts = [F.coalesce(as_text(df, c), F.lit(self.modes[c])).alias(f"cat_{i}") for i, c in enumerate(self.categorical)]
-        return df.select("*", *filled, *texts)
+        rows = df.select("*", *filled, *texts)
+        return self.categories.with_slots(rows) if self.categories else rows
 
     def score(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(self.prepare(df))
@@ -98,29 +102,11 @@ class Surrogate:
         return scored.select(*[quoted(c) for c in df.columns], *outputs)
 
 
-def _stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """One-hot with unseen values as all zeros: they take the index that dropLast removes."""
+def _assembler(numeric: Sequence[str], categorical: Sequence[str]) -> VectorAssembler:
     if not numeric and not categorical:
         raise ValueError("there are no feature columns to fit a model on")
-    inputs = [f"num_{i}" for i in range(len(numeric))]
-    stages = []
-    if categorical:
-        names = [f"cat_{i}" for i in range(len(categorical))]
-        stages.append(
-            StringIndexer(
-                inputCols=names,
-                outputCols=[f"{n}_index" for n in names],
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            )
-        )
-        stages.append(
-            OneHotEncoder(
-                inputCols=[f"{n}_index" for n in names], outputCols=[f"{n}_onehot" for n in names], dropLast=True
-            )
-        )
-        inputs += [f"{n}_onehot" for n in names]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
+    inputs = [*(f"num_{i}" for i in range(len(numeric))), *(f"cat_{i}_onehot" for i in range(len(categorical)))]
+    return VectorAssembler(inputCols=inputs, outputCol="features")
 
 
 def _fill_values(
@@ -150,10 +136,13 @@ def fit_surrogate(
 ) -> Surrogate:
     """`label` holds the class index or the number to predict.
 
-    The indexer keeps every category of a feature on the driver; `max_categories` makes more of them an error.
+    A forest keeps an integer for every slot of a row while it is fitted; `max_categories` makes more categories of a feature an error.
     """
     medians, modes = _fill_values(train, numeric, categorical, max_categories)
-    blank = Surrogate(task, list(numeric), list(categorical), medians, modes, None)
+    assembler = _assembler(numeric, categorical)
+    categories = category_index(train, categorical) if categorical else None
+    blank = Surrogate(task, list(numeric), list(categorical), medians, modes, categories)
+    encoders = [categories.encoder(train.sparkSession)] if categorical else []
     rows = blank.prepare(train)
     common = dict(labelCol=label, numTrees=trees, minInstancesPerNode=MIN_LEAF, seed=seed)
     if task.kind == "regression":
@@ -170,7 +159,7 @@ def fit_surrogate(
     spread = F.xxhash64(*[quoted(c) for c in rows.columns])
     rows = rows.withColumn("__spread", spread).repartition(max(FIT_PARTITIONS, -(-train.count() // FIT_ROWS)), "__spread")
     rows = rows.sortWithinPartitions("__spread", *[quoted(c) for c in train.columns if isinstance(train.schema[c].dataType, T.AtomicType)]).drop("__spread")
-    blank.model = Pipeline(stages=[*_stages(numeric, categorical), forest]).fit(rows)
+    blank.model = Pipeline(stages=[*encoders, assembler, forest]).fit(rows)
     return blank
 
 

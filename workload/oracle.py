@@ -578,6 +578,12 @@ oracle(
     """SELECT period, CASE WHEN flag IN (SELECT flag FROM refrows) THEN flag ELSE '(all zeros)' END AS slot, count(*) AS n
        FROM scored GROUP BY 1, 2""",
 )
+oracle(
+    "category_slots",
+    """SELECT o_orderkey, CAST(coalesce(slot, (SELECT count(DISTINCT c_name) FROM customer WHERE c_custkey % 3 <> 0)) AS BIGINT) AS slot
+       FROM orders JOIN customer ON c_custkey = o_custkey
+       LEFT JOIN (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS slot FROM customer WHERE c_custkey % 3 <> 0 GROUP BY c_name) USING (c_name)""",
+)
 part(
     "holdout",
     "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) > floor(count(*) OVER () * 0.8) AS late FROM refrows) WHERE late",

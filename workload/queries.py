@@ -15,6 +15,7 @@ from pulsecheck.functions.expressions import as_category
 from pulsecheck.functions.literal import literal_table
 from pulsecheck.operators import (
     calibration,
+    categories,
     charts,
     columns,
     drift,
@@ -584,18 +585,27 @@ def impute_mode(spark, sf):
 @query
 def one_hot(spark, sf):
     """Fitted on the reference; the value only current has gets no slot."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
     rows = scored(spark, sf)
-    rows = rows.select(PERIOD, F.lit(0.0).alias("num_0"), as_category(rows, "flag").alias("cat_0"))
+    rows = rows.select(PERIOD, as_category(rows, "flag").alias("cat_0"))
     ref = rows.where(F.col(PERIOD) == REFERENCE)
-    model = Pipeline(stages=surrogate._stages(["num"], ["flag"])).fit(ref)
-    slots = vector_to_array("cat_0_onehot")
-    labels = F.array(*[F.lit(label) for label in model.stages[0].labelsArray[0]])
-    hot = F.get(labels, F.array_position(slots, F.lit(1.0)).cast("int") - 1)
-    coded = model.transform(rows).select(PERIOD, hot.alias("slot"))
-    return coded.groupBy(PERIOD, F.coalesce("slot", F.lit("(all zeros)")).alias("slot")).agg(F.count("*").alias("n"))
+    index = categories.category_index(ref, ["cat_0"])
+    coded = index.encoder(spark).transform(index.with_slots(rows))
+    labels = F.array(*[F.lit(label) for label in index.listed[0]])
+    hot = F.get(labels, F.array_position(vector_to_array("cat_0_onehot"), F.lit(1.0)).cast("int") - 1)
+    found = coded.select(PERIOD, F.coalesce(hot, F.lit("(all zeros)")).alias("slot"))
+    return found.groupBy(PERIOD, "slot").agg(F.count("*").alias("n"))
+
+
+@query
+def category_slots(spark, sf):
+    """Every customer name as a category, numbered by its text; orders of every third customer are not known to the index."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("cat_0"))
+    orders = table(spark, sf, "orders").join(names, "o_custkey").select("o_orderkey", "cat_0")
+    index = categories.category_index(names.where("o_custkey % 3 <> 0"), ["cat_0"])
+    index.listed.clear()  # by the joins, whatever the number of values
+    return index.with_slots(orders).select("o_orderkey", F.col("cat_0_index").cast("long").alias("slot"))
 
 
 @query
