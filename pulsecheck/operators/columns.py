@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsecheck.config import ID_HINTS, PERIOD, REFERENCE, TARGET_HINTS
-from pulsecheck.functions.expressions import as_text, count_where, is_missing, is_numeric, present, text_literal
+from pulsecheck.functions.expressions import as_text, count_where, is_missing, is_numeric, present, quoted, text_literal
 from pulsecheck.functions.literal import literal_table, local_table
 from pulsecheck.operators.frequency import approximate_stats, column_stats
 from pulsecheck.sources.pairs import Pair, pair_from
@@ -162,21 +162,34 @@ def suggested_exclusions(
     df: DataFrame, target: str, prediction: str | None = None, probability: str | None = None
 ) -> DataFrame:
     """(rank, column, reason): ids, then constants, then logged outputs; a column appears once."""
-    facts = literal_table(_facts(df).where(_outside([target])))
-    logged = [(c, 2_000_000 + i) for i, c in enumerate([prediction, probability]) if c]
-    listed = (
-        facts.where(_is_id())
-        .select("column", F.col("position").alias("rank"), F.lit("id").alias("reason"))
-        .unionByName(
-            facts.where(_is_constant()).select(
-                "column", (F.col("position") + 1_000_000).alias("rank"), F.lit("constant").alias("reason")
-            )
-        )
-        .unionByName(
-            local_table(df.sparkSession, logged, "column string, rank int").withColumn("reason", F.lit("logged_output"))
-        )
-    )
-    return listed.groupBy("column").agg(F.min("rank").alias("rank"), F.min_by("reason", "rank").alias("reason")).orderBy("rank")
+    positions = {c: i for i, c in enumerate(df.columns)}
+    found = [(c, positions[c], "id") for c in _certain_ids(df, [target])]
+    found += [(r["column"], positions[r["column"]] + 1_000_000, "constant") for r in constant_columns(df, [target]).collect()]
+    found += [(c, 2_000_000 + i, "logged_output") for i, c in enumerate([prediction, probability]) if c]
+    first: dict[str, tuple[int, str]] = {}
+    for column, rank, reason in sorted(found, key=lambda f: f[1]):
+        first.setdefault(column, (rank, reason))
+    rows = [(column, rank, reason) for column, (rank, reason) in first.items()]
+    return local_table(df.sparkSession, rows, "column string, rank int, reason string")
+
+
+#: Relative error of the sketch of distinct values, and how many of them its estimate is allowed to be off.
+SKETCH_ERROR, ERRORS = 0.005, 6
+
+
+def _certain_ids(df: DataFrame, excluded: Sequence[str]) -> list[str]:
+    """Columns that `_is_id` holds for. A sketch decides where all that its estimate allows lies on one side of the gate; only the
+    values of the other columns are counted, so that keys and other near-unique columns are not shuffled."""
+    names = [c for c in df.columns if c not in excluded]
+    if not names:
+        return []
+    known = literal_table(_facts(df.select(*[quoted(c) for c in names]), SKETCH_ERROR))
+    bounds = [known.withColumn("n_distinct", F.col("n_distinct") * (1 + sign * ERRORS * SKETCH_ERROR)) for sign in (-1, 1)]
+    surely, perhaps = ({r["column"] for r in b.where(_is_id()).collect()} for b in bounds)
+    unsure = [c for c in names if c in perhaps and c not in surely]
+    if unsure:
+        surely |= {r["column"] for r in _facts(df.select(*[quoted(c) for c in unsure])).where(_is_id()).collect()}
+    return [c for c in names if c in surely]
 
 
 def excluded_names(df: DataFrame, target: str, prediction: str | None = None, probability: str | None = None) -> list[str]:

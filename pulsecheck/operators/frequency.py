@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -144,11 +145,14 @@ def cell_stats(pair: Pair, columns: Sequence[str] | None = None) -> DataFrame:
 def approximate_stats(pair: Pair, columns: Sequence[str] | None = None, error: float = 0.02) -> DataFrame:
     """`cell_stats` with estimated distinct values of each period (`ref_distinct`, `cur_distinct`)."""
     columns = list(columns or pair.columns)
+    # a sketch of 2^bits places errs by 0.83 / sqrt(2^bits)
+    bits = min(21, max(4, math.ceil(2 * math.log2(0.83 / error))))
     estimates = []
     for i, c in enumerate(columns):
         value = f"CAST({present_sql(pair.rows, c)} AS STRING)"
         for name, side in (("ref", "is_ref"), ("cur", "NOT is_ref")):
-            estimates.append(F.approx_count_distinct(F.expr(f"IF({side}, {value}, NULL)"), error).alias(f"{name}{i}"))
+            sketch = F.hll_sketch_agg(F.expr(f"IF({side}, {value}, NULL)"), F.lit(bits))
+            estimates.append(F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).alias(f"{name}{i}"))
     wide = pair.rows.selectExpr("*", IS_REF).agg(*estimates)
     parts = stacked(columns, [f"ref{i}, cur{i}" for i in range(len(columns))], "column_no, ref_distinct, cur_distinct")
     found = wide.selectExpr(parts).selectExpr(named(columns), "ref_distinct", "cur_distinct")

@@ -260,3 +260,15 @@ def test_identical_tables_are_healthy(spark, tables):
     assert [r["finding"] for r in result.findings.collect()] == ["no_strong_signal"]
     views = {r["view"]: r["n"] for r in result.json().collect()}
     assert views["drift"] == 2 and views["thresholds"] == 5
+
+
+def test_exclusions_count_only_columns_near_the_gate(spark, monkeypatch):
+    n = 20_000
+    names = {"key": "id", "text_id": "concat('t', id)", "near": "concat('n', IF(id < 19000, id, 18999))", "under": "concat('u', IF(id < 18990, id, 0))", "few": "concat('f', id % 5)", "half_id": "id % 10000", "less_id": "id % 9990", "one": "1", "y": "id % 2"}
+    df = spark.range(n).selectExpr(*[f"{v} AS {k}" for k, v in names.items()])
+    counted, facts = [], columns._facts
+    monkeypatch.setattr(columns, "_facts", lambda d, a=None: (counted.append((a, d.columns)), facts(d, a))[1])
+    found = {r["column"]: r["reason"] for r in columns.suggested_exclusions(df, "y").collect()}
+    assert found == {"key": "id", "text_id": "id", "near": "id", "half_id": "id", "one": "constant"}
+    assert [set(c) for a, c in counted if a is None] == [{"near", "under", "half_id", "less_id"}]
+    assert columns.excluded_names(df.limit(0), "y") == [r["column"] for r in columns.constant_columns(df.limit(0), ["y"]).collect()]
