@@ -148,8 +148,9 @@ def word_parts(text: bytes) -> list[bytes]:
     return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", learn: str | None = None, sample: int = SAMPLE) -> tuple[list[str], Network | None]:
-    """The languages, sorted, and the network. `learn`: SQL condition of the rows to learn from."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", learn: str | None = None, sample: int = SAMPLE, noise: bool = False) -> tuple[list[str], Network | None]:
+    """The languages, sorted, and the network. `learn`: SQL condition of the rows to learn from. With `noise` the network has one class
+    more, behind the languages, for strings of bytes that follow no language."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").alias("label"), (F.expr(learn) if learn else F.lit(True)).alias("learn"))
     rows = rows.where("learn AND label IS NOT NULL").drop("learn")
     chosen = by_class(rows, "label", "key", sample)
@@ -180,7 +181,31 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     words = sorted(table)
     counts = np.array([table[w] for w in words]) / total  # each language weighs the same
     targets = (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    return names, fit(words, targets, np.sqrt(counts.sum(axis=1)))
+    weights = np.sqrt(counts.sum(axis=1))
+    if noise:
+        strings = noise_like(words, weights)
+        targets = np.concatenate([np.pad(targets, ((0, 0), (0, 1))), np.tile(np.eye(len(names) + 1, dtype=np.float32)[-1:], (len(strings), 1))])
+        # Noise weighs as much as a language.
+        weights = np.concatenate([weights, np.full(len(strings), weights.sum() / len(names) / max(1, len(strings)))])
+        words = words + strings
+    return names, fit(words, targets, weights)
+
+
+def noise_like(words: list[bytes], weights: np.ndarray, seed: int = 11) -> list[bytes]:
+    """As many strings as words, of the words' lengths: half of them of bytes as frequent as in the words, half of printable
+    bytes at random. None is a word."""
+    rng = np.random.default_rng(seed)
+    length = np.array([len(w) for w in rng.choice(np.array(words, dtype=object), size=len(words), p=weights / weights.sum())])
+    share = np.zeros(256)
+    for w, x in zip(words, weights):
+        np.add.at(share, np.frombuffer(w, dtype=np.uint8), x)
+    printable = np.arange(33, 127)
+    drawn = rng.choice(256, size=length.sum(), p=share / share.sum()).astype(np.uint8)
+    uniform = rng.choice(printable, size=length.sum()).astype(np.uint8)
+    ends = np.cumsum(length)
+    known = set(words)
+    strings = [(drawn if i % 2 else uniform)[e - n : e].tobytes() for i, (e, n) in enumerate(zip(ends.tolist(), length.tolist()))]
+    return [x for x in strings if x not in known]
 
 
 class Judge:
@@ -222,6 +247,17 @@ class Judge:
                 out[i] = total[:-1] / total[-1]
         return out
 
+    def noise(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the mean probability of the last class over all positions, its deviation from word to word, and the words."""
+        pooled = self.pooled(texts)[:, -1]
+        spread, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            rows = np.fromiter(map(self.row.__getitem__, word_parts(t)), dtype=np.int64)
+            n[i] = len(rows)
+            if len(rows):
+                spread[i] = (self.sums[rows, -2] / self.sums[rows, -1]).std()
+        return pooled, spread, n
+
 
 def _judging(names: list[str], net: Network | None):
     """A function from an Arrow column of texts to (languages, scores)."""
@@ -263,76 +299,69 @@ def identify(docs: DataFrame, names: list[str], net: Network | None, key: str =
     return per_slice(rows, make, fields(rows, "key", ("lang_pred", "string"), ("score", "double"))).withColumnRenamed("key", key)
 
 
-def known_language(docs: DataFrame, names: list[str], net: Network | None, least: float, text: str = "text", model: Spoken | None = None) -> DataFrame:
-    """The rows of `docs` with a language whose score is at least `least`, and, with a `model`, whose bytes speak for the
-    languages it has counted; all columns as they were."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
-
-    def make():
-        judged = _judging(names, net)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            languages, scores = judged(batch.column("text"))
-            fits = [n != UNKNOWN and s >= least for n, s in zip(languages, scores)]
-            if model:
-                fits = [f and model.speaks(t) for f, t in zip(fits, byte_texts(batch.column("text")))]
-            kept = pa.array(fits, pa.bool_())
-            return batch_of(("row", batch.column("row").filter(kept)))
-
-        return step
-
-    kept = per_slice(rows, make, StructType([rows.schema["row"]]))
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
-
-
-#: A document is told from text of the languages learnt by so many standard errors of its bytes at least.
+#: A document is told from text of the languages learnt by so many standard errors of its words at least.
 ERRORS = 4.0
 
 
 class Spoken:
-    """Likelihood of bytes by the byte before, from texts of all languages, each language weighing the same."""
-
-    def __init__(self, texts: list[bytes], labels: list):
-        counts = {name: np.zeros(1 << 16) for name in labels}
-        for t, name in zip(texts, labels):
-            counts[name] += np.bincount(self.pairs(t), minlength=1 << 16)
-        mean = sum(c / max(1, c.sum()) for c in counts.values()) / max(1, len(counts)) * 1e6 + 0.5
-        self.table = np.log(mean.reshape(256, 256) / mean.reshape(256, 256).sum(axis=1, keepdims=True)).astype(np.float32).ravel()
-        self.bar = -np.inf
+    """Whether a text is in the languages that a network with a class for noise has learnt."""
 
-    @staticmethod
-    def pairs(text: bytes) -> np.ndarray:
-        line = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", dtype=np.uint8).astype(np.int32)
-        return line[:-1] * 256 + line[1:]
+    def __init__(self, net: Network):
+        self.net = net
+        self.bar, self.spread = np.inf, 0.0
 
     def fit(self, texts: list[bytes]) -> None:
-        """The bar is the least likely of the texts, none of which the counts have seen."""
-        self.bar = min((self.table[self.pairs(t)].mean(dtype=float) for t in texts), default=-np.inf)
+        """The bar is what the network takes for noise in the noisiest of the texts, none of which it was trained on."""
+        if texts:
+            share, spread, _ = Judge(self.net).noise(texts)
+            self.bar, self.spread = float(share.max()), float(spread.mean())
+
+    def judge(self):
+        """A function from an Arrow column of texts to whether they are spoken; texts without a letter are not."""
+        from regex import compile as pattern
+
+        letter, judge = pattern(r"\p{L}"), Judge(self.net)
+
+        def spoken(column: pa.Array) -> list[bool]:
+            texts = byte_texts(column)
+            share, spread, n = judge.noise(texts)
+            # A text of few words is given the errors of its length.
+            error = np.maximum(spread, self.spread) / np.sqrt(np.maximum(n, 1))
+            fits = share - ERRORS * error <= self.bar
+            return [bool(f) and letter.search(t.decode()) is not None for f, t in zip(fits, texts)]
 
-    def speaks(self, text: bytes) -> bool:
-        """Whether the likelihood a byte is not clearly below the bar; a short text is given the errors of its length."""
-        found = self.table[self.pairs(text)]
-        return float(found.mean(dtype=float) + ERRORS * found.std(dtype=float) / np.sqrt(len(found))) >= self.bar
+        return spoken
 
 
-def spoken(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Spoken:
-    """Counted on at most `sample` labelled documents of each language, the bar fitted on as many of the contract's fold."""
+def spoken(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Spoken:
+    """The bar is fitted on at most `sample` labelled documents of each language from the contract's fold."""
     from regex import compile as pattern
 
     letter = pattern(r"\p{L}")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").alias("label"), held_out(key).alias("held"))
-    rows = rows.where("label IS NOT NULL")
-    got = []
-    for which in ("NOT held", "held"):
-        chosen = by_class(rows.where(which), "label", "key", sample).select("text", "label").toArrow()
-        pairs = zip(byte_texts(chosen.column("text")), chosen.column("label").to_pylist())
-        got.append([(t, name) for t, name in pairs if letter.search(t.decode())])
-    out = Spoken([t for t, _ in got[0]], [name for _, name in got[0]])
-    out.fit([t for t, _ in got[1]])
+    chosen = by_class(rows.where("held AND label IS NOT NULL"), "label", "key", sample).select("text").toArrow()
+    out = Spoken(net)
+    out.fit([t for t in byte_texts(chosen.column("text")) if letter.search(t.decode())])
     return out
 
 
+def in_known_language(docs: DataFrame, model: Spoken, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text is spoken; all columns as they were."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
+
+    def make():
+        judged = model.judge()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch_of(("row", batch.column("row").filter(pa.array(judged(batch.column("text")), pa.bool_()))))
+
+        return step
+
+    kept = per_slice(rows, make, StructType([rows.schema["row"]]))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold of the contract."""
     return F.coalesce(remainder(key, 5) == 0, F.lit(False))

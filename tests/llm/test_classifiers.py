@@ -108,8 +108,10 @@ def test_language_of_odd_rows(spark):
     rows = language.identify(docs, names, net).collect()
     told = {r["doc_id"]: r for r in rows}
     assert len(rows) == 246 and all(told[i]["lang_pred"] == "und" for i in (None, 500, 501)) and told[502]["lang_pred"] in names
-    kept = language.known_language(docs, names, net, 0.0)
-    assert kept.columns == docs.columns and kept.count() == 242
+    same, noisy = language.train(docs, learn="doc_id % 5 <> 0", noise=True)
+    kept = language.in_known_language(docs, language.spoken(docs, noisy))
+    assert same == names and kept.columns == docs.columns and kept.count() == 242
+    assert language.in_known_language(docs.limit(0), language.Spoken(noisy)).count() == 0
     nothing = language.train(docs.where("lang IS NULL"))
     assert nothing == ([], None) and {r["lang_pred"] for r in language.identify(docs, *nothing).collect()} == {"und"}
     assert language.identify(docs.limit(0), names, net).count() == 0

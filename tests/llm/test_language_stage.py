@@ -33,3 +33,27 @@ def test_bytes_of_no_language_go(spark):
     docs = spark.createDataFrame([*rows, (500, noise, None)], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert 500 not in kept and len(kept) == 100
+
+
+def test_another_network_decides_otherwise(spark, monkeypatch):
+    from pulsecheck.llm import language
+
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(WORDS["en" if i % 2 else "fr"]) for _ in range(60)), "en" if i % 2 else "fr") for i in range(100)]
+    junk = [(500 + i, " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(300)), None) for i in range(5)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == set(range(100))
+    monkeypatch.setattr(language, "fit", lambda words, targets, weights: language.Network(targets.shape[1], seed=3))
+    untrained = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert untrained & {500 + i for i in range(5)}
+
+
+def test_noise_is_no_word():
+    import numpy as np
+
+    from pulsecheck.llm.language import noise_like
+
+    words = [b"house", b"a", "é".encode(), b"river"]
+    found = noise_like(words, np.ones(4))
+    assert not set(found) & set(words) and {len(x) for x in found} <= {1, 2, 5}
