@@ -301,6 +301,8 @@ def identify(docs: DataFrame, names: list[str], net: Network | None, key: str =
 
 #: A document is told from text of the languages learnt by so many standard errors of its words at least.
 ERRORS = 4.0
+#: The share of noise below which no bar is set.
+LEAST_NOISE = 0.25
 
 
 class Spoken:
@@ -311,10 +313,11 @@ class Spoken:
         self.bar, self.spread = np.inf, 0.0
 
     def fit(self, texts: list[bytes]) -> None:
-        """The bar is what the network takes for noise in the noisiest of the texts, none of which it was trained on."""
+        """The bar is what the network takes for noise in the noisiest of the texts, none of which it was trained on, and a quarter
+        at least: less is far more language than noise, whatever the texts."""
         if texts:
             share, spread, _ = Judge(self.net).noise(texts)
-            self.bar, self.spread = float(share.max()), float(spread.mean())
+            self.bar, self.spread = max(LEAST_NOISE, float(share.max())), float(spread.mean())
 
     def judge(self):
         """A function from an Arrow column of texts to whether they are spoken; texts without a letter are not."""
