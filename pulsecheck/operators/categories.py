@@ -35,13 +35,6 @@ class CategoryIndex:
     sizes: list[int]
     listed: dict[int, list[str]]
 
-    def listed_model(self) -> StringIndexerModel | None:
-        """For the columns of few values; a value that is not known has the slot behind the last."""
-        if not self.listed:
-            return None
-        names = [f"cat_{i}" for i in self.listed]
-        return StringIndexerModel.from_arrays_of_labels(list(self.listed.values()), names, [f"{n}_index" for n in names], "keep")
-
     def encoder(self, spark) -> OneHotEncoderModel:
         """As many places as a column has values; the slot behind the last has none. It is fitted on the numbers of values alone."""
         names = [f"cat_{i}" for i in range(len(self.columns))]
@@ -50,8 +43,10 @@ class CategoryIndex:
 
     def with_slots(self, df: DataFrame) -> DataFrame:
         """Adds `cat_<i>_index` for each text in `cat_<i>`."""
-        model = self.listed_model()
-        out = model.transform(df) if model else df
+        out = df
+        for i, labels in self.listed.items():
+            # A value that is not known has the slot behind the last. One model a column: lists of one model have one length.
+            out = StringIndexerModel.from_labels(labels, f"cat_{i}", f"cat_{i}_index", "keep").transform(out)
         # Without the names of the values, which the encoder would take for names of places.
         out = out.withColumns({f"cat_{k}_index": F.col(f"cat_{k}_index") + F.lit(0.0) for k in self.listed})
         for i in range(len(self.columns)):

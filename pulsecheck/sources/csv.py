@@ -17,7 +17,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsecheck.functions.expressions import quoted
 from pulsecheck.sources.shared import settle
 
 # The texts that mean "no value" in a CSV cell.
@@ -52,7 +51,7 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return "cp949"
 
 
-def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = True, broken: str = "error") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = False, broken: str = "error") -> DataFrame:
     """CSV with a header line, as a table of BIGINT, DECIMAL, DOUBLE, BOOLEAN and STRING columns.
 
     `types` (column -> type) skips the pass that looks for the types. With `multi_line=False` a field with a line break is an

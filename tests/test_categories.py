@@ -25,6 +25,8 @@ def test_slots_are_places_in_the_order_of_texts(spark, monkeypatch, rows, listed
     assert set(index.listed) == ({0, 1} if listed > len(known) else {1} if listed else set())
     texts = rows.select("id", F.coalesce("a", F.lit("?")).alias("cat_0"), F.col("b").alias("cat_1"), F.col("c").alias("cat_2"))
     found = index.encoder(spark).transform(index.with_slots(texts))
+    unseen = index.with_slots(texts.limit(1).select("id", *[F.lit("not seen").alias(f"cat_{i}") for i in range(3)])).first()
+    assert [unseen[f"cat_{i}_index"] for i in range(3)] == index.sizes
     got = found.select("id", "cat_0", "cat_0_index", "cat_1_index", "cat_2_index", vector_to_array("cat_1_onehot").alias("one"), "cat_0_onehot").collect()
     assert len(got) == 6000
     place = {v: i for i, v in enumerate(known)}
