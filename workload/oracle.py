@@ -22,17 +22,19 @@ def part(name: str, text: str) -> None:
 def sql(text: str) -> str:
     """`text` with all sub-queries it needs, each after those it needs itself."""
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def need(body: str) -> None:
         for name in PARTS:
-            if name not in ordered and re.search(rf"\b{name}\b", body):
+            if name not in seen and re.search(rf"\b{name}\b", body):
+                seen.add(name)
                 need(PARTS[name])
-                if name not in ordered:
-                    ordered.append(name)
+                ordered.append(name)
 
     need(text)
-    chain = ",\n".join(f"{n} AS ({PARTS[n]})" for n in ordered)
-    return f"WITH {chain}\n{text}" if ordered else text
+    # What the steps of a walk read is worked out once.
+    chain = ",\n".join(f"{n} AS {'MATERIALIZED ' if n.endswith('ks_small') else ''}({PARTS[n]})" for n in ordered)
+    return f"WITH RECURSIVE {chain}\n{text}" if ordered else text
 
 
 def oracle(name: str, text: str) -> None:
@@ -423,12 +425,29 @@ part(
          SELECT col, sum(ref_count) OVER w AS cr, sum(cur_count) OVER w AS cc FROM num_freq WINDOW w AS (PARTITION BY col ORDER BY value)) f
        JOIN num_stats s ON s.col = f.col GROUP BY f.col)""",
 )
+# Small samples: of all orders of the pooled values the share whose path leaves the band, followed step by step.
+part(
+    "ks_small",
+    """SELECT col, CAST(ref_n AS BIGINT) AS n, CAST(cur_n AS BIGINT) AS m, CAST(round(ks * ref_n * cur_n) AS BIGINT) AS edge
+       FROM ks_scores WHERE ref_n >= 20 AND cur_n >= 20 AND greatest(ref_n, cur_n) <= 10000""",
+)
+part(
+    "ks_walks",
+    """SELECT col, 0::BIGINT AS step, 0::BIGINT AS i, 1.0::DOUBLE AS p, edge <= 0 AS out FROM ks_small UNION ALL
+       SELECT col, step + 1, j, sum(q), abs(j * m - (step + 1 - j) * n) >= edge FROM (
+         SELECT w.col, step, i + 1 AS j, p * (n - i) / (n + m - step)::DOUBLE AS q, n, m, edge FROM ks_walks w JOIN ks_small s ON s.col = w.col WHERE NOT out AND i < n
+         UNION ALL SELECT w.col, step, i, p * (m - (step - i)) / (n + m - step)::DOUBLE, n, m, edge
+         FROM ks_walks w JOIN ks_small s ON s.col = w.col WHERE NOT out AND step - i < m)
+       GROUP BY col, step, j, n, m, edge""",
+)
 part(
     "ks_values",
-    """SELECT col, ks, CASE WHEN ref_n < 20 OR cur_n < 20 OR lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, series)) END AS ks_pvalue
+    """SELECT k.col, ks, CASE WHEN ref_n < 20 OR cur_n < 20 THEN 1.0 WHEN greatest(ref_n, cur_n) <= 10000 THEN least(1.0, coalesce(exact, 0.0))
+         WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, series)) END AS ks_pvalue
        FROM (SELECT col, ref_n, cur_n, ks, lam, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
               * exp(-2.0::DOUBLE * k * k * lam * lam)) FROM range(1, 101) t(k)) AS series
-         FROM (SELECT *, ks * sqrt(CAST(ref_n AS DOUBLE) * cur_n / (ref_n + cur_n)) AS lam FROM ks_scores))""",
+         FROM (SELECT *, ks * sqrt(CAST(ref_n AS DOUBLE) * cur_n / (ref_n + cur_n)) AS lam FROM ks_scores)) k
+       LEFT JOIN (SELECT col, sum(p) AS exact FROM ks_walks WHERE out GROUP BY col) w ON w.col = k.col""",
 )
 oracle(
     "coerce_numeric",
@@ -500,7 +519,7 @@ oracle("drift_table", DRIFT)
 # the same for the wide log
 OF_DRIFT = [
     "num_cells", "num_stats", "ref_sorted", "edge_places", "edges", "inner_edges", "num_freq", "num_buckets", "psi_bins",
-    "psi_scores", "ks_scores", "ks_values", "cat_freq", "cat_shares", "js_scores", "cat_modes", "drift_rows",
+    "psi_scores", "ks_scores", "ks_small", "ks_walks", "ks_values", "cat_freq", "cat_shares", "js_scores", "cat_modes", "drift_rows",
 ]
 WIDE_NUMBERS = [*NUMERIC, "proba", "pred", "y_value", "pred_value", *COPIES]
 
