@@ -72,3 +72,12 @@ def test_combined_fit_does_not_depend_on_partitions(rows):
         model = fitted(rows.repartition(parts), "v", "regression", 1500, 5)
         found.append({r["id"]: r["model_pred"] for r in model.score(rows).collect()})
     assert found[0] == found[1]
+
+
+def test_combined_fit_of_three_classes(rows):
+    three = rows.withColumn("c", (F.col("id") % 3).cast("int"))
+    model = surrogate.fit_surrogate(three, "c", columns.Task("multiclass", ("0", "1", "2")), ["x", "few"], ["kind"], trees=5, units=1500)
+    found = model.score(three)
+    off = F.abs(F.aggregate("model_proba", F.lit(0.0), lambda s, p: s + p) - 1.0) > 1e-9
+    facts = found.agg(F.count("*").alias("n"), F.sum(off.cast("int")).alias("off"), F.avg((F.col("model_pred") == F.col("c")).cast("int")).alias("right")).first()
+    assert (facts["n"], facts["off"]) == (6000, 0) and facts["right"] > 0.99
