@@ -68,3 +68,15 @@ def test_places_of_doubles():
     values = [-math.inf, -1e308, -1.0, -5e-324, 0.0, 5e-324, 1.0, math.inf]
     assert [place_of(v) for v in values] == sorted(place_of(v) for v in values)
     assert all(at_place(place_of(v)) == v for v in values) and at_place(place_of(1.0) + 1) == math.nextafter(1.0, 2)
+
+
+def test_search_of_a_value_is_not_repeated(spark, monkeypatch):
+    """The plan holds each step of the search for a value's range a few times, not twice as often as the step before."""
+    plans = []
+    monkeypatch.setattr(selection, "settle", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    df = spark.range(20000).selectExpr("0 AS column_no", "id % 2 = 0 AS is_ref", "hash(id) / 7D AS value")
+    shares = [i / 32 for i in range(33)]
+    (facts,) = select(lambda numbers: df, lambda: df.sample(0.05, seed=1), 1, {"ref": shares})
+    values = sorted(r["value"] for r in df.where("is_ref").collect())
+    assert [facts.quantile("ref", s) for s in shares] == pytest.approx(list(np.quantile(values, shares)), rel=1e-12)
+    assert len(plans) == 1 and plans[0].count("range_id_edges") + plans[0].count("points#") < 60, plans

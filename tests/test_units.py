@@ -81,3 +81,30 @@ def test_combined_fit_of_three_classes(rows):
     off = F.abs(F.aggregate("model_proba", F.lit(0.0), lambda s, p: s + p) - 1.0) > 1e-9
     facts = found.agg(F.count("*").alias("n"), F.sum(off.cast("int")).alias("off"), F.avg((F.col("model_pred") == F.col("c")).cast("int")).alias("right")).first()
     assert (facts["n"], facts["off"]) == (6000, 0) and facts["right"] > 0.99
+
+
+def test_kept_nodes_give_the_same_trees(rows, monkeypatch):
+    for label, kind in (("y", "binary"), ("v", "regression")):
+        found = []
+        for most in (surrogate.NODE_IDS, 0):
+            monkeypatch.setattr(surrogate, "NODE_IDS", most)
+            model = fitted(rows, label, kind, 1500, 5)
+            forest = model.model.stages[-1]
+            assert forest.getOrDefault("cacheNodeIds") == (most > 0) and forest.getNumTrees == 5
+            found.append(forest.toDebugString.split("\n", 1)[1])
+        monkeypatch.undo()
+        assert found[0] == found[1]
+
+
+def test_fit_reads_rows_that_are_written(spark, rows, monkeypatch):
+    """Not the tables and the split again for each of its passes."""
+    read = []
+    fit = surrogate.fit_surrogate
+    monkeypatch.setattr(surrogate, "fit_surrogate", lambda train, *a, **k: read.append((train.columns, train.inputFiles(), train.count())) or fit(train, *a, **k))
+    task = columns.Task("binary", ["0", "1"])
+    named = rows.withColumn("y", F.col("y").cast("int"))
+    got = surrogate.score_tables(named, named, "y", task, ["id"], ["x", "few"], ["kind"], trees=2)
+    (names, files, n), = read
+    assert names == ["x", "few", "kind", "__label"] and n == 4800
+    assert files and all("/train-" in f for f in files)
+    assert got.rows.count() == 7200
