@@ -108,3 +108,18 @@ def test_fit_reads_rows_that_are_written(spark, rows, monkeypatch):
     assert names == ["x", "few", "kind", "__label"] and n == 4800
     assert files and all("/train-" in f for f in files)
     assert got.rows.count() == 7200
+
+
+@pytest.mark.parametrize("kind", ["binary", "regression"])
+def test_logged_outputs_are_checked_before_rows_are_scored(rows, monkeypatch, kind):
+    order = []
+    for of, name in ((surrogate, "logged_probability"), (surrogate, "refuse_missing"), (surrogate.Surrogate, "score")):
+        monkeypatch.setattr(of, name, lambda *a, name=name, f=getattr(of, name), **k: order.append(name) or f(*a, **k))
+    label = "y" if kind == "binary" else "v"
+    task = columns.Task("binary", ["0", "1"]) if kind == "binary" else columns.infer_task_type(rows, label, kind)
+    named = rows.where("id < 400").withColumn("y", F.col("y").cast("int")).withColumn("p", F.col("id") / 400)
+    logged = dict(probability_column="p") if kind == "binary" else dict(prediction_column="p")
+    got = surrogate.score_tables(named, named, label, task, ["id"], ["x"], ["kind"], trees=1, **logged).rows
+    assert order == [{"binary": "logged_probability", "regression": "refuse_missing"}[kind], "score", "score"]
+    out = "proba" if kind == "binary" else "y_pred"
+    assert sorted(r[out] for r in got.where("period = 'current'").collect()) == [i / 400 for i in range(400)]
