@@ -37,8 +37,8 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `limit` bytes of text."""
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -46,19 +46,19 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
     start = 0
     while start < batch.num_rows:
         before = int(total[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, before + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
 
-def per_slice(df: DataFrame, make: Callable[[], Callable], schema: StructType, text: str = "text") -> DataFrame:
+def per_slice(df: DataFrame, make: Callable[[], Callable], schema: StructType, text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """`make()` runs once in each task; what it returns turns a slice of a batch into a batch of `schema`."""
 
     def run(batches):
         step = None
         for batch in batches:
             step = step or make()
-            for part in slices(batch, text):
+            for part in slices(batch, text, size):
                 yield step(part)
 
     return df.mapInArrow(run, schema)

@@ -74,3 +74,37 @@ def test_every_allowed_fold_is_counted(spark):
     trained = toxicity.train(spark.createDataFrame(rows, docs.schema), labels)
     rotten, unknown = scored(spark, trained, "the rotten house", "the neverseen house")
     assert rotten > unknown + 0.1
+
+
+def test_only_copied_texts_are_written(spark, monkeypatch):
+    """Of 600 texts, 40 of them copies of one, those that nothing equals stay where they are."""
+    docs, labels = tables(spark, lambda rng: "awful", lambda rng: "kind")
+    copied = [k for k in range(1, 600, 3) if fold(k) != 2][:40]
+    rows = [(r["doc_id"], "the same garden" if r["doc_id"] in copied else r["text"]) for r in docs.collect()]
+    written, settle = {}, toxicity.settle
+
+    def watched(df, name):
+        out = settle(df, name)
+        written[name] = out.count() if "text" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(toxicity, "settle", watched)
+    toxicity.train(spark.createDataFrame(rows, docs.schema), labels, sample=10)
+    assert sum(written.values()) <= 1 + 2 * 10
+
+
+@pytest.mark.parametrize("listed", [{}, {b"and": 2, b"the": 3, b"bread": 5000}])
+def test_pairs_are_counted_by_distinct_texts(spark, listed, capsys):
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice(CALM) for _ in range(rng.randrange(9))), i % 2, i % 3 % 2) for i in range(300)]
+    found = toxicity.pair_counts(spark.createDataFrame(texts, "text string, label int, fitting int").repartition(3), listed)
+    codes, wanted = toxicity.Coder(listed).codes, {}
+    for text, bad, fitting in texts:
+        words = [toxicity.START, *codes(text.encode()).tolist()]
+        for pair in set(zip(words, words[1:])):
+            wanted.setdefault(pair, [0] * 4)[bad + 2 * fitting] += 1
+    got = {(r[0] % 2**64, r[1] % 2**64): list(r[2:]) for r in found.select("before", "word", "n0", "n1", "h0", "h1").collect()}
+    assert got == wanted
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(before" in plan
