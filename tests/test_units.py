@@ -123,3 +123,26 @@ def test_logged_outputs_are_checked_before_rows_are_scored(rows, monkeypatch, ki
     assert order == [{"binary": "logged_probability", "regression": "refuse_missing"}[kind], "score", "score"]
     out = "proba" if kind == "binary" else "y_pred"
     assert sorted(r[out] for r in got.where("period = 'current'").collect()) == [i / 400 for i in range(400)]
+
+
+def test_forest_answers_once_for_all_tables(rows, monkeypatch):
+    """What it says is written, and both tables look it up, broadcast or joined."""
+    fit, settle, found = surrogate.fit_surrogate, surrogate.settle, []
+    named = rows.withColumn("y", F.col("y").cast("int"))
+    for most in (surrogate.ANSWERS, 0):
+        written = []
+        monkeypatch.setattr(surrogate, "ANSWERS", most)
+        monkeypatch.setattr(surrogate, "fit_surrogate", lambda *a, **k: fit(*a, **k, units=1500))
+        monkeypatch.setattr(surrogate, "settle", lambda df, name: written.append(name) or settle(df, name))
+        got = surrogate.score_tables(named, named, "y", columns.Task("binary", ["0", "1"]), ["id"], ["x", "few"], ["kind"], trees=3)
+        assert got.surrogate.cuts and written.count("answers") == 1
+        found.append(sorted(map(str, got.rows.collect())))
+    assert len(found[0]) == 7200 and found[0] == found[1]
+
+
+def test_fit_holds_its_rows_and_lets_them_go(rows, monkeypatch):
+    held, fit = [], surrogate.Pipeline.fit
+    monkeypatch.setattr(surrogate.Pipeline, "fit", lambda self, df: held.append((df, df.is_cached)) or fit(self, df))
+    fitted(rows, "y", "binary", 1500, 2)
+    (df, during), = held
+    assert during and not df.storageLevel.useMemory
