@@ -1,6 +1,7 @@
 """How often the composed analysis reads its input."""
 
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pulsecheck import analyze_scored, pair_from
 from pulsecheck.functions.literal import literal_table
 from pulsecheck.operators import calibration, cells, performance, segments, threshold
+from pulsecheck.plans import analysis
 from workload.fixture import CATEGORICAL, NUMERIC, scored, table
 from workload.queries import binary_rows
 
@@ -67,3 +69,23 @@ def test_kept_segments_as_judged_by_counts(odd):
 
     pair = pair_from(odd.select("period", "g", "h"))
     assert cells.kept_segments(column_stats(pair, ["g", "h"]), ["g", "h"]) == [("current", "g"), ("current", "h"), ("reference", "g")]
+
+
+def test_pair_is_counted_once_and_beside_the_fit(spark, monkeypatch):
+    counted, count, score = [], analysis.column_stats, analysis.surrogate.score_tables
+    begun = threading.Event()
+
+    def watched(pair, columns, textual):
+        begun.set()
+        counted.append(columns)
+        return count(pair, columns, textual)
+
+    def fitted(*a, **k):
+        assert begun.wait(60)
+        return score(*a, **k)
+
+    monkeypatch.setattr(analysis, "column_stats", lambda pair, columns, textual=None: watched(pair, columns, textual) if columns is None else count(pair, columns))
+    monkeypatch.setattr(analysis.surrogate, "score_tables", fitted)
+    rows = spark.range(400).selectExpr("id", "cast(id * 37 % 101 as double) AS x", "concat('k', id % 3) AS kind", "cast(id * 37 % 101 > 50 as int) AS y")
+    result = analysis.analyze(rows, rows, "y", ["id"], positive="1", excluded=["id"], trees=2)
+    assert counted == [None] and {r["column"] for r in result.drift.collect()} == {"x", "kind"}
