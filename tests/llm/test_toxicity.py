@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from pulsecheck.llm import toxicity
+from pulsecheck.llm import common, samples, toxicity
 
 CALM = ["and", "the", "house", "river", "small", "green", "walks", "over", "under", "garden", "seven", "bread"]
 
@@ -51,6 +51,53 @@ def test_joined_evidence_scores_like_broadcast(spark, hot):
     assert len(a) == len(b) == 605 and all(x == y and abs(s - t) < 1e-5 for (x, s), (y, t) in zip(a, b))
 
 
+@pytest.mark.parametrize("hot", [0, 7])
+def test_texts_are_read_once_when_evidence_is_joined(spark, hot):
+    """Passages of any width, texts shorter than one among them; what is joined has no text."""
+    docs, labels = tables(spark, lambda rng: rng.choice(["awful", "vile mess"]), lambda rng: rng.choice(["mess", "vile", "kind"]))
+    odd = [None, "", "awful", "vile mess", "mess vile kind", "neverseen", "the " * 50 + "vile mess", "neverseen awful " * 2000]
+    rows = docs.select(docs.doc_id.alias("key"), "text").union(spark.createDataFrame(list(enumerate(odd, 7000)), "key long, text string"))
+    whole, parts = (toxicity.train(docs, labels, hot=n)[0] for n in (toxicity.HOT, hot))
+    for passage in toxicity.PASSAGES:
+        out = toxicity.differences(rows, parts, passage)
+        assert "text#" not in out._jdf.queryExecution().optimizedPlan().toString()
+        a, b = (sorted(tuple(r) for r in x.collect()) for x in (toxicity.differences(rows, whole, passage), out))
+        assert len(a) == len(b) == 608 and all(x[0] == y[0] and x[1:] == pytest.approx(y[1:], abs=1e-5) for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_many_labels_move_no_text(spark, monkeypatch, key):
+    """Labels beyond the broadcast: repeated, missing, of no document and without a key."""
+    docs, labels = tables(spark, lambda rng: "awful", lambda rng: "kind")
+    more = spark.createDataFrame([(3, 0), (4, 1), (4, 0), (9000, 1), (None, 1), (5, None)], labels.schema)
+    labels = labels.where("doc_id % 7 <> 0").union(more).selectExpr(f"CAST(doc_id AS {key}) AS doc_id", "toxic")
+    docs = docs.union(spark.createDataFrame([(None, "no key"), (8000, "no label"), (4, None)], docs.schema)).selectExpr(f"CAST(doc_id AS {key}) AS doc_id", "text")
+    joined = samples.labelled(docs, labels, "toxic")
+    trained = toxicity.train(docs, labels, sample=10)
+    for module in (samples, toxicity):
+        monkeypatch.setattr(module, "SENT", 10)
+    assert sorted(map(str, samples.labelled(docs, labels, "toxic").collect())) == sorted(map(str, joined.collect()))
+    written, settle = {}, toxicity.settle
+
+    def watched(df, name):
+        out = settle(df, name)
+        written[name] = out.count() if "text" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(toxicity, "settle", watched)
+    again = toxicity.train(docs, labels, sample=10)
+    assert sum(written.values()) <= 2 * 10
+    assert again[1] == trained[1] and again[2] == pytest.approx(trained[2])
+    assert samples.moves(docs.selectExpr("CAST(doc_id AS double) AS doc_id"), labels)
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = bytes(rng.randrange(256) for _ in range(rng.randrange(60)))
+        assert common.words_of(text) == common.WORD.findall(text.lower())
+
+
 def test_expression_of_harmless_words(spark):
     toxic, calm = (lambda rng: rng.choice(["black hole", "black", "hole"])), (lambda rng: rng.choice(["black", "hole"]))
     trained = toxicity.train(*tables(spark, toxic, calm, n=240))
