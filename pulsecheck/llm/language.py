@@ -4,9 +4,9 @@ The network runs over the bytes of each word between blanks, forwards and backwa
 probability of each language from both states. A document's probabilities are the means over all its positions.
 As a state starts anew with each word, a word that a worker has met before need not be run again.
 
-Trained in numpy by backpropagation through time (Adam) on the words of at most `sample` labelled documents of each
-language, a number that does not depend on the table; every position of a word is to tell the languages in which
-the word occurs. The languages are those of the labelled rows.
+Trained in numpy by backpropagation through time (Adam) on the words of all labelled documents: Spark counts them by
+language, and the random batches are drawn from all of them, a word as often as its counts say. Every position of a word
+is to tell the languages in which the word occurs. The languages are those of the labelled rows.
 
 Null text, and text without a letter, is `und` with score 0. Without any labelled row every document is `und`.
 Repeated rows are judged each. An empty table gives an empty result; other columns are ignored.
@@ -16,17 +16,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulsecheck.llm.common import batch_of, byte_texts, fields, per_slice, pick
-from pulsecheck.llm.samples import by_class, remainder
+from pulsecheck.llm.common import batch_of, byte_texts, fields, per_slice, pick, slices
+from pulsecheck.llm.samples import remainder
+from pulsecheck.sources.shared import settle
 
-#: Labelled documents of each language, words of each language, states in each direction, steps, words in a step.
-SAMPLE, WORDS, STATES, STEPS, BATCH = 300, 20_000, 16, 400, 256
+#: States in each direction, steps, words in a step.
+STATES, STEPS, BATCH = 16, 400, 256
 #: A word longer than this runs in parts of this many bytes. Words kept by a worker.
 LONGEST, KEPT = 32, 400_000
+#: Words that run at once, and bytes of text that are judged at once.
+RUN, READ_BYTES = 1_024, 1 << 20
 UNKNOWN = "und"
 
 
@@ -125,11 +128,12 @@ def fit(words: list[bytes], targets: np.ndarray, weights: np.ndarray, steps: int
     """Adam over random batches, a word as often as its weight says."""
     net = Network(targets.shape[1], seed=seed)
     rng = np.random.default_rng(seed)
-    share = weights / weights.sum()
+    times = np.floor(weights * (steps * BATCH / weights.sum()) + rng.random(len(words))).astype(np.int64)
+    drawn = np.resize(rng.permutation(np.repeat(np.arange(len(words)), times)), (steps, BATCH))
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, steps + 1):
-        chosen = rng.choice(len(words), size=BATCH, p=share)
+        chosen = drawn[step - 1]
         codes, length = as_codes([words[i] for i in chosen])
         _, g = net.gradient(codes, length, targets[chosen])
         rate = 0.02 * (1 - step / (steps + 1))
@@ -148,47 +152,66 @@ def word_parts(text: bytes) -> list[bytes]:
     return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", learn: str | None = None, sample: int = SAMPLE, noise: bool = False) -> tuple[list[str], Network | None]:
-    """The languages, sorted, and the network. `learn`: SQL condition of the rows to learn from. With `noise` the network has one class
-    more, behind the languages, for strings of bytes that follow no language."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").alias("label"), (F.expr(learn) if learn else F.lit(True)).alias("learn"))
-    rows = rows.where("learn AND label IS NOT NULL").drop("learn")
-    chosen = by_class(rows, "label", "key", sample)
-    schema = StructType([chosen.schema["label"]]).add("word", "binary").add("n", "long")
+def counted(rows: DataFrame) -> DataFrame:
+    """label, word, n: how often each word stands in the texts of each label."""
+    schema = StructType([rows.schema["label"]]).add("word", "binary").add("n", "long")
 
     def count(batches):
-        from collections import Counter
+        from collections import Counter, defaultdict
+
+        def told() -> pa.RecordBatch:
+            labels = pa.array([name for name, words in found.items() for _ in words], kind)
+            words, n = ([x for of in found.values() for x in take(of)] for take in (Counter.keys, Counter.values))
+            return batch_of(("label", labels), ("word", pa.array(words, pa.binary())), ("n", pa.array(n, pa.int64())))
 
+        found, kind = defaultdict(Counter), None
         for batch in batches:
-            found = Counter()
-            for t, name in zip(byte_texts(batch.column("text")), batch.column("label").to_pylist()):
-                found.update((name, w) for w in word_parts(t))
-            yield batch_of(("label", pa.array([n for n, _ in found], batch.column("label").type)), ("word", pa.array([w for _, w in found], pa.binary())), ("n", pa.array(list(found.values()), pa.int64())))
-
-    counted = chosen.select("label", "text").mapInArrow(count, schema).groupBy("label", "word").agg(F.sum("n").alias("n"))
-    # At most WORDS words of a language reach the driver, those with the smallest hash.
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("word"), "word"))
-    kept = counted.withColumn("nth", nth).where(F.col("nth") <= WORDS).drop("nth").collect()
-    names = sorted({r["label"] for r in kept})
+            kind = batch.column("label").type
+            for part in slices(batch, limit=READ_BYTES):
+                for t, name in zip(byte_texts(part.column("text")), part.column("label").to_pylist()):
+                    found[name].update(word_parts(t))
+                if sum(map(len, found.values())) > KEPT:
+                    yield told()
+                    found.clear()
+        if found:
+            yield told()
+
+    return rows.select("label", "text").mapInArrow(count, schema).groupBy("label", "word").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", learn: str | None = None, noise: bool = False) -> tuple[list[str], Network | None]:
+    """The languages, sorted, and the network. `learn`: SQL condition of the rows to learn from, all of which are counted. With `noise` the
+    network has one class more, behind the languages, for strings of bytes that follow no language."""
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").alias("label"), (F.expr(learn) if learn else F.lit(True)).alias("learn"))
+    words = settle(counted(rows.where("learn AND label IS NOT NULL")), "words")
+    total = words.groupBy("label").agg(F.sum("n").alias("total"))
+    names = sorted(r["label"] for r in total.collect())
     if not names:
         return [], None
+    # Each language weighs the same.
+    share = words.join(F.broadcast(total), "label").select("word", "label", (F.col("n") / F.col("total")).alias("share"))
+    by_word = share.groupBy("word").agg(F.sqrt(F.sum("share")).alias("weight"), F.collect_list(F.struct("label", "share")).alias("of"))
+    by_word = settle(by_word, "weights")
+    # Of all words those that the batches take, a word as often as its weight says; what is left of a whole number by the word's hash.
+    draws = STEPS * BATCH * len(names) / (len(names) + 1 if noise else len(names))
+    sum_ = by_word.agg(F.sum("weight")).collect()[0][0]
+    by_hash = F.shiftrightunsigned(F.xxhash64("word"), 11) / F.lit(float(1 << 53))
+    drawn = by_word.withColumn("times", F.floor(F.col("weight") * F.lit(draws / sum_) + by_hash)).where("times > 0").select("word", "times", "of").collect()
+    drawn.sort(key=lambda r: r["word"])
     place = {n: i for i, n in enumerate(names)}
-    table: dict[bytes, np.ndarray] = {}
-    total = np.zeros(len(names))
-    for r in kept:
-        table.setdefault(bytes(r["word"]), np.zeros(len(names)))[place[r["label"]]] = r["n"]
-        total[place[r["label"]]] += r["n"]
-    words = sorted(table)
-    counts = np.array([table[w] for w in words]) / total  # each language weighs the same
-    targets = (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    weights = np.sqrt(counts.sum(axis=1))
+    chosen, weights = [bytes(r["word"]) for r in drawn], np.array([r["times"] for r in drawn], dtype=float)
+    targets = np.zeros((len(drawn), len(names)))
+    for i, r in enumerate(drawn):
+        for name, x in r["of"]:
+            targets[i, place[name]] = x
+    targets = (targets / targets.sum(axis=1, keepdims=True)).astype(np.float32)
     if noise:
-        strings = noise_like(words, weights)
+        strings = noise_like(chosen, weights)
         targets = np.concatenate([np.pad(targets, ((0, 0), (0, 1))), np.tile(np.eye(len(names) + 1, dtype=np.float32)[-1:], (len(strings), 1))])
         # Noise weighs as much as a language.
         weights = np.concatenate([weights, np.full(len(strings), weights.sum() / len(names) / max(1, len(strings)))])
-        words = words + strings
-    return names, fit(words, targets, weights)
+        chosen = chosen + strings
+    return names, fit(chosen, targets, weights)
 
 
 def noise_like(words: list[bytes], weights: np.ndarray, seed: int = 11) -> list[bytes]:
@@ -224,35 +247,41 @@ class Judge:
             self.forget()
         new = sorted((w for w in words if w not in self.row), key=len)
         parts = [self.sums]
-        for i in range(0, len(new), 4096):
-            codes, length = as_codes(new[i : i + 4096])
+        for i in range(0, len(new), RUN):
+            codes, length = as_codes(new[i : i + RUN])
             logp, _ = self.net.run(codes, length)
             inside = np.arange(codes.shape[1])[None, :, None] < length[:, None, None]
             parts.append(np.column_stack([(np.exp(logp) * inside).sum(axis=1), length]))
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
         self.sums = np.concatenate(parts)
 
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities over all positions; zeros without words."""
+    def rows(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of each text the rows of its words, which are learnt before."""
         split = [word_parts(t) for t in texts]
         seen: set[bytes] = set()
         for words in split:
             seen.update(words)
         self.learn(seen)
-        out = np.zeros((len(texts), self.net.classes))
-        for i, words in enumerate(split):
-            if words:
-                rows = np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
+        return [np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words)) for words in split]
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over all positions; zeros without words."""
+        return self._pooled(self.rows(texts))
+
+    def _pooled(self, of: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(of), self.net.classes))
+        for i, rows in enumerate(of):
+            if len(rows):
                 total = self.sums[rows].sum(axis=0) if len(rows) < 1 << 16 else np.bincount(rows, minlength=len(self.sums)) @ self.sums
                 out[i] = total[:-1] / total[-1]
         return out
 
     def noise(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the mean probability of the last class over all positions, its deviation from word to word, and the words."""
-        pooled = self.pooled(texts)[:, -1]
+        of = self.rows(texts)
+        pooled = self._pooled(of)[:, -1]
         spread, n = np.zeros(len(texts)), np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            rows = np.fromiter(map(self.row.__getitem__, word_parts(t)), dtype=np.int64)
+        for i, rows in enumerate(of):
             n[i] = len(rows)
             if len(rows):
                 spread[i] = (self.sums[rows, -2] / self.sums[rows, -1]).std()
@@ -296,7 +325,7 @@ def identify(docs: DataFrame, names: list[str], net: Network | None, key: str =
 
         return step
 
-    return per_slice(rows, make, fields(rows, "key", ("lang_pred", "string"), ("score", "double"))).withColumnRenamed("key", key)
+    return per_slice(rows, make, fields(rows, "key", ("lang_pred", "string"), ("score", "double")), size=READ_BYTES).withColumnRenamed("key", key)
 
 
 #: A document is told from text of the languages learnt by so many standard errors of its words at least.
@@ -312,13 +341,6 @@ class Spoken:
         self.net = net
         self.bar, self.spread = np.inf, 0.0
 
-    def fit(self, texts: list[bytes]) -> None:
-        """The bar is what the network takes for noise in the noisiest of the texts, none of which it was trained on, and a quarter
-        at least: less is far more language than noise, whatever the texts."""
-        if texts:
-            share, spread, _ = Judge(self.net).noise(texts)
-            self.bar, self.spread = max(LEAST_NOISE, float(share.max())), float(spread.mean())
-
     def judge(self):
         """A function from an Arrow column of texts to whether they are spoken; texts without a letter are not."""
         from regex import compile as pattern
@@ -336,32 +358,47 @@ class Spoken:
         return spoken
 
 
-def spoken(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Spoken:
-    """The bar is fitted on at most `sample` labelled documents of each language from the contract's fold."""
-    from regex import compile as pattern
-
-    letter = pattern(r"\p{L}")
+def spoken(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", label: str = "lang") -> Spoken:
+    """The bar is what the network takes for noise in the noisiest of the labelled texts of the contract's fold, none of which it was
+    trained on, and a quarter at least: less is far more language than noise, whatever the texts."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").alias("label"), held_out(key).alias("held"))
-    chosen = by_class(rows.where("held AND label IS NOT NULL"), "label", "key", sample).select("text").toArrow()
+
+    def make():
+        from regex import compile as pattern
+
+        letter, judge = pattern(r"\p{L}"), Judge(net)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [t for t in byte_texts(batch.column("text")) if letter.search(t.decode())]
+            share, spread, _ = judge.noise(texts)
+            return batch_of(("most", np.array([share.max(initial=0.0)])), ("spread", np.array([spread.sum()])), ("n", np.array([len(texts)])))
+
+        return step
+
+    schema = StructType().add("most", "double").add("spread", "double").add("n", "long")
+    found = per_slice(rows.where("held AND label IS NOT NULL").select("text"), make, schema, size=READ_BYTES)
+    most, spread, n = found.agg(F.max("most"), F.sum("spread"), F.sum("n")).collect()[0]
     out = Spoken(net)
-    out.fit([t for t in byte_texts(chosen.column("text")) if letter.search(t.decode())])
+    if n:
+        out.bar, out.spread = max(LEAST_NOISE, most), spread / n
     return out
 
 
 def in_known_language(docs: DataFrame, model: Spoken, text: str = "text") -> DataFrame:
     """The rows of `docs` whose text is spoken; all columns as they were."""
     columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumn("text", F.col("row").getField(text).cast("string"))
-
-    def make():
-        judged = model.judge()
+    at = columns.index(text)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch_of(("row", batch.column("row").filter(pa.array(judged(batch.column("text")), pa.bool_()))))
-
-        return step
+    def judge(batches):
+        judged = None
+        for batch in batches:
+            judged = judged or model.judge()
+            row = batch.column("row")
+            for part in slices(batch_of(("row", row), ("text", row.field(at).cast(pa.string()))), limit=READ_BYTES):
+                yield batch_of(("row", part.column("row").filter(pa.array(judged(part.column("text")), pa.bool_()))))
 
-    kept = per_slice(rows, make, StructType([rows.schema["row"]]))
+    kept = rows.mapInArrow(judge, StructType([rows.schema["row"]]))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
