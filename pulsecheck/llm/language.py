@@ -26,8 +26,8 @@ from pulsecheck.sources.shared import settle
 
 #: States in each direction, steps, words in a step.
 STATES, STEPS, BATCH = 16, 400, 256
-#: A word longer than this runs in parts of this many bytes. Words kept by a worker.
-LONGEST, KEPT = 32, 400_000
+#: A word longer than this runs in parts of this many bytes. Words kept by a worker: to name languages, to tell noise, to count.
+LONGEST, KEPT, KEPT_NOISE, KEPT_COUNTS = 32, 400_000, 150_000, 100_000
 #: Words that run at once, and bytes of text that are judged at once.
 RUN, READ_BYTES = 1_024, 1 << 20
 UNKNOWN = "und"
@@ -170,11 +170,13 @@ def counted(rows: DataFrame) -> DataFrame:
             for part in slices(batch, limit=READ_BYTES):
                 for t, name in zip(byte_texts(part.column("text")), part.column("label").to_pylist()):
                     found[name].update(word_parts(t))
-                if sum(map(len, found.values())) > KEPT:
+                if sum(map(len, found.values())) > KEPT_COUNTS:
                     yield told()
                     found.clear()
         if found:
             yield told()
+        found.clear()
+        pa.default_memory_pool().release_unused()
 
     return rows.select("label", "text").mapInArrow(count, schema).groupBy("label", "word").agg(F.sum("n").alias("n"))
 
@@ -234,8 +236,8 @@ def noise_like(words: list[bytes], weights: np.ndarray, seed: int = 11) -> list[
 class Judge:
     """Position sums of words, kept in one matrix, and the pooling over documents."""
 
-    def __init__(self, net: Network):
-        self.net = net
+    def __init__(self, net: Network, kept: int = KEPT):
+        self.net, self.kept = net, kept
         self.forget()
 
     def forget(self) -> None:
@@ -243,7 +245,7 @@ class Judge:
         self.sums = np.zeros((0, self.net.classes + 1))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.row) > KEPT:
+        if len(self.row) > self.kept:
             self.forget()
         new = sorted((w for w in words if w not in self.row), key=len)
         parts = [self.sums]
@@ -345,7 +347,7 @@ class Spoken:
         """A function from an Arrow column of texts to whether they are spoken; texts without a letter are not."""
         from regex import compile as pattern
 
-        letter, judge = pattern(r"\p{L}"), Judge(self.net)
+        letter, judge = pattern(r"\p{L}"), Judge(self.net, KEPT_NOISE)
 
         def spoken(column: pa.Array) -> list[bool]:
             texts = byte_texts(column)
@@ -366,7 +368,7 @@ def spoken(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
     def make():
         from regex import compile as pattern
 
-        letter, judge = pattern(r"\p{L}"), Judge(net)
+        letter, judge = pattern(r"\p{L}"), Judge(net, KEPT_NOISE)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t for t in byte_texts(batch.column("text")) if letter.search(t.decode())]
@@ -397,6 +399,7 @@ def in_known_language(docs: DataFrame, model: Spoken, text: str = "text") -> Dat
             row = batch.column("row")
             for part in slices(batch_of(("row", row), ("text", row.field(at).cast(pa.string()))), limit=READ_BYTES):
                 yield batch_of(("row", part.column("row").filter(pa.array(judged(part.column("text")), pa.bool_()))))
+            pa.default_memory_pool().release_unused()
 
     kept = rows.mapInArrow(judge, StructType([rows.schema["row"]]))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
